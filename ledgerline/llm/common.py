@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Texts are worked on in slices of about so many bytes, whatever a batch holds.
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Whole texts travel in batches; fewer rows a batch bound a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    # A query's shuffle files go when it ends, not when the driver happens to collect garbage.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -139,7 +142,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = 0
         while i < n:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-            j = min(j, n)
+            j = min(j, n, i + SLICE_ROWS)
             yield chunk_start + i, j - i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
 

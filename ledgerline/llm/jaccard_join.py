@@ -46,77 +46,96 @@ TREE = 256
 LEAF = 8
 
 
-def shingle_sets(hasher: Hasher, texts: pa.Array) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each row."""
-    for _, n, _, _, _, words, at in word_slices(hasher, texts):
-        grams = hasher.sequence(words, WORDS)
-        for i in range(n):
-            lo, hi = at[i], at[i + 1]
-            if hi - lo >= WORDS:
-                yield np.unique(grams[lo : hi - WORDS + 1])
-            elif hi > lo:
-                yield mix(hasher.fold(words[lo:hi], np.zeros(1, np.int64)) + U64(hi - lo))
-            else:
-                yield np.zeros(0, dtype=U64)
+#: A shingle is a hash of 54 bits: 10 more number the rows of a slice, so that
+#: one sort makes all its sets.
+BITS = 54
+
+
+class Sets:
+    """The sets of a slice's rows: tokens[starts[i]:starts[i + 1]], sorted and distinct."""
 
+    def __init__(self, first: int, tokens: np.ndarray, starts: np.ndarray) -> None:
+        self.first, self.tokens, self.starts = first, tokens, starts
+        self.sizes = np.diff(starts)
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        a, b = mix(s ^ U64(0x5851F42D4C957F2D)), mix(s + U64(0x14057B7EF767814F))
-        return int(a.sum(dtype=U64).view(np.int64)), int(b.sum(dtype=U64).view(np.int64))
+    def row(self, i: int) -> np.ndarray:
+        return self.tokens[self.starts[i] : self.starts[i + 1]]
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum of values over each row."""
+        total = np.zeros(len(values) + 1, dtype=U64)
+        np.cumsum(values, out=total[1:])
+        return (total[self.starts[1:]] - total[self.starts[:-1]]).view(np.int64)
 
-def prefix_size(n: int) -> int:
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.sums(mix(self.tokens ^ U64(0x5851F42D4C957F2D))), self.sums(mix(self.tokens + U64(0x14057B7EF767814F)))
+
+
+def shingle_sets(hasher: Hasher, texts: pa.Array) -> Iterator[Sets]:
+    for first, n, _, _, _, words, at in word_slices(hasher, texts):
+        grams = hasher.sequence(words, WORDS)
+        row = np.repeat(np.arange(n), np.diff(at))
+        whole = row[: len(grams)] == row[WORDS - 1 :] if len(grams) else np.zeros(0, bool)
+        rows, hashes = [row[: len(grams)][whole]], [grams[whole]]
+        size = np.diff(at)
+        for i in np.flatnonzero((size > 0) & (size < WORDS)).tolist():
+            rows.append(np.array([i]))
+            hashes.append(mix(hasher.fold(words[at[i] : at[i + 1]], np.zeros(1, np.int64)) + U64(size[i])))
+        keys = (np.concatenate(rows).astype(U64) << U64(BITS)) | (np.concatenate(hashes) >> U64(64 - BITS))
+        keys.sort()
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+        starts = np.searchsorted(keys, np.arange(n + 1, dtype=U64) << U64(BITS))
+        yield Sets(first, keys & U64((1 << BITS) - 1), starts)
+
+
+def prefix_size(n):
     """So many of a set's first shingles meet those of any set it links with."""
     return n - -(-NUM * n // DEN) + 1
 
 
 def _signatures(batches):
-    hasher = Hasher()
-    for batch in batches:
-        sizes, one, two = [], [], []
-        for s in shingle_sets(hasher, batch.column(1)):
-            a, b = digest(s)
-            sizes.append(len(s)), one.append(a), two.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["doc_id", "n", "s1", "s2"])
-
-
-def _heavy_parts(batches):
-    """Counts of shingles that a part of the input holds at least twice."""
-    hasher, held, size = Hasher(), [], 0
+    """Two kinds of rows from one pass: documents (doc_id, n, s1, s2), and
+    counts (token, k) of shingles that a part of the input holds at least twice."""
+    hasher, held, size, seen = Hasher(), [], 0, set()
+    names = ["doc_id", "n", "s1", "s2", "token", "k"]
 
     def counted():
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        tokens = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        counts = np.diff(np.append(first, len(tokens)))
         keep = counts > 1
-        return pa.RecordBatch.from_arrays([long_array(values[keep]), pa.array(counts[keep], pa.int64())], ["token", "k"])
+        none = pa.nulls(int(keep.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, long_array(tokens[first[keep]]), pa.array(counts[keep])], names)
 
-    seen: set = set()
     for batch in batches:
-        for s in shingle_sets(hasher, batch.column(0)):
-            d = digest(s)
-            if len(s) and d not in seen:
-                seen.add(d)
-                held.append(s)
-                size += len(s)
-            if size > 1 << 22:
-                yield counted()
-                held, size = [], 0
-    if held:
+        for s in shingle_sets(hasher, batch.column(1)):
+            one, two = s.digests()
+            none = pa.nulls(len(one), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(one)), pa.array(s.sizes), pa.array(one), pa.array(two), none, none], names)
+            fresh = unseen(seen, one, s.sizes)
+            held.append(s.tokens[np.repeat(fresh, s.sizes)])
+            size += len(held[-1])
+        if size > 1 << 22:
+            yield counted()
+            held, size = [], 0
+    if size:
         yield counted()
 
 
-def heavy_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def unseen(seen: set, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rows whose class this part of the input has not met."""
+    out = sizes > 0
+    for i, x in enumerate(ids.tolist()):
+        if x in seen:
+            out[i] = False
+        seen.add(x)
+    return out
+
+
+def heavy_tokens(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, counts) of the heaviest shingles over all documents."""
-    rows = (
-        docs.select("text")
-        .mapInArrow(_heavy_parts, "token long, k long")
-        .groupBy("token")
-        .agg(F.sum("k").alias("k"))
-        .where(F.col("k") >= HEAVY)
-        .orderBy(F.desc("k"), "token")
-        .limit(HEAVY_KEPT)
-        .toArrow()
-    )
+    counts = signed.where("token is not null").groupBy("token").agg(F.sum("k").alias("k"))
+    rows = counts.where(F.col("k") >= HEAVY).orderBy(F.desc("k"), "token").limit(HEAVY_KEPT).toArrow()
     tokens = rows.column("token").to_numpy().view(U64)
     order = np.argsort(tokens)
     return tokens[order], rows.column("k").to_numpy()[order]
@@ -127,28 +146,24 @@ def _prefixes(heavy):
         tokens, counts = heavy.value
         hasher, seen = Hasher(), set()
         for batch in batches:
-            out, ids, sizes = [], [], []
             for s in shingle_sets(hasher, batch.column(0)):
-                n = len(s)
-                if not n or (d := digest(s)) in seen:
+                ids = s.digests()[0]
+                fresh = unseen(seen, ids, s.sizes)
+                row = np.repeat(np.arange(len(ids)), s.sizes)
+                mine = fresh[row]
+                row, t = row[mine], s.tokens[mine]
+                if not len(t):
                     continue
-                seen.add(d)
-                p = prefix_size(n)
                 if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    hit = tokens[at] == s
-                    if hit.any():
-                        light = s[~hit]
-                        if len(light) < p:
-                            rest = s[hit][np.lexsort((s[hit], counts[at[hit]]))]
-                            light = np.concatenate([light, rest])
-                        s = light
-                out.append(s[:p])
-                ids.append(d[0])
-                sizes.append(n)
-            if out:
-                lens = [len(x) for x in out]
-                yield pa.RecordBatch.from_arrays([long_array(np.concatenate(out)), pa.array(np.repeat(ids, lens), pa.int64()), pa.array(np.repeat(sizes, lens), pa.int32())], ["token", "s1", "n"])
+                    at = np.minimum(np.searchsorted(tokens, t), len(tokens) - 1)
+                    weight = np.where(tokens[at] == t, counts[at], 0)
+                    if weight.any():
+                        order = np.lexsort((weight, row))  # stable: by hash within a weight
+                        row, t = row[order], t[order]
+                width = np.where(fresh, s.sizes, 0)
+                place = np.arange(len(t)) - np.repeat(np.cumsum(width) - width, width)
+                keep = place < prefix_size(s.sizes)[row]
+                yield pa.RecordBatch.from_arrays([long_array(t[keep]), pa.array(ids[row[keep]]), pa.array(s.sizes[row[keep]].astype(np.int32))], ["token", "s1", "n"])
 
     return run
 
@@ -159,38 +174,36 @@ def _runs(batches):
     Input is sorted by token, size, class.  The leader is the first class of a
     run, or the first whose size may still link with the row's.
     """
-    tail = None
-    names = ["token", "s1", "n", "leader"]
-    leader_at = {}
+    tail, open_leader = None, None  # open_leader: of the last run, if it was passed on in parts
 
-    def emit(token, s1, n):
+    def emit(token, s1, n, goes_on):
+        nonlocal open_leader
         fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (s1[1:] != s1[:-1])])
         token, s1, n = token[fresh], s1[fresh], n[fresh]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(first, len(token)))
-        known = int(token[0]) in leader_at
-        keep = np.repeat(size > 1, size)
-        if known:
-            keep[: size[0]] = True
-        if not keep.any():
-            leader_at.clear()
-            return None
-        leader = s1.copy()
-        for f, k in zip(first.tolist(), size.tolist()):
-            if k == 1 and not (known and f == 0):
-                continue
-            who, width = leader_at.get(int(token[f]), (int(s1[f]), int(n[f])))
-            for i in range(f, f + k):
-                if NUM * int(n[i]) > DEN * width:
-                    who, width = int(s1[i]), int(n[i])
+        shared = size > 1
+        known = open_leader if open_leader is not None and open_leader[0] == token[0] else None
+        if known is not None:
+            shared[0] = True
+        if goes_on:
+            shared[-1] = True
+        last = first + size - 1
+        leader = np.repeat(s1[first], size)
+        odd = shared & (NUM * n[last].astype(np.int64) > DEN * n[first].astype(np.int64))
+        if known is not None:
+            odd[0] = True
+        open_leader = (token[first[-1]], s1[first[-1]], n[first[-1]]) if goes_on else None
+        for r in np.flatnonzero(odd).tolist():
+            who, width = (known[1], known[2]) if known is not None and r == 0 else (s1[first[r]], n[first[r]])
+            for i in range(first[r], last[r] + 1):
+                if NUM * int(n[i]) > DEN * int(width):
+                    who, width = s1[i], n[i]
                 leader[i] = who
-            last = (int(token[f]), (who, width))
-            if f == first[-1]:
-                leader_at.clear()
-                leader_at[last[0]] = last[1]
-        if size[-1] == 1 and not (known and len(first) == 1):
-            leader_at.clear()
-        return pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(s1[keep]), pa.array(n[keep]), pa.array(leader[keep])], names)
+            if goes_on and r == len(first) - 1:
+                open_leader = (token[first[-1]], who, width)
+        keep = np.repeat(shared, size)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, s1, n, leader)], ["token", "s1", "n", "leader"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -199,15 +212,16 @@ def _runs(batches):
         if tail is not None:
             cols = [np.concatenate(x) for x in zip(tail, cols)]
         token = cols[0]
-        start = int(np.searchsorted(token, token[-1], "left")) if token[0] <= token[-1] else 0
+        start = int(np.searchsorted(token, token[-1], "left"))
         # The last run may go on in the next batch; a long one is passed on in parts.
-        if len(token) - start > 1 << 16:
+        goes_on = len(token) - start > 1 << 16
+        if goes_on:
             start = len(token) - 1
         tail = [x[start:] for x in cols]
-        if start and (out := emit(*[x[:start] for x in cols])) is not None:
-            yield out
-    if tail is not None and (out := emit(*tail)) is not None:
-        yield out
+        if start:
+            yield emit(*[x[:start] for x in cols], goes_on)
+    if tail is not None:
+        yield emit(*tail, False)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -228,13 +242,14 @@ def folded(bits: bytes, width: int) -> np.ndarray:
 
 
 def _sets(batches):
-    hasher = Hasher()
+    hasher, seen = Hasher(), set()
     for batch in batches:
-        keep, one, sizes, bits, tokens = [], [], [], [], []
-        for i, s in enumerate(shingle_sets(hasher, batch.column(1))):
-            if len(s):
-                keep.append(i), one.append(digest(s)[0]), sizes.append(len(s)), bits.append(bitmap(s)), tokens.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(one, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(tokens, pa.binary())], ["rep", "s1", "n", "bits", "tokens"])
+        for s in shingle_sets(hasher, batch.column(1)):
+            ids = s.digests()[0]
+            keep = np.flatnonzero(unseen(seen, ids, s.sizes))
+            bits = [bitmap(s.row(i)) for i in keep.tolist()]
+            tokens = [s.row(i).tobytes() for i in keep.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep + s.first)), pa.array(ids[keep]), pa.array(s.sizes[keep].astype(np.int32)), pa.array(bits, pa.binary()), pa.array(tokens, pa.binary())], ["rep", "s1", "n", "bits", "tokens"])
 
 
 def enough(common: int, a: int, b: int) -> bool:
@@ -390,14 +405,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = saved(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long"))
+    both = saved(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, token long, k long"))
+    signed = both.where("n is not null").select("doc_id", "n", "s1", "s2")
     classes = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    heavy = spark.sparkContext.broadcast(heavy_tokens(docs))
+    heavy = spark.sparkContext.broadcast(heavy_tokens(both))
     prefixes = docs.select("text").mapInArrow(_prefixes(heavy), "token long, s1 long, n int")
     runs = saved(prefixes.repartition("token").sortWithinPartitions("token", "n", "s1").mapInArrow(_runs, "token long, s1 long, n int, leader long"))
     wanted = classes.join(runs.select("s1").distinct(), "s1").where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("s1").alias("want"))
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text", "want").dropDuplicates(["doc_id", "want"])
-    sets = saved(texts.select("doc_id", "text").mapInArrow(_sets, "rep long, s1 long, n int, bits binary, tokens binary").dropDuplicates(["s1"]))
+    texts = docs.join(wanted, "doc_id").select("doc_id", "text")
+    sets = saved(texts.mapInArrow(_sets, "rep long, s1 long, n int, bits binary, tokens binary"))
     star = runs.where("s1 <> leader").select(F.least("s1", "leader").alias("a"), F.greatest("s1", "leader").alias("b")).distinct()
     first = saved(by_doc(verified(star, sets), sets))
     more = by_doc(verified(saved(tree_pairs(runs, sets, components(first))), sets, pruned=True), sets)
