@@ -43,7 +43,9 @@ HEAVY = 32
 HEAVY_KEPT = 1 << 19
 #: Members of a signature tree.
 TREE = 256
-LEAF = 8
+LEAF = 32
+#: Bits of the widest bitmap.
+MOST_BITS = 1 << 16
 
 
 #: A shingle is a hash of 54 bits: 10 more number the rows of a slice, so that
@@ -225,9 +227,9 @@ def _runs(batches):
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """One bit a shingle of 64 to 16384; a wider one folds to a narrower by OR."""
+    """Eight bits a shingle, 64 to 65536; a wider one folds to a narrower by OR."""
     bits = 64
-    while bits < 2 * len(s) and bits < 16384:
+    while bits < 8 * len(s) and bits < MOST_BITS:
         bits *= 2
     out = np.zeros(bits, dtype=np.uint8)
     out[(s & U64(bits - 1)).astype(np.int64)] = 1
@@ -353,26 +355,52 @@ def dual(x: Node, y: Node) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield a.rows, b.rows
 
 
+def likely(x, p: np.ndarray, y, q: np.ndarray) -> np.ndarray:
+    """Which pairs of two leaves' rows the whole bitmaps leave open."""
+    a, b = x.bits[p][:, None, :], y.bits[q][None, :, :]
+    na, nb = x.n[p][:, None], y.n[q][None, :]
+    common = np.minimum(na - np.bitwise_count(a & ~b).sum(axis=2, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=2, dtype=np.int64))
+    return (DEN * common >= NUM * (na + nb - common)) & (x.comp[p][:, None] != y.comp[q][None, :]) & (x.s1[p][:, None] != y.s1[q][None, :])
+
+
+class Side:
+    """Rows of a part with their bitmaps folded to one width, and their tree."""
+
+    def __init__(self, rows: np.ndarray, n, comp, s1, bits, width: int) -> None:
+        self.n, self.comp, self.s1 = n[rows], comp[rows], s1[rows]
+        self.bits = np.stack([folded(bits[i], width) for i in rows.tolist()])
+        self.tree = build_tree(self.n, self.comp, self.bits)
+
+
 def _trees(key, t):
-    """Pairs of classes from one tree, or from a pair of trees of a bucket."""
+    """Pairs of classes from one tree, or from two trees of a bucket.
+
+    Sizes that may link have bitmaps of one width or of neighbouring widths,
+    so rows are compared width by width.
+    """
     n, comp, s1, part = (t.column(c).to_numpy() for c in ("n", "comp", "s1", "part"))
-    bits = t.column("bits").to_pylist()
-    width = min(len(b) for b in bits) // 8
-    table_bits = np.stack([folded(b, width) for b in bits])
-    n = n.astype(np.int64)
+    n, bits = n.astype(np.int64), t.column("bits").to_pylist()
+    width = np.array([len(b) // 8 for b in bits])
     i, j = key[1].as_py(), key[2].as_py()
-    members = [np.flatnonzero(part == p) for p in dict.fromkeys((i, j))]
-    trees = [build_tree(n[m], comp[m], table_bits[m]) for m in members if len(m)]
-    if len(trees) < len(members):
-        trees, members = [], []
-    a, b = [], []
-    for p, q in dual(trees[0], trees[-1]) if trees else ():
-        p, q = members[0][p], members[-1][q]
-        for x in p.tolist():
-            for y in q.tolist():
-                if comp[x] != comp[y] and s1[x] != s1[y] and DEN * min(n[x], n[y]) >= NUM * max(n[x], n[y]) and may_link(bits[x], bits[y], int(n[x]), int(n[y])):
-                    a.append(min(s1[x], s1[y])), b.append(max(s1[x], s1[y]))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w in np.unique(width).tolist():
+        sides = {}
+        for p in {i, j}:
+            for factor in (1, 2):
+                rows = np.flatnonzero((part == p) & (width == factor * w))
+                if len(rows):
+                    sides[p, factor] = Side(rows, n, comp, s1, bits, w)
+        pairs = [((i, 1), (j, 1)), ((i, 1), (j, 2))] + ([((i, 2), (j, 1))] if i != j else [])
+        for left, right in pairs:
+            if left not in sides or right not in sides:
+                continue
+            x, y = sides[left], sides[right]
+            for p, q in dual(x.tree, y.tree):
+                r, c = np.nonzero(likely(x, p, y, q))
+                a.append(x.s1[p[r]]), b.append(y.s1[q[c]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
 
 def tree_pairs(runs: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
