@@ -1,0 +1,499 @@
+"""Queries over the driver's tables, each with SQL that another engine runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import changepoint, contrasts, counterfactual, developer, mining, panels, propensity, resample
+from . import adapter as A
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(*names: str) -> list:
+    """Columns rounded to what both engines' sums agree on."""
+    return [F.round(F.col(n), 6).alias(n) for n in names]
+
+
+def rs(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) as {n}" for n in names)
+
+
+def with_p(df: DataFrame) -> DataFrame:
+    """A propensity that SQL can have too."""
+    return df.withColumn("p_ai", (F.col("dev") % 100) / 100.0)
+
+
+P = "(dev % 100)/100.0"
+GROUP = f"case when {P} >= 0.7 then 'likely_ai' else 'unlikely_ai' end"
+
+
+# --- mining and panels ------------------------------------------------------
+
+
+@query(f"with {A.LM} select * from lm")
+def language_month_panel(spark, d):
+    return A.language_months(spark, d)
+
+
+@query(f"with {A.CF} select repo_id, ym, count(distinct sha) commits, count(distinct dev) authors, count(distinct cast(ts as date)) active_days from cf group by all")
+def activity_by_month(spark, d):
+    return mining.activity_months(A.commit_files(spark, d))
+
+
+@query(f"with {A.AM} select repo_id, dev, ym, ins, del, churn, commits, n_langs, t from am")
+def author_month_panel(spark, d):
+    return A.author_months(spark, d).select("repo_id", "dev", "ym", "ins", "del", "churn", "commits", "n_langs", "t")
+
+
+@query(f"with {A.AM} select repo_id, dev, ym, {rs('size_mean', 'size_std')}, size_max from am")
+def commit_size_stats(spark, d):
+    return A.author_months(spark, d).select("repo_id", "dev", "ym", *r("size_mean", "size_std"), "size_max")
+
+
+@query(f"with {A.AM} select repo_id, dev, ym, {rs('weekend_share', 'evening_share')} from am")
+def time_patterns(spark, d):
+    return A.author_months(spark, d).select("repo_id", "dev", "ym", *r("weekend_share", "evening_share"))
+
+
+@query(f"with {A.RM} select repo_id, ym, ins, del, churn, commits, devs, t, {rs('cpd')} from rmt")
+def repo_month_panel(spark, d):
+    return A.repo_months(spark, d).select("repo_id", "ym", "ins", "del", "churn", "commits", "devs", "t", *r("cpd"))
+
+
+SUMMARY = (
+    A.AM
+    + """, lm as (select repo_id, ym, lang, sum(ins) ins, sum(del) del from cf group by all),
+ mo as (select distinct repo_id, ym, cast(substr(ym,1,4) as int)*12+cast(substr(ym,6,2) as int)-1 as o from cf),
+ ga as (select repo_id, o - lag(o) over (partition by repo_id order by o) - 1 as g from mo),
+ gp as (select repo_id, cast(coalesce(max(g),0) as int) max_gap_months from ga group by 1),
+ su as (select repo_id, cast(sum(ins) as bigint) source_added, cast(sum(del) as bigint) source_deleted, min(ym) first_month, max(ym) last_month,
+   cast(max(cast(substr(ym,1,4) as int)*12+cast(substr(ym,6,2) as int)) - min(cast(substr(ym,1,4) as int)*12+cast(substr(ym,6,2) as int)) + 1 as int) span_months, count(distinct ym) active_months, min(lang) first_language from lm group by 1),
+ sb as (select repo_id, count(distinct dev) contributors, cast(sum(commits) as bigint) commits from am group by 1),
+ sm as (select * from su join sb using (repo_id) join gp using (repo_id))"""
+)
+
+
+@query(f"with {SUMMARY} select * from sm")
+def repo_summary_gap(spark, d):
+    return panels.repo_summary(A.language_months(spark, d), A.author_months(spark, d))
+
+
+_O = T.anchor_ord(A.ANCHOR)
+_PRE = f"({_O} - (cast(substr(first_month,1,4) as int)*12+cast(substr(first_month,6,2) as int)-1))"
+_POST = f"((cast(substr(last_month,1,4) as int)*12+cast(substr(last_month,6,2) as int)-1) - {_O})"
+
+
+@query(
+    f"""with {SUMMARY} select repo_id, len(re)=0 as included, array_to_string(re,'; ') as exclusion_reasons from (select repo_id, list_filter([
+ case when {_PRE}<18 then 'pre-span<18m (has '||{_PRE}||')' end, case when {_POST}<60 then 'post-span<60m (has '||{_POST}||')' end,
+ case when active_months/span_months<0.70 then 'active-ratio<70% (has '||cast(round_even(100*active_months/span_months,0) as int)||'%)' end,
+ case when max_gap_months>3 then 'gap>3m (has '||max_gap_months||')' end, case when contributors<62 then 'contributors<62 (has '||contributors||')' end,
+ case when commits<200 then 'commits<200 (has '||commits||')' end], lambda x: x is not null) as re from sm)"""
+)
+def inclusion_gate(spark, d):
+    gate = A.GATE | {"post": 60, "devs": 62}
+    return panels.inclusion(panels.repo_summary(A.language_months(spark, d), A.author_months(spark, d)), A.ANCHOR, gate).select("repo_id", "included", "exclusion_reasons")
+
+
+@query(f"with {A.LM} select repo_id, round(sum([1.0,0.9,0.8,0.6,0.3][length(lang)%5+1]*(ins+del))/sum(ins+del),6) as suitability_weighted from lm group by 1")
+def suitability_weighted(spark, d):
+    c = F.col("ins") + F.col("del")
+    return A.language_months(spark, d).groupBy("repo_id").agg(F.round(F.sum(A.suitability(F.col("lang")) * c) / F.sum(c), 6).alias("suitability_weighted"))
+
+
+@query("select o_custkey, o_orderkey, o_orderstatus from (select *, row_number() over (partition by o_custkey, o_orderstatus order by o_orderdate, o_orderkey) as k from orders) where k=1")
+def dedup_first_wins(spark, d):
+    return panels.first_wins(A.read(spark, d, "orders"), ["o_custkey", "o_orderstatus"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("select c_custkey, substr(sha256('salt' || chr(0) || lower(c_name)),1,16) as dev from customer")
+def email_hash(spark, d):
+    return A.read(spark, d, "customer").select("c_custkey", T.hash_email(F.col("c_name"), "salt").alias("dev"))
+
+
+_PATH = "regexp_replace(url, '^[a-z]+://[^/]*/', '')"
+
+
+@query(
+    f"""with u as (select page_id, {_PATH} as path from pages) select page_id, path,
+ path='' or len(list_intersect(string_split(path,'/'),['vendor','third_party','third-party','node_modules','bower_components','.venv','venv','dist','build','out','target','.git','Pods','Carthage','external','deps','godeps','site-packages']))>0
+ or regexp_matches(path,'(?i)(^|/)(dist|build|generated|__generated__|migrations|snapshots|__snapshots__|fixtures|testdata|vendored|gen)(/|$)') or regexp_matches(path,'(\\.min\\.js|\\.min\\.css|\\.map)$') as excluded from u"""
+)
+def path_filter(spark, d):
+    path = F.regexp_replace("url", "^[a-z]+://[^/]*/", "")
+    return A.read(spark, d, "pages").select("page_id", path.alias("path")).withColumn("excluded", T.is_excluded(F.col("path")))
+
+
+@query(
+    """with n as (select l_orderkey, l_linenumber, l_partkey, 'src/'||l_returnflag||'.d/f'||l_linenumber||['.py','.PYI','.rs','','.yaml','.h','.tsx'][l_linenumber%7+1] as path from lineitem)
+ select path, case when l_linenumber%7=0 then 'python' when l_linenumber%7=1 then 'python' when l_linenumber%7=2 then 'rust' when l_linenumber%7=4 then 'yaml' when l_linenumber%7=5 then 'c' when l_linenumber%7=6 then 'typescript' else 'other' end as lang,
+ l_linenumber%7 not in (3,4) as is_source, count(*) as n from n group by all"""
+)
+def language_classify(spark, d):
+    ext = F.element_at(F.array(*map(F.lit, [".py", ".PYI", ".rs", "", ".yaml", ".h", ".tsx"])), F.col("l_linenumber") % 7 + 1)
+    rows = A.read(spark, d, "lineitem").select(F.concat(F.lit("src/"), "l_returnflag", F.lit(".d/f"), F.col("l_linenumber").cast("string"), ext).alias("path"))
+    lang = T.classify_language(F.col("path"))
+    return rows.select("path", lang.alias("lang"), T.is_source(lang).alias("is_source")).groupBy("path", "lang", "is_source").agg(F.count("*").alias("n"))
+
+
+_WORDS = "regexp_extract_all(text,'([A-Za-z][A-Za-z0-9_'']*)',1)"
+
+
+@query(
+    f"""select source, round(avg(length(text)),6) as chars, round(avg(len({_WORDS})),6) as words, round(avg(length(text)-length(replace(text,chr(10),''))+1),6) as lines,
+ round(avg(case when len({_WORDS})>0 then len(list_distinct(list_transform({_WORDS}, lambda x: lower(x))))/len({_WORDS}) else 0 end),6) as unique_word_ratio, count(*) as total from documents group by 1"""
+)
+def message_stylometry(spark, d):
+    rows = A.read(spark, d, "documents").withColumnRenamed("text", "body")
+    return mining.style_months(rows, ["source"]).select("source", *r("chars", "words", "lines", "unique_word_ratio"), "total")
+
+
+@query("select source, count(*) filter (regexp_matches(split_part(text,chr(10),1),'(?i)\\b(?:the|der)\\b')) as bugfix, count(*) filter (not regexp_matches(split_part(text,chr(10),1),'(?i)\\b(?:the|der)\\b') and regexp_matches(split_part(text,chr(10),1),'(?i)\\b(?:and|and)\\b')) as feature from documents where lang in ('en') group by 1")
+def commit_class(spark, d):
+    cls = T.classify_commit(F.col("text"), r"(?i)\b(?:the|der)\b", r"(?i)\b(?:and|and)\b")
+    return A.read(spark, d, "documents").where("lang = 'en'").groupBy("source").agg(F.count_if(cls == "bugfix").alias("bugfix"), F.count_if(cls == "feature").alias("feature"))
+
+
+_TERM = "regexp_matches(text,'(?i)\\b{}\\b')"
+
+
+@query(f"select source, count(*) as total_commits, count(*) filter ({_TERM.format('license')}) as mentions_license, count(*) filter ({_TERM.format('this')} and {_TERM.format('from')}) as mentions_this, round((count(*) filter ({_TERM.format('license')}) + count(*) filter ({_TERM.format('this')} and {_TERM.format('from')}))/count(*),6) as mention_rate from documents where lang='en' group by 1")
+def mention_rate(spark, d):
+    flags = T.mention_flags(F.col("text"), {"license": r"\blicense\b"}, {"this": r"\bthis\b"}, r"(?i)\bfrom\b")
+    m = mining.mention_months(A.read(spark, d, "documents").where("lang = 'en'"), ["source"], flags)
+    return m.withColumn("mention_rate", F.round((F.col("mentions_license") + F.col("mentions_this")) / F.col("total_commits"), 6))
+
+
+@query(f"with {A.CF}, x as (select repo_id, ym, unnest(list_filter([case when ins>=49 then 'big' end, case when del=7 then 'late' end], lambda v: v is not null)) as cls from cf) select repo_id, cls, min(ym) as first_ym from x group by all")
+def first_seen_signature(spark, d):
+    return mining.first_seen(A.commit_files(spark, d), {"big": F.col("ins") >= 49, "late": F.col("del") == 7}, ["repo_id"])
+
+
+# --- counterfactuals and contrasts -------------------------------------------
+
+
+@query(f"with {A.CF}, {A.churn_sql()}, {A.trend_sql()} select repo_id, dev, ym, {rs('resid')}, round(exp(resid)-1,6) as pct_excess from fit")
+def dev_counterfactual(spark, d):
+    return counterfactual.two_parameter(A.churn_months(spark, d), ["repo_id", "dev"], F.col("churn")).select("repo_id", "dev", "ym", *r("resid", "pct_excess"))
+
+
+ES = "select t, round(exp(avg(resid))-1,6) as mean_excess, round(case when count(*)>1 then stddev_samp(resid)/sqrt(count(*)) end,6) as sem, count(*) as n, round(exp(avg(resid)-1.96*case when count(*)>1 then stddev_samp(resid)/sqrt(count(*)) end)-1,6) as lo, round(exp(avg(resid)+1.96*case when count(*)>1 then stddev_samp(resid)/sqrt(count(*)) end)-1,6) as hi from fit where t between -24 and 30 group by t"
+
+
+def _study(fit: DataFrame) -> DataFrame:
+    return contrasts.event_study(fit).select("t", *r("mean_excess", "sem"), "n", *r("lo", "hi"))
+
+
+@query(f"with {A.CF}, {A.churn_sql()}, {A.trend_sql()} {ES}")
+def dev_event_study(spark, d):
+    return _study(counterfactual.two_parameter(A.churn_months(spark, d), ["repo_id", "dev"], F.col("churn")))
+
+
+XF = A.CF + ", xf as (select cf.* exclude (repo_id), s.s_nationkey as repo_id from cf join supplier s on s.s_suppkey=cf.l_suppkey), mu as (select dev from xf group by 1 having count(distinct repo_id)>1)"
+
+
+@query(f"with {XF}, xm as (select * from xf where dev in (select dev from mu)), {A.churn_sql('dev', 'xm')}, {A.trend_sql('dev')} {ES}")
+def pooled_dev_event_study(spark, d):
+    rows = A.cross_rows(spark, d)
+    multi = rows.groupBy("dev").agg(F.count_distinct("repo_id").alias("k")).where("k > 1").select("dev")
+    m = panels.with_t(rows.join(multi, "dev", "left_semi").groupBy("dev", "ym").agg(F.sum(F.col("ins") + F.col("del")).alias("churn")), A.ANCHOR)
+    return _study(counterfactual.two_parameter(m, ["dev"], F.col("churn")))
+
+
+def _solve_sql() -> str:
+    """The four-parameter fit as staged elimination over Gram sums."""
+    c = ["1.0", "t", "sin(2*pi()*(cast(substr(ym,6,2) as int)-1)/12)", "cos(2*pi()*(cast(substr(ym,6,2) as int)-1)/12)"]
+    sums = [f"sum({c[i]}*{c[j]}) filter (t<0) as g{i}{j}" for i in range(4) for j in range(i, 4)] + [f"sum({c[i]}*ln(1+cpd)) filter (t<0) as r{i}" for i in range(4)]
+    out = f"e0 as (select repo_id, {', '.join(sums)} from rmt group by 1 having count(*) filter (t<0) >= 12)"
+    for i in range(3):
+        cols = []
+        for j in range(4):
+            for k in range(j, 4):
+                cols.append(f"g{j}{k} - g{i}{j}/g{i}{i}*g{i}{k} as g{j}{k}" if j > i else f"g{j}{k}")
+            cols.append(f"r{j} - g{i}{j}/g{i}{i}*r{i} as r{j}" if j > i else f"r{j}")
+        out += f", e{i + 1} as (select repo_id, {', '.join(cols)} from e{i})"
+    out += ", s3 as (select *, r3/g33 as b3 from e3), s2 as (select *, (r2-g23*b3)/g22 as b2 from s3), s1 as (select *, (r1-g12*b2-g13*b3)/g11 as b1 from s2), s0 as (select *, (r0-g01*b1-g02*b2-g03*b3)/g00 as b0 from s1)"
+    return out + f", fit as (select rmt.*, least(greatest(ln(1+cpd)-(b0+b1*{c[1]}+b2*{c[2]}+b3*{c[3]}),-5.0),5.0) as resid from rmt join s0 using (repo_id))"
+
+
+@query(f"with {A.RM}, {_solve_sql()} select repo_id, ym, t, {rs('resid')}, round(exp(resid)-1,6) as pct_excess from fit")
+def repo_counterfactual(spark, d):
+    return counterfactual.seasonal(A.repo_months(spark, d), ["repo_id"], F.col("cpd")).select("repo_id", "ym", "t", *r("resid", "pct_excess"))
+
+
+@query(f"with {A.RM}, {_solve_sql()} {ES}")
+def event_study(spark, d):
+    return _study(counterfactual.seasonal(A.repo_months(spark, d), ["repo_id"], F.col("cpd")))
+
+
+_SUIT = "sw as (select repo_id, sum([1.0,0.9,0.8,0.6,0.3][length(lang)%5+1]*(ins+del))/sum(ins+del) as s from lm group by 1)"
+
+
+@query(f"with {A.RM}, {_solve_sql()}, {_SUIT}, pe as (select repo_id, avg(resid) y from fit where t between 0 and 24 group by 1), j as (select y, s from pe join sw using (repo_id)) select count(*) as n, round(regr_slope(y,s),4) as slope, round(regr_intercept(y,s),4) as intercept, round(sqrt((regr_syy(y,s)-regr_slope(y,s)*regr_sxy(y,s))/(count(*)-2)/regr_sxx(y,s)),4) as se from j")
+def dose_response(spark, d):
+    excess = contrasts.post_excess(counterfactual.seasonal(A.repo_months(spark, d), ["repo_id"], F.col("cpd")), ["repo_id"])
+    c = F.col("ins") + F.col("del")
+    s = A.language_months(spark, d).groupBy("repo_id").agg((F.sum(A.suitability(F.col("lang")) * c) / F.sum(c)).alias("s"))
+    return contrasts.simple_ols(excess.join(s, "repo_id"), "post_excess", "s").select("n", *(F.round(x, 4).alias(x) for x in ("slope", "intercept", "se")))
+
+
+PE = f"with {A.CF}, {A.churn_sql()}, {A.trend_sql()}, pe as (select repo_id, dev, avg(resid) y, {P} x from fit where t between 0 and 24 group by 1,2)"
+
+
+def _excess(spark, d) -> DataFrame:
+    fit = counterfactual.two_parameter(A.churn_months(spark, d), ["repo_id", "dev"], F.col("churn"))
+    return with_p(contrasts.post_excess(fit, ["repo_id", "dev"]))
+
+
+def _cluster_sql(source: str, by: str = "") -> str:
+    k, on = (f"{by}, " if by else ""), (f"using ({by})" if by else "on true")
+    return f"""f as (select {k}count(*) n, avg(x) mx, avg(y) my, regr_slope(y,x) b, regr_sxx(y,x) sxx from {source} group by {by or '()'}),
+ sc as (select {k}repo_id, sum((y-my-b*(x-mx))*(x-mx)) s, min(n) n, min(b) b, min(sxx) sxx from {source} join f {on} group by {k}repo_id),
+ o as (select {k}min(n) n, min(b) slope, sqrt(sum(s*s)*count(*)/(count(*)-1)*(min(n)-1)/(min(n)-2))/min(sxx) se from sc group by {by or '()'})
+ select {k}n, round(slope,6) slope, round(se,6) se, round(slope-1.959963984540054*se,6) ci_lo, round(slope+1.959963984540054*se,6) ci_hi from o"""
+
+
+@query(f"{PE}, {_cluster_sql('pe')}")
+def dev_dose_response_cluster(spark, d):
+    return contrasts.clustered_ols(_excess(spark, d), "post_excess", "p_ai", "repo_id").select("n", *r("slope", "se", "ci_lo", "ci_hi"))
+
+
+@query()
+def backbone_interaction(spark, d):
+    c = F.col("ins") + F.col("del")
+    s = A.language_months(spark, d).groupBy("repo_id").agg((F.sum(A.suitability(F.col("lang")) * c) / F.sum(c)).alias("suitability"))
+    return contrasts.pooled_interaction(A.repo_months(spark, d).join(s, "repo_id"))
+
+
+@query(f"with {A.RM}, k as (select avg(ins/devs) filter (t<0) a, avg(ins/devs) filter (t>=0) b from rmt) select round(a,6) pre, round(b,6) post, round(100*b/a,6) as index, round(100*(b-a)/a,6) pct from k")
+def management_kpi(spark, d):
+    x = F.col("ins") / F.col("devs")
+    k = A.repo_months(spark, d).agg(F.avg(F.when(F.col("t") < 0, x)).alias("pre"), F.avg(F.when(F.col("t") >= 0, x)).alias("post"))
+    return k.withColumn("index", 100 * F.col("post") / F.col("pre")).withColumn("pct", 100 * (F.col("post") - F.col("pre")) / F.col("pre")).select(*r("pre", "post", "index", "pct"))
+
+
+_SHIFT = f"(t + {T.anchor_ord(A.ANCHOR) - T.anchor_ord(A.PLACEBO)})"
+
+
+@query(f"with {A.CF}, {A.churn_sql()}, cm0 as (select * from cm where t<0), {A.trend_sql(shift=_SHIFT).replace('from cm ', 'from cm0 ').replace('cm.*', 'cm0.*').replace('from cm0 join', 'from cm0 join')} select round(exp(avg(resid))-1,6) mean_excess, count(*) n from fit where {_SHIFT} between 0 and 18")
+def dev_placebo(spark, d):
+    return counterfactual.placebo(A.churn_months(spark, d), ["repo_id", "dev"], F.col("churn"), A.ANCHOR, A.PLACEBO, 18, False).select(*r("mean_excess"), "n")
+
+
+@query(f"with {A.RM.replace('rmt as (', 'rmt0 as (')}, rmt as (select * exclude (t), {_SHIFT} as t from rmt0 where t<0), {_solve_sql()} select round(exp(avg(resid))-1,6) mean_excess, count(*) n from fit where t between 0 and 18")
+def placebo(spark, d):
+    return counterfactual.placebo(A.repo_months(spark, d), ["repo_id"], F.col("cpd"), A.ANCHOR, A.PLACEBO, 18, True).select(*r("mean_excess"), "n")
+
+
+_BA = "round(avg({v}) filter (t<0),6) as pre_{n}, round(avg({v}) filter (t>=0),6) as post_{n}, round(100*(avg({v}) filter (t>=0)-avg({v}) filter (t<0))/abs(avg({v}) filter (t<0)),6) as pct_change_{n}"
+
+
+@query(f"with {A.RM} select repo_id, {_BA.format(v='ins/devs', n='ins')}, {_BA.format(v='cpd', n='churn')}, {_BA.format(v='(ins-del)/devs', n='net')} from rmt group by 1 having count(*) filter (t<0)>=3 and count(*) filter (t>=0)>=3")
+def before_after_repo(spark, d):
+    v = {"ins": F.col("ins") / F.col("devs"), "churn": F.col("cpd"), "net": (F.col("ins") - F.col("del")) / F.col("devs")}
+    out = contrasts.before_after(A.repo_months(spark, d), ["repo_id"], v, 3, 3)
+    return out.select("repo_id", *r(*(c for c in out.columns if c != "repo_id")))
+
+
+@query(f"with {A.CF}, {A.churn_sql()} select repo_id, dev, {_BA.format(v='churn', n='churn')} from cm group by 1,2 having count(*) filter (t<0)>=4 and count(*) filter (t>=0)>=3")
+def before_after_dev(spark, d):
+    out = contrasts.before_after(A.churn_months(spark, d), ["repo_id", "dev"], {"churn": F.col("churn")}, 4, 3)
+    return out.select("repo_id", "dev", *r("pre_churn", "post_churn", "pct_change_churn"))
+
+
+DBA = f"with {A.CF}, {A.churn_sql()}, ba as (select repo_id, dev, avg(churn) filter (t<0) a, avg(churn) filter (t>=0) b from cm group by 1,2 having count(*) filter (t<0)>=4 and count(*) filter (t>=0)>=3)"
+
+
+def _dev_ba(spark, d) -> DataFrame:
+    ba = contrasts.before_after(A.churn_months(spark, d), ["repo_id", "dev"], {"churn": F.col("churn")}, 4, 3)
+    return with_p(ba).withColumn("grp", contrasts.group_of(F.col("p_ai")))
+
+
+@query(f"{DBA} select {GROUP} grp, count(*) n, round(avg(a),6) pre, round(avg(b),6) post, round(100*(avg(b)-avg(a))/abs(avg(a)),6) pct_change from ba group by 1")
+def group_contrast(spark, d):
+    g = _dev_ba(spark, d).groupBy("grp").agg(F.count("*").alias("n"), F.avg("pre_churn").alias("pre"), F.avg("post_churn").alias("post"))
+    return g.withColumn("pct_change", T.pct_change(F.col("pre"), F.col("post"))).select("grp", "n", *r("pre", "post", "pct_change"))
+
+
+@query(f"{DBA} select {GROUP} grp, count(*) n, round(avg(b-a),6) mean_diff, round(median(b-a),6) median_diff from ba group by 1")
+def group_median_diff(spark, d):
+    x = F.col("post_churn") - F.col("pre_churn")
+    return _dev_ba(spark, d).groupBy("grp").agg(F.count("*").alias("n"), F.avg(x).alias("mean_diff"), F.median(x).alias("median_diff")).select("grp", "n", *r("mean_diff", "median_diff"))
+
+
+_HET = "count(*) n, round(avg(case when abs(y)<5-1e-6 then 0 else 1 end),6) share_clipped, round(avg(case when exp(y)-1>=0.5 then 1 else 0 end),6) share_big_jump, round(stddev_samp(exp(y)-1),6) sd, round(quantile_cont(exp(y)-1,0.9),6) p90, round(median(exp(y)-1),6) median"
+
+
+def _het(df: DataFrame, keys: list[str]) -> DataFrame:
+    return contrasts.heterogeneity(df, keys).select(*keys, "n", *r("share_clipped", "share_big_jump", "sd", "p90", "median"))
+
+
+@query(f"{PE} select {GROUP} grp, {_HET} from pe group by 1")
+def heterogeneity(spark, d):
+    return _het(_excess(spark, d).withColumn("grp", contrasts.group_of(F.col("p_ai"))), ["grp"])
+
+
+@query(f"{PE} select repo_id, dev, round(exp(y)-1,3) pct_excess from pe where abs(y)<5-1e-6 order by 3 desc, 1, 2 limit 25")
+def top_gainers(spark, d):
+    x = _excess(spark, d).where(F.abs("post_excess") < 5 - 1e-6)
+    return x.select("repo_id", "dev", F.round(F.expm1("post_excess"), 3).alias("pct_excess")).orderBy(F.desc("pct_excess"), "repo_id", "dev").limit(25)
+
+
+_TIER = """ti as (select *, case when n<6 or k<3 then 'mid' when 3*i<n-1 then 'low' when 3*i<2*(n-1) then 'mid' else 'high' end tier_relative, case when baseline_churn<=200 then 'low' when baseline_churn<=2000 then 'mid' else 'high' end tier_absolute
+ from (select *, row_number() over (partition by lang order by baseline_churn, repo_id, dev)-1 i, count(*) over (partition by lang) n from bl) join (select lang, count(distinct baseline_churn) k from bl group by 1) using (lang))"""
+_BL = f"bl as (select repo_id, dev, avg(churn) filter (t<0) baseline_churn, 'L'||(repo_id%4) as lang from cm group by 1,2 having count(*) filter (t<0)>=4)"
+
+
+def _tiers(spark, d, shift: int = 0, early: bool = False) -> DataFrame:
+    m = A.churn_months(spark, d)
+    if early:
+        m = m.where("t < 0").withColumn("t", F.col("t") + shift)
+    base = m.groupBy("repo_id", "dev").agg(F.avg(F.when(F.col("t") < 0, F.col("churn"))).alias("baseline_churn"), F.count_if(F.col("t") < 0).alias("k")).where("k >= 4").drop("k")
+    return developer.tiers(base.withColumn("lang", F.concat(F.lit("L"), (F.col("repo_id") % 4).cast("string"))))
+
+
+@query(f"with {A.CF}, {A.churn_sql()}, {_BL}, {_TIER} select repo_id, dev, lang, {rs('baseline_churn')}, tier_relative, tier_absolute from ti")
+def productivity_tiers(spark, d):
+    return _tiers(spark, d).select("repo_id", "dev", "lang", *r("baseline_churn"), "tier_relative", "tier_absolute")
+
+
+@query(f"{PE}, {_BL}, {_TIER}, pt as (select pe.*, tier_relative from pe join ti using (repo_id, dev)) select tier_relative, {_HET} from pt group by 1")
+def tier_breakdown(spark, d):
+    return _het(_excess(spark, d).join(_tiers(spark, d).select("repo_id", "dev", "tier_relative"), ["repo_id", "dev"]), ["tier_relative"])
+
+
+@query(f"{PE}, {_BL}, {_TIER}, pt as (select pe.*, tier_relative from pe join ti using (repo_id, dev)), {_cluster_sql('pt', 'tier_relative')}")
+def tier_slopes(spark, d):
+    x = _excess(spark, d).join(_tiers(spark, d).select("repo_id", "dev", "tier_relative"), ["repo_id", "dev"])
+    return contrasts.clustered_ols(x, "post_excess", "p_ai", "repo_id", ["tier_relative"]).select("tier_relative", "n", *r("slope", "se", "ci_lo", "ci_hi"))
+
+
+@query(f"with {A.CF}, {A.churn_sql().replace('cm as', 'cm9 as')}, cm as (select * exclude (t), {_SHIFT} as t from cm9 where t<0), {A.trend_sql()}, pe as (select repo_id, dev, avg(resid) y, {P} x from fit where t between 0 and 18 group by 1,2), {_BL}, {_TIER}, pt as (select pe.*, tier_relative from pe join ti using (repo_id, dev)), {_cluster_sql('pt', 'tier_relative')}")
+def placebo_tiers(spark, d):
+    shift = T.anchor_ord(A.ANCHOR) - T.anchor_ord(A.PLACEBO)
+    m = A.churn_months(spark, d).where("t < 0").withColumn("t", F.col("t") + shift)
+    x = with_p(contrasts.post_excess(counterfactual.two_parameter(m, ["repo_id", "dev"], F.col("churn")), ["repo_id", "dev"], 18))
+    x = x.join(_tiers(spark, d, shift, True).select("repo_id", "dev", "tier_relative"), ["repo_id", "dev"])
+    return contrasts.clustered_ols(x, "post_excess", "p_ai", "repo_id", ["tier_relative"]).select("tier_relative", "n", *r("slope", "se", "ci_lo", "ci_hi"))
+
+
+# --- developers ---------------------------------------------------------------
+
+
+@query(f"with {XF}, k as (select dev, count(distinct repo_id) k from xf group by 1) select count(*) n_devs, count(*) filter (k>1) n_multi, round(avg(case when k>1 then 1 else 0 end),6) share_multi, max(k) max_repos from k")
+def cross_repo_overlap(spark, d):
+    return developer.overlap(A.cross_rows(spark, d)).select("n_devs", "n_multi", *r("share_multi"), "max_repos")
+
+
+_BR = f"{XF}, xt as (select dev, repo_id, {A.T_SQL} t from xf), mo as (select dev, t, count(distinct repo_id) k from xt group by all), b1 as (select dev, avg(k) filter (t<0) avg_monthly_repos_pre, avg(k) filter (t>=0) avg_monthly_repos_post from mo group by 1), b2 as (select dev, count(distinct repo_id) filter (t<0) lifetime_repos_pre, count(distinct repo_id) filter (t>=0) lifetime_repos_post from xt group by 1), br as (select * from b1 join b2 using (dev) where avg_monthly_repos_pre is not null and avg_monthly_repos_post is not null)"
+
+
+@query(f"with {_BR} select dev, {rs('avg_monthly_repos_pre', 'avg_monthly_repos_post')}, lifetime_repos_pre, lifetime_repos_post from br")
+def portfolio_breadth(spark, d):
+    return developer.breadth(A.cross_rows(spark, d)).select("dev", *r("avg_monthly_repos_pre", "avg_monthly_repos_post"), "lifetime_repos_pre", "lifetime_repos_post")
+
+
+@query(f"with {_BR} select {GROUP} grp, count(*) n, round(avg(avg_monthly_repos_pre),6) pre, round(avg(avg_monthly_repos_post),6) post, round(avg(case when avg_monthly_repos_post>avg_monthly_repos_pre then 1 else 0 end),6) share_up from br group by 1")
+def breadth_contrast(spark, d):
+    b = with_p(developer.breadth(A.cross_rows(spark, d))).withColumn("grp", contrasts.group_of(F.col("p_ai")))
+    up = (F.col("avg_monthly_repos_post") > F.col("avg_monthly_repos_pre")).cast("int")
+    return b.groupBy("grp").agg(F.count("*").alias("n"), F.avg("avg_monthly_repos_pre").alias("pre"), F.avg("avg_monthly_repos_post").alias("post"), F.avg(up).alias("share_up")).select("grp", "n", *r("pre", "post", "share_up"))
+
+
+_FE = ["size_std", "n_langs", "weekend_share", "evening_share"]
+
+
+@query(f"with {A.AM} " + " union all ".join(f"select '{f}' as feature, repo_id, dev, round(avg({f}) filter (t<0),6) as pre, round(avg({f}) filter (t>=0),6) as post from am group by repo_id, dev having count(*) filter (t<0)>=4 and count(*) filter (t>=0)>=3" for f in _FE))
+def feature_battery(spark, d):
+    return developer.feature_battery(A.author_months(spark, d), [*_FE, "no_such_feature"], ["repo_id", "dev"]).select("feature", "repo_id", "dev", *r("pre", "post"))
+
+
+@query(f"with {A.CF}, x as (select distinct repo_id, dev, {A.T_SQL} t from cf), f as (select *, min(t) over (partition by repo_id, dev) m from x) select repo_id, t, round(avg(case when t=m then 1 else 0 end),6) first_share, count(*) devs from f group by all")
+def first_contributor_rate(spark, d):
+    return developer.first_contributors(panels.with_t(A.commit_files(spark, d), A.ANCHOR)).select("repo_id", "t", *r("first_share"), "devs")
+
+
+@query(f"with {A.CF}, x as (select distinct repo_id, dev, {A.T_SQL} t from cf), g as (select *, t-lag(t) over (partition by repo_id, dev order by t)-1 g from x), n as (select count(*) n_gap_episodes, count(*) filter (t<0) resumptions_pre_anchor, count(*) filter (t>=0) resumptions_post_anchor from g where g>=6), s as (select greatest(1,-min(t)) pre_era_months, greatest(1,max(t)+1) post_era_months from x) select *, round(resumptions_pre_anchor/pre_era_months,6) per_month_pre, round(resumptions_post_anchor/post_era_months,6) per_month_post from n, s")
+def reactivation(spark, d):
+    out = developer.reactivation(panels.with_t(A.commit_files(spark, d), A.ANCHOR))
+    return out.select("n_gap_episodes", "resumptions_pre_anchor", "resumptions_post_anchor", "pre_era_months", "post_era_months", *r("per_month_pre", "per_month_post"))
+
+
+@query(f"with {A.RM}, g as (select repo_id, avg(churn) filter (t<0) a, avg(churn) filter (t>=0) b, sum(churn) filter (t<0) pc, sum(commits) filter (t<0) pk, sum(churn) filter (t>=0) qc, sum(commits) filter (t>=0) qk, stddev_samp(churn) filter (t>=0) sd, regr_slope(churn,t) filter (t>=0) slope from rmt group by 1 having count(*) filter (t<0)>=3 and count(*) filter (t>=0)>=3) select repo_id, round(ln((b+1)/(a+1)),6) f_churn_ratio, round(ln((qc/greatest(1,qk)+1)/(pc/greatest(1,pk)+1)),6) f_size_ratio, round(sd/(b+1),6) f_burst, round(slope/(b+1),6) f_growth from g")
+def repo_features(spark, d):
+    return developer.repo_features(A.repo_months(spark, d)).select("repo_id", *r("f_churn_ratio", "f_size_ratio", "f_burst", "f_growth"))
+
+
+def _author_features(spark, d) -> DataFrame:
+    rows = A.commit_files(spark, d)
+    m = rows.groupBy("repo_id", "dev", "ym").agg(F.sum(F.col("ins") + F.col("del")).alias("churn"), F.count_distinct("sha").alias("commits"), F.bool_or("dev_has_sig").alias("dev_has_sig"))
+    return developer.author_features(panels.with_t(m, A.ANCHOR))
+
+
+@query(f"with {A.CF}, m as (select repo_id, dev, ym, sum(ins+del) churn, count(distinct sha) commits, bool_or(dev_has_sig) s, {A.T_SQL} t from cf group by repo_id, dev, ym) select repo_id, dev, round(ln((avg(churn) filter (t>=0)+1)/(coalesce(avg(churn) filter (t<0),avg(churn))+1)),6) f_churn_ratio, round(ln(1+sum(commits) filter (t>=0)),6) f_commits, cast(count(*) filter (t>=0) as double) f_months, bool_or(s) has_sig from m group by 1,2 having count(*) filter (t>=0)>=2")
+def author_features(spark, d):
+    return _author_features(spark, d).select("repo_id", "dev", *r("f_churn_ratio", "f_commits"), "f_months", "has_sig")
+
+
+# --- change points --------------------------------------------------------------
+
+
+@query(
+    f"""with {A.CF}, {A.churn_sql()}, x as (select repo_id, dev, t, cast(churn as double) v from cm where t <= (select max(t) from cm)-6),
+ y as (select *, coalesce(sum(v) over (partition by repo_id, dev order by t rows between unbounded preceding and 1 preceding),0) s, row_number() over (partition by repo_id, dev order by t)-1 i, sum(v) over (partition by repo_id, dev) tt, count(*) over (partition by repo_id, dev) n from x),
+ z as (select *, case when i>=3 and i<n-3 then (tt-s)/(n-i)-s/i end gap from y where n>=8),
+ b as (select repo_id, dev, i bi, t breakpoint_t, gap from (select *, row_number() over (partition by repo_id, dev order by round(gap,9) desc, i) k from z where gap is not null) where k=1),
+ w as (select z.repo_id, z.dev, breakpoint_t, b.gap, avg(v) filter (i<bi) before_mean, avg(v) filter (i>=bi) after_mean, var_samp(v) filter (i<bi) v1, var_samp(v) filter (i>=bi) v2, count(*) n_months from z join b using (repo_id, dev) group by 1,2,3,4)
+ select repo_id, dev, breakpoint_t, {rs('gap')}, round(case when sqrt((v1+v2)/2)>0 then gap/sqrt((v1+v2)/2) else 0 end,6) effect_size, {rs('before_mean', 'after_mean')}, n_months from w"""
+)
+def best_split_changepoint(spark, d):
+    out = changepoint.best_split(A.churn_months(spark, d), ["repo_id", "dev"], "churn")
+    return out.select("repo_id", "dev", "breakpoint_t", *r("gap", "effect_size", "before_mean", "after_mean"), "n_months")
+
+
+@query()
+def permutation_p(spark, d):
+    return changepoint.permutation_p(A.churn_months(spark, d), ["repo_id", "dev"], "churn")
+
+
+@query()
+def changepoint_histogram(spark, d):
+    m = A.churn_months(spark, d)
+    found = changepoint.best_split(m, ["repo_id", "dev"], "churn").join(changepoint.permutation_p(m, ["repo_id", "dev"], "churn"), ["repo_id", "dev"])
+    return changepoint.histogram(found)
+
+
+# --- models and resampling --------------------------------------------------------
+
+
+@query()
+def pu_propensity(spark, d):
+    return propensity.pu_propensity(_author_features(spark, d), ["repo_id", "dev"], ["f_churn_ratio", "f_commits", "f_months"], "has_sig")
+
+
+@query()
+def bootstrap_ci(spark, d):
+    return resample.bootstrap(_dev_ba(spark, d), ["grp"], "pre_churn", "post_churn", ["repo_id", "dev"], 500)
+
+
+@query("select event_type, strftime(ts,'%Y-%m') as ym, count(*) as n, round(sum(value),4) as total from events group by all")
+def streaming_monthly_rollup(spark, d):
+    """A file stream read to its end; the batch form is the same plan."""
+    from ..streaming import rollup
+
+    events = A.read(spark, d, "events")
+    return rollup.monthly(events, ["event_type"], "ts").withColumn("total", F.round("total", 4))
