@@ -8,8 +8,8 @@ similarity of their sets is at least 0.75.  Steps:
    that link share one of them whatever order is used, as long as it is the
    same for all, so heavy shingles come last: a passage that a third of all
    documents share makes no bucket unless it is most of a document.
-3. Leader links: in a bucket each class is verified against the bucket's
-   leader, which joins large groups of near copies in linear work.
+3. Leader links: a class is verified against two of its buckets' leaders,
+   which joins large groups of near copies in linear work.
 4. Signature trees: what a bucket still holds in different components becomes
    leaves of a tree whose nodes hold OR-combined bitmaps and size ranges; a
    dual traversal drops node pairs that lie in one component, whose sizes are
@@ -442,7 +442,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     wanted = classes.join(runs.select("s1").distinct(), "s1").where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("s1").alias("want"))
     texts = docs.join(wanted, "doc_id").select("doc_id", "text")
     sets = saved(texts.mapInArrow(_sets, "rep long, s1 long, n int, bits binary, tokens binary"))
-    star = runs.where("s1 <> leader").select(F.least("s1", "leader").alias("a"), F.greatest("s1", "leader").alias("b")).distinct()
+    # Two leaders a class at most: that of most of its buckets, and the least.
+    led = runs.where("s1 <> leader").groupBy("s1", "leader").agg(F.count("*").alias("k"))
+    led = led.groupBy("s1").agg(F.max_by("leader", F.struct("k", "leader")).alias("most"), F.min("leader").alias("least"))
+    led = led.select("s1", F.explode(F.array_distinct(F.array("most", "least"))).alias("leader"))
+    star = led.select(F.least("s1", "leader").alias("a"), F.greatest("s1", "leader").alias("b")).distinct()
     first = saved(by_doc(verified(star, sets), sets))
     more = by_doc(verified(saved(tree_pairs(runs, sets, components(first))), sets, pruned=True), sets)
     comps = components(first.union(more))
