@@ -14,7 +14,10 @@ similarity of their sets is at least 0.75.  Steps:
    leaves of a tree whose nodes hold OR-combined bitmaps and size ranges; a
    dual traversal drops node pairs that lie in one component, whose sizes are
    too different or whose bitmaps cannot overlap enough.  A large bucket is
-   several trees, and each pair of trees is a task of its own.
+   several trees, and each pair of trees is a task of its own.  Trees run
+   twice.  First each tree gives only a forest of its likeliest pairs, which
+   joins most of what links in linear work.  With the components that these
+   links leave, the second run gives every pair between different components.
 5. Pairs that remain are verified on whole sets; components of the links.
 
 Defined cases: no words or null text: an empty set, linked with nothing; fewer
@@ -355,12 +358,34 @@ def dual(x: Node, y: Node) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield a.rows, b.rows
 
 
-def likely(x, p: np.ndarray, y, q: np.ndarray) -> np.ndarray:
-    """Which pairs of two leaves' rows the whole bitmaps leave open."""
+def likely(x, p: np.ndarray, y, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of two leaves' rows the whole bitmaps leave open, and the similarity they allow."""
     a, b = x.bits[p][:, None, :], y.bits[q][None, :, :]
     na, nb = x.n[p][:, None], y.n[q][None, :]
     common = np.minimum(na - np.bitwise_count(a & ~b).sum(axis=2, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=2, dtype=np.int64))
-    return (DEN * common >= NUM * (na + nb - common)) & (x.comp[p][:, None] != y.comp[q][None, :]) & (x.s1[p][:, None] != y.s1[q][None, :])
+    alike = (DEN * common >= NUM * (na + nb - common)) & (x.comp[p][:, None] != y.comp[q][None, :]) & (x.s1[p][:, None] != y.s1[q][None, :])
+    return alike, common / (na + nb - common)
+
+
+def likeliest_forest(one: np.ndarray, two: np.ndarray, score: np.ndarray) -> list[int]:
+    """Pairs that join all components (one, two) that any pair joins, by falling score."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    order = np.argsort(-score, kind="stable")
+    lo, hi = np.minimum(one, two)[order], np.maximum(one, two)[order]
+    first = np.sort(np.unique(np.stack([lo, hi]), axis=1, return_index=True)[1])
+    kept = []
+    for i in first.tolist():
+        a, b = find(int(lo[i])), find(int(hi[i]))
+        if a != b:
+            root[a] = b
+            kept.append(int(order[i]))
+    return kept
 
 
 class Side:
@@ -372,8 +397,26 @@ class Side:
         self.tree = build_tree(self.n, self.comp, self.bits)
 
 
+def _forest(key, t):
+    """Of a tree's pairs, a forest that joins what they join."""
+    a, b, one, two, score = _open_pairs(key, t)
+    kept = likeliest_forest(one, two, score)
+    return _pair_table(a[kept], b[kept])
+
+
 def _trees(key, t):
-    """Pairs of classes from one tree, or from two trees of a bucket.
+    a, b, *_ = _open_pairs(key, t)
+    return _pair_table(a, b)
+
+
+def _pair_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
+
+def _open_pairs(key, t):
+    """Pairs of classes from one tree, or from two trees of a bucket, with
+    their components and the similarity that their bitmaps allow.
 
     Sizes that may link have bitmaps of one width or of neighbouring widths,
     so rows are compared width by width.
@@ -382,7 +425,7 @@ def _trees(key, t):
     n, bits = n.astype(np.int64), t.column("bits").to_pylist()
     width = np.array([len(b) // 8 for b in bits])
     i, j = key[1].as_py(), key[2].as_py()
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    found = [[np.zeros(0, np.int64)] for _ in range(4)] + [[np.zeros(0)]]
     for w in np.unique(width).tolist():
         sides = {}
         for p in {i, j}:
@@ -396,15 +439,18 @@ def _trees(key, t):
                 continue
             x, y = sides[left], sides[right]
             for p, q in dual(x.tree, y.tree):
-                r, c = np.nonzero(likely(x, p, y, q))
-                a.append(x.s1[p[r]]), b.append(y.s1[q[c]])
-    a, b = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+                alike, score = likely(x, p, y, q)
+                r, c = np.nonzero(alike)
+                for out, new in zip(found, (x.s1[p[r]], y.s1[q[c]], x.comp[p[r]], y.comp[q[c]], score[r, c])):
+                    out.append(new)
+    return [np.concatenate(x) for x in found]
 
 
-def tree_pairs(runs: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Class pairs of buckets that still hold several components."""
+def tree_pairs(runs: DataFrame, sets: DataFrame, comps: DataFrame, forest: bool = False) -> DataFrame:
+    """Class pairs of buckets that still hold several components.
+
+    forest: only of each tree by itself, and no more than join its components.
+    """
     named = sets.select("s1", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("s1", F.coalesce("component", "rep").alias("comp"))
     rows = runs.select("token", "s1").join(named, "s1")
     # Equal buckets of different tokens do the same work: one of them is kept.
@@ -420,6 +466,9 @@ def tree_pairs(runs: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("s1", F.lit(7)), F.col("trees")).cast("int")
     dealt = rows.join(open_.withColumn("trees", trees), "token").withColumn("part", part)
     dealt = dealt.join(sets.select("s1", "n", "bits"), "s1")
+    if forest:
+        dealt = dealt.select("token", F.col("part").alias("i"), F.col("part").alias("j"), "part", "s1", "n", "comp", "bits")
+        return dealt.groupBy("token", "i", "j").applyInArrow(_forest, "a long, b long").distinct()
     pair = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
     dealt = dealt.withColumn("p", F.explode(pair)).select("token", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "part", "s1", "n", "comp", "bits")
     return dealt.groupBy("token", "i", "j").applyInArrow(_trees, "a long, b long").distinct()
@@ -444,8 +493,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sets = saved(texts.mapInArrow(_sets, "rep long, s1 long, n int, bits binary, tokens binary"))
     star = runs.where("s1 <> leader").select(F.least("s1", "leader").alias("a"), F.greatest("s1", "leader").alias("b")).distinct()
     first = saved(by_doc(verified(star, sets), sets))
-    more = by_doc(verified(saved(tree_pairs(runs, sets, components(first))), sets, pruned=True), sets)
-    comps = components(first.union(more))
+    comps = components(first)
+    for forest in (True, False):
+        more = by_doc(verified(saved(tree_pairs(runs, sets, comps, forest)), sets, pruned=True), sets)
+        comps = components(comps.toDF("a", "b").union(more))
     member = signed.join(classes, ["n", "s1", "s2"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     return member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
