@@ -15,9 +15,10 @@ similarity of their sets is at least 0.75.  Steps:
    dual traversal drops node pairs that lie in one component, whose sizes are
    too different or whose bitmaps cannot overlap enough.  A large bucket is
    several trees, and each pair of trees is a task of its own.  Trees run
-   twice.  First each tree gives only a forest of its likeliest pairs, which
-   joins most of what links in linear work.  With the components that these
-   links leave, the second run gives every pair between different components.
+   twice.  First each tree of an eighth of the buckets gives only a forest of
+   its likeliest pairs, which joins most of what links in linear work.  With
+   the components that these links leave, the second run takes all buckets
+   and gives every pair between different components.
 5. Pairs that remain are verified on whole sets; components of the links.
 
 Defined cases: no words or null text: an empty set, linked with nothing; fewer
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, components, long_array, mix, saved, small_batches, table, word_slices
+from .common import U64, Hasher, components, drop_saved, long_array, mix, saved, small_batches, table, word_slices
 
 WORDS = 5
 #: Jaccard similarity as a fraction.
@@ -47,6 +48,10 @@ HEAVY_KEPT = 1 << 19
 #: Members of a signature tree.
 TREE = 256
 LEAF = 32
+#: One in so many buckets takes part in the forests; the trees after them take all.
+FOREST_ONE_IN = 8
+#: Class ids are broadcast up to so many (2 MB), and joined beyond.
+FEW_IDS = 1 << 18
 #: Bits of the widest bitmap.
 MOST_BITS = 1 << 16
 
@@ -289,6 +294,14 @@ def _prune(batches):
         yield pa.RecordBatch.from_arrays([c[x] for x in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of sets whose class is among ids (s1): a set is shuffled only where it is used."""
+    ids = ids.distinct()
+    if ids.count() <= FEW_IDS:
+        ids = F.broadcast(ids)
+    return sets.join(ids, "s1", "left_semi")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, pruned: bool = False) -> DataFrame:
     """Of class pairs (a, b), those that link: bitmaps first, whole sets after."""
 
@@ -298,7 +311,8 @@ def verified(pairs: DataFrame, sets: DataFrame, pruned: bool = False) -> DataFra
     if not pruned:
         both = pairs.join(side("a", "bits"), "a").join(side("b", "bits"), "b")
         both = both.where((DEN * F.col("na") >= NUM * F.col("nb")) & (DEN * F.col("nb") >= NUM * F.col("na")))
-        pairs = both.mapInArrow(_prune, "a long, b long")
+        pairs = saved(both.mapInArrow(_prune, "a long, b long"))
+    sets = only(sets, pairs.select(F.explode(F.array("a", "b")).alias("s1")))
     return pairs.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
 
@@ -447,12 +461,15 @@ def _open_pairs(key, t):
 
 
 def tree_pairs(runs: DataFrame, sets: DataFrame, comps: DataFrame, forest: bool = False) -> DataFrame:
-    """Class pairs of buckets that still hold several components.
+    """Class pairs of buckets that still hold several components, saved.
 
-    forest: only of each tree by itself, and no more than join its components.
+    forest: only of some buckets, of each tree by itself, and no more than
+    join its components.
     """
+    if forest:
+        runs = runs.where(F.pmod(F.xxhash64("token"), F.lit(FOREST_ONE_IN)) == 0)
     named = sets.select("s1", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("s1", F.coalesce("component", "rep").alias("comp"))
-    rows = runs.select("token", "s1").join(named, "s1")
+    rows = runs.select("token", "s1", "n").join(named, "s1")
     # Equal buckets of different tokens do the same work: one of them is kept.
     open_ = (
         rows.groupBy("token")
@@ -464,14 +481,15 @@ def tree_pairs(runs: DataFrame, sets: DataFrame, comps: DataFrame, forest: bool
     )
     trees = F.ceil(F.col("k") / TREE).cast("int")
     part = F.pmod(F.xxhash64("s1", F.lit(7)), F.col("trees")).cast("int")
-    dealt = rows.join(open_.withColumn("trees", trees), "token").withColumn("part", part)
-    dealt = dealt.join(sets.select("s1", "n", "bits"), "s1")
-    if forest:
-        dealt = dealt.select("token", F.col("part").alias("i"), F.col("part").alias("j"), "part", "s1", "n", "comp", "bits")
-        return dealt.groupBy("token", "i", "j").applyInArrow(_forest, "a long, b long").distinct()
+    rows = saved(rows.join(open_.withColumn("trees", trees), "token").withColumn("part", part))
+    dealt = rows.join(only(sets, rows.select("s1")).select("s1", "bits"), "s1")
     pair = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
+    if forest:
+        pair = F.array(F.struct(F.col("part").alias("i"), F.col("part").alias("j")))
     dealt = dealt.withColumn("p", F.explode(pair)).select("token", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "part", "s1", "n", "comp", "bits")
-    return dealt.groupBy("token", "i", "j").applyInArrow(_trees, "a long, b long").distinct()
+    pairs = saved(dealt.groupBy("token", "i", "j").applyInArrow(_forest if forest else _trees, "a long, b long").distinct())
+    drop_saved(rows)
+    return pairs
 
 
 # --- the operator -----------------------------------------------------------
@@ -495,7 +513,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     first = saved(by_doc(verified(star, sets), sets))
     comps = components(first)
     for forest in (True, False):
-        more = by_doc(verified(saved(tree_pairs(runs, sets, comps, forest)), sets, pruned=True), sets)
+        more = by_doc(verified(tree_pairs(runs, sets, comps, forest), sets, pruned=True), sets)
         comps = components(comps.toDF("a", "b").union(more))
     member = signed.join(classes, ["n", "s1", "s2"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     return member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
