@@ -13,9 +13,13 @@ The base is a unigram model of words with add-one smoothing over the same
 training rows.  Word counts grow with the corpus and are never broadcast: each
 block of documents gets the counts of its own words by a join.
 
-The trie is broadcast, so it has at most NODES longest contexts (150 MB): beyond
-that the rarest are left out, as a trie of bounded memory does, and their bytes
-escape to shorter contexts.
+Contexts grow with the corpus too, and none is left out.  Each block of
+documents asks for its own (context, byte) pairs, with their counts in its
+training rows; the pairs are dealt to buckets by their last LOW + 1 bytes of
+context, so a bucket has all counts of its contexts and of their shorter ones,
+down to LOW + 1 bytes, and sends each block the code lengths it asked for.  Only
+contexts of up to LOW bytes are broadcast: a table bounded by the number of
+byte strings of LOW + 1 bytes, not by the corpus.
 
 Defined cases: null texts are empty, an empty text is the end mark alone; a
 null doc_id is held out of training; rows that repeat train and score each;
@@ -30,15 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, block_of, drop_saved, long_array, n_blocks, saved, slices, small_batches, table, with_lookups, word_slices
+from .common import U64, Hasher, block_of, drop_saved, long_array, mix, n_blocks, saved, slices, small_batches, table, with_lookups, word_slices
 
 ORDER = 5
-NODES = 2_500_000
+LOW = 2
 D = 0.3
 BLOCK_BYTES = 16 << 20
 #: Bytes that UTF-8 never holds stand for a text's start and end.
 START, END = 0xFE, 0xFF
+#: (context, byte) pairs a row of the scratch tables holds at most, and pairs a task holds before it writes them.
+CHUNK = 1 << 13
+HELD = 1 << 22
 SYMBOLS = 257 - 2
+#: A pair's bytes, and blocks that a mark above them tells apart.
+PAIR = U64((1 << 8 * (ORDER + 1)) - 1)
+MARKS = 1 << min(16, 64 - 8 * (ORDER + 1))
 
 
 def grams(hasher: Hasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,51 +72,138 @@ def grams(hasher: Hasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     return keys[keep], at
 
 
-def _counts(block_column: int):
-    """Rows (kind, block, key, k): kind 0 words of a block, with occurrences in
-    training rows; kind 1 byte contexts of training rows; kind 2 their number."""
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def _counts(buckets: int):
+    """Rows (kind, block, key, k, keys, counts): kind 0 words of a block, with
+    occurrences in training rows; kind 1 pairs of a block, by bucket (key), with
+    theirs; kind 2 the number of training rows; kind 3 trained pairs of LOW + 1
+    bytes of context."""
+    names = ["kind", "block", "key", "k", "keys", "counts"]
+
+    def out(kind, block, key, k, keys=None, counts=None):
+        n = len(block)
+        wide = [pa.array(x, pa.binary()) if x is not None else pa.nulls(n, pa.binary()) for x in (keys, counts)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(block, pa.int32()), long_array(key), pa.array(k, pa.int64()), *wide], names)
 
     def run(batches):
         hasher = Hasher()
-        names = ["kind", "block", "key", "k"]
-        words, contexts, size, rows = [], [], [0, 0], 0
+        words, size, rows = [], 0, 0
+        # Pairs carry their block's place in `places` above their bytes.
+        places, raw, n_raw, held = {}, [[], []], 0, (np.zeros(0, U64), np.zeros(0, np.int64))
 
         def word_rows():
             block, h, k = (np.concatenate(x) for x in zip(*words))
             order = np.lexsort((h, block))
             block, h, k = block[order], h[order], k[order]
             first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (block[1:] != block[:-1])]))
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), np.int32)), pa.array(block[first]), long_array(h[first]), pa.array(np.add.reduceat(k, first))], names)
+            return out(0, block[first], h[first], np.add.reduceat(k, first))
+
+        def gather():
+            nonlocal raw, n_raw, held
+            parts = [held]
+            for kind in (0, 1):
+                keys = np.sort(np.concatenate(raw[kind])) if raw[kind] else np.zeros(0, U64)
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+                parts.append((keys[first], np.diff(np.append(first, len(keys))) * (1 - kind)))
+            held = _summed(*(np.concatenate(x) for x in zip(*parts)))
+            raw, n_raw = [[], []], 0
 
         def context_rows():
-            keys = np.sort(np.concatenate(contexts))
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            one = np.ones(len(first), np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(one), pa.array(-one), long_array(keys[first]), pa.array(np.diff(np.append(first, len(keys))))], names)
+            nonlocal held, places
+            keys, counts = held
+            trained = np.unique(keys[counts > 0] & U64((1 << 8 * (LOW + 2)) - 1))
+            yield out(3, np.full(len(trained), -1, np.int32), trained, np.ones(len(trained), np.int64))
+            numbers = np.array(list(places), np.int32)
+            ends = np.searchsorted(keys, np.arange(1, len(numbers), dtype=U64) << U64(8 * (ORDER + 1)))
+            for block, keys, counts in zip(numbers, np.split(keys & PAIR, ends), np.split(counts, ends)):
+                bucket = _bucket(keys, buckets)
+                order = np.argsort(bucket, kind="stable")
+                bucket, keys, counts = bucket[order], keys[order], counts[order].astype(np.uint32)
+                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+                cuts = [(a, min(a + CHUNK, j)) for i, j in zip(first, np.append(first[1:], len(bucket))) for a in range(i, j, CHUNK)]
+                for some in (cuts[i : i + 200] for i in range(0, len(cuts), 200)):
+                    at = np.array([a for a, _ in some])
+                    yield out(1, np.full(len(some), block, np.int32), bucket[at], np.array([b - a for a, b in some]), [keys[a:b].tobytes() for a, b in some], [counts[a:b].tobytes() for a, b in some])
+            held, places = (np.zeros(0, U64), np.zeros(0, np.int64)), {}
 
         for batch in batches:
-            block, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            block, out_of = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             texts = batch.column(2)
-            rows += int((~held).sum())
+            rows += int((~out_of).sum())
             for first, n, _, _, _, hashes, at in word_slices(hasher, texts):
                 row = np.repeat(np.arange(n), np.diff(at)) + first
-                words.append((block[row], hashes, (~held[row]).astype(np.int64)))
-                size[0] += len(hashes)
-                if size[0] > 1 << 21:
+                words.append((block[row], hashes, (~out_of[row]).astype(np.int64)))
+                size += len(hashes)
+                if size > 1 << 21:
                     yield word_rows()
-                    words, size[0] = [], 0
-            for first, n, data, offsets in slices(texts.filter(pa.array(~held)) if held.any() else texts):
-                keys = grams(hasher, data, offsets)[0]
-                contexts.append(keys)
-                size[1] += len(keys)
-                if size[1] > 1 << 23:
-                    yield context_rows()
-                    contexts, size[1] = [], 0
-        if size[0]:
+                    words, size = [], 0
+            for b in np.unique(block):
+                if b not in places and len(places) == MARKS:
+                    gather()
+                    yield from context_rows()
+                mark = U64(places.setdefault(b, len(places))) << U64(8 * (ORDER + 1))
+                for kind, mine in enumerate(((block == b) & ~out_of, (block == b) & out_of)):
+                    if not mine.any():
+                        continue
+                    for first, n, data, offsets in slices(texts.filter(pa.array(mine))):
+                        raw[kind].append(grams(hasher, data, offsets)[0] | mark)
+                        n_raw += len(raw[kind][-1])
+                        if n_raw > HELD // 2:
+                            gather()
+            if len(held[0]) > HELD:
+                gather()
+                yield from context_rows()
+        if size:
             yield word_rows()
-        if size[1]:
-            yield context_rows()
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([rows], pa.int64())], names)
+        gather()
+        if len(held[0]):
+            yield from context_rows()
+        yield out(2, np.array([-1], np.int32), np.zeros(1, np.int64), np.array([rows]))
+
+    return run
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Pairs that share the last LOW + 1 bytes of context share a bucket."""
+    return (mix((keys >> U64(8)) & U64((1 << 8 * (LOW + 1)) - 1)) % U64(buckets)).astype(np.int64)
+
+
+def _codes(low):
+    """Code lengths of the pairs of each bucket, by the blocks that asked."""
+    names = ["block", "keys", "codes"]
+
+    def of_bucket(parts):
+        keys = np.concatenate([np.frombuffer(x, U64) for _, x, _ in parts])
+        counts = np.concatenate([np.frombuffer(x, np.uint32) for _, _, x in parts]).astype(np.int64)
+        asked, counts = _summed(keys, counts)
+        trained = counts > 0
+        trie = Trie(asked[trained], counts[trained], low.value)
+        codes = np.concatenate([trie.code(asked[i : i + HELD]) for i in range(0, len(asked), HELD)]).astype(np.float32)
+        for i in range(0, len(parts), 100):
+            some = parts[i : i + 100]
+            found = [codes[np.searchsorted(asked, np.frombuffer(x, U64))].tobytes() for _, x, _ in some]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in some], pa.int32()), pa.array([x for _, x, _ in some], pa.binary()), pa.array(found, pa.binary())], names)
+
+    def run(batches):
+        now, parts = None, []
+        for batch in batches:
+            for bucket, block, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != now and parts:
+                    yield from of_bucket(parts)
+                    parts = []
+                now = bucket
+                parts.append((block, keys, counts))
+        if parts:
+            yield from of_bucket(parts)
 
     return run
 
@@ -140,20 +237,29 @@ def _totals(batches):
 
 
 class Trie:
-    """Code lengths of the byte-context trie, by arrays sorted by key."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys, self.counts, self.contexts = [None] * (ORDER + 1), [None] * (ORDER + 1), [None] * (ORDER + 1)
-        self.n, self.q, self.excluded = [None] * (ORDER + 1), [None] * (ORDER + 1), [None] * (ORDER + 1)
-        for k in range(ORDER, -1, -1):
+    """Code lengths of the byte-context trie, by arrays sorted by key.
+
+    With `low`, a trie of contexts of up to LOW bytes, the keys are all that
+    share some last LOW + 1 bytes of context, and shorter contexts are low's.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: Trie | None = None, top: int = ORDER) -> None:
+        none = [None] * (top + 1)
+        self.top, self.keys, self.counts, self.contexts, self.n, self.q, self.excluded = top, *(list(none) for _ in range(6))
+        base = 0
+        if low is not None:
+            base = low.top + 1
+            for mine, theirs in zip((self.keys, self.counts, self.contexts, self.n, self.q, self.excluded), (low.keys, low.counts, low.contexts, low.n, low.q, low.excluded)):
+                mine[:base] = theirs
+        for k in range(top, base - 1, -1):
             mask = U64((1 << (8 * (k + 1))) - 1)
-            low = keys & mask
-            order = np.argsort(low, kind="stable")
-            low, c = low[order], counts[order]
-            first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
-            keys, counts = low[first], c if k == ORDER else np.diff(np.append(first, len(low)))
+            short = keys & mask
+            order = np.argsort(short, kind="stable")
+            short, c = short[order], counts[order]
+            first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.zeros(0, np.int64)
+            keys, counts = short[first], c if k == top else np.diff(np.append(first, len(short)))
             self.keys[k], self.counts[k] = keys, counts
-        for k in range(ORDER + 1):
+        for k in range(base, top + 1):
             context = self.keys[k] >> U64(8)
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
             self.contexts[k] = context[first]
@@ -164,11 +270,48 @@ class Trie:
                 shorter = self.counts[k - 1][np.searchsorted(self.keys[k - 1], self.keys[k] & U64((1 << (8 * k)) - 1))]
                 self.excluded[k] = np.add.reduceat(shorter, first)
 
-    def ready(self) -> None:
-        """A hash table of the longest contexts' code lengths, for most bytes."""
-        keys = self.keys[ORDER]
-        place = np.searchsorted(self.contexts[ORDER], keys >> U64(8))
-        value = np.log10((self.counts[ORDER] - D) / self.n[ORDER][place]).astype(np.float32) if len(keys) else np.zeros(0)
+    def code(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each byte after its context, for distinct keys."""
+        out = np.empty(len(keys))
+        hit = np.zeros(len(keys), dtype=bool)
+        longest = self.keys[self.top]
+        if len(longest):
+            at = np.minimum(np.searchsorted(longest, keys), len(longest) - 1)
+            hit = longest[at] == keys
+            at = at[hit]
+            out[hit] = np.log10((self.counts[self.top][at] - D) / self.n[self.top][np.searchsorted(self.contexts[self.top], keys[hit] >> U64(8))])
+        out[~hit] = self.escaped(keys[~hit])
+        return out
+
+    def escaped(self, keys: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(keys))
+        open_ = np.ones(len(keys), dtype=bool)
+        gone = np.zeros(len(keys))  # counts and bytes that the longer context excludes
+        gone_q = np.zeros(len(keys))
+        for k in range(self.top, -1, -1):
+            if not len(self.contexts[k]):
+                continue
+            low = keys & U64((1 << (8 * (k + 1))) - 1)
+            place = np.minimum(np.searchsorted(self.contexts[k], low >> U64(8)), len(self.contexts[k]) - 1)
+            there = open_ & (self.contexts[k][place] == low >> U64(8))
+            n, q = self.n[k][place] - gone, self.q[k][place] - gone_q
+            at = np.minimum(np.searchsorted(self.keys[k], low), len(self.keys[k]) - 1)
+            hit = there & (self.keys[k][at] == low)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total = np.where(hit, total + np.log10((self.counts[k][at] - D) / n), total)
+                total = np.where(there & ~hit & (q > 0), total + np.log10(D * q / n), total)
+            open_ &= ~hit
+            if k:
+                gone = np.where(there, self.excluded[k][place] if self.excluded[k] is not None else 0, 0)
+                gone_q = np.where(there, self.q[k][place], 0)
+        known = int(self.q[0][0]) if len(self.q[0]) else 0
+        return np.where(open_, total - np.log10(max(1, SYMBOLS - known)), total)
+
+
+class Lookup:
+    """A hash table from a block's pairs to their code lengths."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(10, int(len(keys) * 2).bit_length())
         self.shift = U64(64 - bits)
         self.slot_key = np.zeros(1 << bits, dtype=U64)
@@ -180,15 +323,16 @@ class Trie:
             free = self.slot_key[slot] == 0
             self.slot_key[slot[free]] = keys[left][free] + U64(1)
             won = self.slot_key[slot] == keys[left] + U64(1)
-            self.slot_value[slot[won]] = value[left][won]
+            self.slot_value[slot[won]] = values[left][won]
             left = left[~won]
             self.probes += 1
+        order = np.argsort(keys[left])
+        self.rest, self.rest_values = keys[left][order], values[left][order]
 
     def slots(self, keys: np.ndarray, probe: int) -> np.ndarray:
         return ((keys * U64(0x9E3779B97F4A7C15 + 2 * probe * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF | 1)) >> self.shift).astype(np.int64)
 
     def code(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte after its context."""
         out = np.empty(len(keys))
         left = np.arange(len(keys))
         for probe in range(self.probes):
@@ -198,49 +342,22 @@ class Trie:
             left = left[~hit]
             if not len(left):
                 return out
-        # Those with an escape; equal ones are worked out once.
-        rest, back = np.unique(keys[left], return_inverse=True)
-        out[left] = self.escaped(rest)[back]
+        out[left] = self.rest_values[np.searchsorted(self.rest, keys[left])]
         return out
 
-    def escaped(self, keys: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(keys))
-        open_ = np.ones(len(keys), dtype=bool)
-        gone = np.zeros(len(keys))  # counts and bytes that the longer context excludes
-        gone_q = np.zeros(len(keys))
-        for k in range(ORDER, -1, -1):
-            if not len(self.contexts[k]):
-                continue
-            low = keys & U64((1 << (8 * (k + 1))) - 1)
-            place = np.minimum(np.searchsorted(self.contexts[k], low >> U64(8)), len(self.contexts[k]) - 1)
-            there = open_ & (self.contexts[k][place] == low >> U64(8))
-            n, q = self.n[k][place] - gone, self.q[k][place] - gone_q
-            at = np.minimum(np.searchsorted(self.keys[k], low), len(self.keys[k]) - 1)
-            hit = there & (self.keys[k][at] == low)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                total = np.where(hit, total + np.log10((self.counts[k][at] - D) / n), total)
-                total = np.where(there & ~hit & (q > 0), total + np.log10(D * q / n), total)
-            open_ &= ~hit
-            if k:
-                gone = np.where(there, self.excluded[k][place] if self.excluded[k] is not None else 0, 0)
-                gone_q = np.where(there, self.q[k][place], 0)
-        known = int(self.q[0][0]) if len(self.q[0]) else 0
-        return np.where(open_, total - np.log10(max(1, SYMBOLS - known)), total)
-
 
-def _score(trie, train_tokens: int, vocabulary: int):
+def _score(ends: int, train_tokens: int, vocabulary: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(lookups, batches):
         hasher = Hasher()
-        if lookups is None:
-            known, counts = np.zeros(0, U64), np.zeros(0, np.int64)
-        else:
-            known = lookups.column("h").to_numpy().view(U64)
-            order = np.argsort(known)
-            known, counts = known[order], lookups.column("c").to_numpy()[order]
-        ends = trie.value["ends"]
-        t = trie.value["trie"]
+        words = lookups.filter(lookups.column("h").is_valid())
+        known = words.column("h").to_numpy().view(U64)
+        order = np.argsort(known)
+        known, counts = known[order], words.column("c").to_numpy()[order]
+        pairs = lookups.filter(lookups.column("keys").is_valid())
+        t = Lookup(*(np.concatenate([np.frombuffer(x.as_py(), kind) for x in pairs.column(c)]) for c, kind in (("keys", U64), ("codes", np.float32))))
+        del lookups, words, pairs
         for batch in batches:
             texts = batch.column(2)
             n = batch.num_rows
@@ -264,40 +381,26 @@ def _score(trie, train_tokens: int, vocabulary: int):
     return run
 
 
-def least_count(contexts: DataFrame) -> int:
-    """The least count from which at most NODES contexts are left."""
-    sizes = contexts.groupBy(F.expr("if(k < 1000, k, bigint(pow(2, floor(log2(k)))))").alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
-    least, total = 1 << 62, 0
-    for r in sizes:
-        total += r["n"]
-        if total > NODES:
-            return least
-        least = r["k"]
-    return least
-
-
 def score(docs: DataFrame, held_out) -> DataFrame:
     """Scores of docs (doc_id, text); held_out: a column of rows that don't train."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 500)
     blocks = n_blocks(docs, BLOCK_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.select(block_of("doc_id", blocks).alias("block"), "doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "text")
-    parts = saved(rows.select("block", "held_out", "text").mapInArrow(_counts(0), "kind int, block int, key long, k long"))
+    parts = saved(rows.select("block", "held_out", "text").repartition(blocks, "block").mapInArrow(_counts(blocks), "kind int, block int, key long, k long, keys binary, counts binary"))
     words = parts.where("kind = 0").select("block", F.col("key").alias("h"), "k")
     lookups = saved(words.repartition("h").sortWithinPartitions("h").mapInArrow(_totals, "block int, h long, c long, mark int").groupBy("block", "h").agg(F.max("c").alias("c"), F.max("mark").alias("mark")))
     seen = lookups.agg(F.coalesce(F.sum("mark"), F.lit(0)).alias("v"), F.coalesce(F.sum(F.when(F.col("mark") == 1, F.col("c"))), F.lit(0)).alias("n")).first()
     ends = parts.where("kind = 2").agg(F.sum("k").alias("n")).first()["n"] or 0
-    contexts = parts.where("kind = 1").groupBy("key").agg(F.sum("k").alias("k"))
-    contexts = saved(contexts)
-    gathered = contexts.where(F.col("k") >= least_count(contexts)).toArrow()
-    drop_saved(contexts)
-    trie = Trie(gathered.column("key").to_numpy().view(U64), gathered.column("k").to_numpy())
-    trie.ready()
+    short = parts.where("kind = 3").select("key").distinct().groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1)).alias("key")).agg(F.count("*").alias("k")).toArrow()
+    low = spark.sparkContext.broadcast(Trie(short.column("key").to_numpy().view(U64), short.column("k").to_numpy(), top=LOW))
+    pairs = parts.where("kind = 1").select(F.col("key").alias("bucket"), "block", "keys", "counts")
+    codes = saved(pairs.repartition(blocks, "bucket").sortWithinPartitions("bucket").mapInArrow(_codes(low), "block int, keys binary, codes binary"))
     drop_saved(parts)
-    model = spark.sparkContext.broadcast({"trie": trie, "ends": ends})
-    out = with_lookups(rows, lookups.select("block", "h", "c"), blocks, _score(model, seen["n"] + ends, seen["v"] + (ends > 0)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out
+    none = F.lit(None)
+    both = lookups.select("block", "h", "c", none.cast("binary").alias("keys"), none.cast("binary").alias("codes")).unionByName(codes.select("block", none.cast("long").alias("h"), none.cast("long").alias("c"), "keys", "codes"))
+    return with_lookups(rows, both, blocks, _score(ends, seen["n"] + ends, seen["v"] + (ends > 0)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,45 @@ def test_ppm_and_base(spark):
         assert out[i]["score"] == pytest.approx(total, abs=1e-2)
 
 
+def test_ppm_keeps_every_context(spark, monkeypatch):
+    """A cap on contexts, or small writes and many blocks, leave the scores as they are."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+
+    def scores():
+        return {r["doc_id"]: r["score"] for r in ppm.score(frame(spark, texts()[:60]), held).collect()}
+
+    want = scores()
+    monkeypatch.setattr(ppm, "NODES", 50, raising=False)
+    assert scores() == pytest.approx(want, abs=1e-3)
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 2000)
+    assert scores() == pytest.approx(want, abs=1e-3)
+
+
+def test_ppm_counts_in_small_writes(monkeypatch):
+    """What tasks write adds up to the same counts, however little they hold at once."""
+    import pyarrow as pa
+
+    rows = texts()[:60]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 5 for i in range(60)], pa.int32()), pa.array([i % 3 == 0 for i in range(60)]), pa.array(rows)], ["block", "held_out", "text"])
+
+    def counted():
+        total = collections.Counter()
+        for out in ppm._counts(3)([batch.slice(i, 20) for i in (0, 20, 40)]):
+            for r in out.to_pylist():
+                if r["kind"] == 1:
+                    keys = np.frombuffer(r["keys"], np.uint64)
+                    assert (ppm._bucket(keys, 3) == r["key"]).all() and len(keys) == r["k"]
+                    for key, k in zip(keys.tolist(), np.frombuffer(r["counts"], np.uint32).tolist()):
+                        total[r["block"], key] += k
+        return total
+
+    want = counted()
+    assert sum(want.values()) == sum(len(t.encode()) + 1 for i, t in enumerate(rows) if i % 3)
+    for name, value in (("HELD", 2000), ("CHUNK", 16), ("MARKS", 2)):
+        monkeypatch.setattr(ppm, name, value)
+    assert counted() == want
+
+
 def test_token_counts():
     scores = token_counts.piece_scores()
     pieces = token_counts.PieceTrie(scores)
