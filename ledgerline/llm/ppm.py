@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Hasher, block_of, drop_saved, long_array, mix, n_blocks, saved, slices, small_batches, table, with_lookups, word_slices
 
-ORDER = 5
+ORDER = 6
 LOW = 2
 D = 0.3
 BLOCK_BYTES = 16 << 20
@@ -72,6 +72,17 @@ def grams(hasher: Hasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     return keys[keep], at
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Values by byte planes, compressed: sorted pairs and few distinct counts take little disk."""
+    return pa.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(packed: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
     if not len(keys):
@@ -132,7 +143,7 @@ def _counts(buckets: int):
                 cuts = [(a, min(a + CHUNK, j)) for i, j in zip(first, np.append(first[1:], len(bucket))) for a in range(i, j, CHUNK)]
                 for some in (cuts[i : i + 200] for i in range(0, len(cuts), 200)):
                     at = np.array([a for a, _ in some])
-                    yield out(1, np.full(len(some), block, np.int32), bucket[at], np.array([b - a for a, b in some]), [keys[a:b].tobytes() for a, b in some], [counts[a:b].tobytes() for a, b in some])
+                    yield out(1, np.full(len(some), block, np.int32), bucket[at], np.array([b - a for a, b in some]), [pack(keys[a:b]) for a, b in some], [pack(counts[a:b]) for a, b in some])
             held, places = (np.zeros(0, U64), np.zeros(0, np.int64)), {}
 
         for batch in batches:
@@ -179,29 +190,29 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def _codes(low):
     """Code lengths of the pairs of each bucket, by the blocks that asked."""
-    names = ["block", "keys", "codes"]
+    names = ["block", "k", "keys", "codes"]
 
     def of_bucket(parts):
-        keys = np.concatenate([np.frombuffer(x, U64) for _, x, _ in parts])
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for _, _, x in parts]).astype(np.int64)
+        keys = np.concatenate([unpack(x, k, U64) for _, k, x, _ in parts])
+        counts = np.concatenate([unpack(x, k, np.uint32) for _, k, _, x in parts]).astype(np.int64)
         asked, counts = _summed(keys, counts)
         trained = counts > 0
         trie = Trie(asked[trained], counts[trained], low.value)
         codes = np.concatenate([trie.code(asked[i : i + HELD]) for i in range(0, len(asked), HELD)]).astype(np.float32)
         for i in range(0, len(parts), 100):
             some = parts[i : i + 100]
-            found = [codes[np.searchsorted(asked, np.frombuffer(x, U64))].tobytes() for _, x, _ in some]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in some], pa.int32()), pa.array([x for _, x, _ in some], pa.binary()), pa.array(found, pa.binary())], names)
+            found = [pack(codes[np.searchsorted(asked, unpack(x, k, U64))]) for _, k, x, _ in some]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _, _ in some], pa.int32()), pa.array([k for _, k, _, _ in some], pa.int64()), pa.array([x for _, _, x, _ in some], pa.binary()), pa.array(found, pa.binary())], names)
 
     def run(batches):
         now, parts = None, []
         for batch in batches:
-            for bucket, block, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for bucket, block, k, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if bucket != now and parts:
                     yield from of_bucket(parts)
                     parts = []
                 now = bucket
-                parts.append((block, keys, counts))
+                parts.append((block, k, keys, counts))
         if parts:
             yield from of_bucket(parts)
 
@@ -356,7 +367,7 @@ def _score(ends: int, train_tokens: int, vocabulary: int):
         order = np.argsort(known)
         known, counts = known[order], words.column("c").to_numpy()[order]
         pairs = lookups.filter(lookups.column("keys").is_valid())
-        t = Lookup(*(np.concatenate([np.frombuffer(x.as_py(), kind) for x in pairs.column(c)]) for c, kind in (("keys", U64), ("codes", np.float32))))
+        t = Lookup(*(np.concatenate([unpack(x.as_py(), k.as_py(), kind) for k, x in zip(pairs.column("k"), pairs.column(c))]) for c, kind in (("keys", U64), ("codes", np.float32))))
         del lookups, words, pairs
         for batch in batches:
             texts = batch.column(2)
@@ -395,11 +406,11 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     ends = parts.where("kind = 2").agg(F.sum("k").alias("n")).first()["n"] or 0
     short = parts.where("kind = 3").select("key").distinct().groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1)).alias("key")).agg(F.count("*").alias("k")).toArrow()
     low = spark.sparkContext.broadcast(Trie(short.column("key").to_numpy().view(U64), short.column("k").to_numpy(), top=LOW))
-    pairs = parts.where("kind = 1").select(F.col("key").alias("bucket"), "block", "keys", "counts")
-    codes = saved(pairs.repartition(blocks, "bucket").sortWithinPartitions("bucket").mapInArrow(_codes(low), "block int, keys binary, codes binary"))
+    pairs = parts.where("kind = 1").select(F.col("key").alias("bucket"), "block", "k", "keys", "counts")
+    codes = saved(pairs.repartition(blocks, "bucket").sortWithinPartitions("bucket").mapInArrow(_codes(low), "block int, k long, keys binary, codes binary"))
     drop_saved(parts)
     none = F.lit(None)
-    both = lookups.select("block", "h", "c", none.cast("binary").alias("keys"), none.cast("binary").alias("codes")).unionByName(codes.select("block", none.cast("long").alias("h"), none.cast("long").alias("c"), "keys", "codes"))
+    both = lookups.select("block", "h", "c", none.cast("long").alias("k"), none.cast("binary").alias("keys"), none.cast("binary").alias("codes")).unionByName(codes.select("block", none.cast("long").alias("h"), none.cast("long").alias("c"), "k", "keys", "codes"))
     return with_lookups(rows, both, blocks, _score(ends, seen["n"] + ends, seen["v"] + (ends > 0)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

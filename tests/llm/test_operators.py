@@ -167,9 +167,9 @@ def test_ppm_counts_in_small_writes(monkeypatch):
         for out in ppm._counts(3)([batch.slice(i, 20) for i in (0, 20, 40)]):
             for r in out.to_pylist():
                 if r["kind"] == 1:
-                    keys = np.frombuffer(r["keys"], np.uint64)
+                    keys = ppm.unpack(r["keys"], r["k"], np.uint64)
                     assert (ppm._bucket(keys, 3) == r["key"]).all() and len(keys) == r["k"]
-                    for key, k in zip(keys.tolist(), np.frombuffer(r["counts"], np.uint32).tolist()):
+                    for key, k in zip(keys.tolist(), ppm.unpack(r["counts"], r["k"], np.uint32).tolist()):
                         total[r["block"], key] += k
         return total
 
@@ -180,6 +180,13 @@ def test_ppm_counts_in_small_writes(monkeypatch):
     assert counted() == want
 
 
+def test_ppm_sees_six_bytes(spark):
+    """Only the sixth byte back tells these endings apart."""
+    rows = ["xbcdef1", "ybcdef2"] * 20 + ["xbcdef1", "xbcdef2"]
+    out = {r["doc_id"]: r["score"] for r in ppm.score(frame(spark, rows), F.col("doc_id") >= 40).collect()}
+    assert out[40] > out[41] + 1
+
+
 def test_token_counts():
     scores = token_counts.piece_scores()
     pieces = token_counts.PieceTrie(scores)
