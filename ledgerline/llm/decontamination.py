@@ -3,9 +3,10 @@
 Words are runs of letters and digits, lower-cased; shingles are five words.
 An item of m shingles is searched in windows of m shingles.
 
-1. Anchors: a window of weighted-shingle similarity 0.75 or more shares
-   shingles with its item, so windows are laid where a shingle of the document
-   is one of an item's, aligned with it; no other window is fingerprinted.
+1. Anchors: places where a shingle of the document is one of an item's.  A
+   window of L shingles and similarity 0.75 or more to an item of m has
+   3/7 (L + m) of them at least, so every window with so many, at any start, is
+   fingerprinted, and no other can be similar enough.
 2. SimHash: a window's fingerprint has bit b set if more than half of its
    shingle hashes (counted as often as they occur) have.
 3. Multi-index: fingerprints are cut into RADIUS + 1 blocks; two within RADIUS
@@ -64,7 +65,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select("item_id", shingles("w").alias("item_hashes"))
         .select("*", F.size("item_hashes").alias("m"), fingerprint("item_hashes").alias("item_fp"))
     )
-    grams = items.select("item_id", "m", F.posexplode("item_hashes").alias("q", "h"))
+    grams = items.select("item_id", "m", F.explode(F.array_distinct("item_hashes")).alias("h"))
     small = (items.agg(F.sum("m").alias("n")).first()["n"] or 0) <= BROADCAST_SHINGLES
 
     def side(df: DataFrame) -> DataFrame:
@@ -72,17 +73,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # No filter on the words: it would be pushed below and split each text twice.
     split = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("w"))
-    places = split.select("doc_id", "w", F.posexplode(shingles("w")).alias("p", "h"))
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("w") - WORDS + 1 - F.col("m")))
-    windows = (
-        places.join(side(grams), "h")
-        .withColumn("start", start)
-        .select("doc_id", "item_id", "start", F.expr(f"slice(w, start + 1, m + {WORDS - 1})").alias("w"))
-        .groupBy("doc_id", "item_id", "start")
-        .agg(F.min("w").alias("w"))
-        .select("doc_id", "item_id", "start", shingles("w").alias("hashes"))
-        .select("*", fingerprint("hashes").alias("fp"))
-    )
+    places = split.select("doc_id", shingles("w").alias("all")).select("doc_id", "all", F.posexplode("all").alias("p", "h"))
+    # An anchor brings the part of its text that a window can have whose first anchor it is.
+    size = "least(m, size(all))"
+    need = f"cast(({NUM} * ({size} + m) + {NUM + DEN - 1}) div {NUM + DEN} as int)"
+    base = f"greatest(0, p - ({size} - {need}))"
+    anchors = places.join(side(grams), "h").select("doc_id", "item_id", F.expr("xxhash64(all)").alias("text_id"), F.expr("size(all)").alias("n"), F.expr(size).alias("size"), F.expr(need).alias("need"), F.struct("p", F.expr(base).alias("base"), F.expr(f"slice(all, {base} + 1, 2 * {size} - {need})").alias("part")).alias("a"))
+    runs = anchors.groupBy("doc_id", "item_id", "text_id", "n", "size", "need").agg(F.array_sort(F.collect_set("a")).alias("a")).where(F.size("a") >= F.col("need"))
+    low = "greatest(0, if(i = 0, 0, a[i - 1].p + 1), a[i + need - 1].p - size + 1)"
+    high = "least(a[i].p, n - size)"
+    at = f"if({low} > {high}, array(), transform(sequence({low}, {high}), s -> named_struct('start', s, 'hashes', slice(a[i].part, s - a[i].base + 1, size))))"
+    windows = runs.select("doc_id", "item_id", F.expr(f"inline(flatten(transform(sequence(0, size(a) - need), i -> {at})))")).withColumn("fp", fingerprint("hashes"))
     keys = ["item_id", "block", "value"]
     mine = windows.select("*", F.inline(blocks("fp")))
     theirs = items.select("item_id", "item_hashes", "item_fp", "m", F.inline(blocks("item_fp")))

@@ -293,6 +293,16 @@ def test_decontamination(spark):
     assert decontamination.clean(frame(spark, rows), bench).count() == len(rows) - len({d for d, _ in want})
 
 
+def test_decontamination_between_alignments(spark):
+    """A passage with words put in is found by a window that no shared shingle is aligned with."""
+    item = [f"q{i}" for i in range(52)]
+    copy = ["first", *item[1:26], "put", "in", *item[26:51], "last"]
+    rows = [" ".join(copy), " ".join(["x1", "x2", *copy, "y1", "y2"]), " ".join(item[:20]), " ".join([*item] * 3)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["start"], r["n_shingles"], r["similarity"]) for r in decontamination.leaks(frame(spark, rows), bench).collect()}
+    assert got == {0: (1, 48, pytest.approx(42 / 54)), 1: (3, 48, pytest.approx(42 / 54)), 3: (0, 48, 1.0)}
+
+
 def test_topk(spark):
     rng = np.random.default_rng(9)
     v = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)], 0) for i in range(300)]
