@@ -73,12 +73,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # No filter on the words: it would be pushed below and split each text twice.
     split = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("w"))
-    places = split.select("doc_id", shingles("w").alias("all")).select("doc_id", "all", F.posexplode("all").alias("p", "h"))
-    # An anchor brings the part of its text that a window can have whose first anchor it is.
-    size = "least(m, size(all))"
+    places = split.select("doc_id", "w", F.posexplode(shingles("w")).alias("p", "h"))
+    # An anchor brings the shingles that a window can have whose first anchor it is.
+    n = f"(size(w) - {WORDS - 1})"
+    size = f"least(m, {n})"
     need = f"cast(({NUM} * ({size} + m) + {NUM + DEN - 1}) div {NUM + DEN} as int)"
     base = f"greatest(0, p - ({size} - {need}))"
-    anchors = places.join(side(grams), "h").select("doc_id", "item_id", F.expr("xxhash64(all)").alias("text_id"), F.expr("size(all)").alias("n"), F.expr(size).alias("size"), F.expr(need).alias("need"), F.struct("p", F.expr(base).alias("base"), F.expr(f"slice(all, {base} + 1, 2 * {size} - {need})").alias("part")).alias("a"))
+    part = f"transform(sequence({base}, least({n}, {base} + 2 * {size} - {need}) - 1), x -> xxhash64(slice(w, x + 1, {WORDS})))"
+    anchors = places.join(side(grams), "h").select("doc_id", "item_id", F.expr("xxhash64(w)").alias("text_id"), F.expr(n).alias("n"), F.expr(size).alias("size"), F.expr(need).alias("need"), F.struct("p", F.expr(base).alias("base"), F.expr(part).alias("part")).alias("a"))
     runs = anchors.groupBy("doc_id", "item_id", "text_id", "n", "size", "need").agg(F.array_sort(F.collect_set("a")).alias("a")).where(F.size("a") >= F.col("need"))
     low = "greatest(0, if(i = 0, 0, a[i - 1].p + 1), a[i + need - 1].p - size + 1)"
     high = "least(a[i].p, n - size)"
