@@ -38,7 +38,34 @@ def logistic_fit(df: DataFrame, features: list[str], label: str, penalty: float
     return w.tolist()
 
 
-def pu_propensity(df: DataFrame, keys: list[str], features: list[str], positive: str, replicates: int = 0, seed: int = 7) -> DataFrame:
+def logistic_fits(df: DataFrame, features: list[str], label: str, by: str, n: int, penalty: float = 1.0, steps: int = 25) -> list[list[float] | None]:
+    """logistic_fit of the rows of each value of `by` below n, a step of all in one
+    aggregation; None for those of fewer than two positive rows."""
+    k = len(features) + 1
+    x = [*map(F.col, features), F.lit(1.0)]
+    w = np.zeros((n, k))
+    ridge = np.diag([penalty] * (k - 1) + [0.0])
+    few = [True] * n
+    for _ in range(steps):
+        now = df.sparkSession.createDataFrame([(r, *w[r].tolist()) for r in range(n)], f"{by} int, " + ", ".join(f"_w{i} double" for i in range(k)))
+        q = 1 / (1 + F.exp(-sum((F.col(f"_w{i}") * x[i] for i in range(k)), F.lit(0.0))))
+        found = df.join(F.broadcast(now), by).groupBy(by).agg(F.sum(label).alias("positive"), *(F.sum(q * (1 - q) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)), *(F.sum((q - F.col(label)) * x[i]).alias(f"g{i}") for i in range(k))).collect()
+        largest = 0.0
+        for h in found:
+            r = h[by]
+            few[r] = h["positive"] < 2
+            if few[r]:
+                continue
+            hess = np.array([[h[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + ridge
+            step = np.linalg.solve(hess + 1e-12 * np.eye(k), np.array([h[f"g{i}"] for i in range(k)]) + ridge @ w[r])
+            w[r] -= step
+            largest = max(largest, np.abs(step).max())
+        if largest < 1e-9:
+            break
+    return [None if few[r] else w[r].tolist() for r in range(n)]
+
+
+def pu_propensity(df: DataFrame, keys: list[str], features: list[str], positive: str, replicates: int = 100, seed: int = 7) -> DataFrame:
     """M5: keys, p_ai, p_ai_lo, p_ai_hi, label_source."""
     rows = df.select(*keys, *(F.col(f).cast("double").alias(f) for f in features), F.col(positive).cast("double").alias("y")).na.drop(subset=features)
     s = rows.agg(F.count("*").alias("n"), F.sum("y").alias("p"), *(F.avg(f).alias(f"m_{f}") for f in features), *(F.stddev_pop(f).alias(f"s_{f}") for f in features)).first()
@@ -46,14 +73,19 @@ def pu_propensity(df: DataFrame, keys: list[str], features: list[str], positive:
         none = F.lit(None).cast("double")
         return rows.select(*keys, F.when(F.col("y") > 0, 0.95).alias("p_ai"), none.alias("p_ai_lo"), none.alias("p_ai_hi"), F.when(F.col("y") > 0, "signature").otherwise("insufficient-positives").alias("label_source"))
     z = rows.select(*keys, "y", *(((F.col(f) - s[f"m_{f}"]) / (s[f"s_{f}"] if s[f"s_{f}"] >= 1e-9 else 1.0)).alias(f) for f in features)).persist()
-    fits = []
-    for r in range(replicates + 1):
-        weight = None if r == 0 else (poisson_weight(F.lit(seed), F.lit(r), *map(F.col, keys)) > 0).cast("double")
-        w = logistic_fit(z, features, "y", weight=weight)
-        g = 1 / (1 + F.exp(-_linear(features, w)))
-        c = z.where("y > 0").agg(F.avg(g).alias("c")).first()["c"]
-        fits.append(F.least(F.greatest(g / max(c, 1e-6), F.lit(0.0)), F.lit(1.0)))
+    drawn = z.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).where(poisson_weight(F.lit(seed), F.col("_r") + 1, *map(F.col, keys)) > 0)
+    whole = logistic_fit(z, features, "y")
+    models = [whole, *(w or whole for w in (logistic_fits(drawn, features, "y", "_r", replicates) if replicates else []))]
+    g = [1 / (1 + F.exp(-_linear(features, w))) for w in models]
+    c = z.where("y > 0").agg(*(F.avg(x).alias(f"c{r}") for r, x in enumerate(g))).first()
+    fits = [F.least(F.greatest(x / max(c[r], 1e-6), F.lit(0.0)), F.lit(1.0)) for r, x in enumerate(g)]
     point = fits[0]
-    others = F.array_sort(F.array(*(fits[1:] or [point])))
-    at = lambda q: F.element_at(others, 1 + int(q * max(0, len(fits) - 2)))
+    z = z.select(*keys, "y", point.alias("_p"), F.array_sort(F.array(*(fits[1:] or [point]))).alias("_b"))
+    point, last = F.col("_p"), max(0, replicates - 1)
+
+    def at(q: float) -> Column:
+        i = int(q * last)
+        a, b = F.col("_b")[i], F.col("_b")[min(i + 1, last)]
+        return a + (q * last - i) * (b - a)
+
     return z.select(*keys, F.when(F.col("y") > 0, F.greatest(point, F.lit(0.99))).otherwise(point).alias("p_ai"), at(0.025).alias("p_ai_lo"), at(0.975).alias("p_ai_hi"), F.when(F.col("y") > 0, "signature").otherwise("inferred").alias("label_source"))

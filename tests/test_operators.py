@@ -77,6 +77,15 @@ def test_bootstrap_covers_the_point(spark):
     assert abs(r["lo"] - again["lo"]) < 1e-9
 
 
+def test_propensity_has_an_interval(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=120)
+    rows = [(i, float(a), bool(rng.random() < 0.5 / (1 + np.exp(-2 * a)))) for i, a in enumerate(x)]
+    out = propensity.pu_propensity(spark.createDataFrame(rows, "k int, f double, y boolean"), ["k"], ["f"], "y").collect()
+    assert len(out) == 120 and all(0 <= r["p_ai_lo"] <= r["p_ai_hi"] <= 1 for r in out)
+    assert sum(r["p_ai_lo"] < r["p_ai_hi"] for r in out) > 60
+
+
 def test_records(spark, tmp_path):
     rec = {"schema": 1, "provider": "p", "repo_id": "42", "name": "o/r", "months": [{"ym": "2024-01", "lang": "python", "ins": 3, "del": 1, "files": 1, "commits": 1}], "signatures": {"repo": {}, "authors": {"d1": {"x": "2024-01"}}}, "style": {"d1": {"2024-01": {"chars": 23.0, "total": 1}}}, "authors": [{"dev": "d1", "ym": "2024-01", "ins": 3, "del": 1, "commits": 1, "langs": ["python"]}]}
     lines = [json.dumps(rec), "", "{broken", json.dumps(rec | {"repo_id": "43"})]
