@@ -487,7 +487,7 @@ def pu_propensity(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return resample.bootstrap(_dev_ba(spark, d), ["grp"], "pre_churn", "post_churn", ["repo_id", "dev"], 500)
+    return resample.bootstrap(_dev_ba(spark, d), ["grp"], "pre_churn", "post_churn", ["repo_id", "dev"])
 
 
 @query("select event_type, strftime(ts,'%Y-%m') as ym, count(*) as n, round(sum(value),4) as total from events group by all")

@@ -86,6 +86,16 @@ def test_propensity_has_an_interval(spark):
     assert sum(r["p_ai_lo"] < r["p_ai_hi"] for r in out) > 60
 
 
+def test_bootstrap_ci_takes_2000_replicates(monkeypatch):
+    from ledgerline.plans import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "_dev_ba", lambda *a: None)
+    monkeypatch.setattr(resample, "bootstrap", lambda *a, n=2000, **k: seen.append(a[5] if len(a) > 5 else n))
+    queries.bootstrap_ci(None, None)
+    assert seen == [2000]
+
+
 def test_records(spark, tmp_path):
     rec = {"schema": 1, "provider": "p", "repo_id": "42", "name": "o/r", "months": [{"ym": "2024-01", "lang": "python", "ins": 3, "del": 1, "files": 1, "commits": 1}], "signatures": {"repo": {}, "authors": {"d1": {"x": "2024-01"}}}, "style": {"d1": {"2024-01": {"chars": 23.0, "total": 1}}}, "authors": [{"dev": "d1", "ym": "2024-01", "ins": 3, "del": 1, "commits": 1, "langs": ["python"]}]}
     lines = [json.dumps(rec), "", "{broken", json.dumps(rec | {"repo_id": "43"})]
