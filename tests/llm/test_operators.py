@@ -325,6 +325,18 @@ def test_html(spark):
     assert len({got[i] for i in range(6)}) == 1 and got[6] == got[7] == "" and got[8] == "plain <text"
 
 
+def test_html_keeps_whole_articles():
+    lead, body = "lead " * 60, "body " * 130
+    page = f"<body><nav>menu</nav><article><h1>Title</h1><div class=lead>{lead}</div><div class=body>{body}</div></article></body>"
+    found = html_text.blocks(page)
+    path = html_text.main_path(found)[0]
+    assert path == "body>article" and html_text.text_at(found, path).split() == ["Title", *lead.split(), *body.split()]
+    quote = html_text.blocks(f"<body><article><p>{lead}</p><blockquote>{body}</blockquote></article></body>")
+    assert html_text.main_path(quote)[0] == "body>article"
+    other = html_text.blocks(f"<body><article>note</article><div class=story>{body}</div></body>")
+    assert html_text.text_at(other, path).split() == ["note", *body.split()]
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "system", '{"tools":[{"name":"f","parameters":{"required":["a"],"properties":{"a":{"type":"integer"}}}}]}', 0),
