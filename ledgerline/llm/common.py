@@ -17,6 +17,18 @@ SLICE_BYTES = 1 << 20
 SLICE_ROWS = 1000
 
 
+def once(key: tuple, make: Callable):
+    """make(), or what it gave to an earlier task of this worker process under
+    this key.  One thing is kept at a time, so workers hold no two operators' tables."""
+    import sys
+
+    held = sys.__dict__.get("_ledgerline_kept")
+    if held is None or held[0] != key:
+        sys.__dict__["_ledgerline_kept"] = held = None  # the old one goes first
+        sys.__dict__["_ledgerline_kept"] = held = (key, make())
+    return held[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -187,7 +199,7 @@ def n_blocks(docs: DataFrame, block_bytes: int, column: str = "text") -> int:
 
 
 def block_of(key: str, blocks: int):
-    """Block of a row, dealt by a hash of its key: no key fills a block of its own."""
+    """Block of a row, dealt by a hash of its key."""
     return F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
 
 
@@ -239,7 +251,23 @@ def with_lookups(docs: DataFrame, lookups: DataFrame, blocks: int, apply: Callab
             while (piece := peek()) is not None and piece[:2] == (block, 1):  # what apply left
                 held.pop()
 
-    return a.unionByName(b).repartition(blocks, "block").sortWithinPartitions("block", "_kind").mapInArrow(run, schema)
+    return a.unionByName(b).repartitionById(blocks, "block").sortWithinPartitions("block", "_kind").mapInArrow(run, schema)
+
+
+def freed(run: Callable) -> Callable:
+    """run, with a worker's unused memory given back when its task ends."""
+
+    def whole(*args) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        yield from run(*args)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library
+            pass
+
+    return whole
 
 
 # --- connected components ---------------------------------------------------

@@ -23,8 +23,9 @@ byte strings of LOW + 1 bytes, not by the corpus.
 
 Defined cases: null texts are empty, an empty text is the end mark alone; a
 null doc_id is held out of training; rows that repeat train and score each;
-no training rows: every byte has the same probability, the base is that of an
-empty vocabulary; extra columns are ignored.
+very long texts are scored whole, in slices; no training rows: every byte has
+the same probability, the base is that of an empty vocabulary; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, block_of, drop_saved, long_array, mix, n_blocks, saved, slices, small_batches, table, with_lookups, word_slices
+from .common import U64, Hasher, block_of, drop_saved, freed, long_array, mix, n_blocks, saved, slices, small_batches, table, with_lookups, word_slices
 
 ORDER = 6
 LOW = 2
@@ -44,7 +45,9 @@ BLOCK_BYTES = 16 << 20
 START, END = 0xFE, 0xFF
 #: (context, byte) pairs a row of the scratch tables holds at most, and pairs a task holds before it writes them.
 CHUNK = 1 << 13
-HELD = 1 << 22
+HELD = 1 << 21
+#: Buckets of pairs for each block of texts: one bucket's pairs are in a worker's memory at once.
+BUCKETS = 4
 SYMBOLS = 257 - 2
 #: A pair's bytes, and blocks that a mark above them tells apart.
 PAIR = U64((1 << 8 * (ORDER + 1)) - 1)
@@ -154,7 +157,7 @@ def _counts(buckets: int):
                 row = np.repeat(np.arange(n), np.diff(at)) + first
                 words.append((block[row], hashes, (~out_of[row]).astype(np.int64)))
                 size += len(hashes)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield word_rows()
                     words, size = [], 0
             for b in np.unique(block):
@@ -219,34 +222,6 @@ def _codes(low):
     return run
 
 
-def _totals(batches):
-    """Of rows sorted by word, each row's total count; one row a word is marked."""
-    tail = None
-    names = ["block", "h", "c", "mark"]
-
-    def out(block, h, k):
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        total = np.repeat(np.add.reduceat(k, first), np.diff(np.append(first, len(h))))
-        mark = np.zeros(len(h), np.int32)
-        mark[first] = 1
-        keep = total > 0
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (block, h, total, mark)], names)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy() for i in range(3)]
-        if tail is not None:
-            cols = [np.concatenate(x) for x in zip(tail, cols)]
-        # A word has a row for each part of the input and block at most.
-        start = int(np.searchsorted(cols[1], cols[1][-1], "left"))
-        tail = [x[start:] for x in cols]
-        if start:
-            yield out(*(x[:start] for x in cols))
-    if tail is not None:
-        yield out(*tail)
-
-
 class Trie:
     """Code lengths of the byte-context trie, by arrays sorted by key.
 
@@ -323,7 +298,7 @@ class Lookup:
     """A hash table from a block's pairs to their code lengths."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(10, int(len(keys) * 2).bit_length())
+        bits = max(10, int(len(keys) * 3 // 2).bit_length())
         self.shift = U64(64 - bits)
         self.slot_key = np.zeros(1 << bits, dtype=U64)
         self.slot_value = np.zeros(1 << bits, dtype=np.float32)
@@ -399,19 +374,27 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     blocks = n_blocks(docs, BLOCK_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.select(block_of("doc_id", blocks).alias("block"), "doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "text")
-    parts = saved(rows.select("block", "held_out", "text").repartition(blocks, "block").mapInArrow(_counts(blocks), "kind int, block int, key long, k long, keys binary, counts binary"))
+    buckets = BUCKETS * blocks
+    parts = saved(rows.select("block", "held_out", "text").repartitionById(blocks, "block").mapInArrow(freed(_counts(buckets)), "kind int, block int, key long, k long, keys binary, counts binary"))
     words = parts.where("kind = 0").select("block", F.col("key").alias("h"), "k")
-    lookups = saved(words.repartition("h").sortWithinPartitions("h").mapInArrow(_totals, "block int, h long, c long, mark int").groupBy("block", "h").agg(F.max("c").alias("c"), F.max("mark").alias("mark")))
-    seen = lookups.agg(F.coalesce(F.sum("mark"), F.lit(0)).alias("v"), F.coalesce(F.sum(F.when(F.col("mark") == 1, F.col("c"))), F.lit(0)).alias("n")).first()
+    # Summed in two levels, so that a word of all blocks is no task's alone.
+    totals = saved(words.groupBy("h").agg(F.sum("k").alias("c")).where("c > 0"))
+    seen = totals.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    lookups = saved(words.select("block", "h").join(totals, "h").select("block", "h", "c"))
+    drop_saved(totals)
     ends = parts.where("kind = 2").agg(F.sum("k").alias("n")).first()["n"] or 0
     short = parts.where("kind = 3").select("key").distinct().groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1)).alias("key")).agg(F.count("*").alias("k")).toArrow()
     low = spark.sparkContext.broadcast(Trie(short.column("key").to_numpy().view(U64), short.column("k").to_numpy(), top=LOW))
-    pairs = parts.where("kind = 1").select(F.col("key").alias("bucket"), "block", "k", "keys", "counts")
-    codes = saved(pairs.repartition(blocks, "bucket").sortWithinPartitions("bucket").mapInArrow(_codes(low), "block int, k long, keys binary, codes binary"))
+    pairs = parts.where("kind = 1").select(F.col("key").cast("int").alias("bucket"), "block", "k", "keys", "counts")
+    codes = saved(pairs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(freed(_codes(low)), "block int, k long, keys binary, codes binary"))
+    low.destroy()
     drop_saved(parts)
     none = F.lit(None)
     both = lookups.select("block", "h", "c", none.cast("long").alias("k"), none.cast("binary").alias("keys"), none.cast("binary").alias("codes")).unionByName(codes.select("block", none.cast("long").alias("h"), none.cast("long").alias("c"), "k", "keys", "codes"))
-    return with_lookups(rows, both, blocks, _score(ends, seen["n"] + ends, seen["v"] + (ends > 0)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = saved(with_lookups(rows, both, blocks, freed(_score(ends, seen["n"] + ends, seen["v"] + (ends > 0))), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    drop_saved(lookups)
+    drop_saved(codes)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
