@@ -12,18 +12,23 @@ summed evidence gives the score.
 
 labels, lang, source and doc_id never enter a score.  Training rows: labelled
 rows whose crc32(doc_id as text) mod 4 is not 2, at most about FIT_ROWS of
-them, taken by a hash of the doc_id.
+them, taken by a hash of the doc_id.  That sample bounds all that the fit
+holds: a term needs several toxic rows of it, so no feature or term is cut off.
 
 Defined cases: null and empty texts get the score of a text without a match;
-no labelled rows: an empty lexicon and the score 0; null labels or ids don't
-train; a doc_id that repeats in labels counts by its greatest label; extra
-columns are ignored.
+very long texts are read whole, with all their words; no labelled rows: an
+empty lexicon and the score 0; an empty table of documents gives no rows; null
+labels or ids don't train; a doc_id that repeats in labels counts by its
+greatest label, one that repeats in documents trains by each row; rows that
+repeat and ties score alike; extra columns are ignored by the fit and kept by
+score and reject, but for `score` and `predicted`, which score replaces.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -31,20 +36,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import once, small_batches, table
 
-#: Documented bounds of the fit: labelled rows, features counted, terms kept.
+#: Documented bound of the fit: labelled rows.
 FIT_ROWS = 200_000
-FEATURES = 200_000
-TERMS = 2_000
 SUPPORT = 3
 #: Log odds from which a feature is a term.
 ODDS = 2.2
 #: Log likelihood ratio that chance alone does not reach.
 SURPRISE = 13.0
+#: Share of SURPRISE from which a feature is fetched: a word that may stand for its stem.
+NEAR = 0.8
 STEMS = range(4, 9)
 CUT = 0.3
+#: Words on either side that are a match's context, and letters in which a quotation is looked for.
 WINDOW = 6
+QUOTE_LETTERS = 200
 
 TOKEN = re.compile(r"[^\W_]+(?:[@$*!|'’][^\W_]+)*")
 LEET = str.maketrans("013457@$!|", "oieastasii")
@@ -54,8 +61,13 @@ ADDRESSES = frozenset("you your you're youre yourself u ur tu te toi vous du dic
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’", "»": "«"}
 
 
+def normal(token: str) -> str:
+    """A lowered token as a word: letters for the figures and signs that stand for them."""
+    return token if token.isalpha() else token.translate(LEET)
+
+
 def words_of(text: str) -> list[str]:
-    return [w.translate(LEET) if not w.isalpha() else w for w in TOKEN.findall(text.lower()) if not w.isdigit()]
+    return [normal(w) for w in TOKEN.findall(text.lower()) if not w.isdigit()]
 
 
 def features_of(words: set[str]) -> set[str]:
@@ -181,8 +193,8 @@ class Automaton:
 
 
 def quoted(text: str, at: int) -> bool:
-    """Whether an opened quotation of at most 200 letters holds the place."""
-    before, after = text[max(0, at - 200) : at], text[at : at + 200]
+    """Whether a quotation holds the place that opens and closes within QUOTE_LETTERS of it."""
+    before, after = text[max(0, at - QUOTE_LETTERS) : at], text[at : at + QUOTE_LETTERS]
     for a, b in QUOTES.items():
         if a == b:
             if before.count(a) % 2 and b in after:
@@ -193,37 +205,54 @@ def quoted(text: str, at: int) -> bool:
 
 
 class Matcher:
-    """Matches of a text, with the factor of their context; keeps what words gave."""
+    """Matches of a text, with the factor of their context.
+
+    Stretches without white space in which nothing matches are remembered, so
+    that a text is mostly a difference of sets; once there are LIMIT of them,
+    new ones are matched anew.
+    """
 
-    LIMIT = 300_000
+    LIMIT = 600_000
 
     def __init__(self, terms: list[str]) -> None:
         self.automaton = Automaton(terms)
-        self.known: dict[str, tuple[int, int] | None] = {}
+        self.dull: set[str] = set()
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def token(self, w: str) -> tuple[int, int] | None:
+        if w in self.known:
+            return self.known[w]
+        hit = None if w.isdigit() else self.automaton.match(normal(w))
+        if hit is not None:
+            if len(self.known) > self.LIMIT:
+                self.known.clear()
+            self.known[w] = hit
+        return hit
 
     def hits(self, text: str) -> list[tuple[int, int, float]]:
-        words = words_of(text)
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        known, found = self.known, {}
-        for w in set(words):
-            if w not in known:
-                known[w] = self.automaton.match(w)
-            if known[w] is not None:
-                found[w] = known[w]
+        low = text.lower()  # places are those of the lowered text, which may be longer
+        found = {}
+        for stretch in set(low.split()).difference(self.dull):
+            mine = {w: hit for w in TOKEN.findall(stretch) if (hit := self.token(w)) is not None}
+            if mine:
+                found.update(mine)
+            elif len(self.dull) < self.LIMIT:
+                self.dull.add(stretch)
         if not found:
             return []
-        places = [m.start() for m in TOKEN.finditer(text.lower()) if not m.group().isdigit()]
+        tokens = [w for w in TOKEN.findall(low) if not w.isdigit()]
+        starts = [m.start() for m in TOKEN.finditer(low) if not m.group().isdigit()] if any(q in low for q in QUOTES) else None
         out = []
-        for i, w in enumerate(words):
+        for i, w in enumerate(tokens):
             if w in found:
-                near = set(words[max(0, i - WINDOW) : i + WINDOW + 1])
+                near = set(map(normal, tokens[max(0, i - WINDOW) : i + WINDOW + 1]))
+                reported = not near.isdisjoint(REPORTS)
                 factor = 1.0
-                if quoted(text, places[i]):
-                    factor = 0.25 if near & REPORTS else 0.5
-                elif near & REPORTS:
+                if starts and quoted(low, starts[i]):
+                    factor = 0.25 if reported else 0.5
+                elif reported:
                     factor = 0.7
-                elif near & ADDRESSES:
+                elif not near.isdisjoint(ADDRESSES):
                     factor = 1.25
                 out.append((*found[w], factor))
         return out
@@ -268,8 +297,7 @@ def choose(counts: dict[str, tuple[int, int]], p: int, n: int) -> dict[str, tupl
         if counts.get(word, (0, 0))[0] >= 0.9 * kept[f][0]:
             del kept[f]
             kept[word] = counts[word]
-    ranked = sorted(kept, key=lambda f: (-kept[f][0] * odds(*kept[f], p, n), f))
-    return {f: kept[f] for f in ranked[:TERMS]}
+    return {f: kept[f] for f in sorted(kept)}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -285,36 +313,42 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-def _positive(batches):
-    counts: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(features_of(set(words_of(text.as_py() or ""))))
-        if len(counts) > 500_000:
-            yield _counted(counts)
-            counts.clear()
-    yield _counted(counts)
+def _counter(wanted=None):
+    """Rows of each feature, or of each that is wanted, that a part of the input holds."""
 
-
-def _counted(counts: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["feature", "k"])
-
-
-def _negative(wanted):
     def run(batches):
         counts: Counter = Counter()
-        names = wanted.value
+        names = wanted.value if wanted else None
+        dull: set[str] = set()
         for batch in batches:
             for text in batch.column(0):
-                counts.update(features_of(set(words_of(text.as_py() or ""))) & names)
+                words = set(words_of(text.as_py() or ""))
+                if wanted:
+                    found: set[str] = set()
+                    for w in words - dull:
+                        mine = features_of({w}) & names
+                        if mine:
+                            found |= mine
+                        elif len(dull) < Matcher.LIMIT:
+                            dull.add(w)
+                    counts.update(found)
+                else:
+                    counts.update(features_of(words))
+                if len(counts) > 500_000:
+                    yield _counted(counts)
+                    counts.clear()
         yield _counted(counts)
 
     return run
 
 
-def _train_hits(model):
+def _counted(counts: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["feature", "k"])
+
+
+def _train_hits(model, name: str):
     def run(batches):
-        matcher = Matcher(model.value)
+        matcher = once(("terms", name), lambda: Matcher(model.value))
         for batch in batches:
             found = [matcher.hits(t.as_py() or "") for t in batch.column(0)]
             kinds = [[[t, e, int(round(f * 100))] for e, t, f in h] for h in found]
@@ -324,32 +358,43 @@ def _train_hits(model):
     return run
 
 
+def least_support(p: int, n: int) -> int:
+    """So many toxic rows a feature needs: with fewer its surprise is too low even without others."""
+    return max(SUPPORT, math.ceil(NEAR * SURPRISE / -math.log(p / (p + n))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """Terms, their weights and the logistic model; a few thousand numbers."""
+    """Terms, their weights and the logistic model; a few thousand numbers.
+
+    The sampled labels are few enough to be broadcast, so texts are never
+    shuffled: each pass reads the documents and keeps the labelled ones.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     sc = spark.sparkContext
     train = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     train = train.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
-    share = min(1.0, fit_rows / max(1, sizes["n"]))
-    if share < 1.0:
-        train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(train, "doc_id").select("text", "toxic").persist()
-    try:
-        p, n = rows.where("toxic = 1").count(), rows.where("toxic = 0").count()
-        if not p or not n:
-            return {"terms": [], "exact": [], "fuzzy": [], "w": None}
-        pos = rows.where("toxic = 1").select("text").mapInArrow(_positive, "feature string, k long").groupBy("feature").agg(F.sum("k").alias("k"))
-        pos = {r[0]: r[1] for r in pos.where(F.col("k") >= SUPPORT).orderBy(F.desc("k"), "feature").limit(FEATURES).collect()}
-        wanted = sc.broadcast(frozenset(pos))
-        neg = rows.where("toxic = 0").select("text").mapInArrow(_negative(wanted), "feature string, k long").groupBy("feature").agg(F.sum("k").alias("k")).collect()
-        neg = {r[0]: r[1] for r in neg}
-        counts = choose({f: (k, neg.get(f, 0)) for f, k in pos.items()}, p, n)
-        terms = list(counts)
-        found = rows.select("text", "toxic").mapInArrow(_train_hits(sc.broadcast(terms)), "toxic int, hits array<int>").collect()
-    finally:
-        rows.unpersist()
+    size = train.count()
+    if size > fit_rows:
+        train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(fit_rows / size * 1_000_000))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(train), "doc_id").select("text", "toxic")
+    sizes = {r["toxic"]: r["k"] for r in rows.groupBy("toxic").agg(F.count("*").alias("k")).collect()}
+    p, n = sizes.get(1, 0), sizes.get(0, 0)
+    if not p or not n:
+        return {"terms": [], "name": "", "exact": [], "fuzzy": [], "w": None}
+
+    def counted(toxic: int, wanted=None) -> DataFrame:
+        return rows.where(F.col("toxic") == toxic).select("text").mapInArrow(_counter(wanted), "feature string, k long").groupBy("feature").agg(F.sum("k").alias("k"))
+
+    pos = {r[0]: r[1] for r in counted(1).where(F.col("k") >= least_support(p, n)).collect()}
+    wanted = sc.broadcast(frozenset(pos))
+    neg = {r[0]: r[1] for r in counted(0, wanted).collect()}
+    wanted.destroy()
+    counts = choose({f: (k, neg.get(f, 0)) for f, k in pos.items()}, p, n)
+    terms, name = list(counts), uuid.uuid4().hex
+    lexicon = sc.broadcast(terms)
+    found = rows.mapInArrow(_train_hits(lexicon, name), "toxic int, hits array<int>").collect()
+    lexicon.destroy()
     exact = [odds(*counts[t], p, n) for t in terms]
     hits = [(r[0], [(h[i + 1], h[i], h[i + 2] / 100) for i in range(0, len(h), 3)]) for r in found for h in [r[1]]]
     near = np.zeros((len(terms), 2))
@@ -366,13 +411,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         y.append(label)
     order = np.lexsort((y, *np.array(x).T))
     w = logistic(np.array(x)[order], np.array(y, dtype=float)[order])
-    return {"terms": terms, "exact": exact, "fuzzy": fuzzy, "w": w.tolist()}
+    return {"terms": terms, "name": name, "exact": exact, "fuzzy": fuzzy, "w": w.tolist()}
+
 
+def _score(model, reject: bool = False):
+    """Rows with their score after the text's other columns, or the rows that are not toxic."""
 
-def _score(model, names: list[str]):
     def run(batches):
         m = model.value
-        matcher = Matcher(m["terms"])
+        matcher = once(("terms", m["name"]), lambda: Matcher(m["terms"]))
         for batch in batches:
             scores = []
             for text in batch.column(batch.num_columns - 1):
@@ -382,22 +429,30 @@ def _score(model, names: list[str]):
                 top, total = evidence(matcher.hits(text.as_py() or ""), m["exact"], m["fuzzy"])
                 z = m["w"][0] * top + m["w"][1] * total + m["w"][2]
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(scores, pa.float64())], [*names, "score"])
+            kept, names = batch.columns[:-1], batch.schema.names[:-1]
+            if reject:
+                yield pa.RecordBatch.from_arrays(kept, names).filter(pa.array([x < CUT for x in scores], pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], [*names, "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """keep, score (0 to 1), predicted of each row's text."""
+def _scored(docs: DataFrame, model: dict, keep: list[str], reject: bool) -> DataFrame:
     small_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     rows = docs.select(*keep, F.col("text").alias("_scored"))
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), keep), f"{fields}, score double").withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), reject), fields if reject else f"{fields}, score double")
+
+
+def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+    """keep, score (0 to 1), predicted of each row's text."""
+    return _scored(docs, model, [c for c in keep if c not in ("score", "predicted")], False).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic."""
-    return score(docs, fit(docs, labels), docs.columns).where("predicted = 0").select(*docs.columns)
+    return _scored(docs, fit(docs, labels), docs.columns, True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
