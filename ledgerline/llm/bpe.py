@@ -1,22 +1,30 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-A text falls into pre-tokens by the tokenizer's pattern.  A pre-token longer
-than LONG bytes is cut into leaves, the leaves are encoded in parallel, and
-neighbours are joined up a tree: a window of tokens around the join is encoded
-anew and grows until its first token is the left side's and its last token the
-right side's own.  A byte-level BPE encoding is right exactly if each pair of
-neighbouring tokens is what their joined bytes encode to, and all pairs inside
-the window and outside it are, so the joined sequence is the whole encoding.
-
-Defined cases: a null text is empty; an empty text has no tokens; the text of
-a special token in a document is that token; rows that repeat are encoded
-each; extra columns are kept as they are by encode_documents.
+A long text is encoded before it is split: it is cut into leaves at any letter,
+the leaves are encoded in parallel, and neighbours are joined up a tree.  At
+each join a window around it is encoded anew; it grows until both its ends are
+places that no pre-token crosses (a space after a letter that is none) and
+where either side's own tokens end.  What lies outside such a window does not
+depend on what lies inside, so the joined sequence is the whole encoding.
+
+A pre-token of over LONG bytes, which has no such place, is a tree of its own:
+leaves of bytes, and a window of tokens around the join grows until its first
+token is the left side's and its last the right side's own.  A byte-level BPE
+encoding is right exactly if each pair of neighbouring tokens is what their
+joined bytes encode to, and all pairs inside the window and outside it are.
+
+Defined cases: a null text is empty; an empty text has no tokens; very long
+texts go through the tree whole; the text of a special token in a document is
+that token, also where a leaf ends inside it; rows that repeat are encoded
+each; an empty table gives no rows; extra columns named in `keep` are kept as
+they are, but for n_tokens, ids_sha256 and decoded_sha256, which are replaced.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -32,12 +40,16 @@ SPECIAL = {"<|endoftext|>": 50256}
 #: Bytes of a pre-token from which it is cut, and of a leaf.
 LONG = 4096
 LEAF = 1024
+#: Letters of a text from which it is cut, and of a leaf; letters of a join's first window.
+LONG_TEXT = 16384
+TEXT_LEAF = 8192
+WINDOW = 64
 
 
 class Codec:
     """One tokenizer of a process."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, long: int = LONG, leaf: int = LEAF) -> None:
+    def __init__(self, vocabulary: str = VOCABULARY, long: int = LONG, leaf: int = LEAF, long_text: int = LONG_TEXT, text_leaf: int = TEXT_LEAF) -> None:
         import public_tokenizers
         import regex
         import tiktoken
@@ -52,8 +64,11 @@ class Codec:
             self.bytes[i] = b
         for s, i in SPECIAL.items():
             self.bytes[i] = s.encode()
-        self.long, self.leaf = long, leaf
-        self.pool = ThreadPoolExecutor(2)
+        self.sizes = np.array([len(b) for b in self.bytes])
+        self.border = re.compile(r"(?<=\S)[ \t\n\r]")
+        self.long, self.leaf, self.long_text, self.text_leaf = long, leaf, long_text, text_leaf
+        # Texts' threads wait for pre-tokens' threads, so they are not the same.
+        self.texts, self.pool = ThreadPoolExecutor(2), ThreadPoolExecutor(2)
 
     def piece(self, data: bytes) -> list[int]:
         return self.encoding._core_bpe.encode_single_piece(data)
@@ -82,6 +97,36 @@ class Codec:
 
     def encode(self, text: str, unsplit: bool = True) -> np.ndarray:
         """Ids of a text.  unsplit: it may hold a long pre-token."""
+        if len(text) <= self.long_text:
+            return self.flat(text, unsplit)
+        level = [text[i : i + self.text_leaf] for i in range(0, len(text), self.text_leaf)]
+        level = list(zip(level, self.texts.map(lambda t: self.flat(t, unsplit), level)))
+        while len(level) > 1:
+            pairs = [(level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
+            level = list(self.texts.map(lambda p: self.concatenated(*p, unsplit), pairs)) + level[len(pairs) * 2 :]
+        return level[0][1]
+
+    def concatenated(self, left: tuple[str, np.ndarray], right: tuple[str, np.ndarray], unsplit: bool) -> tuple[str, np.ndarray]:
+        """Text and ids of two neighbours that are encoded each."""
+        (a, ids_a), (b, ids_b) = left, right
+        w = WINDOW
+        while True:
+            tail = a[-w:]
+            lo = max((m.start() for m in self.border.finditer(tail)), default=None)
+            lo = 0 if w >= len(a) else None if lo is None else len(a) - len(tail) + lo
+            found = self.border.search(b, 0, w)
+            hi = len(b) if w >= len(b) else found.start() if found else None
+            if lo is not None and hi is not None:
+                # Tokens from the window's start on in the left side, and up to its end in the right.
+                from_end = np.cumsum(self.sizes[ids_a[::-1]])
+                from_start = np.cumsum(self.sizes[ids_b])
+                gone, done = len(a[lo:].encode()), len(b[:hi].encode())
+                i, j = (int(np.searchsorted(x, n)) + 1 if n else 0 for x, n in ((from_end, gone), (from_start, done)))
+                if (not i or from_end[i - 1] == gone) and (not j or from_start[j - 1] == done):
+                    return a + b, np.concatenate([ids_a[: len(ids_a) - i], self.flat(a[lo:] + b[:hi], unsplit), ids_b[j:]])
+            w *= 2
+
+    def flat(self, text: str, unsplit: bool) -> np.ndarray:
         if not unsplit:
             return self.encoding.encode_to_numpy(text, allowed_special="all")
         out: list[int] = []
@@ -131,8 +176,9 @@ def _encode(names: list[str], at: int, vocabulary: str):
 def encode_documents(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """keep, n_tokens, ids_sha256, decoded_sha256 of each row's text."""
     small_batches(docs.sparkSession, 500)
+    keep = [c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return rows.mapInArrow(_encode(list(keep), rows.columns.index("text"), vocabulary), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
