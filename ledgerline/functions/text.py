@@ -36,7 +36,7 @@ GENERATED_SUFFIXES = (".min.js", ".min.css", ".map", ".pb.go", "_pb2.py", "_pb2_
 GENERATED = r"(?i)(^|/)(dist|build|generated|__generated__|migrations|snapshots|__snapshots__|fixtures|testdata|vendored|gen)(/|$)"
 BULLET = r"(?m)^\s*(?:[-*+]|\d+[.)])\s+\S"
 WORD = r"([A-Za-z][A-Za-z0-9_']*)"
-BUGFIX = r"(?i)^(?:fix|bugfix|hotfix|patch)(?:\(|:|!)|\bfix(?:e[sd])?\b"
+BUGFIX = r"(?i)^(?:fix|bugfix|hotfix|patch)(?:\(|:|!)|(?<!\w)\bfix(?:e[sd])?\b"
 FEATURE = r"(?i)^(?:feat|feature)(?:\(|:|!)|\b(?:add|implement|introduce)\b"
 PRECISE_TERMS = {"claude": r"\bclaude\b", "copilot": r"\bcopilot\b", "chatgpt": r"\bchatgpt\b", "gpt": r"\bgpt-?[34o]\b", "tabnine": r"\btabnine\b", "codeium": r"\bcodeium\b", "ai_generic": r"\bai[- ]generated\b|\bwith ai\b|\busing ai\b"}
 AMBIGUOUS_TERMS = {"cursor": r"\bcursor\b", "cody": r"\bcody\b", "windsurf": r"\bwindsurf\b", "aider": r"\baider\b"}

@@ -1,64 +1,88 @@
-"""The largest upward step of a series, and how often chance makes one."""
+"""The largest upward step of a series, and how often chance makes one.
+
+An entity's series is an array in order of months, collected once; splits and
+shuffles are array expressions over it, so nothing is shuffled again.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CP_EFFECT, CP_MARGIN, CP_MIN, CP_P, CP_PERMS, CP_TRIM
 
 
-def best_split(rows: DataFrame, keys: list[str], value: str, order: str = "t", trim: int = CP_TRIM, least: int = CP_MIN, margin: int = CP_MARGIN) -> DataFrame:
-    """For each entity the split i with the largest mean after minus mean
-    before, the first on ties; the last `trim` months of all are left out."""
-    last = rows.agg(F.max(order).alias("_last"))
-    x = rows.crossJoin(F.broadcast(last)).where(F.col(order) <= F.col("_last") - trim).where(F.col(value).isNotNull())  # one row
-    w = Window.partitionBy(*keys)
-    before = w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    v = F.col(value).cast("double")
-    x = x.select(*keys, order, v.alias("v"), F.coalesce(F.sum(v).over(before), F.lit(0.0)).alias("s"), F.count("*").over(before).alias("i"), F.sum(v).over(w).alias("total"), F.count("*").over(w).alias("n"))
-    inner = (F.col("n") >= least) & (F.col("i") >= margin) & (F.col("i") < F.col("n") - margin)
-    gap = F.when(inner, (F.col("total") - F.col("s")) / (F.col("n") - F.col("i")) - F.col("s") / F.col("i"))
-    x = x.where(F.col("n") >= least).withColumn("gap", gap)
-    best = F.max_by(F.struct("gap", F.col("i").alias("at"), F.col(order).alias("bt")), F.when(F.col("gap").isNotNull(), F.struct(F.round("gap", 9), -F.col("i")))).over(w)
-    x = x.withColumn("b", best).where("b is not null")
-    side = F.col("i") < F.col("b.at")
-    g = x.groupBy(*keys).agg(F.first("b").alias("b"), F.avg(F.when(side, F.col("v"))).alias("before_mean"), F.avg(F.when(~side, F.col("v"))).alias("after_mean"), F.var_samp(F.when(side, F.col("v"))).alias("v1"), F.var_samp(F.when(~side, F.col("v"))).alias("v2"), F.count("*").alias("n_months"))
-    spread = F.sqrt((F.col("v1") + F.col("v2")) / 2)
-    return g.select(*keys, F.col("b.bt").alias("breakpoint_t"), F.col("b.gap").alias("gap"), F.when(spread > 0, F.col("b.gap") / spread).otherwise(0.0).alias("effect_size"), "before_mean", "after_mean", "n_months")
-
-
-def permutation_p(rows: DataFrame, keys: list[str], value: str, order: str = "t", perms: int = CP_PERMS, margin: int = CP_MARGIN, seed: int = 29) -> DataFrame:
-    """M8: share of shuffles whose best gap reaches the series' own, (1 + k) / (1 + perms).
-
-    Each entity has a seed of its own from its keys: the order of entities and
-    partitions changes nothing."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-
-    def top(v):
-        n = v.shape[1]
-        s = np.cumsum(v, axis=1)
-        i = np.arange(margin, n - margin)
-        return ((s[:, -1:] - s[:, i - 1]) / (n - i) - s[:, i - 1] / i).max(axis=1)
-
-    def run(key, pdf):
-        import zlib
-
-        import pandas as pd
-
-        v = pdf.sort_values(order)[value].to_numpy(float)
-        if len(v) < 2 * margin + 1:
-            p = None
-        else:
-            rng = np.random.default_rng([seed, zlib.crc32(repr(tuple(map(str, key))).encode())])
-            own = top(v[None, :])[0]
-            p = (1 + int((top(rng.permuted(np.tile(v, (perms, 1)), axis=1)) >= own - 1e-12).sum())) / (1 + perms)
-        return pd.DataFrame([[*key, p]], columns=[*keys, "perm_p"])
-
-    return rows.where(F.col(value).isNotNull()).select(*keys, order, value).groupBy(*keys).applyInPandas(run, f"{fields}, perm_p double")
+def series(rows: DataFrame, keys: list[str], value: str, trim: int = CP_TRIM, least: int = CP_MIN) -> DataFrame:
+    """keys, v (array of t, ym, v in order of t), n.  The last `trim` months of
+    all entities are left out, then entities of fewer than `least` months."""
+    if "ym" not in rows.columns:
+        rows = rows.withColumn("ym", F.lit(None).cast("string"))
+    fine = rows.where(F.col(value).isNotNull()).select(*keys, F.struct("t", "ym", F.col(value).cast("double").alias("v")).alias("x"))
+    got = fine.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    last = rows.agg(F.max("t").alias("_last"))  # one row
+    cut = got.crossJoin(F.broadcast(last)).withColumn("x", F.filter("x", lambda e: e["t"] <= F.col("_last") - trim))
+    return cut.where(F.size("x") >= least).select(*keys, "x", F.size("x").alias("n"))
+
+
+def gaps(values: str, margin: int) -> str:
+    """For an array of numbers, an array of (gap, -i) for each split i: the mean
+    from i on less the mean before, null beside the margins."""
+    running = f"aggregate({values}, cast(array() as array<double>), (s, e) -> array_append(s, coalesce(try_element_at(s, -1), 0D) + e))"
+    return f"""transform(array({running}), cs -> transform(sequence({margin}, size({values}) - {margin} - 1),
+      i -> named_struct('gap', (cs[size(cs) - 1] - cs[i - 1]) / (size(cs) - i) - cs[i - 1] / i, 'i', -i)))[0]"""
+
+
+def top_gap(values: str, margin: int) -> str:
+    """The largest gap alone, in one walk; tot is the sum of all values."""
+    gap = "(tot - a.s) / (n - a.i) - a.s / a.i"
+    return f"""aggregate({values}, named_struct('s', 0D, 'i', 0, 'b', cast(null as double)),
+      (a, e) -> named_struct('s', a.s + e, 'i', a.i + 1, 'b', if(a.i >= {margin} and a.i < n - {margin}, greatest(a.b, {gap}), a.b)), a -> a.b)"""
+
+
+def best_split(rows: DataFrame, keys: list[str], value: str, trim: int = CP_TRIM, least: int = CP_MIN, margin: int = CP_MARGIN) -> DataFrame:
+    """For each entity the split with the largest gap, the first on ties."""
+    s = series(rows, keys, value, trim, least)
+    return _described(s, keys, margin)
+
+
+def _described(s: DataFrame, keys: list[str], margin: int, *more: str) -> DataFrame:
+    best = F.expr(f"array_max({gaps('transform(x, e -> e.v)', margin)})")
+    s = s.withColumn("b", best).withColumn("i", -F.col("b.i"))
+    s = s.withColumn("l", F.expr("transform(slice(x, 1, i), e -> e.v)")).withColumn("r", F.expr("transform(slice(x, i + 1, n - i), e -> e.v)"))
+    for side in ("l", "r"):
+        s = s.withColumn(f"m{side}", F.expr(f"aggregate({side}, 0D, (a, e) -> a + e) / size({side})"))
+        s = s.withColumn(f"v{side}", F.expr(f"if(size({side}) > 1, aggregate({side}, 0D, (a, e) -> a + (e - m{side}) * (e - m{side})) / (size({side}) - 1), 0D)"))
+    spread = F.sqrt((F.col("vl") + F.col("vr")) / 2)
+    at = F.col("x")[F.col("i")]
+    return s.select(*keys, at["ym"].alias("breakpoint_ym"), at["t"].alias("breakpoint_t"), F.col("b.gap").alias("gap"), F.when(spread > 0, F.col("b.gap") / spread).otherwise(0.0).alias("effect_size"), *more, F.col("ml").alias("before_mean"), F.col("mr").alias("after_mean"), F.col("n").alias("n_months"))
+
+
+def shuffled(keys: list[str]) -> str:
+    """The series' values in the order of a digest of replicate, keys and month."""
+    who = "concat_ws('|', cast(q as string), " + ", ".join(f"cast({k} as string)" for k in keys) + ", cast(e.t as string))"
+    return f"transform(array_sort(transform(x, e -> named_struct('h', md5({who}), 'v', e.v))), e -> e.v)"
+
+
+def detect(rows: DataFrame, keys: list[str], value: str, perms: int = CP_PERMS, trim: int = CP_TRIM, least: int = CP_MIN, margin: int = CP_MARGIN) -> DataFrame:
+    """best_split with perm_p, the share of shuffles of the same series
+    whose best gap reaches its own, (1 + k) / (1 + perms).  A shuffle's order is
+    a digest of its number, the keys and the month: nothing depends on where rows are."""
+    s = series(rows, keys, value, trim, least)
+    chance = f"aggregate(sequence(1, {perms}), 0, (k, q) -> k + if({top_gap(shuffled(keys), margin)} >= own, 1, 0))"
+    s = s.withColumn("tot", F.expr("aggregate(x, 0D, (s, e) -> s + e.v)")).withColumn("own", F.expr(top_gap("transform(x, e -> e.v)", margin)))
+    s = s.withColumn("perm_p", (F.expr(chance) + 1) / F.lit(float(perms + 1)))
+    return _described(s, keys, margin, "perm_p")
+
+
+def permutation_p(rows: DataFrame, keys: list[str], value: str, perms: int = CP_PERMS, margin: int = CP_MARGIN) -> DataFrame:
+    """M8 of whole series: keys and perm_p of those with a split."""
+    return detect(rows, keys, value, perms, 0, 2 * margin + 1, margin).select(*keys, "perm_p")
+
+
+def strong(effect: float = CP_EFFECT, p: float = CP_P) -> Column:
+    return (F.col("effect_size") >= effect) & (F.col("perm_p") < p)
 
 
 def histogram(found: DataFrame, effect: float = CP_EFFECT, p: float = CP_P) -> DataFrame:
-    """Strong breakpoints by month."""
-    return found.where((F.col("effect_size") >= effect) & (F.col("perm_p") < p)).groupBy("breakpoint_t").agg(F.count("*").alias("n_breakpoints"))
+    """Strong breakpoints by calendar month."""
+    return found.where(strong(effect, p)).groupBy("breakpoint_ym").agg(F.count("*").alias("n_breakpoints"))

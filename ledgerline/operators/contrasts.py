@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from ..functions import text as T
 from ..schemas import AI_GROUP, BIG_JUMP, ES_HI, ES_LO, POST_WINDOW, RESID_CLIP, Z95
+from . import resample
+
+
+@F.pandas_udf(DoubleType())
+def two_sided_p(z: pd.Series) -> pd.Series:
+    """M2: 2 (1 - Phi(|z|)), for tables of a few result rows; null stays null."""
+    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
+
+
+def tested(df: DataFrame, coef: str = "slope", se: str = "se") -> DataFrame:
+    """M2: adds z and p; both null where the error is null or zero."""
+    z = F.when(F.col(se) > 0, F.col(coef) / F.col(se))
+    return df.withColumn("z", z).withColumn("p", two_sided_p("z"))
 
 
 def event_study(fitted: DataFrame, lo: int = ES_LO, hi: int = ES_HI) -> DataFrame:
@@ -25,7 +43,7 @@ def simple_ols(df: DataFrame, y: str, x: str, min_n: int = 5) -> DataFrame:
     g = both.agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"))
     se = F.sqrt((F.col("syy") - F.col("b") * F.col("sxy")) / (F.col("n") - 2) / F.col("sxx"))
     ok = F.col("n") >= min_n
-    return g.select("n", F.when(ok, F.col("b")).alias("slope"), F.when(ok, F.col("a")).alias("intercept"), F.when(ok, se).alias("se"))
+    return g.select("n", F.when(ok, F.col("b")).alias("slope"), F.when(ok, F.col("a")).alias("intercept"), F.when(ok, se).alias("se"), F.when(ok, F.col("b") - Z95 * se).alias("ci_lo"), F.when(ok, F.col("b") + Z95 * se).alias("ci_hi"))
 
 
 def clustered_ols(df: DataFrame, y: str, x: str, cluster: str, by: list[str] | None = None, min_n: int = 5) -> DataFrame:
@@ -61,45 +79,104 @@ def before_after(df: DataFrame, keys: list[str], values: dict[str, Column], min_
     return g
 
 
-def heterogeneity(df: DataFrame, keys: list[str], x: str = "post_excess") -> DataFrame:
-    """How the excess spreads within a group."""
+def with_propensity(df: DataFrame, propensity: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their p_ai and label_source, null where there is none."""
+    return df.join(propensity.select(*keys, "p_ai", "label_source"), keys, "left")
+
+
+def heterogeneity(df: DataFrame, within: list[str] | None = None, x: str = "post_excess", group: str = "grp") -> DataFrame:
+    """How the excess spreads within a group, over rows that are not clipped.
+
+    share_clipped is that of all rows of `within` (of all rows, if empty)
+    before the clipped ones go; a group of clipped rows only has n 0.
+    """
+    within = within or []
     e = F.expm1(x)
     free = F.abs(F.col(x)) < RESID_CLIP - 1e-6
-    return df.where(F.col(x).isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.avg((~free).cast("int")).alias("share_clipped"),
-        F.avg((e >= BIG_JUMP).cast("int")).alias("share_big_jump"),
-        F.stddev_samp(e).alias("sd"),
-        F.percentile(e, 0.9).alias("p90"),
-        F.median(e).alias("median"),
-    )
+    of = lambda c: F.when(free, c)
+    g = df.where(F.col(x).isNotNull() & F.col(group).isNotNull()).groupBy(*within, group).agg(
+        F.count("*").alias("_all"), F.count_if(free).alias("n"),
+        F.avg(of((e >= BIG_JUMP).cast("int"))).alias("share_big_jump"), F.stddev_samp(of(e)).alias("sd"), F.percentile(of(e), 0.9).alias("p90"), F.median(of(e)).alias("median"),
+    )
+    w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    clipped = F.sum(F.col("_all") - F.col("n")).over(w) / F.sum("_all").over(w)
+    return g.withColumn("share_clipped", clipped).select(*within, group, "n", "share_clipped", "share_big_jump", "sd", "p90", "median")
+
+
+def top_gainers(df: DataFrame, n: int = 25, x: str = "post_excess") -> DataFrame:
+    """The n rows of largest excess that is not clipped, ties by repo_id and dev."""
+    free = df.where(F.col("p_ai").isNotNull() & (F.abs(F.col(x)) < RESID_CLIP - 1e-6))
+    return free.select("repo_id", "dev", "p_ai", "label_source", F.round(F.expm1(x), 3).alias("pct_excess")).orderBy(F.desc("pct_excess"), "repo_id", "dev").limit(n)
+
+
+def percent_by_group(df: DataFrame, pre: str, post: str, key: Column, by: list[str] | None = None, n: int = 2000, seed: int = 11) -> DataFrame:
+    """Means before and after by group, the change in percent and its interval."""
+    by = by or ["grp"]
+    rows = df.where(F.col(by[-1]).isNotNull())
+    g = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(pre).alias("mean_pre"), F.avg(post).alias("mean_post"))
+    g = g.withColumn("pct_change", F.when(F.col("mean_pre") != 0, 100 * (F.col("mean_post") - F.col("mean_pre")) / F.col("mean_pre")))
+    ci = resample.bootstrap(rows, by, pre, post, key, n, seed).select(*by, F.col("lo").alias("pct_change_lo"), F.col("hi").alias("pct_change_hi"))
+    return g.join(ci, by, "left")
+
+
+def difference_by_group(df: DataFrame, pre: str, post: str, key: Column, by: list[str] | None = None, n: int = 2000, seed: int = 17) -> DataFrame:
+    """Differences of the groups' means (with interval) and of their medians."""
+    by = by or ["grp"]
+    rows = df.where(F.col(by[-1]).isNotNull() & F.col(pre).isNotNull() & F.col(post).isNotNull())
+    g = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(pre).alias("mean_pre"), F.avg(post).alias("mean_post"), F.median(pre).alias("median_pre"), F.median(post).alias("median_post"), F.avg((F.col(post) > F.col(pre)).cast("int")).alias("share_up"))
+    g = g.withColumn("mean_diff", F.col("mean_post") - F.col("mean_pre")).withColumn("median_diff", F.col("median_post") - F.col("median_pre"))
+    ci = resample.bootstrap(rows, by, pre, post, key, n, seed, percent=False).select(*by, F.col("lo").alias("mean_diff_lo"), F.col("hi").alias("mean_diff_hi"))
+    return g.join(ci, by, "left")
+
+
+def by_tier(dose: DataFrame, tiers: DataFrame, keys: list[str], schemes: tuple[str, ...] = ("tier_relative", "tier_absolute")) -> DataFrame:
+    """Rows once for each scheme, with its name and the row's tier; rows without one go."""
+    long = tiers.select(*keys, F.explode(F.array(*(F.struct(F.lit(s).alias("scheme"), F.col(s).alias("tier")) for s in schemes))).alias("_s")).select(*keys, "_s.*")
+    return dose.join(long, keys)
+
+
+def tier_slopes(dose: DataFrame, tiers: DataFrame, y: str = "post_excess", x: str = "p_ai", cluster: str = "repo_id") -> DataFrame:
+    """The clustered slope within each tier of both schemes."""
+    return clustered_ols(by_tier(dose, tiers, ["repo_id", "dev"]), y, x, cluster, ["scheme", "tier"])
+
+
+def placebo_rows(df: DataFrame, anchor: str, placebo_anchor: str) -> DataFrame:
+    """rows before the anchor, with t about another one before it."""
+    return df.where(F.col("ym") < anchor).withColumn("t", T.ym_ord(F.col("ym")) - T.anchor_ord(placebo_anchor))
 
 
 def pooled_interaction(panel: DataFrame) -> DataFrame:
-    """Pooled regression of log churn a developer on post, suitability,
-    their product, t, age and age squared, clustered by repository.
+    """Pooled regression of log churn a developer on post, suitability
+    (centred), their product, t, age (centred, in months) and its square,
+    clustered by repository.  Under 30 rows give none.
 
     The Gram matrix of seven terms is one aggregation of 28 sums, the scores
-    one by repository; only these 7 x 7 sums reach the driver.
+    one by repository; only these 7 x 7 sums reach the driver.  Sums are over
+    terms scaled to like sizes; coefficients are in the terms' own units.  Terms
+    that the others give (t and age, where all repositories start together) share
+    the least-norm solution of the unscaled terms.
     """
-    import math
-
     import numpy as np
-    from pyspark.sql import Window
 
     names = ["const", "post", "suitability", "post_x_suitability", "t", "age", "age_sq"]
+    schema = "term string, coef double, se double, z double, ci_lo double, ci_hi double, p double"
     w = Window.partitionBy("repo_id")
-    x = panel.withColumn("post", (F.col("t") >= 0).cast("double")).withColumn("age", (F.col("t") - F.min("t").over(w)).cast("double")).withColumn("y", F.log1p("cpd"))
-    means = x.agg(F.avg("suitability").alias("s"), F.avg("age").alias("a"), F.avg("t").alias("t"), F.count("*").alias("n")).first()
+    x = panel.where(F.col("suitability").isNotNull()).withColumn("post", (F.col("t") >= 0).cast("double")).withColumn("age", (F.col("t") - F.min("t").over(w)).cast("double")).withColumn("y", F.log1p("cpd"))
+    means = x.agg(F.avg("suitability").alias("s"), F.avg("age").alias("a"), F.count("*").alias("n")).first()
     if not means["n"] or means["n"] < 30:
-        return panel.sparkSession.createDataFrame([], "term string, coef double, se double, z double, ci_lo double, ci_hi double, p double")
-    sc, ac = F.col("suitability") - means["s"], (F.col("age") - means["a"]) / 12
-    terms = [F.lit(1.0), F.col("post"), sc, F.col("post") * sc, (F.col("t") - means["t"]) / 12, ac, ac * ac]
-    x = x.select("repo_id", "y", *(c.cast("double").alias(f"x{i}") for i, c in enumerate(terms)))
+        return panel.sparkSession.createDataFrame([], schema)
+    scale = np.array([1.0, 1.0, 1.0, 1.0, 64.0, 64.0, 4096.0])  # powers of two: exact
+    sc, ac = F.col("suitability") - means["s"], F.col("age") - means["a"]
+    terms = [F.lit(1.0), F.col("post"), sc, F.col("post") * sc, F.col("t"), ac, ac * ac]
+    x = x.select("repo_id", "y", *((c.cast("double") / float(f)).alias(f"x{i}") for i, (c, f) in enumerate(zip(terms, scale))))
     gram = x.agg(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}{j}") for i in range(7) for j in range(i, 7)), *(F.sum(F.col(f"x{i}") * F.col("y")).alias(f"r{i}") for i in range(7))).first()
     g = np.array([[gram[f"g{min(i, j)}{max(i, j)}"] for j in range(7)] for i in range(7)])
     inv = np.linalg.pinv(g, rcond=1e-12, hermitian=True)
     beta = inv @ np.array([gram[f"r{i}"] for i in range(7)])
+    # Of all solutions the least in the terms' own units: what moves along the null space goes.
+    values, vectors = np.linalg.eigh(g)
+    null = vectors[:, values <= 1e-12 * values.max()] / scale[:, None]
+    project = np.eye(7) - null @ np.linalg.pinv(null) if null.shape[1] else np.eye(7)
     u = F.col("y")
     for i, b in enumerate(beta):
         u = u - float(b) * F.col(f"x{i}")
@@ -107,6 +184,15 @@ def pooled_interaction(panel: DataFrame) -> DataFrame:
     meat = score.agg(F.count("*").alias("g"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}{j}") for i in range(7) for j in range(i, 7))).first()
     m = np.array([[meat[f"m{min(i, j)}{max(i, j)}"] for j in range(7)] for i in range(7)])
     n, k, c = means["n"], 7, meat["g"]
-    se = np.sqrt(np.maximum(np.diag(inv @ m @ inv), 0) * (c / max(c - 1, 1)) * (n - 1) / (n - k))
+    turn = project @ np.diag(1 / scale)
+    cov = turn @ inv @ m @ inv @ turn.T * (c / max(c - 1, 1)) * (n - 1) / (n - k)
+    beta, se = turn @ beta, np.sqrt(np.maximum(np.diag(cov), 0))
     rows = [(t, float(b), float(e), float(b / e) if e else None, float(b - Z95 * e), float(b + Z95 * e), math.erfc(abs(b / e) / math.sqrt(2)) if e else None) for t, b, e in zip(names, beta, se)]
-    return panel.sparkSession.createDataFrame(rows, "term string, coef double, se double, z double, ci_lo double, ci_hi double, p double")
+    return panel.sparkSession.createDataFrame(rows, schema)
+
+
+def management_kpi(panel: DataFrame) -> DataFrame:
+    """Lines added a developer-month before and after, as an index and in percent."""
+    x = F.col("ins") / F.col("devs")
+    k = panel.agg(F.avg(F.when(F.col("t") < 0, x)).alias("pre"), F.avg(F.when(F.col("t") >= 0, x)).alias("post"))
+    return k.withColumn("index", F.when(F.col("pre") != 0, 100 * F.col("post") / F.col("pre"))).withColumn("pct", F.col("index") - 100)

@@ -1,88 +1,79 @@
 """Trends fitted before the anchor, and what comes after in excess of them.
 
-Fits are Gram sums and closed forms in column expressions: one aggregation a
-fit, no Python.  A fit's rows are those with t < 0.
+A fit's rows are those with t < 0.  One aggregation by entity has both the
+sums of the fit and the entity's rows (its months, a bounded number), which are
+exploded again once the fit is solved: the input is read once.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
 from ..schemas import DEV_MIN_POST, DEV_MIN_PRE, MIN_PRE, RESID_CLIP
 
 
+def _rows(df: DataFrame, keys: list[str], *more: Column) -> Column:
+    return F.collect_list(F.struct(*(F.col(c) for c in df.columns if c not in keys), *more)).alias("_rows")
+
+
+def _unrolled(fit: DataFrame, df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """Rows of the entities of a fit, with what is in excess of value."""
+    out = fit.select(*keys, *(c for c in fit.columns if c.startswith("_") and c != "_rows"), F.inline("_rows"))
+    out = out.withColumn("resid", T.clip(F.col("_ly") - value, RESID_CLIP)).withColumn("pct_excess", F.expm1("resid"))
+    return out.select(*df.columns, "resid", "pct_excess")
+
+
 def two_parameter(df: DataFrame, keys: list[str], y: Column, min_pre: int = DEV_MIN_PRE, min_post: int = DEV_MIN_POST) -> DataFrame:
     """log1p(y) on 1 and t by key; adds resid (clipped) and pct_excess."""
     ly = F.log1p(y)
+    pre = F.col("t") < 0
     fit = (
         df.groupBy(*keys)
         .agg(
-            F.regr_slope(F.when(F.col("t") < 0, ly), F.when(F.col("t") < 0, F.col("t"))).alias("_b"),
-            F.avg(F.when(F.col("t") < 0, ly)).alias("_my"),
-            F.avg(F.when(F.col("t") < 0, F.col("t"))).alias("_mt"),
-            F.count_if(F.col("t") < 0).alias("_pre"),
-            F.count_if(F.col("t") >= 0).alias("_post"),
+            F.regr_slope(F.when(pre, ly), F.when(pre, F.col("t"))).alias("_b"),
+            F.avg(F.when(pre, ly)).alias("_my"),
+            F.avg(F.when(pre, F.col("t"))).alias("_mt"),
+            F.count_if(pre).alias("_pre"),
+            F.count_if(~pre).alias("_post"),
+            _rows(df, keys, ly.alias("_ly")),
         )
         .where((F.col("_pre") >= min_pre) & (F.col("_post") >= min_post))
         # A single pre-period month value has no slope: the least-norm fit is flat there.
         .withColumn("_b", F.coalesce("_b", F.lit(0.0)))
     )
-    resid = T.clip(ly - (F.col("_my") + F.col("_b") * (F.col("t") - F.col("_mt"))), RESID_CLIP)
-    return df.join(fit, keys).withColumn("resid", resid).withColumn("pct_excess", F.expm1("resid")).drop("_b", "_my", "_mt", "_pre", "_post")
+    return _unrolled(fit, df, keys, F.col("_my") + F.col("_b") * (F.col("t") - F.col("_mt")))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def least_norm(sums: pd.Series) -> pd.Series:
+    """Solutions of 4 x 4 systems of least norm: ten sums of the matrix's upper half, four of the right side."""
+    s = np.stack([np.asarray(x, dtype=float) for x in sums]) if len(sums) else np.zeros((0, 14))
+    g = np.empty((len(s), 4, 4))
+    for k, (i, j) in enumerate((i, j) for i in range(4) for j in range(i, 4)):
+        g[:, i, j] = g[:, j, i] = s[:, k]
+    return pd.Series(list(np.einsum("nij,nj->ni", np.linalg.pinv(g), s[:, 10:])))
 
 
 def seasonal(df: DataFrame, keys: list[str], y: Column, min_pre: int = MIN_PRE) -> DataFrame:
     """log1p(y) on 1, t and the month's Fourier pair, by key.
 
-    Ten Gram sums and four right-hand sides in one aggregation.  Elimination
-    goes column by column in stages, so that no expression holds another many
-    times over.  Keys whose pre-period makes the system singular are solved by
-    least norm in a grouped Arrow function.
-    """
+    Ten Gram sums and four right-hand sides in one aggregation; each entity's
+    4 x 4 system is solved by least norm, so that a pre-period that does not
+    tell all terms apart has its solution too."""
+    angle = 2 * F.pi() * F.substring("ym", 6, 2).cast("int") / 12
+    cols = [F.lit(1.0), F.col("t").cast("double"), F.sin(angle), F.cos(angle)]
     ly = F.log1p(y)
-    month = F.substring("ym", 6, 2).cast("int") - 1
-    angle = 2 * F.pi() * month / 12
-    x = df.withColumn("_ly", ly).withColumn("_s", F.sin(angle)).withColumn("_c", F.cos(angle)).withColumn("_1", F.lit(1.0)).withColumn("_t", F.col("t").cast("double"))
-    cols = ["_1", "_t", "_s", "_c"]
     pre = F.col("t") < 0
-    sums = [F.sum(F.when(pre, F.col(cols[i]) * F.col(cols[j]))).alias(f"g{i}{j}") for i in range(4) for j in range(i, 4)]
-    sums += [F.sum(F.when(pre, F.col(cols[i]) * F.col("_ly"))).alias(f"r{i}") for i in range(4)]
-    fit = x.groupBy(*keys).agg(*sums, F.count_if(pre).alias("_n")).where(F.col("_n") >= min_pre)
-    for i in range(3):
-        for j in range(i + 1, 4):
-            fit = fit.withColumn(f"f{j}", F.try_divide(F.col(f"g{i}{j}"), F.col(f"g{i}{i}")))
-        fit = fit.select("*", *[(F.col(f"g{j}{k}") - F.col(f"f{j}") * F.col(f"g{i}{k}")).alias(f"h{j}{k}") for j in range(i + 1, 4) for k in range(j, 4)], *[(F.col(f"r{j}") - F.col(f"f{j}") * F.col(f"r{i}")).alias(f"q{j}") for j in range(i + 1, 4)])
-        for j in range(i + 1, 4):
-            fit = fit.withColumn(f"r{j}", F.col(f"q{j}"))
-            for k in range(j, 4):
-                fit = fit.withColumn(f"g{j}{k}", F.col(f"h{j}{k}"))
-        fit = fit.drop(*[c for c in fit.columns if c[0] in "hqf" and c[1:].isdigit()])
-    for i in range(3, -1, -1):
-        s = F.col(f"r{i}")
-        for k in range(i + 1, 4):
-            s = s - F.col(f"g{i}{k}") * F.col(f"b{k}")
-        fit = fit.withColumn(f"b{i}", F.try_divide(s, F.col(f"g{i}{i}")))
-    singular = F.least(*[F.abs(F.col(f"g{i}{i}")) for i in range(4)]) < 1e-10 * F.col("_n")
-    fit = fit.select(*keys, "b0", "b1", "b2", "b3", singular.alias("_singular"))
-    joined = x.join(fit, keys)
-    plain = joined.where(~F.coalesce("_singular", F.lit(True)))
-    value = F.col("b0") + F.col("b1") * F.col("_t") + F.col("b2") * F.col("_s") + F.col("b3") * F.col("_c")
-    plain = plain.select(*df.columns, T.clip(F.col("_ly") - value, RESID_CLIP).alias("resid"))
-    odd = joined.where(F.coalesce("_singular", F.lit(True))).select(*df.columns, "_ly", "_s", "_c")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    out = plain.unionByName(odd.groupBy(*keys).applyInPandas(_least_norm, fields))
-    return out.withColumn("pct_excess", F.expm1("resid"))
-
-
-def _least_norm(pdf):
-    import numpy as np
-
-    x = np.column_stack([np.ones(len(pdf)), pdf["t"], pdf["_s"], pdf["_c"]]).astype(float)
-    pre = (pdf["t"] < 0).to_numpy()
-    beta = np.linalg.pinv(x[pre].T @ x[pre]) @ x[pre].T @ pdf["_ly"].to_numpy()[pre]
-    return pdf.drop(columns=["_ly", "_s", "_c"]).assign(resid=np.clip(pdf["_ly"].to_numpy() - x @ beta, -RESID_CLIP, RESID_CLIP))
+    sums = [F.sum(F.when(pre, cols[i] * cols[j])) for i in range(4) for j in range(i, 4)] + [F.sum(F.when(pre, c * ly)) for c in cols]
+    fit = df.groupBy(*keys).agg(F.count_if(pre).alias("_n"), *(x.alias(f"_s{i}") for i, x in enumerate(sums)), _rows(df, keys, ly.alias("_ly"))).where(F.col("_n") >= min_pre)
+    fit = fit.select(*keys, "_rows", least_norm(F.array(*(f"_s{i}" for i in range(14)))).alias("_b"))
+    b = F.col("_b")
+    return _unrolled(fit, df, keys, b[0] + b[1] * cols[1] + b[2] * cols[2] + b[3] * cols[3])
 
 
 def placebo(df: DataFrame, keys: list[str], y: Column, anchor: str, placebo_anchor: str, window: int, season: bool) -> DataFrame:

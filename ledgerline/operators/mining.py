@@ -6,7 +6,7 @@ offset), ym, lang, ins, del.  Each function is one or two partial aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -22,9 +22,27 @@ def activity_months(rows: DataFrame) -> DataFrame:
     return rows.groupBy("repo_id", "ym").agg(F.count_distinct("sha").alias("commits"), F.count_distinct("dev").alias("authors"), F.count_distinct(F.to_date("ts")).alias("active_days"))
 
 
+#: A language's bit in a set of languages: by name, the last for unknown ones.
+KNOWN = sorted({*T.EXTENSIONS.values()})
+
+
+def language_bit(lang: Column) -> Column:
+    at = F.try_element_at(F.create_map(*(F.lit(x) for i, k in enumerate(KNOWN) for x in (k, i))), lang)
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.coalesce(at, F.lit(len(KNOWN))))
+
+
+def languages_of(bits: Column) -> Column:
+    """The names of a set of languages, in order."""
+    names = F.array(*map(F.lit, [*KNOWN, T.OTHER]))
+    return F.array_sort(F.filter(names, lambda _, i: F.getbit(bits, i) == 1))
+
+
 def author_months(rows: DataFrame) -> DataFrame:
-    """A3-A5 in one pass: a commit's sums first, then the month's."""
-    commit = rows.groupBy("repo_id", "dev", "ym", "sha").agg(F.sum("ins").alias("ins"), F.sum("del").alias("del"), F.collect_set("lang").alias("langs"), F.min("ts").alias("ts"))
+    """A3-A5 in one pass: a commit's sums first, then the month's.
+
+    Languages are bits of a number, so both steps are plain sums.  Shares are of
+    commits whose time is known (a timestamp in the author's own offset)."""
+    commit = rows.groupBy("repo_id", "dev", "ym", "sha").agg(F.sum("ins").alias("ins"), F.sum("del").alias("del"), F.bit_or(language_bit(F.col("lang"))).alias("langs"), F.min("ts").alias("ts"))
     size = F.col("ins") + F.col("del")
     hour = F.hour("ts")
     return commit.groupBy("repo_id", "dev", "ym").agg(
@@ -32,7 +50,8 @@ def author_months(rows: DataFrame) -> DataFrame:
         F.sum("del").alias("del"),
         F.sum(size).alias("churn"),
         F.count("*").alias("commits"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("langs")))).alias("n_langs"),
+        F.bit_or("langs").alias("lang_bits"),
+        F.bit_count(F.bit_or("langs")).alias("n_langs"),
         F.avg(size).alias("size_mean"),
         F.stddev_pop(size).alias("size_std"),
         F.max(size).alias("size_max"),

@@ -76,10 +76,40 @@ def repo_months(language_months: DataFrame, author_months: DataFrame, anchor: st
     return with_t(out, anchor).withColumn("cpd", F.col("churn") / F.col("devs"))
 
 
+def repo_months_of(rows: DataFrame, anchor: str) -> DataFrame:
+    """The same from commit rows, in one pass over them: commits count once a language."""
+    out = rows.groupBy("repo_id", "ym").agg(F.sum("ins").alias("ins"), F.sum("del").alias("del"), F.sum(F.col("ins") + F.col("del")).alias("churn"), F.count_distinct("lang", "sha").alias("commits"), F.greatest(F.lit(1), F.count_distinct("dev")).alias("devs"))
+    return with_t(out, anchor).withColumn("cpd", F.col("churn") / F.col("devs"))
+
+
+def included_only(df: DataFrame, meta: DataFrame) -> DataFrame:
+    """Rows of repositories that passed the gate."""
+    return df.join(meta.where(T.as_bool(F.col("included"))).select("repo_id"), "repo_id", "left_semi")
+
+
+def with_meta(df: DataFrame, meta: DataFrame, *columns: str) -> DataFrame:
+    """Rows with columns of their repository, null where it has none."""
+    return df.join(meta.select("repo_id", *columns), "repo_id", "left")
+
+
 def with_t(df: DataFrame, anchor: str) -> DataFrame:
     return df.withColumn("t", T.ym_ord(F.col("ym")) - T.anchor_ord(anchor))
 
 
+def mention_series(months: DataFrame, now: str | None = None) -> DataFrame:
+    """Mentions of all repositories by month, up to the present one.
+
+    any_mention is the sum over terms, the rate that of commits; null without
+    commits.  now: 'yyyy-MM', by default today's."""
+    terms = [c for c in months.columns if c.startswith("mentions_")]
+    last = F.date_format(F.current_timestamp(), "yyyy-MM") if now is None else F.lit(now)
+    g = months.where(F.col("ym") <= last).groupBy("ym").agg(*(F.sum(c).alias(c) for c in terms), F.sum("total_commits").alias("total_commits"))
+    any_ = F.lit(0)
+    for c in terms:
+        any_ = any_ + F.col(c)
+    return g.withColumn("any_mention", any_).withColumn("mention_rate", F.try_divide("any_mention", "total_commits"))
+
+
 def primary_language(declared: Column, langs: Column) -> Column:
     """The declared one, else the first by name."""
     return F.lower(F.coalesce(declared, F.array_min(langs), F.lit(T.OTHER)))

@@ -1,5 +1,8 @@
 """Propensity from positive and unlabelled rows (Elkan and Noto).
 
+A replicate is fitted on the set of rows that its draw holds (a Poisson weight
+above zero), not on their multiplicities.
+
 Z-scores and the logistic fit work on sums over rows: each Newton step is one
 aggregation of a Gram matrix of a few features, so rows never reach the driver.
 """
@@ -10,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .resample import poisson_weight
+from .resample import poisson_weight, row_key
 
 
 def _linear(features: list[str], w: list[float]) -> Column:
@@ -65,22 +68,34 @@ def logistic_fits(df: DataFrame, features: list[str], label: str, by: str, n: in
     return [None if few[r] else w[r].tolist() for r in range(n)]
 
 
+def features_of(df: DataFrame) -> list[str]:
+    """Columns that are features by their name."""
+    return [c for c in df.columns if c.startswith("f_")]
+
+
 def pu_propensity(df: DataFrame, keys: list[str], features: list[str], positive: str, replicates: int = 100, seed: int = 7) -> DataFrame:
-    """M5: keys, p_ai, p_ai_lo, p_ai_hi, label_source."""
+    """M5: keys, p_ai, p_ai_lo, p_ai_hi, label_source.
+
+    X3: features may be any columns; `features_of` takes those named f_*.  Rows
+    with a null feature go.  Under three positives or ten rows the label is the
+    propensity.  Without replicates there is no interval (null); one with fewer
+    than two positives gives the point estimate.
+    """
     rows = df.select(*keys, *(F.col(f).cast("double").alias(f) for f in features), F.col(positive).cast("double").alias("y")).na.drop(subset=features)
     s = rows.agg(F.count("*").alias("n"), F.sum("y").alias("p"), *(F.avg(f).alias(f"m_{f}") for f in features), *(F.stddev_pop(f).alias(f"s_{f}") for f in features)).first()
     if (s["p"] or 0) < 3 or s["n"] < 10:
         none = F.lit(None).cast("double")
         return rows.select(*keys, F.when(F.col("y") > 0, 0.95).alias("p_ai"), none.alias("p_ai_lo"), none.alias("p_ai_hi"), F.when(F.col("y") > 0, "signature").otherwise("insufficient-positives").alias("label_source"))
     z = rows.select(*keys, "y", *(((F.col(f) - s[f"m_{f}"]) / (s[f"s_{f}"] if s[f"s_{f}"] >= 1e-9 else 1.0)).alias(f) for f in features)).persist()
-    drawn = z.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).where(poisson_weight(F.lit(seed), F.col("_r") + 1, *map(F.col, keys)) > 0)
+    drawn = z.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).where(poisson_weight(seed, F.col("_r"), row_key(*keys)) > 0)
     whole = logistic_fit(z, features, "y")
     models = [whole, *(w or whole for w in (logistic_fits(drawn, features, "y", "_r", replicates) if replicates else []))]
     g = [1 / (1 + F.exp(-_linear(features, w))) for w in models]
     c = z.where("y > 0").agg(*(F.avg(x).alias(f"c{r}") for r, x in enumerate(g))).first()
+    z.unpersist()
     fits = [F.least(F.greatest(x / max(c[r], 1e-6), F.lit(0.0)), F.lit(1.0)) for r, x in enumerate(g)]
     point = fits[0]
-    z = z.select(*keys, "y", point.alias("_p"), F.array_sort(F.array(*(fits[1:] or [point]))).alias("_b"))
+    z = z.select(*keys, "y", point.alias("_p"), F.array_sort(F.array(*fits[1:])).alias("_b") if replicates else F.lit(None).cast("array<double>").alias("_b"))
     point, last = F.col("_p"), max(0, replicates - 1)
 
     def at(q: float) -> Column:
@@ -88,4 +103,4 @@ def pu_propensity(df: DataFrame, keys: list[str], features: list[str], positive:
         a, b = F.col("_b")[i], F.col("_b")[min(i + 1, last)]
         return a + (q * last - i) * (b - a)
 
-    return z.select(*keys, F.when(F.col("y") > 0, F.greatest(point, F.lit(0.99))).otherwise(point).alias("p_ai"), at(0.025).alias("p_ai_lo"), at(0.975).alias("p_ai_hi"), F.when(F.col("y") > 0, "signature").otherwise("inferred").alias("label_source"))
+    return z.select(*keys, F.when(F.col("y") > 0, F.greatest(point, F.lit(0.99))).otherwise(point).alias("p_ai"), at(0.025).alias("p_ai_lo"), at(0.975).alias("p_ai_hi"), F.when(F.col("y") > 0, "signature-positive").otherwise("inferred").alias("label_source"))
