@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,14 +43,24 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share.
+
+    It is what spark.checkpoint.dir names.  Where that is unset, a session whose
+    tasks all run on this machine takes a temporary folder; on a cluster, whose
+    executors would each write to a disk of their own, this is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        root = local_folder()
     return f"{root}/ledgerline-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def local_folder() -> str:
+    return tempfile.mkdtemp(prefix="ledgerline-")
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write once, read back: cuts the lineage at a table all executors can reach."""
     spark = df.sparkSession
@@ -203,18 +215,19 @@ def block_of(key: str, blocks: int):
     return F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
 
 
-def with_lookups(docs: DataFrame, lookups: DataFrame, blocks: int, apply: Callable, schema: str) -> DataFrame:
+def with_lookups(docs: DataFrame, lookups: DataFrame, blocks: int, apply: Callable, schema: str, block: str = "block") -> DataFrame:
     """Give each block of docs the rows of `lookups` for it, and apply a function.
 
-    docs and lookups both have an int column `block`.  apply(lookup table,
-    iterator of batches of docs) yields batches.  A block's lookups hold each
-    key that its texts hold at most once, so they are no larger than its texts,
-    however often a key occurs in the whole corpus.  Documents are streamed.
+    docs and lookups both have an int column `block` (its name is a parameter),
+    below `blocks`; each block is a task.  apply(lookup table, iterator of
+    batches of docs) yields batches.  A block's lookups are keys that its texts
+    hold, so they are no larger than its texts, however often a key occurs in
+    the whole corpus.  Documents are streamed.
     """
-    side = [c for c in lookups.columns if c != "block"]
-    main = [c for c in docs.columns if c != "block"]
-    a = lookups.select("block", F.lit(0).alias("_kind"), F.struct(*side).alias("_l"), F.lit(None).cast(docs.select(*main).schema.simpleString()).alias("_d"))
-    b = docs.select("block", F.lit(1).alias("_kind"), F.lit(None).cast(lookups.select(*side).schema.simpleString()).alias("_l"), F.struct(*main).alias("_d"))
+    side = [c for c in lookups.columns if c != block]
+    main = [c for c in docs.columns if c != block]
+    a = lookups.select(F.col(block).alias("_block"), F.lit(0).alias("_kind"), F.struct(*side).alias("_l"), F.lit(None).cast(docs.select(*main).schema).alias("_d"))
+    b = docs.select(F.col(block).alias("_block"), F.lit(1).alias("_kind"), F.lit(None).cast(lookups.select(*side).schema).alias("_l"), F.struct(*main).alias("_d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A partition holds whole blocks in order, in each the lookups first.
@@ -251,7 +264,7 @@ def with_lookups(docs: DataFrame, lookups: DataFrame, blocks: int, apply: Callab
             while (piece := peek()) is not None and piece[:2] == (block, 1):  # what apply left
                 held.pop()
 
-    return a.unionByName(b).repartitionById(blocks, "block").sortWithinPartitions("block", "_kind").mapInArrow(run, schema)
+    return a.unionByName(b).repartitionById(blocks, "_block").sortWithinPartitions("_block", "_kind").mapInArrow(run, schema)
 
 
 def freed(run: Callable) -> Callable:

@@ -8,13 +8,17 @@ stays; others are repeats, and a run of neighbouring repeats of at least
 `min_words` words is removed from its text, which otherwise stays byte for
 byte.  Shorter runs are phrases that recur by chance and stay.
 
-Each part of the input deals one row per digest and block of documents, so a
-chunk that a third of all documents hold is pre-aggregated before the shuffle.
-
-Defined cases: null text: null out, no chunks; empty text: empty; a null doc_id
-counts as a document of the id -1 for the order of occurrences; rows that
-repeat a doc_id are one document to the order, each keeps what that document
-keeps; extra columns pass through.
+Each part of the input gives one row per digest and block of documents.  A
+digest's count and first occurrence are an aggregate of these, and the blocks
+that hold it are joined to them, so a chunk that a third of all documents hold
+is pre-aggregated, and its blocks are split over tasks by the skew join.
+
+Defined cases: null text: null out, no chunks; empty text: empty; very long
+texts are cut whole; a null doc_id counts as a document of the id -1 for the
+order of occurrences; rows that repeat a doc_id are one document to the order,
+each keeps what that document keeps; an empty table gives no rows; extra
+columns pass through, but for n_words, n_removed, n_chunks and n_repeats, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -102,49 +106,6 @@ def _firsts(blocks: int):
     return run
 
 
-def _repeated(batches):
-    """Of rows sorted by digest, those whose digest occurs more than once, with
-    its first occurrence; the run at a batch's end waits for the next."""
-    state = None  # of the open run: digest, count, first doc, place, rows not yet passed on
-    names = ["block", "h", "doc", "place"]
-
-    def close(s):
-        _, count, doc, place, blocks = s
-        if count > 1 and blocks:
-            b = np.concatenate(blocks)
-            return pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.full(len(b), s[0])), pa.array(np.full(len(b), doc)), pa.array(np.full(len(b), place, np.int32))], names)
-        return None
-
-    for batch in batches:
-        block, h, doc, place, k = (batch.column(i).to_numpy() for i in range(5))
-        if not len(h):
-            continue
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        size = np.diff(np.append(first, len(h)))
-        total = np.add.reduceat(k, first)
-        begin, stop = 0, len(first)
-        if state is not None:
-            if h[0] == state[0]:
-                state = (state[0], state[1] + int(total[0]), state[2], state[3], [*state[4], block[: size[0]]])
-                begin = 1
-            if stop > begin:
-                if (x := close(state)) is not None:
-                    yield x
-                state = None
-        if stop > begin:
-            f = first[-1]
-            state = (h[f], int(total[-1]), doc[f], place[f], [block[f:]])
-            stop -= 1
-        keep = np.zeros(len(first), dtype=bool)
-        keep[begin:stop] = total[begin:stop] > 1
-        mask = np.repeat(keep, size)
-        if mask.any():
-            source = np.repeat(first, size)[mask]
-            yield pa.RecordBatch.from_arrays([pa.array(block[mask]), pa.array(h[mask]), pa.array(doc[source]), pa.array(place[source])], names)
-    if state is not None and (x := close(state)) is not None:
-        yield x
-
-
 def _cut(columns: list[str], min_words: int):
     t, d = columns.index("text"), columns.index("doc_id")
 
@@ -208,12 +169,13 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     (words), n_chunks, n_repeats (chunks that occur earlier)."""
     small_batches(docs.sparkSession)
     blocks = n_blocks(docs, BLOCK_BYTES)
-    plain = docs.withColumn("block", block_of("doc_id", blocks))
-    firsts = plain.select(F.col("doc_id").cast("long"), "block", "text").mapInArrow(_firsts(blocks), "block int, h long, doc long, place int, k int")
-    lookups = firsts.repartition("h").sortWithinPartitions("h", "doc", "place").mapInArrow(_repeated, "block int, h long, doc long, place int").dropDuplicates(["block", "h"])
-    columns = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return with_lookups(plain.select("block", *columns), lookups, blocks, _cut(columns, min_words), f"{fields}, n_words long, n_removed long, n_chunks long, n_repeats long")
+    columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "n_chunks", "n_repeats")]
+    block = block_of("doc_id", blocks).alias("_block_")
+    firsts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), block, "text").mapInArrow(_firsts(blocks), "block int, h long, doc long, place int, k int")
+    totals = firsts.groupBy("h").agg(F.sum("k").alias("k"), F.min(F.struct("doc", "place")).alias("first")).where("k > 1")
+    lookups = firsts.select(F.col("block").alias("_block_"), "h").join(totals, "h").select("_block_", "h", "first.doc", "first.place")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
+    return with_lookups(docs.select(block, *columns), lookups, blocks, _cut(columns, min_words), f"{fields}, n_words long, n_removed long, n_chunks long, n_repeats long", "_block_")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
