@@ -6,7 +6,8 @@ An item of m shingles is searched in windows of m shingles.
 1. Anchors: places where a shingle of the document is one of an item's.  A
    window of L shingles and similarity 0.75 or more to an item of m has
    3/7 (L + m) of them at least, so every window with so many, at any start, is
-   fingerprinted, and no other can be similar enough.
+   fingerprinted, and no other can be similar enough.  Only places are joined
+   and grouped; the few texts that have enough are read again for their words.
 2. SimHash: a window's fingerprint has bit b set if more than half of its
    shingle hashes (counted as often as they occur) have.
 3. Multi-index: fingerprints are cut into RADIUS + 1 blocks; two within RADIUS
@@ -14,9 +15,11 @@ An item of m shingles is searched in windows of m shingles.
 4. Exact: similarity is sum of min / sum of max of shingle counts.
 
 Result: a row per document and item that leaks into it, with the best window
-(highest similarity, then least start).  Defined cases: null or empty texts,
-items of under five words and rows with null ids give no rows; a document or
-item that repeats counts once; extra columns are ignored.
+(highest similarity, then least start, then least text where an id has several).
+Defined cases: null or empty texts, items of under five words and rows with null
+ids give no rows; very long texts are searched whole; rows that repeat count
+once; an id with several texts, of documents or items, leaks if one of them
+does; an empty table gives no rows; extra columns are ignored, and kept by clean.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import few, saved, table
 
 WORDS = 5
 NUM, DEN = 3, 4
@@ -57,15 +60,15 @@ def blocks(fp: str) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start (word, from 0), n_shingles, distance, similarity."""
+    # An item is a text; its id may have several.
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), words("text").alias("w"))
         .where(F.col("item_id").isNotNull() & (F.size("w") >= WORDS))
-        .groupBy("item_id")
-        .agg(F.min("w").alias("w"))
-        .select("item_id", shingles("w").alias("item_hashes"))
+        .distinct()
+        .select("item_id", F.xxhash64("item_id", "w").alias("item"), shingles("w").alias("item_hashes"))
         .select("*", F.size("item_hashes").alias("m"), fingerprint("item_hashes").alias("item_fp"))
     )
-    grams = items.select("item_id", "m", F.explode(F.array_distinct("item_hashes")).alias("h"))
+    grams = items.select("item", "m", F.explode(F.array_distinct("item_hashes")).alias("h"))
     small = (items.agg(F.sum("m").alias("n")).first()["n"] or 0) <= BROADCAST_SHINGLES
 
     def side(df: DataFrame) -> DataFrame:
@@ -73,22 +76,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # No filter on the words: it would be pushed below and split each text twice.
     split = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("w"))
-    places = split.select("doc_id", "w", F.posexplode(shingles("w")).alias("p", "h"))
-    # An anchor brings the shingles that a window can have whose first anchor it is.
-    n = f"(size(w) - {WORDS - 1})"
-    size = f"least(m, {n})"
-    need = f"cast(({NUM} * ({size} + m) + {NUM + DEN - 1}) div {NUM + DEN} as int)"
-    base = f"greatest(0, p - ({size} - {need}))"
-    part = f"transform(sequence({base}, least({n}, {base} + 2 * {size} - {need}) - 1), x -> xxhash64(slice(w, x + 1, {WORDS})))"
-    anchors = places.join(side(grams), "h").select("doc_id", "item_id", F.expr("xxhash64(w)").alias("text_id"), F.expr(n).alias("n"), F.expr(size).alias("size"), F.expr(need).alias("need"), F.struct("p", F.expr(base).alias("base"), F.expr(part).alias("part")).alias("a"))
-    runs = anchors.groupBy("doc_id", "item_id", "text_id", "n", "size", "need").agg(F.array_sort(F.collect_set("a")).alias("a")).where(F.size("a") >= F.col("need"))
-    low = "greatest(0, if(i = 0, 0, a[i - 1].p + 1), a[i + need - 1].p - size + 1)"
-    high = "least(a[i].p, n - size)"
-    at = f"if({low} > {high}, array(), transform(sequence({low}, {high}), s -> named_struct('start', s, 'hashes', slice(a[i].part, s - a[i].base + 1, size))))"
-    windows = runs.select("doc_id", "item_id", F.expr(f"inline(flatten(transform(sequence(0, size(a) - need), i -> {at})))")).withColumn("fp", fingerprint("hashes"))
-    keys = ["item_id", "block", "value"]
+    places = split.select("doc_id", F.xxhash64("w").alias("text_id"), (F.size("w") - (WORDS - 1)).alias("n"), F.posexplode(shingles("w")).alias("p", "h"))
+    size = F.least("m", "n")
+    need = F.expr(f"cast(({NUM} * (size + m) + {NUM + DEN - 1}) div {NUM + DEN} as int)")
+    runs = places.join(side(grams), "h").groupBy("doc_id", "text_id", "n", "item", "m").agg(F.array_sort(F.collect_set("p")).alias("a"))
+    runs = saved(runs.withColumn("size", size).withColumn("need", need).where(F.size("a") >= F.col("need")))
+    # A window's first anchor is a[i]: it starts after the one before, and reaches the need-th from there.
+    low = "greatest(0, if(i = 0, 0, a[i - 1] + 1), a[i + need - 1] - size + 1)"
+    high = "least(a[i], n - size)"
+    starts = runs.select("doc_id", "text_id", "item", "size", F.expr(f"explode(flatten(transform(sequence(0, size(a) - need), i -> if({low} > {high}, array(), sequence({low}, {high})))))").alias("start"))
+    texts = split.join(few(runs.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.xxhash64("w").alias("text_id"), shingles("w").alias("all_hashes")).dropDuplicates(["doc_id", "text_id"])
+    windows = starts.join(texts, ["doc_id", "text_id"]).select("doc_id", "text_id", "item", "start", F.expr("slice(all_hashes, start + 1, size)").alias("hashes")).withColumn("fp", fingerprint("hashes"))
+    keys = ["item", "block", "value"]
     mine = windows.select("*", F.inline(blocks("fp")))
-    theirs = items.select("item_id", "item_hashes", "item_fp", "m", F.inline(blocks("item_fp")))
+    theirs = items.select("item", "item_id", "item_hashes", "item_fp", "m", F.inline(blocks("item_fp")))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     pairs = mine.join(side(theirs), keys).where(distance <= RADIUS)
     # A pair that agrees in several blocks is taken at the first of them.
@@ -99,16 +100,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     first = F.coalesce(*(F.when(differs.bitwiseAND(F.lit(x).cast("long")) == 0, F.lit(i)) for i, x in enumerate(signed)))
     pairs = pairs.where(F.col("block") == first)
     common = F.expr("aggregate(array_distinct(hashes), 0, (n, x) -> n + least(size(filter(hashes, y -> y = x)), size(filter(item_hashes, y -> y = x))))")
-    scored = pairs.select("doc_id", "item_id", "start", F.col("m").alias("n_shingles"), distance.alias("distance"), common.alias("common"), (F.size("hashes") + F.col("m")).alias("both"))
+    scored = pairs.select("doc_id", "text_id", "item_id", "start", F.col("m").alias("n_shingles"), distance.alias("distance"), common.alias("common"), (F.size("hashes") + F.col("m")).alias("both"))
     good = scored.where(DEN * F.col("common") >= NUM * (F.col("both") - F.col("common"))).withColumn("similarity", F.col("common") / (F.col("both") - F.col("common")))
-    best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "n_shingles", "distance", "similarity"), F.struct("similarity", -F.col("start"))).alias("b"))
+    best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "n_shingles", "distance", "similarity"), F.struct("similarity", -F.col("start"), "text_id")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.start").alias("start"), F.col("b.n_shingles").alias("n_shingles"), F.col("b.distance").alias("distance"), F.col("b.similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that an item leaks into."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_leak"], "left_anti")
+    """docs without those that an item leaks into.  The leaks, a few columns of a
+    few documents, are saved and broadcast if few; else the documents are joined."""
+    found = few(saved(leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()))
+    return docs.join(found, docs["doc_id"].cast("long") == found["_leak"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
