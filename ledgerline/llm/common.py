@@ -69,6 +69,15 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids are broadcast up to so many (2 MB), and joined beyond.
+FEW_IDS = 1 << 18
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are counted to be few enough."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete a table that saved() wrote, once nothing will read it again."""
     spark = df.sparkSession

@@ -7,7 +7,10 @@ similarity of their sets is at least 0.75.  Steps:
 2. Each class is dealt to the buckets of its rarest shingles.  Two classes
    that link share one of them whatever order is used, as long as it is the
    same for all, so heavy shingles come last: a passage that a third of all
-   documents share makes no bucket unless it is most of a document.
+   documents share makes no bucket unless it is most of a document.  The first
+   shingle that both have stands among the first seventh of the smaller set
+   (its strong places), and their sizes differ by a quarter at most: a row
+   without a partner that allows it leaves its bucket.
 3. Leader links: in a bucket each class is verified against the bucket's
    leader, which joins large groups of near copies in linear work.
 4. Signature trees: what a bucket still holds in different components becomes
@@ -19,12 +22,16 @@ similarity of their sets is at least 0.75.  Steps:
    its likeliest pairs, which joins most of what links in linear work.  With
    the components that these links leave, the second run takes all buckets
    and gives every pair between different components.
-5. Pairs that remain are verified on whole sets; components of the links.
+5. Pairs that remain are verified on whole sets, which are made again from
+   the texts of those pairs alone; components of the links.
 
 Defined cases: no words or null text: an empty set, linked with nothing; fewer
-than five words: one shingle, the whole sequence; a null doc_id takes part
-like another, its component is the least doc_id that is known; rows that
-repeat a doc_id and text are one class; extra columns are ignored.
+than five words: one shingle, the whole sequence; very long texts are whole
+sets like others; a null doc_id takes part like another, its component is the
+least doc_id that is known; rows that repeat a doc_id and text are one class;
+texts that share a doc_id are linked by their words only, not by the id; an
+empty table gives no rows; extra columns are ignored, and kept by dedup.
+`components` stops with an error if it has not settled after 40 rounds.
 """
 
 from __future__ import annotations
@@ -33,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, components, drop_saved, long_array, mix, saved, small_batches, table, word_slices
+from .common import U64, Hasher, components, drop_saved, few, long_array, mix, saved, small_batches, table, word_slices
 
 WORDS = 5
 #: Jaccard similarity as a fraction.
@@ -50,9 +57,8 @@ TREE = 256
 LEAF = 32
 #: One in so many buckets takes part in the forests; the trees after them take all.
 FOREST_ONE_IN = 8
-#: Class ids are broadcast up to so many (2 MB), and joined beyond.
-FEW_IDS = 1 << 18
-#: Bits of the widest bitmap.
+#: Bits of a bitmap for each shingle, and of the widest one.
+SHINGLE_BITS = 8
 MOST_BITS = 1 << 16
 
 
@@ -103,6 +109,11 @@ def prefix_size(n):
     return n - -(-NUM * n // DEN) + 1
 
 
+def strong_size(n):
+    """So many of a set's first shingles meet those of any larger set it links with."""
+    return n - -(-2 * NUM * n // (NUM + DEN)) + 1
+
+
 def _signatures(batches):
     """Two kinds of rows from one pass: documents (doc_id, n, s1, s2), and
     counts (token, k) of shingles that a part of the input holds at least twice."""
@@ -173,34 +184,59 @@ def _prefixes(heavy):
                 width = np.where(fresh, s.sizes, 0)
                 place = np.arange(len(t)) - np.repeat(np.cumsum(width) - width, width)
                 keep = place < prefix_size(s.sizes)[row]
-                yield pa.RecordBatch.from_arrays([long_array(t[keep]), pa.array(ids[row[keep]]), pa.array(s.sizes[row[keep]].astype(np.int32))], ["token", "s1", "n"])
+                strong = place < strong_size(s.sizes)[row]
+                yield pa.RecordBatch.from_arrays([long_array(t[keep]), pa.array(ids[row[keep]]), pa.array(s.sizes[row[keep]].astype(np.int32)), pa.array(strong[keep])], ["token", "s1", "n", "strong"])
 
     return run
 
 
+def partnered(token: np.ndarray, n: np.ndarray, strong: np.ndarray, before: int) -> np.ndarray:
+    """Rows, in order of token and size, that some row of their bucket may link with.
+
+    Of two rows the smaller must be strong, and sizes allow it.  before: size of
+    the last strong row of the first bucket that was passed on already, or 0.
+    """
+    at = np.arange(len(token))
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    begin = np.repeat(first, np.diff(np.append(first, len(token))))
+    last = np.maximum.accumulate(np.where(strong, at, -1))
+    last = np.concatenate([[-1], last[:-1]])
+    n = n.astype(np.int64)
+    smaller = np.where(last >= begin, n[np.maximum(last, 0)], np.where(begin == 0, before, 0))
+    larger = np.zeros(len(token), dtype=bool)
+    larger[:-1] = strong[:-1] & (token[1:] == token[:-1]) & (NUM * n[1:] <= DEN * n[:-1])
+    return ((smaller > 0) & (DEN * smaller >= NUM * n)) | larger
+
+
 def _runs(batches):
     """Rows of tokens that two classes share, each with its leader.
 
     Input is sorted by token, size, class.  The leader is the first class of a
     run, or the first whose size may still link with the row's.
     """
-    tail, open_leader = None, None  # open_leader: of the last run, if it was passed on in parts
+    tail, open_leader, open_strong = None, None, None  # open_*: of the last run, if it was passed on in parts
 
-    def emit(token, s1, n, goes_on):
-        nonlocal open_leader
+    def emit(token, s1, n, strong, goes_on):
+        nonlocal open_leader, open_strong
         fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (s1[1:] != s1[:-1])])
-        token, s1, n = token[fresh], s1[fresh], n[fresh]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(first, len(token)))
-        shared = size > 1
+        token, s1, n, strong = token[fresh], s1[fresh], n[fresh], strong[fresh]
+        before = open_strong[1] if open_strong is not None and open_strong[0] == token[0] else 0
         known = open_leader if open_leader is not None and open_leader[0] == token[0] else None
-        if known is not None:
-            shared[0] = True
+        keep = partnered(token, n, strong, before)
         if goes_on:
-            shared[-1] = True
+            # The last row's next one is still to come.
+            keep[-1] |= strong[-1]
+            mine = np.flatnonzero(strong & (token == token[-1]))
+            open_strong = (token[-1], int(n[mine[-1]]) if len(mine) else before if token[0] == token[-1] else 0)
+        token, s1, n = token[keep], s1[keep], n[keep]
+        if not len(token):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, s1, n, s1)], ["token", "s1", "n", "leader"])
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(first, len(token)))
+        known = known if known is not None and known[0] == token[0] else None
         last = first + size - 1
         leader = np.repeat(s1[first], size)
-        odd = shared & (NUM * n[last].astype(np.int64) > DEN * n[first].astype(np.int64))
+        odd = NUM * n[last].astype(np.int64) > DEN * n[first].astype(np.int64)
         if known is not None:
             odd[0] = True
         open_leader = (token[first[-1]], s1[first[-1]], n[first[-1]]) if goes_on else None
@@ -212,13 +248,12 @@ def _runs(batches):
                 leader[i] = who
             if goes_on and r == len(first) - 1:
                 open_leader = (token[first[-1]], who, width)
-        keep = np.repeat(shared, size)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, s1, n, leader)], ["token", "s1", "n", "leader"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (token, s1, n, leader)], ["token", "s1", "n", "leader"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy() for i in range(3)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         if tail is not None:
             cols = [np.concatenate(x) for x in zip(tail, cols)]
         token = cols[0]
@@ -234,14 +269,24 @@ def _runs(batches):
         yield emit(*tail, False)
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Eight bits a shingle, 64 to 65536; a wider one folds to a narrower by OR."""
+def width_of(n: int) -> int:
+    """Bits of the bitmap of n shingles: 64 to 65536, SHINGLE_BITS a shingle."""
     bits = 64
-    while bits < 8 * len(s) and bits < MOST_BITS:
+    while bits < SHINGLE_BITS * n and bits < MOST_BITS:
         bits *= 2
+    return bits
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A set's bitmap, compressed; a wider one folds to a narrower by OR."""
+    bits = width_of(len(s))
     out = np.zeros(bits, dtype=np.uint8)
     out[(s & U64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").tobytes()
+    return pa.compress(np.packbits(out, bitorder="little").tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(packed: bytes, n: int) -> bytes:
+    return pa.decompress(packed, width_of(n) // 8, "zstd", asbytes=True)
 
 
 def folded(bits: bytes, width: int) -> np.ndarray:
@@ -251,15 +296,23 @@ def folded(bits: bytes, width: int) -> np.ndarray:
     return x
 
 
-def _sets(batches):
-    hasher, seen = Hasher(), set()
+def _bitmaps(batches):
+    """doc_id, class, size and bitmap of each document with words."""
+    hasher = Hasher()
     for batch in batches:
         for s in shingle_sets(hasher, batch.column(1)):
-            ids = s.digests()[0]
-            keep = np.flatnonzero(unseen(seen, ids, s.sizes))
+            keep = np.flatnonzero(s.sizes > 0)
             bits = [bitmap(s.row(i)) for i in keep.tolist()]
-            tokens = [s.row(i).tobytes() for i in keep.tolist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep + s.first)), pa.array(ids[keep]), pa.array(s.sizes[keep].astype(np.int32)), pa.array(bits, pa.binary()), pa.array(tokens, pa.binary())], ["rep", "s1", "n", "bits", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep + s.first)), pa.array(s.digests()[0][keep]), pa.array(s.sizes[keep].astype(np.int32)), pa.array(bits, pa.binary())], ["rep", "s1", "n", "bits"])
+
+
+def _tokens(batches):
+    """Class and whole set, as bytes, of each document with words."""
+    hasher = Hasher()
+    for batch in batches:
+        for s in shingle_sets(hasher, batch.column(0)):
+            keep = np.flatnonzero(s.sizes > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(s.digests()[0][keep]), pa.array([s.row(i).tobytes() for i in keep.tolist()], pa.binary())], ["s1", "tokens"])
 
 
 def enough(common: int, a: int, b: int) -> bool:
@@ -290,30 +343,33 @@ def _prune(batches):
     for batch in batches:
         c = {n: batch.column(n) for n in batch.schema.names}
         na, nb = c["na"].to_numpy(), c["nb"].to_numpy()
-        keep = [may_link(c["ba"][i].as_py(), c["bb"][i].as_py(), int(na[i]), int(nb[i])) for i in range(batch.num_rows)]
+        keep = [may_link(unpacked(c["ba"][i].as_py(), int(na[i])), unpacked(c["bb"][i].as_py(), int(nb[i])), int(na[i]), int(nb[i])) for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([c[x] for x in ("a", "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of sets whose class is among ids (s1): a set is shuffled only where it is used."""
-    ids = ids.distinct()
-    if ids.count() <= FEW_IDS:
-        ids = F.broadcast(ids)
-    return sets.join(ids, "s1", "left_semi")
+def pruned(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of class pairs (a, b), those that sizes and bitmaps leave open; saved."""
+
+    def side(x: str) -> DataFrame:
+        return sets.select(F.col("s1").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
 
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.where((DEN * F.col("na") >= NUM * F.col("nb")) & (DEN * F.col("nb") >= NUM * F.col("na")))
+    return saved(both.mapInArrow(_prune, "a long, b long"))
 
-def verified(pairs: DataFrame, sets: DataFrame, pruned: bool = False) -> DataFrame:
-    """Of class pairs (a, b), those that link: bitmaps first, whole sets after."""
 
-    def side(x: str, what: str) -> DataFrame:
-        return sets.select(F.col("s1").alias(x), F.col("n").alias(f"n{x}"), F.col(what).alias(f"{what[0]}{x}"))
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of saved class pairs (a, b), those that link, by whole sets; saved, and pairs dropped.
 
-    if not pruned:
-        both = pairs.join(side("a", "bits"), "a").join(side("b", "bits"), "b")
-        both = both.where((DEN * F.col("na") >= NUM * F.col("nb")) & (DEN * F.col("nb") >= NUM * F.col("na")))
-        pairs = saved(both.mapInArrow(_prune, "a long, b long"))
-    sets = only(sets, pairs.select(F.explode(F.array("a", "b")).alias("s1")))
-    return pairs.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
+    Only documents that stand for a class of a pair are read into sets again.
+    """
+    wanted = sets.join(few(pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct()), "s1", "left_semi").select("rep", "s1")
+    texts = docs.join(few(wanted.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    whole = texts.select("text").mapInArrow(_tokens, "s1 long, tokens binary").join(few(wanted.select("s1")), "s1", "left_semi").dropDuplicates(["s1"])
+    links = pairs.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
+    links = saved(links)
+    drop_saved(pairs)
+    return links
 
 
 # --- signature trees --------------------------------------------------------
@@ -436,7 +492,8 @@ def _open_pairs(key, t):
     so rows are compared width by width.
     """
     n, comp, s1, part = (t.column(c).to_numpy() for c in ("n", "comp", "s1", "part"))
-    n, bits = n.astype(np.int64), t.column("bits").to_pylist()
+    n = n.astype(np.int64)
+    bits = [unpacked(b, k) for b, k in zip(t.column("bits").to_pylist(), n.tolist())]
     width = np.array([len(b) // 8 for b in bits])
     i, j = key[1].as_py(), key[2].as_py()
     found = [[np.zeros(0, np.int64)] for _ in range(4)] + [[np.zeros(0)]]
@@ -468,8 +525,7 @@ def tree_pairs(runs: DataFrame, sets: DataFrame, comps: DataFrame, forest: bool
     """
     if forest:
         runs = runs.where(F.pmod(F.xxhash64("token"), F.lit(FOREST_ONE_IN)) == 0)
-    named = sets.select("s1", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("s1", F.coalesce("component", "rep").alias("comp"))
-    rows = runs.select("token", "s1", "n").join(named, "s1")
+    rows = runs.select("token", "s1", "n").join(comps.select(F.col("node").alias("s1"), "component"), "s1", "left").select("token", "s1", "n", F.coalesce("component", "s1").alias("comp"))
     # Equal buckets of different tokens do the same work: one of them is kept.
     open_ = (
         rows.groupBy("token")
@@ -481,53 +537,96 @@ def tree_pairs(runs: DataFrame, sets: DataFrame, comps: DataFrame, forest: bool
     )
     trees = F.ceil(F.col("k") / TREE).cast("int")
     part = F.pmod(F.xxhash64("s1", F.lit(7)), F.col("trees")).cast("int")
-    rows = saved(rows.join(open_.withColumn("trees", trees), "token").withColumn("part", part))
-    dealt = rows.join(only(sets, rows.select("s1")).select("s1", "bits"), "s1")
+    rows = rows.join(open_.withColumn("trees", trees), "token").withColumn("part", part)
+    dealt = rows.join(sets.select("s1", "bits"), "s1")
     pair = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
     if forest:
         pair = F.array(F.struct(F.col("part").alias("i"), F.col("part").alias("j")))
     dealt = dealt.withColumn("p", F.explode(pair)).select("token", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "part", "s1", "n", "comp", "bits")
-    pairs = saved(dealt.groupBy("token", "i", "j").applyInArrow(_forest if forest else _trees, "a long, b long").distinct())
-    drop_saved(rows)
-    return pairs
+    return saved(dealt.groupBy("token", "i", "j").applyInArrow(_forest if forest else _trees, "a long, b long").distinct())
 
 
 # --- the operator -----------------------------------------------------------
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Saved: (doc_id, n, s1, s2) of every row, and (s1, component, component_id)
+    of the classes that some link reaches."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = saved(docs.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, token long, k long"))
-    signed = both.where("n is not null").select("doc_id", "n", "s1", "s2")
-    classes = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     heavy = spark.sparkContext.broadcast(heavy_tokens(both))
-    prefixes = docs.select("text").mapInArrow(_prefixes(heavy), "token long, s1 long, n int")
+    signed = saved(both.where("n is not null").select("doc_id", "n", "s1", "s2"))
+    drop_saved(both)
+    classes = signed.where("n > 0").groupBy("s1").agg(F.min("doc_id").alias("rep"))
+    prefixes = docs.select("text").mapInArrow(_prefixes(heavy), "token long, s1 long, n int, strong boolean")
     runs = saved(prefixes.repartition("token").sortWithinPartitions("token", "n", "s1").mapInArrow(_runs, "token long, s1 long, n int, leader long"))
-    wanted = classes.join(runs.select("s1").distinct(), "s1").where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("s1").alias("want"))
-    texts = docs.join(wanted, "doc_id").select("doc_id", "text")
-    sets = saved(texts.mapInArrow(_sets, "rep long, s1 long, n int, bits binary, tokens binary"))
+    heavy.destroy()
+    wanted = classes.join(runs.select("s1").distinct(), "s1", "left_semi").where("rep is not null")
+    sets = saved(docs.mapInArrow(_bitmaps, "rep long, s1 long, n int, bits binary").join(few(wanted), ["rep", "s1"], "left_semi").dropDuplicates(["s1"]))
     star = runs.where("s1 <> leader").select(F.least("s1", "leader").alias("a"), F.greatest("s1", "leader").alias("b")).distinct()
-    first = saved(by_doc(verified(star, sets), sets))
-    comps = components(first)
+    links = verified(pruned(star, sets), sets, docs)
+    comps = components(links)
+    drop_saved(links)
     for forest in (True, False):
-        more = by_doc(verified(tree_pairs(runs, sets, comps, forest), sets, pruned=True), sets)
-        comps = components(comps.toDF("a", "b").union(more))
-    member = signed.join(classes, ["n", "s1", "s2"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    return member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        links = verified(tree_pairs(runs, sets, comps, forest), sets, docs)
+        new = components(comps.toDF("a", "b").union(links))
+        drop_saved(links)
+        drop_saved(comps)
+        comps = new
+    drop_saved(runs)
+    drop_saved(sets)
+    least = comps.join(classes, comps["node"] == classes["s1"]).groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = saved(comps.join(least, "component").select(F.col("node").alias("s1"), "component", "component_id"))
+    drop_saved(comps)
+    return signed, found
+
+
+def _members(docs: DataFrame) -> DataFrame:
+    """doc_id, n, s1, root (class that stands for the component), component_id of every row; saved."""
+    signed, found = _classes(docs)
+    least = signed.where("n > 0").groupBy("s1").agg(F.min("doc_id").alias("rep"))
+    out = signed.join(least, "s1", "left").join(found, "s1", "left")
+    out = saved(out.select("doc_id", "n", "s1", F.when(F.col("n") > 0, F.coalesce("component", "s1")).alias("root"), F.coalesce("component_id", "rep", "doc_id").alias("component_id")))
+    drop_saved(signed)
+    drop_saved(found)
+    return out
 
 
-def by_doc(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    ids = sets.select("s1", "rep")
-    return pairs.join(ids.select(F.col("s1").alias("a"), F.col("rep").alias("ra")), "a").join(ids.select(F.col("s1").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    rows = _members(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _row_class(batches):
+    """The class of each row, after its columns; null for empty sets."""
+    hasher = Hasher()
+    for batch in batches:
+        for s in shingle_sets(hasher, batch.column("text")):
+            part = batch.slice(s.first, len(s.sizes))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.digests()[0], mask=s.sizes == 0)], [*batch.schema.names, "_class"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """Rows of docs without near copies: the least doc_id of each component stays."""
-    kept = jaccard_components(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Rows of docs without near copies: of each component one row of its least
+    doc_id stays.  Rows without words stay; of rows without an id one stays
+    where a component has no other."""
+    rows = _members(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    kept = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k"))
+    one = few(kept.where("k = 1").select("doc_id"))
+    id_ = docs["doc_id"].cast("long")
+    plain = docs.join(one, id_ == one["doc_id"], "left_semi")
+    # Rows that share their id with others, or have none, are told apart by their texts.
+    again = few(kept.where("k > 1").select("doc_id"))
+    odd = docs.join(again, id_ == again["doc_id"], "left_semi").unionByName(docs.where("doc_id is null"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    roots = rows.where("root is not null and (doc_id is null or doc_id = component_id)").select(F.col("s1").alias("_class"), F.col("root").alias("_root"), F.col("component_id").alias("_least")).distinct()
+    marked = odd.mapInArrow(_row_class, f"{fields}, _class long").join(few(roots), "_class", "left")
+    empty = marked.where("_class is null").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy("_root").orderBy("_class"))
+    least = marked.where("_class is not null and doc_id <=> _least").withColumn("_place", first).where("_place = 1").select(*docs.columns)
+    return plain.unionByName(empty).unionByName(least)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
