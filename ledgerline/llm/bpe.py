@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table
+from .common import once, slices, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
@@ -156,37 +156,41 @@ def unsplit_rows(texts: pa.Array, long: int) -> list[bool]:
     return out
 
 
-def _encode(names: list[str], at: int, vocabulary: str):
+def _encode(names: list[str], at: int, vocabulary: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary)
+        codec = once(("codec", vocabulary), lambda: Codec(vocabulary))
         for batch in batches:
             texts = batch.column(at)
-            counts, ids_sha, text_sha = [], [], []
+            counts, ids_sha, text_sha, whole = [], [], [], []
             for text, unsplit in zip(texts, unsplit_rows(texts, codec.long)):
                 ids = codec.encode(text.as_py() or "", unsplit)
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+                if with_ids:
+                    whole.append(ids.astype(np.int32))
+            more = [pa.array(whole, pa.list_(pa.int32()))] if with_ids else []
             kept = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *more], [*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return run
 
 
-def encode_documents(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """keep, n_tokens, ids_sha256, decoded_sha256 of each row's text."""
+def encode_documents(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+    """keep, n_tokens, ids_sha256, decoded_sha256 of each row's text; with_ids: and ids."""
     small_batches(docs.sparkSession, 500)
-    keep = [c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    made = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    keep = [c for c in keep if c not in made]
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return rows.mapInArrow(_encode(list(keep), rows.columns.index("text"), vocabulary), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(_encode(list(keep), rows.columns.index("text"), vocabulary, with_ids), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' * with_ids}")
 
 
 def encode_ids(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and its ids as an array, for files of token ids."""
 
     def run(batches):
-        codec = Codec(vocabulary)
+        codec = once(("codec", vocabulary), lambda: Codec(vocabulary))
         for batch in batches:
             texts = batch.column(1)
             ids = [codec.encode(t.as_py() or "", u).astype(np.int32) for t, u in zip(texts, unsplit_rows(texts, codec.long))]
@@ -200,7 +204,7 @@ def decode_ids(ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id and text of rows of encode_ids; null ids are none."""
 
     def run(batches):
-        codec = Codec(vocabulary)
+        codec = once(("codec", vocabulary), lambda: Codec(vocabulary))
         for batch in batches:
             texts = [codec.decode(np.array(x.as_py() or [], dtype=np.uint32)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -9,8 +9,9 @@ computed once from its ancestors, whichever pre-tokens share it, and a
 pre-token's count is that of its terminal.  Only one path of nodes is alive.
 
 Defined cases: null and empty texts have no tokens; a byte is always a piece,
-so every text can be segmented; rows that repeat count each; extra columns are
-ignored.
+so every text can be segmented; very long texts and pre-tokens are segmented
+whole; of equal scores the fewest tokens count; rows that repeat count each; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import once, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 OFFSET = 256
@@ -85,7 +86,7 @@ def counts_of(pretokens: list[bytes], pieces: PieceTrie) -> dict[bytes, int]:
 
 def _count(vocabulary: str):
     def run(batches):
-        pieces = PieceTrie(piece_scores(vocabulary))
+        pieces = once(("pieces", vocabulary), lambda: PieceTrie(piece_scores(vocabulary)))
         known: dict[bytes, int] = {}
         for batch in batches:
             texts = [t.as_py().encode() if t.is_valid else b"" for t in batch.column(1)]
