@@ -58,9 +58,10 @@ def _described(s: DataFrame, keys: list[str], margin: int, *more: str) -> DataFr
 
 
 def shuffled(keys: list[str]) -> str:
-    """The series' values in the order of a digest of replicate, keys and month."""
-    who = "concat_ws('|', cast(q as string), " + ", ".join(f"cast({k} as string)" for k in keys) + ", cast(e.t as string))"
-    return f"transform(array_sort(transform(x, e -> named_struct('h', md5({who}), 'v', e.v))), e -> e.v)"
+    """The series' values in the order of a digest of replicate, keys and month.
+    Lambda variables begin with an underscore: a key may have any other name."""
+    who = "concat_ws('|', cast(_q as string), " + ", ".join(f"cast(`{k}` as string)" for k in keys) + ", cast(_e.t as string))"
+    return f"transform(array_sort(transform(x, _e -> named_struct('h', md5({who}), 'v', _e.v))), _e -> _e.v)"
 
 
 def detect(rows: DataFrame, keys: list[str], value: str, perms: int = CP_PERMS, trim: int = CP_TRIM, least: int = CP_MIN, margin: int = CP_MARGIN) -> DataFrame:
@@ -68,7 +69,7 @@ def detect(rows: DataFrame, keys: list[str], value: str, perms: int = CP_PERMS,
     whose best gap reaches its own, (1 + k) / (1 + perms).  A shuffle's order is
     a digest of its number, the keys and the month: nothing depends on where rows are."""
     s = series(rows, keys, value, trim, least)
-    chance = f"aggregate(sequence(1, {perms}), 0, (k, q) -> k + if({top_gap(shuffled(keys), margin)} >= own, 1, 0))"
+    chance = f"aggregate(sequence(1, {perms}), 0, (_hits, _q) -> _hits + if({top_gap(shuffled(keys), margin)} >= own, 1, 0))"
     s = s.withColumn("tot", F.expr("aggregate(x, 0D, (s, e) -> s + e.v)")).withColumn("own", F.expr(top_gap("transform(x, e -> e.v)", margin)))
     s = s.withColumn("perm_p", (F.expr(chance) + 1) / F.lit(float(perms + 1)))
     return _described(s, keys, margin, "perm_p")

@@ -7,6 +7,7 @@ TIER_LOW, TIER_MID = 200, 2000
 REACTIVATION_GAP = 6
 CP_MIN, CP_MARGIN, CP_EFFECT, CP_TRIM, CP_PERMS, CP_P = 8, 3, 1.0, 6, 99, 0.05
 GATE = {"pre": 18, "post": 9, "ratio": 0.70, "gap": 3, "devs": 3, "commits": 200}
+MENTION_TERMS = ("claude", "copilot", "chatgpt", "gpt", "cursor", "cody", "tabnine", "codeium", "windsurf", "aider", "ai_generic")
 Z95 = 1.959963984540054
 
 RECORD = """provider string, repo_id string, name string, clone_url string, default_branch string,

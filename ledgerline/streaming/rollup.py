@@ -1,14 +1,19 @@
-"""Incremental ingest: monthly roll-up of arriving rows, first-wins dedup."""
+"""Incremental ingest: monthly roll-up of arriving rows, first-wins dedup, record shards."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import RECORD
 
-def monthly(stream: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Rows and sum by key and calendar month; state is one row a group."""
-    return stream.groupBy(*keys, F.date_format(ts, "yyyy-MM").alias("ym")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+def monthly(stream: DataFrame, keys: list[str], ts: str, now: str | None = None) -> DataFrame:
+    """Rows and sum by key and calendar month; state is one row a group.
+    T6: with `now` ('yyyy-MM') rows of later months are clocks gone wrong and go."""
+    ym = F.date_format(ts, "yyyy-MM")
+    rows = stream if now is None else stream.where(ym <= now)
+    return rows.groupBy(*keys, ym.alias("ym")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def dedup(stream: DataFrame, ts: str, delay: str, keys: list[str]) -> DataFrame:
@@ -16,8 +21,34 @@ def dedup(stream: DataFrame, ts: str, delay: str, keys: list[str]) -> DataFrame:
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def shards(spark: SparkSession, folder: str, files_a_batch: int = 16) -> DataFrame:
+    """Records of shards as they appear in a folder, so many files a batch;
+    a batch that is not done holds back the next.  A file is read once, so shards
+    must appear whole: sinks.write_records renames them when they are."""
+    rows = spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", "records-*.jsonl").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
+    return rows.where(~(F.col("_corrupt").isNotNull() & F.col("name").isNull() & F.col("provider").isNull()))
+
+
+def first_records(stream: DataFrame) -> DataFrame:
+    """A provider and name once, whatever batch they come in; missing ones
+    are a value.  State is one row a name, for as long as the query lives."""
+    key = lambda c: F.coalesce(F.col(c), F.lit("None")).alias(c)
+    return stream.withColumns({"_provider": key("provider"), "_name": key("name")}).dropDuplicates(["_provider", "_name"]).drop("_provider", "_name")
+
+
+def month_guard(ym: Column, floor: str, now: str) -> Column:
+    """A month from the floor to the present."""
+    return ym.between(floor, now)
+
+
 def run_available(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Everything that is there now, into a table of this name in memory."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def append_available(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Everything that is there now, appended to a Parquet folder; a second run
+    with the same checkpoint takes up where this one ended."""
+    stream.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
