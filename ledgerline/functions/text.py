@@ -125,6 +125,18 @@ def mention_flags(body: Column, precise: dict | None = None, ambiguous: dict | N
     return out | {t: near & body.rlike(U + "(?i)" + p) for t, p in (AMBIGUOUS_TERMS if ambiguous is None else ambiguous).items()}
 
 
+def mention_set(body: Column) -> Column:
+    """The terms a message mentions, in order: bare ones, with ambiguous ones near a context word."""
+    flags = mention_flags(body)
+    some = lambda terms: F.filter(F.array(*(F.when(flags[t], F.lit(t)) for t in terms)), lambda x: x.isNotNull())
+    return F.array_sort(F.array_union(some(PRECISE_TERMS), some(AMBIGUOUS_TERMS)))
+
+
+def code_languages() -> list[str]:
+    """Names of languages that mark a source repository."""
+    return sorted({*EXTENSIONS.values(), *LINGUIST})
+
+
 def signature_flags(name: Column, email: Column, body: Column) -> dict[str, Column]:
     text, who = F.concat_ws("\n", name, body), F.concat_ws(" ", F.lower(email), F.lower(name))
     out = {}
@@ -144,7 +156,7 @@ def is_code_repo(language: Column, name: Column, description: Column) -> Column:
     blocked = F.lit(False)
     for w in BLOCKED_WORDS:
         blocked = blocked | (F.instr(hay, w) > 0)
-    return F.lower(language).isin(*sorted({*EXTENSIONS.values(), *LINGUIST})) & ~blocked
+    return F.lower(language).isin(*code_languages()) & ~blocked
 
 
 def clean_ym(x: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.resample import interval, replicate_sums, row_key
@@ -21,15 +21,16 @@ def dose_points(dose: DataFrame, x: str, y: str = "post_excess") -> DataFrame:
     return dose.where(F.col(x).isNotNull()).select(F.col(x).alias("x"), (100 * F.col(y)).alias("y"))
 
 
-def dose_line(dose: DataFrame, x: str, keys: list[str], y: str = "post_excess", grid: int = GRID, refits: int = REFITS) -> DataFrame:
+def dose_line(dose: DataFrame, x: str, keys: list[str], y: str = "post_excess", grid: int = GRID, refits: int = REFITS, key: Column | None = None) -> DataFrame:
     """SK9, SK13: the fitted line on a grid over x with the band of refits of
     resampled points; no rows under two points."""
     rows = dose.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), (100 * F.col(y)).alias("_y"))
+    key = row_key(*keys) if key is None else key
     fit = rows.agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.regr_slope("_y", "_x").alias("b"), F.regr_intercept("_y", "_x").alias("a")).where("n >= 2")
     at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.struct(i.alias("i"), (F.col("lo") + (F.col("hi") - F.col("lo")) * i / (grid - 1)).alias("x"))))
     line = fit.select(at.alias("g"), "a", "b").select("g.i", "g.x", (F.col("a") + F.col("b") * F.col("g.x")).alias("y"))
     products = rows.withColumn("_xx", F.col("_x") * F.col("_x")).withColumn("_xy", F.col("_x") * F.col("_y"))
-    g = replicate_sums(products, [], ["_x", "_y", "_xx", "_xy"], row_key(*keys), refits, 0)
+    g = replicate_sums(products, [], ["_x", "_y", "_xx", "_xy"], key, refits, 0)
     k = F.col("_k")
     slope = F.try_divide(k * F.col("_xy") - F.col("_x") * F.col("_y"), k * F.col("_xx") - F.col("_x") * F.col("_x"))
     fits = g.withColumn("b", slope).where("b is not null").withColumn("a", (F.col("_y") - F.col("b") * F.col("_x")) / k).select(F.col("a").alias("ra"), F.col("b").alias("rb"))

@@ -715,3 +715,6 @@ def streaming_monthly_rollup(spark, d):
 
     events = A.read(spark, d, "events")
     return rollup.monthly(events, ["event_type"], "ts").withColumn("total", F.round("total", 4))
+
+
+from . import source_queries  # noqa: E402, F401  (adds its queries to these)
