@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ U64 = np.uint64
 #: Texts are worked on in slices of about so many bytes, whatever a batch holds.
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def once(key: tuple, make: Callable):
@@ -26,7 +28,10 @@ def once(key: tuple, make: Callable):
 
     held = sys.__dict__.get("_ledgerline_kept")
     if held is None or held[0] != key:
-        sys.__dict__["_ledgerline_kept"] = held = None  # the old one goes first
+        if held is not None:
+            sys.__dict__["_ledgerline_kept"] = held = None  # the old one goes first
+            gc.collect()
+            trim()
         sys.__dict__["_ledgerline_kept"] = held = (key, make())
     return held[1]
 
@@ -35,9 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Whole texts travel in batches; fewer rows a batch bound a worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Whole texts travel in batches; fewer rows and bytes a batch bound a worker's
+    memory, and that of the buffers on the JVM's side."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     # A query's shuffle files go when it ends, not when the driver happens to collect garbage.
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
@@ -162,6 +169,10 @@ class Hasher:
         return mix(np.add.reduceat(mix(words + place.astype(U64) * U64(0x9E3779B97F4A7C15)), starts))
 
 
+#: once() of this takes the place of what an operator before has kept.
+HASHER = ("hasher",)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) of runs of rows; null texts are empty."""
     for chunk_start, chunk in _chunks(texts):
@@ -280,18 +291,31 @@ def freed(run: Callable) -> Callable:
     """run, with a worker's unused memory given back when its task ends."""
 
     def whole(*args) -> Iterator[pa.RecordBatch]:
-        import ctypes
-
         yield from run(*args)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except OSError:  # another C library
-            pass
+        trim()
 
     return whole
 
 
+def trim() -> None:
+    """Give this process's unused memory back."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def settle(spark: SparkSession) -> None:
+    """At an operator's end: Spark drops broadcasts and shuffles of frames that are
+    gone only once the driver has collected its garbage, so let it do that now."""
+    gc.collect()
+    trim()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 # --- connected components ---------------------------------------------------
 
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, saved, table
+from .common import few, saved, settle, table
 
 WORDS = 5
 NUM, DEN = 3, 4
@@ -47,8 +47,17 @@ def shingles(expr: str) -> Column:
 
 
 def fingerprint(hashes: str) -> Column:
-    bit = f"aggregate({hashes}, 0, (n, h) -> n + cast(shiftright(h, b) & 1L as int))"
-    return F.expr(f"aggregate(sequence(0, 63), 0L, (f, b) -> f | if(2 * {bit} > size({hashes}), shiftleft(1L, b), 0L))")
+    """Bit b is set if more than half of the hashes have it.
+
+    One walk counts all bits: the lanes of a few numbers are counters, of 8 bits
+    for arrays that these can count below the sign, of 16 and 32 for longer ones.
+    Counter j holds bits j, j + width, ...  The expression is kept small, as plans
+    copy it many times."""
+    width = f"if(size({hashes}) < 128, 8, if(size({hashes}) < 32768, 16, 32))"
+    unit = f"if(size({hashes}) < 128, {sum(1 << i for i in range(0, 64, 8))}L, if(size({hashes}) < 32768, {sum(1 << i for i in range(0, 64, 16))}L, {sum(1 << i for i in range(0, 64, 32))}L))"
+    count = f"aggregate({hashes}, array_repeat(0L, {width}), (_a, _h) -> transform(_a, (_x, _i) -> _x + (shiftrightunsigned(_h, _i) & {unit})))"
+    lane = "shiftrightunsigned(_c[_b % size(_c)], _b - _b % size(_c)) & (shiftleft(1L, size(_c)) - 1)"
+    return F.expr(f"transform(array({count}), _c -> aggregate(sequence(0, 63), 0L, (_f, _b) -> _f | if(2 * ({lane}) > size({hashes}), shiftleft(1L, _b), 0L)))[0]")
 
 
 def blocks(fp: str) -> Column:
@@ -76,7 +85,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # No filter on the words: it would be pushed below and split each text twice.
     split = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words("text").alias("w"))
-    places = split.select("doc_id", F.xxhash64("w").alias("text_id"), (F.size("w") - (WORDS - 1)).alias("n"), F.posexplode(shingles("w")).alias("p", "h"))
+    # Places are exploded before they are hashed, so that each shingle is hashed in compiled code.
+    at = F.expr(f"explode(if(size(w) < {WORDS}, cast(array() as array<int>), sequence(0, size(w) - {WORDS})))")
+    gram = F.xxhash64(*(F.expr(f"get(w, p + {i})") for i in range(WORDS)))
+    places = split.select("doc_id", F.xxhash64("w").alias("text_id"), (F.size("w") - (WORDS - 1)).alias("n"), "w", at.alias("p")).select("doc_id", "text_id", "n", "p", gram.alias("h"))
     size = F.least("m", "n")
     need = F.expr(f"cast(({NUM} * (size + m) + {NUM + DEN - 1}) div {NUM + DEN} as int)")
     runs = places.join(side(grams), "h").groupBy("doc_id", "text_id", "n", "item", "m").agg(F.array_sort(F.collect_set("p")).alias("a"))
@@ -99,7 +111,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     differs = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*(F.when(differs.bitwiseAND(F.lit(x).cast("long")) == 0, F.lit(i)) for i, x in enumerate(signed)))
     pairs = pairs.where(F.col("block") == first)
-    common = F.expr("aggregate(array_distinct(hashes), 0, (n, x) -> n + least(size(filter(hashes, y -> y = x)), size(filter(item_hashes, y -> y = x))))")
+    each = "aggregate(array_distinct(hashes), 0, (n, x) -> n + least(size(filter(hashes, y -> y = x)), size(filter(item_hashes, y -> y = x))))"
+    # Without repeats on one side, each shingle in common counts once.
+    common = F.expr(f"if(size(array_distinct(hashes)) = size(hashes) or size(array_distinct(item_hashes)) = size(item_hashes), size(array_intersect(hashes, item_hashes)), {each})")
     scored = pairs.select("doc_id", "text_id", "item_id", "start", F.col("m").alias("n_shingles"), distance.alias("distance"), common.alias("common"), (F.size("hashes") + F.col("m")).alias("both"))
     good = scored.where(DEN * F.col("common") >= NUM * (F.col("both") - F.col("common"))).withColumn("similarity", F.col("common") / (F.col("both") - F.col("common")))
     best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "n_shingles", "distance", "similarity"), F.struct("similarity", -F.col("start"), "text_id")).alias("b"))
@@ -110,6 +124,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that an item leaks into.  The leaks, a few columns of a
     few documents, are saved and broadcast if few; else the documents are joined."""
     found = few(saved(leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()))
+    settle(docs.sparkSession)
     return docs.join(found, docs["doc_id"].cast("long") == found["_leak"], "left_anti")
 
 
