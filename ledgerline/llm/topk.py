@@ -13,7 +13,8 @@ Defined cases: null vectors, vectors with a null or non-finite component and
 rows without an id take no part; vectors of a length other than the query's
 aren't its candidates; a row with the query's own id is not its candidate;
 rows that repeat exactly count once; a query with fewer candidates than k gets
-all; extra columns are ignored.
+all; vectors of any length are taken whole; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,50 +29,66 @@ from .common import table
 K = 5
 QUERY_MOD = 50
 #: Vectors of a candidate block, and queries of a query block.
-BLOCK, QUERIES = 8192, 512
+BLOCK, QUERIES = 8192, 8192
 #: Entries of each list that a step reads.
 STEP = 32
 
 
 class Lists:
-    """Candidates of a block with one sorted list a dimension."""
+    """Candidates of a block with one sorted list a dimension.
+
+    Scores are worked out in floating point where that is exact (below 2^53),
+    else in whole numbers."""
+
+    EXACT = 1 << 53
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
+        self.ids = ids
         self.up = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(vectors, self.up, axis=0)
+        self.most = int(np.abs(vectors).max(initial=0))
+        self.whole, self.vectors = vectors, vectors.astype(np.float64)
+
+    def scores(self, rows: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
+        return (self.vectors[rows] @ q.astype(np.float64)).astype(np.int64) if exact else self.whole[rows] @ q
 
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best, ties to smaller ids."""
         n = len(self.ids)
         used = np.flatnonzero(q)
         falling = q[used] > 0
+        up, down = used[falling], used[~falling]
+        exact = len(q) * self.most * int(np.abs(q).max(initial=0)) < self.EXACT
         seen = self.ids == query_id
         best_ids = best = np.zeros(0, np.int64)
         depth = 0
         while depth < n:
             stop = min(n, depth + STEP)
-            met = np.concatenate([self.up[n - stop : n - depth, used[falling]].ravel(), self.up[depth:stop, used[~falling]].ravel()])
-            new = np.zeros(n, dtype=bool)
-            new[met if len(used) else slice(None)] = True
-            new &= ~seen
-            rows = np.flatnonzero(new)
+            met = np.concatenate([self.up[n - stop : n - depth, up].ravel(), self.up[depth:stop, down].ravel()]) if len(used) else np.arange(n)
+            rows = np.unique(met[~seen[met]])
             seen[rows] = True
             if len(rows):
-                ids, scores = np.concatenate([best_ids, self.ids[rows]]), np.concatenate([best, self.vectors[rows] @ q])
+                ids, scores = np.concatenate([best_ids, self.ids[rows]]), np.concatenate([best, self.scores(rows, q, exact)])
                 order = np.lexsort((ids, -scores))[:k]
                 best_ids, best = ids[order], scores[order]
             depth = stop
             if not len(used):
                 break
-            edge = np.where(falling, self.sorted[n - depth, used], self.sorted[depth - 1, used])
-            if len(best) == k and int(edge @ q[used]) < best[-1]:
+            # The most that a vector can score which no list has shown yet.
+            edge = int(self.sorted[n - depth, up] @ q[up]) + int(self.sorted[depth - 1, down] @ q[down])
+            if len(best) == k and edge < best[-1]:
                 break
         return best_ids, best
 
 
 def _matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.array(x, dtype=np.int64) for x in column.to_pylist()]
+    """Each row's vector, as views of one buffer."""
+    column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
+    values = column.flatten().to_numpy().astype(np.int64)
+    sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
+    return np.split(values, np.cumsum(sizes)[:-1]) if len(column) else []
 
 
 def _search(k: int):
