@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, block_of, drop_saved, freed, long_array, mix, n_blocks, saved, slices, small_batches, table, with_lookups, word_slices
+from .common import HASHER, U64, Hasher, block_of, drop_saved, freed, long_array, mix, n_blocks, once, saved, settle, slices, small_batches, table, with_lookups, word_slices
 
 ORDER = 6
 LOW = 2
@@ -109,7 +109,7 @@ def _counts(buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(block, pa.int32()), long_array(key), pa.array(k, pa.int64()), *wide], names)
 
     def run(batches):
-        hasher = Hasher()
+        hasher = once(HASHER, Hasher)
         words, size, rows = [], 0, 0
         # Pairs carry their block's place in `places` above their bytes.
         places, raw, n_raw, held = {}, [[], []], 0, (np.zeros(0, U64), np.zeros(0, np.int64))
@@ -195,12 +195,12 @@ def _codes(low):
     """Code lengths of the pairs of each bucket, by the blocks that asked."""
     names = ["block", "k", "keys", "codes"]
 
-    def of_bucket(parts):
+    def of_bucket(parts, base):
         keys = np.concatenate([unpack(x, k, U64) for _, k, x, _ in parts])
         counts = np.concatenate([unpack(x, k, np.uint32) for _, k, _, x in parts]).astype(np.int64)
         asked, counts = _summed(keys, counts)
         trained = counts > 0
-        trie = Trie(asked[trained], counts[trained], low.value)
+        trie = Trie(asked[trained], counts[trained], base)
         codes = np.concatenate([trie.code(asked[i : i + HELD]) for i in range(0, len(asked), HELD)]).astype(np.float32)
         for i in range(0, len(parts), 100):
             some = parts[i : i + 100]
@@ -208,16 +208,16 @@ def _codes(low):
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _, _ in some], pa.int32()), pa.array([k for _, k, _, _ in some], pa.int64()), pa.array([x for _, _, x, _ in some], pa.binary()), pa.array(found, pa.binary())], names)
 
     def run(batches):
-        now, parts = None, []
+        now, parts, base = None, [], Trie(*low.value, top=LOW)
         for batch in batches:
             for bucket, block, k, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if bucket != now and parts:
-                    yield from of_bucket(parts)
+                    yield from of_bucket(parts, base)
                     parts = []
                 now = bucket
                 parts.append((block, k, keys, counts))
         if parts:
-            yield from of_bucket(parts)
+            yield from of_bucket(parts, base)
 
     return run
 
@@ -336,7 +336,7 @@ def _score(ends: int, train_tokens: int, vocabulary: int):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(lookups, batches):
-        hasher = Hasher()
+        hasher = once(HASHER, Hasher)
         words = lookups.filter(lookups.column("h").is_valid())
         known = words.column("h").to_numpy().view(U64)
         order = np.argsort(known)
@@ -384,7 +384,8 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     drop_saved(totals)
     ends = parts.where("kind = 2").agg(F.sum("k").alias("n")).first()["n"] or 0
     short = parts.where("kind = 3").select("key").distinct().groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1)).alias("key")).agg(F.count("*").alias("k")).toArrow()
-    low = spark.sparkContext.broadcast(Trie(short.column("key").to_numpy().view(U64), short.column("k").to_numpy(), top=LOW))
+    # Plain arrays: what is broadcast must not need this package to be read.
+    low = spark.sparkContext.broadcast((short.column("key").to_numpy().view(U64), short.column("k").to_numpy()))
     pairs = parts.where("kind = 1").select(F.col("key").cast("int").alias("bucket"), "block", "k", "keys", "counts")
     codes = saved(pairs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(freed(_codes(low)), "block int, k long, keys binary, codes binary"))
     low.destroy()
@@ -394,6 +395,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     out = saved(with_lookups(rows, both, blocks, freed(_score(ends, seen["n"] + ends, seen["v"] + (ends > 0))), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     drop_saved(lookups)
     drop_saved(codes)
+    settle(spark)
     return out
 
 

@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, block_of, long_array, mix, n_blocks, slices, small_batches, table, with_lookups
+from .common import HASHER, U64, Hasher, block_of, long_array, mix, n_blocks, once, slices, small_batches, table, with_lookups
 
 #: A cut comes after one word in so many, on average.
 MEAN_WORDS = 4
+#: Bytes that the rolling hash sees.
+PAD = 16
 #: Words of a run of repeated chunks from which it is removed.
 MIN_WORDS = 30
 BLOCK_BYTES = 16 << 20
@@ -42,7 +44,7 @@ def gear(data: np.ndarray) -> np.ndarray:
     table_ = (mix(np.arange(1, 257, dtype=U64)) >> U64(32)).astype(np.uint32)
     h = table_[data]
     w = 1
-    while w < 16:
+    while w < PAD:
         new = h.copy()
         new[w:] += h[:-w] << np.uint32(w)
         h = new
@@ -56,9 +58,10 @@ def chunks(hasher: Hasher, texts: pa.Array):
     are in the slice's bytes.  A chunk never spans rows."""
     for first, n, data, offsets in slices(texts):
         low = hasher.lower[data]
-        padded = np.full(len(low) + n, 0x0A, dtype=np.uint8)
-        padded[np.arange(len(low)) + np.repeat(np.arange(n), np.diff(offsets))] = low
-        rows = offsets + np.arange(n + 1)
+        # A window of line ends before each row: cuts do not depend on the row before.
+        padded = np.full(len(low) + n * PAD, 0x0A, dtype=np.uint8)
+        padded[np.arange(len(low)) + np.repeat(np.arange(1, n + 1), np.diff(offsets)) * PAD] = low
+        rows = offsets + np.arange(n + 1) * PAD
         start, end, words = hasher.words(padded)
         at = np.searchsorted(start, rows)
         if len(start):
@@ -72,7 +75,7 @@ def chunks(hasher: Hasher, texts: pa.Array):
             digests = hasher.fold(words, begin)
         else:
             begin, digests = np.zeros(0, np.int64), np.zeros(0, U64)
-        shift = np.repeat(np.arange(n), np.diff(at))
+        shift = np.repeat(np.arange(1, n + 1), np.diff(at)) * PAD
         yield first, n, offsets, start - shift, end - shift, at, begin, digests
 
 
@@ -80,7 +83,7 @@ def _firsts(blocks: int):
     """A row for each digest and block that a part of the input holds."""
 
     def run(batches):
-        hasher = Hasher()
+        hasher = once(HASHER, Hasher)
         held, size = [], 0
 
         def out():
@@ -110,7 +113,7 @@ def _cut(columns: list[str], min_words: int):
     t, d = columns.index("text"), columns.index("doc_id")
 
     def run(lookups, batches):
-        hasher = Hasher()
+        hasher = once(HASHER, Hasher)
         if lookups is None:
             known, doc, place = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         else:
