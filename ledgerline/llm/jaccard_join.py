@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, components, drop_saved, few, long_array, mix, saved, small_batches, table, word_slices
+from .common import HASHER, U64, Hasher, components, drop_saved, few, long_array, mix, once, saved, settle, small_batches, table, word_slices
 
 WORDS = 5
 #: Jaccard similarity as a fraction.
@@ -55,6 +55,10 @@ HEAVY_KEPT = 1 << 19
 #: Members of a signature tree.
 TREE = 256
 LEAF = 32
+#: Shingles that a task holds before it counts them.
+HELD = 1 << 21
+#: Rows of a bucket from which it is passed on in parts.
+PART = 1 << 16
 #: One in so many buckets takes part in the forests; the trees after them take all.
 FOREST_ONE_IN = 8
 #: Bits of a bitmap for each shingle, and of the widest one.
@@ -117,7 +121,7 @@ def strong_size(n):
 def _signatures(batches):
     """Two kinds of rows from one pass: documents (doc_id, n, s1, s2), and
     counts (token, k) of shingles that a part of the input holds at least twice."""
-    hasher, held, size, seen = Hasher(), [], 0, set()
+    hasher, held, size, seen = once(HASHER, Hasher), [], 0, set()
     names = ["doc_id", "n", "s1", "s2", "token", "k"]
 
     def counted():
@@ -136,7 +140,7 @@ def _signatures(batches):
             fresh = unseen(seen, one, s.sizes)
             held.append(s.tokens[np.repeat(fresh, s.sizes)])
             size += len(held[-1])
-        if size > 1 << 22:
+        if size > HELD:
             yield counted()
             held, size = [], 0
     if size:
@@ -165,7 +169,7 @@ def heavy_tokens(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _prefixes(heavy):
     def run(batches):
         tokens, counts = heavy.value
-        hasher, seen = Hasher(), set()
+        hasher, seen = once(HASHER, Hasher), set()
         for batch in batches:
             for s in shingle_sets(hasher, batch.column(0)):
                 ids = s.digests()[0]
@@ -259,7 +263,7 @@ def _runs(batches):
         token = cols[0]
         start = int(np.searchsorted(token, token[-1], "left"))
         # The last run may go on in the next batch; a long one is passed on in parts.
-        goes_on = len(token) - start > 1 << 16
+        goes_on = len(token) - start > PART
         if goes_on:
             start = len(token) - 1
         tail = [x[start:] for x in cols]
@@ -298,7 +302,7 @@ def folded(bits: bytes, width: int) -> np.ndarray:
 
 def _bitmaps(batches):
     """doc_id, class, size and bitmap of each document with words."""
-    hasher = Hasher()
+    hasher = once(HASHER, Hasher)
     for batch in batches:
         for s in shingle_sets(hasher, batch.column(1)):
             keep = np.flatnonzero(s.sizes > 0)
@@ -308,7 +312,7 @@ def _bitmaps(batches):
 
 def _tokens(batches):
     """Class and whole set, as bytes, of each document with words."""
-    hasher = Hasher()
+    hasher = once(HASHER, Hasher)
     for batch in batches:
         for s in shingle_sets(hasher, batch.column(0)):
             keep = np.flatnonzero(s.sizes > 0)
@@ -590,6 +594,7 @@ def _members(docs: DataFrame) -> DataFrame:
     out = saved(out.select("doc_id", "n", "s1", F.when(F.col("n") > 0, F.coalesce("component", "s1")).alias("root"), F.coalesce("component_id", "rep", "doc_id").alias("component_id")))
     drop_saved(signed)
     drop_saved(found)
+    settle(docs.sparkSession)
     return out
 
 
@@ -601,7 +606,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def _row_class(batches):
     """The class of each row, after its columns; null for empty sets."""
-    hasher = Hasher()
+    hasher = once(HASHER, Hasher)
     for batch in batches:
         for s in shingle_sets(hasher, batch.column("text")):
             part = batch.slice(s.first, len(s.sizes))
