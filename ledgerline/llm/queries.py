@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontamination, html_text, jaccard_join, merkle, ppm, substring_dedup, token_counts, topk, toxicity
+from . import bpe, chat_format, decontamination, html_text, jaccard_join, merkle, periodic, ppm, substring_dedup, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_format": chat_format.query,
     "op10_ngram_jaccard_join": jaccard_join.query,
     "op12_merkle_manifest": merkle.query,
+    "op13_periodic_runs": periodic.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_threshold_topk": topk.SQL, "op12_merkle_manifest": merkle.SQL}
