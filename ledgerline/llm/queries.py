@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontamination, html_text, jaccard_join, merkle, periodic, ppm, substring_dedup, token_counts, topk, toxicity
+from . import bpe, chat_format, decontamination, html_text, jaccard_join, licenses, merkle, periodic, ppm, substring_dedup, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_chat_format": chat_format.query,
     "op10_ngram_jaccard_join": jaccard_join.query,
+    "op11_license_scan": licenses.query,
     "op12_merkle_manifest": merkle.query,
     "op13_periodic_runs": periodic.query,
 }
