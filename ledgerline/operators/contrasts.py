@@ -11,7 +11,8 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..schemas import AI_GROUP, BIG_JUMP, ES_HI, ES_LO, POST_WINDOW, RESID_CLIP, Z95
-from . import resample
+from . import resample, selection
+from .keep import kept
 
 
 @F.pandas_udf(DoubleType())
@@ -91,16 +92,16 @@ def heterogeneity(df: DataFrame, within: list[str] | None = None, x: str = "post
     before the clipped ones go; a group of clipped rows only has n 0.
     """
     within = within or []
-    e = F.expm1(x)
-    free = F.abs(F.col(x)) < RESID_CLIP - 1e-6
-    of = lambda c: F.when(free, c)
-    g = df.where(F.col(x).isNotNull() & F.col(group).isNotNull()).groupBy(*within, group).agg(
-        F.count("*").alias("_all"), F.count_if(free).alias("n"),
-        F.avg(of((e >= BIG_JUMP).cast("int"))).alias("share_big_jump"), F.stddev_samp(of(e)).alias("sd"), F.percentile(of(e), 0.9).alias("p90"), F.median(of(e)).alias("median"),
-    )
+    by = [*within, group]
+    rows = df.where(F.col(x).isNotNull() & F.col(group).isNotNull())
+    # No excess where it is clipped: such a row counts among all rows only.
+    rows = kept(rows.select(*by, F.when(F.abs(F.col(x)) < RESID_CLIP - 1e-6, F.expm1(x)).alias("_e")))
+    e = F.col("_e")
+    g = rows.groupBy(*by).agg(F.count("*").alias("_all"), F.count(e).alias("n"), F.avg((e >= BIG_JUMP).cast("int")).alias("share_big_jump"), F.stddev_samp(e).alias("sd"))
+    g = g.join(selection.quantiles(rows, by, {"p90": ("_e", 0.9), "median": ("_e", 0.5)}), by)
     w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
     clipped = F.sum(F.col("_all") - F.col("n")).over(w) / F.sum("_all").over(w)
-    return g.withColumn("share_clipped", clipped).select(*within, group, "n", "share_clipped", "share_big_jump", "sd", "p90", "median")
+    return g.withColumn("share_clipped", clipped).select(*by, "n", "share_clipped", "share_big_jump", "sd", "p90", "median")
 
 
 def top_gainers(df: DataFrame, n: int = 25, x: str = "post_excess") -> DataFrame:
@@ -123,9 +124,11 @@ def difference_by_group(df: DataFrame, pre: str, post: str, key: Column, by: lis
     """Differences of the groups' means (with interval) and of their medians."""
     by = by or ["grp"]
     rows = df.where(F.col(by[-1]).isNotNull() & F.col(pre).isNotNull() & F.col(post).isNotNull())
-    g = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(pre).alias("mean_pre"), F.avg(post).alias("mean_post"), F.median(pre).alias("median_pre"), F.median(post).alias("median_post"), F.avg((F.col(post) > F.col(pre)).cast("int")).alias("share_up"))
+    rows = kept(rows.select(*by, F.col(pre).alias("_pre"), F.col(post).alias("_post"), key.cast("bigint").alias("_key")))
+    g = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_pre").alias("mean_pre"), F.avg("_post").alias("mean_post"), F.avg((F.col("_post") > F.col("_pre")).cast("int")).alias("share_up"))
+    g = g.join(selection.quantiles(rows, by, {"median_pre": ("_pre", 0.5), "median_post": ("_post", 0.5)}), by)
     g = g.withColumn("mean_diff", F.col("mean_post") - F.col("mean_pre")).withColumn("median_diff", F.col("median_post") - F.col("median_pre"))
-    ci = resample.bootstrap(rows, by, pre, post, key, n, seed, percent=False).select(*by, F.col("lo").alias("mean_diff_lo"), F.col("hi").alias("mean_diff_hi"))
+    ci = resample.bootstrap(rows, by, "_pre", "_post", F.col("_key"), n, seed, percent=False).select(*by, F.col("lo").alias("mean_diff_lo"), F.col("hi").alias("mean_diff_hi"))
     return g.join(ci, by, "left")
 
 
