@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..schemas import AI_GROUP, BIG_JUMP, ES_HI, ES_LO, POST_WINDOW, RESID_CLIP, Z95
-from . import resample, selection
+from . import regression, resample, selection
 from .keep import kept
 
 
@@ -151,47 +151,15 @@ def placebo_rows(df: DataFrame, anchor: str, placebo_anchor: str) -> DataFrame:
 def pooled_interaction(panel: DataFrame) -> DataFrame:
     """Pooled regression of log churn a developer on post, suitability
     (centred), their product, t, age (centred, in months) and its square,
-    clustered by repository.  Under 30 rows give none.
-
-    The Gram matrix of seven terms is one aggregation of 28 sums, the scores
-    one by repository; only these 7 x 7 sums reach the driver.  Sums are over
-    terms scaled to like sizes; coefficients are in the terms' own units.  Terms
-    that the others give (t and age, where all repositories start together) share
-    the least-norm solution of the unscaled terms.
-    """
-    import numpy as np
-
-    names = ["const", "post", "suitability", "post_x_suitability", "t", "age", "age_sq"]
-    schema = "term string, coef double, se double, z double, ci_lo double, ci_hi double, p double"
+    clustered by repository.  Under 30 rows give none.  Where all repositories
+    start together t and age say the same and share the solution of least norm."""
     w = Window.partitionBy("repo_id")
-    x = panel.where(F.col("suitability").isNotNull()).withColumn("post", (F.col("t") >= 0).cast("double")).withColumn("age", (F.col("t") - F.min("t").over(w)).cast("double")).withColumn("y", F.log1p("cpd"))
-    means = x.agg(F.avg("suitability").alias("s"), F.avg("age").alias("a"), F.count("*").alias("n")).first()
-    if not means["n"] or means["n"] < 30:
-        return panel.sparkSession.createDataFrame([], schema)
-    scale = np.array([1.0, 1.0, 1.0, 1.0, 64.0, 64.0, 4096.0])  # powers of two: exact
-    sc, ac = F.col("suitability") - means["s"], F.col("age") - means["a"]
-    terms = [F.lit(1.0), F.col("post"), sc, F.col("post") * sc, F.col("t"), ac, ac * ac]
-    x = x.select("repo_id", "y", *((c.cast("double") / float(f)).alias(f"x{i}") for i, (c, f) in enumerate(zip(terms, scale))))
-    gram = x.agg(*(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}{j}") for i in range(7) for j in range(i, 7)), *(F.sum(F.col(f"x{i}") * F.col("y")).alias(f"r{i}") for i in range(7))).first()
-    g = np.array([[gram[f"g{min(i, j)}{max(i, j)}"] for j in range(7)] for i in range(7)])
-    inv = np.linalg.pinv(g, rcond=1e-12, hermitian=True)
-    beta = inv @ np.array([gram[f"r{i}"] for i in range(7)])
-    # Of all solutions the least in the terms' own units: what moves along the null space goes.
-    values, vectors = np.linalg.eigh(g)
-    null = vectors[:, values <= 1e-12 * values.max()] / scale[:, None]
-    project = np.eye(7) - null @ np.linalg.pinv(null) if null.shape[1] else np.eye(7)
-    u = F.col("y")
-    for i, b in enumerate(beta):
-        u = u - float(b) * F.col(f"x{i}")
-    score = x.withColumn("u", u).groupBy("repo_id").agg(*(F.sum(F.col(f"x{i}") * F.col("u")).alias(f"s{i}") for i in range(7)))
-    meat = score.agg(F.count("*").alias("g"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}{j}") for i in range(7) for j in range(i, 7))).first()
-    m = np.array([[meat[f"m{min(i, j)}{max(i, j)}"] for j in range(7)] for i in range(7)])
-    n, k, c = means["n"], 7, meat["g"]
-    turn = project @ np.diag(1 / scale)
-    cov = turn @ inv @ m @ inv @ turn.T * (c / max(c - 1, 1)) * (n - 1) / (n - k)
-    beta, se = turn @ beta, np.sqrt(np.maximum(np.diag(cov), 0))
-    rows = [(t, float(b), float(e), float(b / e) if e else None, float(b - Z95 * e), float(b + Z95 * e), math.erfc(abs(b / e) / math.sqrt(2)) if e else None) for t, b, e in zip(names, beta, se)]
-    return panel.sparkSession.createDataFrame(rows, schema)
+    x = panel.where(F.col("suitability").isNotNull()).select("repo_id", "suitability", "t", (F.col("t") >= 0).cast("double").alias("post"), (F.col("t") - F.min("t").over(w)).cast("double").alias("age"), F.log1p("cpd").alias("y"))
+    x = kept(x)
+    means = x.agg(F.avg("suitability").alias("s"), F.avg("age").alias("a")).first()
+    suit, age = F.col("suitability") - F.lit(means["s"]), F.col("age") - F.lit(means["a"])
+    terms = {"const": F.lit(1.0), "post": F.col("post"), "suitability": suit, "post_x_suitability": F.col("post") * suit, "t": F.col("t"), "age": age, "age_sq": age * age}
+    return regression.ols(x, F.col("y"), terms, cluster="repo_id", min_n=30).drop("n")
 
 
 def management_kpi(panel: DataFrame) -> DataFrame:
