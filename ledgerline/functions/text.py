@@ -53,6 +53,9 @@ SIGNATURES = {
     "tabnine": [r"(?i)tabnine"],
 }
 BOT_AUTHORS = {"copilot": "copilot", "cursoragent": "cursor", "devin-ai-integration[bot]": "devin", "aider": "aider"}
+#: One of these is in every text that a term's or a signature's pattern finds.
+MENTION_NEEDLES = ("claude", "copilot", "gpt", "tabnine", "codeium", "ai[- ]generated", "with ai", "using ai", "cursor", "cody", "windsurf", "aider")
+SIGNATURE_NEEDLES = ("anthropic", "claude", "copilot", "cursor", "aider", "codeium", "windsurf", "cody", "devin", "cognition labs", "tabnine")
 BLOCKED_WORDS = ("proxy", "proxies", "iptv", "v2ray", "vpn", "clash", "v2raycfg", "shadowsocks", "m3u", "playlist", "subscribe", "-sub", "wordlist", "ip-list", "iplist", "free-proxy", "freeproxy", "getproxy", "socks5")
 LINGUIST = ("c++", "c#", "objective-c", "objective-c++", "jupyter notebook")
 # ----------------------------------------------------------------------------
@@ -118,11 +121,17 @@ def classify_commit(body: Column, bugfix: str = BUGFIX, feature: str = FEATURE)
     return F.when(subject.rlike(U + bugfix), "bugfix").when(subject.rlike(U + feature), "feature")
 
 
+def holds_any(text: Column, needles: tuple[str, ...]) -> Column:
+    """One pass over a text for all needles; a text without one meets no other pattern."""
+    return text.rlike(U + f"(?i){'|'.join(needles)}")
+
+
 def mention_flags(body: Column, precise: dict | None = None, ambiguous: dict | None = None, context: str = CONTEXT) -> dict[str, Column]:
     """A boolean column for each term; ambiguous ones need a context word."""
-    out = {t: body.rlike(U + "(?i)" + p) for t, p in (PRECISE_TERMS if precise is None else precise).items()}
-    near = body.rlike(U + context)
-    return out | {t: near & body.rlike(U + "(?i)" + p) for t, p in (AMBIGUOUS_TERMS if ambiguous is None else ambiguous).items()}
+    gate = holds_any(body, MENTION_NEEDLES) if precise is None and ambiguous is None else F.lit(True)
+    out = {t: gate & body.rlike(U + "(?i)" + p) for t, p in (PRECISE_TERMS if precise is None else precise).items()}
+    # The term first: fewer texts hold it than a context word.
+    return out | {t: gate & body.rlike(U + "(?i)" + p) & body.rlike(U + context) for t, p in (AMBIGUOUS_TERMS if ambiguous is None else ambiguous).items()}
 
 
 def mention_set(body: Column) -> Column:
@@ -139,11 +148,12 @@ def code_languages() -> list[str]:
 
 def signature_flags(name: Column, email: Column, body: Column) -> dict[str, Column]:
     text, who = F.concat_ws("\n", name, body), F.concat_ws(" ", F.lower(email), F.lower(name))
-    out = {}
+    gate, out = holds_any(text, SIGNATURE_NEEDLES), {}
     for cls, patterns in SIGNATURES.items():
         hit = F.lit(False)
         for p in patterns:
             hit = hit | text.rlike(U + p)
+        hit = gate & hit
         for needle, bot in BOT_AUTHORS.items():
             if bot == cls:
                 hit = hit | (F.instr(who, needle) > 0)

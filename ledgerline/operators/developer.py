@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import AI_GROUP, DEV_MIN_POST, DEV_MIN_PRE, REACTIVATION_GAP, TIER_LOW, TIER_MID
-from . import resample
+from . import ranking, resample
+from .keep import few
 
 
 def baseline(months: DataFrame, meta: DataFrame | None = None) -> DataFrame:
@@ -20,22 +21,17 @@ def tiers(baseline: DataFrame, lang: str = "lang") -> DataFrame:
     constant groups), and fixed bins.  Input: repo_id, dev, lang, baseline_churn.
     Ties rank by repo_id and dev; rows without a language have no relative tier.
 
-    A language may hold most developers, so ranks are not made in one task for
-    each: rows fall into bins of like churn, and a rank is the rows of the bins
-    before and the place within one's own.  There are at most some 60,000 bins a language.
+    A language may hold most developers, and most of those one baseline: ranks
+    come from parts of like size (see ranking), not from one task for each.
     """
-    bin_ = F.floor(1024 * F.log2(F.greatest("baseline_churn", F.lit(0.0)) + 1)).cast("int")
-    binned = baseline.withColumn("_b", bin_)
-    sizes = baseline.groupBy(F.col(lang).alias("_l")).agg(F.count("*").alias("_n"), F.count_distinct("baseline_churn").alias("_d")).where("_l is not null")
-    bins = binned.groupBy(F.col(lang).alias("_l"), F.col("_b").alias("_c")).agg(F.count("*").alias("_k"))
-    before = Window.partitionBy("_l").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("_l", "_c", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before")).join(sizes, "_l")
-    place = F.row_number().over(Window.partitionBy(lang, "_b").orderBy("baseline_churn", "repo_id", "dev")) - 1
-    ranked = binned.withColumn("_w", place).join(bins, (F.col(lang) == F.col("_l")) & (F.col("_b") == F.col("_c")), "left").withColumn("_i", F.col("_w") + F.col("_before"))
-    third = F.when(F.col("_n").isNull(), None).when((F.col("_n") < 6) | (F.col("_d") < 3), "mid")
-    relative = third.when(3 * F.col("_i") < F.col("_n") - 1, "low").when(3 * F.col("_i") < 2 * (F.col("_n") - 1), "mid").otherwise("high")
+    values = baseline.groupBy(lang).agg(F.count_distinct("baseline_churn").alias("_d"))
+    rows = ranking.ranked(baseline, [lang], ["baseline_churn", "repo_id", "dev"])
+    values = few(values.withColumnRenamed(lang, "_l"))
+    rows = rows.join(values, F.col(lang).eqNullSafe(F.col("_l")))
+    third = F.when(F.col(lang).isNull(), None).when((F.col("_size") < 6) | (F.col("_d") < 3), "mid")
+    relative = third.when(3 * F.col("_rank") < F.col("_size") - 1, "low").when(3 * F.col("_rank") < 2 * (F.col("_size") - 1), "mid").otherwise("high")
     fixed = F.when(F.col("baseline_churn") <= TIER_LOW, "low").when(F.col("baseline_churn") <= TIER_MID, "mid").otherwise("high")
-    return ranked.withColumn("tier_relative", relative).withColumn("tier_absolute", fixed).select(*baseline.columns, "tier_relative", "tier_absolute")
+    return rows.withColumn("tier_relative", relative).withColumn("tier_absolute", fixed).select(*baseline.columns, "tier_relative", "tier_absolute")
 
 
 def overlap(rows: DataFrame) -> DataFrame:
@@ -47,9 +43,12 @@ def overlap(rows: DataFrame) -> DataFrame:
 def breadth(rows: DataFrame, propensity: DataFrame | None = None) -> DataFrame:
     """Repositories a month and over all, before and after, by developer;
     J8: with the developer's greatest p_ai of any repository."""
-    month = rows.groupBy("dev", "t").agg(F.count_distinct("repo_id").alias("k"))
+    # Once dealt by developer, all that follows stays where it is.
+    once = rows.select("dev", "repo_id", "t").repartition("dev").distinct()
+    month = once.where("repo_id is not null").groupBy("dev", "t").agg(F.count("*").alias("k"))
     a = month.groupBy("dev").agg(F.avg(F.when(F.col("t") < 0, F.col("k"))).alias("avg_monthly_repos_pre"), F.avg(F.when(F.col("t") >= 0, F.col("k"))).alias("avg_monthly_repos_post"))
-    b = rows.groupBy("dev").agg(F.count_distinct(F.when(F.col("t") < 0, F.col("repo_id"))).alias("lifetime_repos_pre"), F.count_distinct(F.when(F.col("t") >= 0, F.col("repo_id"))).alias("lifetime_repos_post"))
+    repos = once.where("repo_id is not null").groupBy("dev", "repo_id").agg(F.bool_or(F.col("t") < 0).alias("_pre"), F.bool_or(F.col("t") >= 0).alias("_post"))
+    b = repos.groupBy("dev").agg(F.count_if("_pre").alias("lifetime_repos_pre"), F.count_if("_post").alias("lifetime_repos_post"))
     out = a.join(b, "dev").where("avg_monthly_repos_pre is not null and avg_monthly_repos_post is not null")
     return out if propensity is None else out.join(propensity.groupBy("dev").agg(F.max("p_ai").alias("p_ai")), "dev", "left")
 
@@ -62,11 +61,15 @@ def shares(months: DataFrame) -> DataFrame:
 
 def feature_battery(rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """Mean of each feature before and after by entity; features not in the
-    input are left out.  One unpivot and one aggregation for all features."""
+    input are left out.  One aggregation of all features side by side; what it
+    gives, a row an entity, is dealt to rows of one feature after it."""
     have = [f for f in features if f in rows.columns]
-    long = rows.select(*keys, "t", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in have))).alias("x")).select(*keys, "t", "x.*")
-    g = long.groupBy("feature", *keys).agg(F.avg(F.when(F.col("t") < 0, F.col("value"))).alias("pre"), F.avg(F.when(F.col("t") >= 0, F.col("value"))).alias("post"), F.count_if(F.col("t") < 0).alias("a"), F.count_if(F.col("t") >= 0).alias("b"))
-    return g.where((F.col("a") >= DEV_MIN_PRE) & (F.col("b") >= DEV_MIN_POST)).drop("a", "b")
+    pre, post = F.col("t") < 0, F.col("t") >= 0
+    value = lambda side, f: F.avg(F.when(side, F.col(f).cast("double")))
+    g = rows.groupBy(*keys).agg(F.count_if(pre).alias("_a"), F.count_if(post).alias("_b"), *(value(pre, f).alias(f"_pre_{i}") for i, f in enumerate(have)), *(value(post, f).alias(f"_post_{i}") for i, f in enumerate(have)))
+    g = g.where((F.col("_a") >= DEV_MIN_PRE) & (F.col("_b") >= DEV_MIN_POST))
+    each = F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"_pre_{i}").alias("pre"), F.col(f"_post_{i}").alias("post")) for i, f in enumerate(have))))
+    return g.select(*keys, each).select("feature", *keys, "pre", "post")
 
 
 def first_contributors(rows: DataFrame) -> DataFrame:

@@ -18,8 +18,15 @@ def language_months(rows: DataFrame) -> DataFrame:
 
 
 def activity_months(rows: DataFrame) -> DataFrame:
-    """A2: commits, authors and active days by repository and month."""
-    return rows.groupBy("repo_id", "ym").agg(F.count_distinct("sha").alias("commits"), F.count_distinct("dev").alias("authors"), F.count_distinct(F.to_date("ts")).alias("active_days"))
+    """A2: commits, authors and active days by repository and month.
+
+    A commit has one author, and a month is that of ts.  Commits first, then
+    developers, then the month: each level counts what the one below has told
+    apart, where a developer's month was dealt once, and days are bits."""
+    dealt = rows.select("repo_id", "ym", "dev", "sha", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.dayofmonth("ts")).alias("_days")).repartition("repo_id", "ym", "dev")
+    commit = dealt.groupBy("repo_id", "ym", "dev", "sha").agg(F.bit_or("_days").alias("_days"))
+    dev = commit.groupBy("repo_id", "ym", "dev").agg(F.count("sha").alias("commits"), F.bit_or("_days").alias("_days"))
+    return dev.groupBy("repo_id", "ym").agg(F.sum("commits").alias("commits"), F.count("dev").alias("authors"), F.bit_count(F.bit_or("_days")).cast("bigint").alias("active_days"))
 
 
 #: A language's bit in a set of languages: by name, the last for unknown ones.

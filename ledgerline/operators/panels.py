@@ -77,8 +77,14 @@ def repo_months(language_months: DataFrame, author_months: DataFrame, anchor: st
 
 
 def repo_months_of(rows: DataFrame, anchor: str) -> DataFrame:
-    """The same from commit rows, in one pass over them: commits count once a language."""
-    out = rows.groupBy("repo_id", "ym").agg(F.sum("ins").alias("ins"), F.sum("del").alias("del"), F.sum(F.col("ins") + F.col("del")).alias("churn"), F.count_distinct("lang", "sha").alias("commits"), F.greatest(F.lit(1), F.count_distinct("dev")).alias("devs"))
+    """The same from commit rows: commits count once a language.
+
+    A commit has one author, so what a developer's month tells apart is counted
+    there, where it was dealt once, and summed for the month."""
+    dealt = rows.select("repo_id", "ym", "dev", "lang", "sha", "ins", "del").repartition("repo_id", "ym", "dev")
+    commit = dealt.groupBy("repo_id", "ym", "dev", "lang", "sha").agg(F.sum("ins").alias("ins"), F.sum("del").alias("del"))
+    dev = commit.groupBy("repo_id", "ym", "dev").agg(F.sum("ins").alias("ins"), F.sum("del").alias("del"), F.count_if(F.col("lang").isNotNull() & F.col("sha").isNotNull()).alias("commits"))
+    out = dev.groupBy("repo_id", "ym").agg(F.sum("ins").alias("ins"), F.sum("del").alias("del"), F.sum(F.col("ins") + F.col("del")).alias("churn"), F.sum("commits").alias("commits"), F.greatest(F.lit(1), F.count("dev")).alias("devs"))
     return with_t(out, anchor).withColumn("cpd", F.col("churn") / F.col("devs"))
 
 

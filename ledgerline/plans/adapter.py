@@ -1,7 +1,8 @@
 """Star-schema tables as commit rows and panels, in Spark and as SQL text.
 
 Repository: the customer's nation; developer: the customer; commit: the order;
-language: the part's type; month: the ship month.
+language: the part's type; month: the ship month; hour: from the order's number,
+as ship dates have none.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     customer, part = read(spark, sf_dir, "customer"), read(spark, sf_dir, "part")
     x = line.join(orders.select("o_orderkey", "o_custkey"), line["l_orderkey"] == orders["o_orderkey"]).join(customer.select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    return x.select(F.col("c_nationkey").alias("repo_id"), F.col("o_custkey").alias("dev"), F.col("l_orderkey").alias("sha"), F.col("l_shipdate").alias("ts"), F.date_format("l_shipdate", "yyyy-MM").alias("ym"), F.element_at(F.array(*map(F.lit, LANGS)), (F.length("p_type") % 5 + 1).cast("int")).alias("lang"), F.col("l_quantity").cast("bigint").alias("ins"), F.col("l_linenumber").cast("bigint").alias("del"), (F.col("c_mktsegment") == "BUILDING").alias("dev_has_sig"), F.col("l_suppkey"))
+    return x.select(F.col("c_nationkey").alias("repo_id"), F.col("o_custkey").alias("dev"), F.col("l_orderkey").alias("sha"), (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(hours=F.col("l_orderkey") % 24)).alias("ts"), F.date_format("l_shipdate", "yyyy-MM").alias("ym"), F.element_at(F.array(*map(F.lit, LANGS)), (F.length("p_type") % 5 + 1).cast("int")).alias("lang"), F.col("l_quantity").cast("bigint").alias("ins"), F.col("l_linenumber").cast("bigint").alias("del"), (F.col("c_mktsegment") == "BUILDING").alias("dev_has_sig"), F.col("l_suppkey"))
 
 
 def language_months(spark, sf_dir) -> DataFrame:
@@ -76,7 +77,7 @@ def repo_propensity(spark, sf_dir) -> DataFrame:
 
 A = T.anchor_ord(ANCHOR)
 T_SQL = f"(cast(substr(ym,1,4) as int)*12+cast(substr(ym,6,2) as int)-1-{A})"
-CF = """cf as (select c.c_nationkey as repo_id, o.o_custkey as dev, l.l_orderkey as sha, l.l_shipdate as ts,
+CF = """cf as (select c.c_nationkey as repo_id, o.o_custkey as dev, l.l_orderkey as sha, l.l_shipdate + to_hours((l.l_orderkey%24)::int) as ts,
   strftime(l.l_shipdate,'%Y-%m') as ym, ['python','java','ruby','cpp','css'][length(p.p_type)%5+1] as lang, cast(l.l_quantity as bigint) as ins, cast(l.l_linenumber as bigint) as del,
   c.c_mktsegment='BUILDING' as dev_has_sig, l.l_suppkey
   from lineitem l join orders o on o.o_orderkey=l.l_orderkey join customer c on c.c_custkey=o.o_custkey join part p on p.p_partkey=l.l_partkey)"""

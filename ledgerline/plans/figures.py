@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import ranking
 from ..operators.resample import interval, replicate_sums, row_key
 from ..schemas import MENTION_TERMS
 
@@ -54,21 +55,16 @@ def propensity_bins(prop: DataFrame) -> DataFrame:
 def propensity_forest(prop: DataFrame, keys: list[str], show: int = FOREST) -> DataFrame:
     """SK11, S5: inferred rows even by rank of p_ai, at most `show`.
 
-    Ranks come from counts of p_ai's distinct values, and places only within the
-    values that hold a chosen rank, so no task ranks all rows."""
-    rows = prop.where("p_ai is not null and label_source = 'inferred'")
-    counts = rows.groupBy("p_ai").agg(F.count("*").alias("k"))
-    n = counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n")).first()["n"]
-    if not n:
-        return rows.select(*keys, "p_ai", "p_ai_lo", "p_ai_hi", F.lit(0).alias("rank"))
-    m = min(show, n)
-    wanted = sorted({round(i * (n - 1) / (m - 1)) if m > 1 else 0 for i in range(m)})
-    values = counts.withColumn("before", F.sum("k").over(Window.orderBy("p_ai").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])
-    chosen = values.withColumn("rank", F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("k")))))
-    place = F.row_number().over(Window.partitionBy("p_ai").orderBy(*keys)) - 1
-    near = rows.join(F.broadcast(chosen.select("p_ai").distinct()), "p_ai", "left_semi").withColumn("_place", place)
-    picked = near.join(F.broadcast(chosen.select(F.col("p_ai").alias("_v"), "before", "rank")), (F.col("p_ai") == F.col("_v")) & (F.col("_place") == F.col("rank") - F.col("before")))
-    return picked.select(*keys, "p_ai", "p_ai_lo", "p_ai_hi", "rank").orderBy("rank")
+    Rows are ranged by p_ai into parts of like size, so no task ranks them all
+    and ties of one p_ai, which keys order, are no more to a task than others."""
+    rows = prop.where("p_ai is not null and label_source = 'inferred'").select(*keys, "p_ai", "p_ai_lo", "p_ai_hi")
+    rows = ranking.ranked(rows, [], ["p_ai", *keys])
+    n, last = F.col("_size"), F.least(F.lit(show), F.col("_size")) - 1
+    # The i-th of those shown has rank round(i (n - 1) / (m - 1)), halves to even.
+    wanted = lambda i: F.bround(F.try_divide(i * (n - 1), last), 0)
+    i = F.round(F.try_divide(F.col("_rank") * last, n - 1), 0)
+    shown = F.when(n <= show, True).when(last == 0, F.col("_rank") == 0).otherwise(wanted(i) == F.col("_rank"))
+    return rows.where(shown).withColumn("rank", F.col("_rank").cast("int")).drop("_rank", "_size").orderBy("rank")
 
 
 def before_after(groups: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,12 +151,12 @@ def dedup_first_wins(spark, d):
     return panels.first_wins(A.read(spark, d, "orders"), ["o_custkey", "o_orderstatus"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query("select o_custkey, o_orderkey from orders o where not exists (select 1 from customer c where c.c_custkey=o.o_custkey and c.c_mktsegment='BUILDING') and o_orderkey % 5 <> 0")
+@query("select o_custkey, o_orderkey from orders o where not exists (select 1 from customer c where c.c_custkey=o.o_custkey and c.c_mktsegment='BUILDING')")
 def not_yet_gathered(spark, d):
-    """Candidates of the orders without a record of their customer; those without months aren't useful."""
+    """Candidates of the orders without a record of their customer."""
     from ..sources import records
 
-    wanted = A.read(spark, d, "orders").where("o_orderkey % 5 <> 0").select(F.lit("x").alias("provider"), F.col("o_custkey").cast("string").alias("name"), "o_custkey", "o_orderkey")
+    wanted = A.read(spark, d, "orders").select(F.lit("x").alias("provider"), F.col("o_custkey").cast("string").alias("name"), "o_custkey", "o_orderkey")
     done = A.read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.lit("x").alias("provider"), F.col("c_custkey").cast("string").alias("name"))
     return records.not_yet_gathered(wanted, done).select("o_custkey", "o_orderkey")
 
@@ -177,14 +179,17 @@ def _pick(values: list[str], i) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
 
 
-_PATH_SQL = f"select l_orderkey, l_linenumber, {_list(PATHS)}[(l_orderkey*7+l_linenumber)%{len(PATHS)}+1] as path from lineitem"
+#: Made paths, and those that pages' addresses end in.
+_PATH_SQL = f"select l_orderkey, l_linenumber, {_list(PATHS)}[(l_orderkey*7+l_linenumber)%{len(PATHS)}+1] as path from lineitem union all select -1-page_id, 0, regexp_replace(url,'^[a-z]+://','') from pages"
 _IN = lambda xs: "[" + ",".join(f"'{x}'" for x in xs) + "]"
 _EXT = "case when contains(string_split(path,'/')[-1],'.') then lower(string_split(string_split(path,'/')[-1],'.')[-1]) end"
 
 
 def _paths(spark, d) -> DataFrame:
     i = F.col("l_orderkey") * 7 + F.col("l_linenumber")
-    return A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _pick(PATHS, i).alias("path"))
+    made = A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _pick(PATHS, i).alias("path"))
+    real = A.read(spark, d, "pages").select((-1 - F.col("page_id")).alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return made.union(real)
 
 
 @query(
@@ -224,17 +229,32 @@ def message_stylometry(spark, d):
     return mining.style_months(rows, ["source"]).select("source", *r("chars", "words", "lines", "unique_word_ratio"), "total")
 
 
-_BODY_SQL = f"select o_orderkey, o_custkey, strftime(o_orderdate,'%Y-%m') as ym, {_list(BODIES)}[(o_orderkey*5+o_custkey)%{len(BODIES)}+1] as body from orders"
-#: The patterns' dialect has no look behind; the class before it says the same.
-_FIX = T.BUGFIX.replace(r"(?<!\w)", "")
+#: Made messages, and documents: as they are, after a made one's line, and beside one.
+_BODY_SQL = f"""select o_orderkey, o_custkey, strftime(o_orderdate,'%Y-%m') as ym, {_list(BODIES)}[(o_orderkey*5+o_custkey)%{len(BODIES)}+1] as body from orders
+ union all select -1-doc_id, doc_id%1000, strftime(date '1996-01-01' + (doc_id%700)::int,'%Y-%m'), case doc_id%3 when 0 then text when 1 then {_list(BODIES)}[doc_id%{len(BODIES)}+1]||chr(10)||text else {_list(BODIES)}[doc_id%{len(BODIES)}+1]||' '||text end from documents"""
+
+
+def _re2(pattern: str) -> str:
+    """A pattern for the SQL engine, whose classes and word borders are ASCII and
+    which has no look behind; to tell whether it matches, not where."""
+    out = pattern.replace(r"(?<!\w)", "").replace(r"\W", r"[^\pL\pN_]").replace(r"\w", r"[\pL\pN_]")
+    return re.sub(r"\\b", r"(?:$|[^\\pL\\pN_])", re.sub(r"\\b(?=[A-Za-z(])", r"(?:^|[^\\pL\\pN_])", out))
+
+
+_FIX, _FEATURE = _re2(T.BUGFIX), _re2(T.FEATURE)
 
 
 def _bodies(spark, d) -> DataFrame:
     body = _pick(BODIES, F.col("o_orderkey") * 5 + F.col("o_custkey"))
-    return A.read(spark, d, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("ym"), body.alias("body"))
+    made = A.read(spark, d, "orders").select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("ym"), body.alias("body"))
+    i, text, one = F.col("doc_id"), F.col("text"), _pick(BODIES, F.col("doc_id"))
+    day = F.date_add(F.to_date(F.lit("1996-01-01")), (i % 700).cast("int"))
+    mixed = F.when(i % 3 == 0, text).when(i % 3 == 1, F.concat(one, F.lit("\n"), text)).otherwise(F.concat(one, F.lit(" "), text))
+    real = A.read(spark, d, "documents").select((-1 - i).alias("o_orderkey"), (i % 1000).alias("o_custkey"), F.date_format(day, "yyyy-MM").alias("ym"), mixed.alias("body"))
+    return made.union(real)
 
 
-@query(f"with b as ({_BODY_SQL}), c as (select ym, case when regexp_matches(split_part(body,chr(10),1),'{_FIX}') then 'bugfix' when regexp_matches(split_part(body,chr(10),1),'{T.FEATURE}') then 'feature' end as cls from b) select ym, count(*) filter (cls='bugfix') as bugfix, count(*) filter (cls='feature') as feature, count(*) as total from c group by 1")
+@query(f"with b as ({_BODY_SQL}), c as (select ym, case when regexp_matches(split_part(body,chr(10),1),'{_FIX}') then 'bugfix' when regexp_matches(split_part(body,chr(10),1),'{_FEATURE}') then 'feature' end as cls from b) select ym, count(*) filter (cls='bugfix') as bugfix, count(*) filter (cls='feature') as feature, count(*) as total from c group by 1")
 def commit_class(spark, d):
     m = mining.style_months(_bodies(spark, d), ["ym"])
     return m.select("ym", "bugfix", "feature", "total")
@@ -247,7 +267,7 @@ def message_bullets(spark, d):
 
 
 _TERMS = {**T.PRECISE_TERMS, **T.AMBIGUOUS_TERMS}
-_HIT = {k: f"regexp_matches(body,'(?i){v}')" + (f" and regexp_matches(body,'{T.CONTEXT}')" if k in T.AMBIGUOUS_TERMS else "") for k, v in _TERMS.items()}
+_HIT = {k: f"regexp_matches(body,'(?i){_re2(v)}')" + (f" and regexp_matches(body,'{_re2(T.CONTEXT)}')" if k in T.AMBIGUOUS_TERMS else "") for k, v in _TERMS.items()}
 _MM = f"b as ({_BODY_SQL}), mm as (select o_custkey % 25 as repo_id, ym, count(*) total_commits, {', '.join(f'count(*) filter ({v}) mentions_{k}' for k, v in _HIT.items())} from b group by 1, 2)"
 
 
@@ -267,7 +287,7 @@ def mention_timeseries(spark, d):
 
 
 _NAMES = ["Ann", "copilot[bot]", "cursoragent", "devin-ai-integration[bot]", "Aider Bot", "claude code", "Tabnine"]
-_SIG = {c: " or ".join([*(f"regexp_matches(txt,'{p}')" for p in ps), *(f"contains(who,'{n}')" for n, b in T.BOT_AUTHORS.items() if b == c)]) for c, ps in T.SIGNATURES.items()}
+_SIG = {c: " or ".join([*(f"regexp_matches(txt,'{_re2(p)}')" for p in ps), *(f"contains(who,'{n}')" for n, b in T.BOT_AUTHORS.items() if b == c)]) for c, ps in T.SIGNATURES.items()}
 
 
 @query(f"with b as ({_BODY_SQL}), n as (select *, {_list(_NAMES)}[o_custkey%{len(_NAMES)}+1] as name from b), t as (select *, name||chr(10)||body txt, lower('x@y.z')||' '||lower(name) who from n) select o_orderkey, {', '.join(f'({v}) as {k}' for k, v in _SIG.items())} from t")
@@ -376,32 +396,65 @@ def dev_dose_response_cluster(spark, d):
     return contrasts.clustered_ols(_excess(spark, d), "post_excess", "p_ai", "repo_id").select("n", *r("slope", "se", "ci_lo", "ci_hi"))
 
 
-def _backbone_sql() -> str:
-    """Of the seven terms those that are told apart here (all repositories start
-    together, so t and age are not), by staged elimination over Gram sums."""
-    c = ["1.0", "po", "su", "po*su", "(ag*ag)", "tt"]
-    sums = [f"sum({c[i]}*{c[j]}) as g{i}{j}" for i in range(6) for j in range(i, 6)] + [f"sum({c[i]}*y) as r{i}" for i in range(6)]
-    out = f"""x0 as (select rmt.*, suitability_weighted sw, t - min(t) over (partition by repo_id) age from rmt join mt using (repo_id) where included and suitability_weighted is not null),
- x as (select case when t>=0 then 1.0 else 0.0 end po, sw - avg(sw) over () su, (age - avg(age) over ()) / 64 ag, t / 64 tt, ln(1+cpd) y from x0), e0 as (select {', '.join(sums)} from x)"""
-    for i in range(5):
-        cols = []
-        for j in range(6):
-            for k in range(j, 6):
-                cols.append(f"g{j}{k} - g{i}{j}/g{i}{i}*g{i}{k} as g{j}{k}" if j > i else f"g{j}{k}")
-            cols.append(f"r{j} - g{i}{j}/g{i}{i}*r{i} as r{j}" if j > i else f"r{j}")
-        out += f", e{i + 1} as (select {', '.join(cols)} from e{i})"
-    prev = "e5"
-    for i in range(5, -1, -1):
-        out += f", s{i} as (select *, (r{i}{''.join(f'-g{i}{k}*b{k}' for k in range(i + 1, 6))})/g{i}{i} as b{i} from {prev})"
-        prev = f"s{i}"
-    return out
+def _eliminated(prefix: str, source: str, k: int, keep: str) -> str:
+    """Solves source's rows of Gram sums g_ij and right sides r_i for b_0 .. b_k-1,
+    by staged elimination; the last is 0 where the other terms give its own.
+    keep: columns that go along.  The result is {prefix}_b."""
+    gram = [(i, j) for i in range(k) for j in range(i, k)]
+    out = f"{prefix}0 as materialized (select {keep}, g{k - 1}_{k - 1} whole, {', '.join(f'g{i}_{j}' for i, j in gram)}, {', '.join(f'r{i}' for i in range(k))} from {source})"
+    for i in range(k - 1):
+        cols = [f"g{a}_{c} - g{i}_{a}/g{i}_{i}*g{i}_{c} as g{a}_{c}" if a > i else f"g{a}_{c}" for a, c in gram]
+        cols += [f"r{a} - g{i}_{a}/g{i}_{i}*r{i} as r{a}" if a > i else f"r{a}" for a in range(k)]
+        out += f", {prefix}{i + 1} as materialized (select {keep}, whole, {', '.join(cols)} from {prefix}{i})"
+    last, tied = f"g{k - 1}_{k - 1}", f"g{k - 1}_{k - 1} <= 1e-9*whole"
+    out += f", {prefix}s{k - 1} as (select *, {tied} tied, case when {tied} then 0 else r{k - 1}/{last} end b{k - 1} from {prefix}{k - 1})"
+    for i in range(k - 2, -1, -1):
+        out += f", {prefix}s{i} as (select *, (r{i}{''.join(f'-g{i}_{j}*b{j}' for j in range(i + 1, k))})/g{i}_{i} as b{i} from {prefix}s{i + 1})"
+    return out + f", {prefix}_b as materialized (select * from {prefix}s0)"
+
+
+def two_sided_p_sql(z: str) -> str:
+    """2 (1 - Phi(|z|)) by the series of odd powers over odd factorials."""
+    terms = f"list_sum(list_transform(range(0, 200), lambda k: exp((2*k+1)*ln(abs({z})) - ((k+1)*ln(2) + lgamma(k+1.5) - 0.5*ln(pi())) - {z}*{z}/2)))"
+    return f"case when {z} is null then null when abs({z}) < 1e-12 then 1.0 when abs({z}) > 7 then 0.0 else 1 - 2*{terms}/sqrt(2*pi()) end"
 
 
-@query(f"with {A.RM}, {A.MT}, {_backbone_sql()} select term, round(coef,5) coef from (select unnest(['post','suitability','post_x_suitability','age_sq']) term, unnest([b1,b2,b3,b4/4096]) coef from s0)")
+BACKBONE = ["const", "post", "suitability", "post_x_suitability", "age_sq", "t", "age"]
+
+
+def _backbone_sql() -> str:
+    """All seven terms.  Where all repositories start together, t is age and a
+    constant m: then age is left out, and the solution's part along (-m, t, -age) goes."""
+    c = ["1.0", "po", "su", "po*su", "(ag*ag)", "tt", "ag"]
+    gram = ", ".join(f"sum({c[i]}*{c[j]}) as g{i}_{j}" for i in range(7) for j in range(i, 7))
+    scale = [1, 1, 1, 1, 4096, 64, 64]
+    u = "y" + "".join(f" - b{i}*{c[i]}" for i in range(7))
+    away = "(m*b0 - b5/64.0 + b6/64.0)/(m*m+2)"  # minus the part along the null space
+
+    def own(b: str) -> list[str]:
+        """Coefficients in the terms' own units."""
+        raw = [f"{b}{i}/{float(f)}" for i, f in enumerate(scale)]
+        null = {0: "-m", 5: "1", 6: "-1"}
+        return [f"{x} + case when tied then {away}*({null[i]}) else 0 end as v{i}" if i in null else f"{x} as v{i}" for i, x in enumerate(raw)]
+
+    return f"""x0 as (select rmt.*, suitability_weighted sw, t - min(t) over (partition by repo_id) age from rmt join mt using (repo_id) where included and suitability_weighted is not null),
+ x as materialized (select repo_id, case when t>=0 then 1.0 else 0.0 end po, sw - avg(sw) over () su, (age - avg(age) over ()) / 64 ag, t / 64 tt, ln(1+cpd) y from x0),
+ gm as materialized (select {gram}, count(*) n, avg(tt)*64 m from x),
+ one as (select n, m, {', '.join(f'sum({c[i]}*y) r{i}' for i in range(7))} from x, gm group by all), fit0 as (select gm.*, {', '.join(f'r{i}' for i in range(7))} from gm, one),
+ {_eliminated('f', 'fit0', 7, 'n, m')},
+ sc as (select repo_id, {', '.join(f'sum(({u})*{c[i]}) r{i}' for i in range(7))} from x, f_b group by 1), sc0 as (select gm.*, sc.* from sc, gm),
+ {_eliminated('s', 'sc0', 7, 'repo_id, n, m')},
+ beta as (select {', '.join(own('b'))} from f_b), infl as (select n, {', '.join(own('b'))} from s_b),
+ va as (select count(*)/greatest(count(*)-1,1)*(min(n)-1)/greatest(min(n)-7,1) adj, {', '.join(f'sum(v{i}*v{i}) q{i}' for i in range(7))} from infl),
+ lo as (select unnest({BACKBONE}) term, unnest([{', '.join(f'v{i}' for i in range(7))}]) coef, unnest([{', '.join(f'sqrt(adj*q{i})' for i in range(7))}]) se from beta, va),
+ zz as (select *, coef/nullif(se, 0) z from lo)"""
+
+
+@query(f"with {A.RM}, {A.MT}, {_backbone_sql()} select term, round(coef,6) coef, round(se,6) se, round(z,2) z, round(coef-1.959963984540054*se,6) ci_lo, round(coef+1.959963984540054*se,6) ci_hi, round({two_sided_p_sql('z')},6) p from zz")
 def backbone_interaction(spark, d):
     meta = A.repo_meta(spark, d)
     panel = panels.with_meta(panels.included_only(A.repo_months(spark, d), meta), meta, "suitability_weighted").withColumnRenamed("suitability_weighted", "suitability")
-    return contrasts.pooled_interaction(panel).where(F.col("term").isin("post", "suitability", "post_x_suitability", "age_sq")).select("term", F.round("coef", 5).alias("coef"))
+    return contrasts.pooled_interaction(panel).select("term", *r("coef", "se"), F.round("z", 2).alias("z"), *r("ci_lo", "ci_hi", "p"))
 
 
 @query(f"with {A.RM}, {A.MT}, k as (select avg(ins/devs) filter (t<0) a, avg(ins/devs) filter (t>=0) b from rmt join mt using (repo_id) where included) select round(a,6) pre, round(b,6) post, round(100*b/a,6) as index, round(100*b/a-100,6) pct from k")
@@ -454,9 +507,10 @@ def _boot_sql(source: str, seed: int, value: str, by: str = "grp", key: str = _K
     """Replicates of a source with columns a and b: value of their drawn means."""
     u = f"{resample.mixed_sql(seed, 'q', 'key')}/{float(resample.PRIME)}"
     w = " + ".join(f"(u>={c!r})::int" for c in resample.thresholds())
+    # Weights belong to keys, however many rows of one key there are.
     return f"""k0 as (select {by}, a, b, {key} as key from {source} where grp is not null and a is not null and b is not null),
- u0 as (select {by}, a, b, q, {u} as u from k0, range({n}) as z(q)), w0 as (select {by}, a, b, q, ({w}) as w from u0),
- m0 as (select {by}, q, sum(w*a) sa, sum(w*b) sb, sum(w) k from w0 group by all), v0 as (select {by}, {value} v from m0),
+ u0 as (select key, q, {u} as u from (select distinct key from k0), range({n}) as z(q)), w0 as materialized (select key, q, ({w}) as w from u0),
+ m0 as (select {by}, q, sum(w*a) sa, sum(w*b) sb, sum(w) k from k0 join w0 using (key) group by all), v0 as (select {by}, {value} v from m0),
  bo as (select {by}, quantile_cont(v,0.025) lo, quantile_cont(v,0.975) hi from v0 where v is not null and isfinite(v) group by all)"""
 
 
@@ -537,12 +591,11 @@ def tier_slopes(spark, d):
     return x.select("scheme", "tier", "n", *r("slope", "se", "ci_lo", "ci_hi"))
 
 
-@query(f"{DBA}, {_BL}, {_TIER}, bt as (select ba.*, scheme, tier from ba join tl using (repo_id, dev)), {_boot_sql('bt', 17, _DIFF, 'scheme, tier, grp', n=200)} select g.*, round(lo,4) mean_diff_lo, round(hi,4) mean_diff_hi from (select scheme, tier, grp, {_GD} from bt where grp is not null group by all) g left join bo using (scheme, tier, grp)")
+@query(f"{DBA}, {_BL}, {_TIER}, bt as (select ba.*, scheme, tier from ba join tl using (repo_id, dev)), {_boot_sql('bt', 17, _DIFF, 'scheme, tier, grp')} select g.*, round(lo,4) mean_diff_lo, round(hi,4) mean_diff_hi from (select scheme, tier, grp, {_GD} from bt where grp is not null group by all) g left join bo using (scheme, tier, grp)")
 def tier_differences(spark, d):
-    """Both schemes' groups; 200 replicates, as SQL holds every row of all of them."""
     rows = contrasts.by_tier(_dev_ba(spark, d), _tiers(spark, d, A.churn_months(spark, d)), ["repo_id", "dev"])
     by = ["scheme", "tier", "grp"]
-    return _gd(contrasts.difference_by_group(rows, "pre_churn", "post_churn", key_of("repo_id", "dev"), by, 200), *by)
+    return _gd(contrasts.difference_by_group(rows, "pre_churn", "post_churn", key_of("repo_id", "dev"), by), *by)
 
 
 @query(f"with {A.CF}, {A.PR}, {A.churn_sql().replace('cm as', 'cm9 as')}, cm as (select * exclude (t), {_SHIFT} as t from cm9 where t<0), {A.trend_sql()}, pe as (select e.*, p_ai x, p_ai from (select repo_id, dev, avg(resid) y from fit where t between 0 and 24 group by 1,2) e left join pr using (repo_id, dev)), {_BL}, {_TIER}, pt as (select pe.*, scheme, tier from pe join tl using (repo_id, dev)), {_cluster_sql('pt', 'scheme, tier')}")
@@ -600,15 +653,15 @@ def feature_battery(spark, d):
 def _feature_groups(spark, d, months: DataFrame) -> DataFrame:
     b = developer.feature_battery(months, FEATURES, ["repo_id", "dev"])
     b = in_groups(contrasts.with_propensity(b, A.propensity(spark, d), ["repo_id", "dev"]))
-    return _gd(contrasts.difference_by_group(b, "pre", "post", key_of("repo_id", "dev"), ["feature", "grp"], 100), "feature", "grp")
+    return _gd(contrasts.difference_by_group(b, "pre", "post", key_of("repo_id", "dev"), ["feature", "grp"]), "feature", "grp")
 
 
-_FG = f"{A.PR}, fp as (select fb.*, {GROUP} grp from fb left join pr using (repo_id, dev)), {_boot_sql('fp', 17, _DIFF, 'feature, grp', n=100)} select g.*, round(lo,4) mean_diff_lo, round(hi,4) mean_diff_hi from (select feature, grp, {_GD} from fp where grp is not null and a is not null and b is not null group by all) g left join bo using (feature, grp)"
+_FG = f"{A.PR}, fp as (select fb.*, {GROUP} grp from fb left join pr using (repo_id, dev)), {_boot_sql('fp', 17, _DIFF, 'feature, grp')} select g.*, round(lo,4) mean_diff_lo, round(hi,4) mean_diff_hi from (select feature, grp, {_GD} from fp where grp is not null and a is not null and b is not null group by all) g left join bo using (feature, grp)"
 
 
 @query(f"with {A.AM}, {_FM}, fb as ({' union all '.join(map(_FB, FEATURES))}), {_FG}")
 def feature_groups(spark, d):
-    """All features by group in one pass; 100 replicates, as SQL holds every row of all of them."""
+    """All features by group in one pass."""
     return _feature_groups(spark, d, _feature_months(spark, d))
 
 
@@ -690,10 +743,37 @@ def changepoint_histogram(spark, d):
 # --- models and resampling --------------------------------------------------------
 
 
-@query()
+_AF = f"m as (select repo_id, dev, ym, sum(ins+del) churn, count(distinct sha) commits, bool_or(dev_has_sig) s, {A.T_SQL} t from cf group by repo_id, dev, ym), af0 as (select repo_id, dev, ln((avg(churn) filter (t>=0)+1)/(coalesce(avg(churn) filter (t<0),avg(churn))+1)) f_churn_ratio, ln(1+sum(commits) filter (t>=0)) f_commits, cast(count(*) filter (t>=0) as double) f_active_post, bool_or(s) has_sig from m group by 1,2 having count(*) filter (t>=0)>=2), af as (select af0.*, suitability_weighted f_suit from af0 left join mt using (repo_id))"
+
+
+def _pu_sql(features: list[str], replicates: int, seed: int, steps: int = 12) -> str:
+    """The fits' Newton steps written out, all replicates (and -1, the whole) in each."""
+    k = len(features) + 1
+    c = [f"x{i}" for i in range(k - 1)] + ["1.0"]
+    gram = [(i, j) for i in range(k) for j in range(i, k)]
+    known = " and ".join(f"{f} is not null" for f in features)
+    z = ", ".join(f"({f}-avg({f}) over ())/case when stddev_pop({f}) over () >= 1e-9 then stddev_pop({f}) over () else 1 end x{i}" for i, f in enumerate(features))
+    out = f"""zz as materialized (select repo_id, dev, has_sig::int y, (repo_id::bigint*100003+dev) as key, {z} from af where {known}),
+ dr as materialized (select q, y, {', '.join(c[:-1])} from zz, range(-1,{replicates}) as r(q) where q < 0 or {resample.mixed_sql(seed, 'q', 'key')}/{float(resample.PRIME)} >= {resample.thresholds()[0]!r}),
+ w0 as (select q, {', '.join(f'0.0::double b{i}' for i in range(k))} from dr group by q having q < 0 or sum(y) >= 2)"""
+    for n in range(steps):
+        dot = " + ".join(f"b{i}*{c[i]}" for i in range(k))
+        ridge = lambda i: 0 if i == k - 1 else 1
+        out += f""", h{n} as (select dr.*, 1/(1+exp(-({dot}))) p, {', '.join(f'b{i} as o{i}' for i in range(k))} from dr join w{n} using (q)),
+ n{n} as (select q, {', '.join(f'any_value(o{i}) o{i}' for i in range(k))}, {', '.join(f'sum(p*(1-p)*{c[i]}*{c[j]}) + {ridge(i) if i == j else 0} as g{i}_{j}' for i, j in gram)}, {', '.join(f'sum((p-y)*{c[i]}) + {ridge(i)}*any_value(o{i}) as r{i}' for i in range(k))} from h{n} group by q),
+ {_eliminated(f'e{n}_', f'n{n}', k, 'q, ' + ', '.join(f'o{i}' for i in range(k)))}, w{n + 1} as materialized (select q, {', '.join(f'o{i}-b{i} as b{i}' for i in range(k))} from e{n}__b)"""
+    dot = " + ".join(f"b{i}*{c[i]}" for i in range(k))
+    return out + f""", ra as (select repo_id, dev, y, q, 1/(1+exp(-({dot}))) p from zz, w{steps}), cc as (select q, greatest(avg(p) filter (y>0), 1e-6) c from ra group by q),
+ pp as (select repo_id, dev, y, q, least(greatest(p/c, 0), 1) p from ra join cc using (q)), pw as (select repo_id, dev, y, p as point from pp where q < 0),
+ al as (select repo_id, dev, p from pp where q >= 0 union all select repo_id, dev, point from pw, range({replicates}) as r(q) where q not in (select q from w{steps})),
+ iv as (select repo_id, dev, quantile_cont(p,0.025) lo, quantile_cont(p,0.975) hi from al group by all)
+ select repo_id, dev, case when y>0 then greatest(round(point,4), 0.99) else round(point,4) end p_ai, round(lo,4) p_ai_lo, round(hi,4) p_ai_hi, case when y>0 then 'signature-positive' else 'inferred' end label_source from pw join iv using (repo_id, dev)"""
+
+
+@query(f"with {A.LM}, {A.MT}, {_AF}, {_pu_sql(['f_churn_ratio', 'f_commits', 'f_active_post', 'f_suit'], 100, 7)}")
 def pu_propensity(spark, d):
     rows = _author_features(spark, d)
-    return propensity.pu_propensity(rows, ["repo_id", "dev"], propensity.features_of(rows), "has_sig")
+    return propensity.pu_propensity(rows, ["repo_id", "dev"], propensity.features_of(rows), "has_sig", key=key_of("repo_id", "dev"))
 
 
 @query(f"with {A.LM}, {A.MT}, m as (select repo_id, dev, ym, {A.T_SQL} t, dev % 200 = 7 as s from cf group by all), f as (select repo_id, dev, bool_or(s) s, count(*) filter (t>=0) k from m group by 1,2 having count(*) filter (t>=0)>=2) select repo_id, dev, case when s and dev < 400 then 0.95 end p_ai, case when s and dev < 400 then 'signature' else 'insufficient-positives' end label_source from f")

@@ -11,8 +11,6 @@ SF = Path("/root/testdata/sf0.001")
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
-    if name == "backbone_interaction":
-        pytest.skip("its SQL is of tables whose repositories all start together; here they don't (numpy holds it in test_contrasts)")
     db = duckdb.connect()
     for f in SF.glob("*.parquet"):
         db.execute(f"create view {f.stem} as select * from '{f}'")
