@@ -7,7 +7,8 @@ import os
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators import panels
 from .plans import figures, study
@@ -41,6 +42,9 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--per-repo-cap-gb", type=float, default=3.0, help="0: no cap")
     g.add_argument("--clone-timeout", type=float, default=ingest.CLONE_S)
     g.add_argument("--log-timeout", type=float, default=ingest.LOG_S)
+    g.add_argument("--time-budget", type=float, help="seconds after which no further page is asked for")
+    g.add_argument("--max-concurrency", type=int, help="repositories at a time; by default as many as the cluster has tasks")
+    g.add_argument("--min-free-disk-gb", type=float, default=0.0, help="a clone waits until so much is free")
     g.add_argument("--salt", default=os.environ.get("LEDGERLINE_SALT", "ledgerline-v1"), help="of the hashed emails")
     for name, text in (("panel", "records to panels"), ("manifest", "records to the manifest")):
         q = sub.add_parser(name, help=text)
@@ -64,23 +68,34 @@ def parser() -> argparse.ArgumentParser:
 def gather(spark: SparkSession, a: argparse.Namespace) -> str:
     options = {"max_pages": a.max_pages, "min_recent_commits": a.min_recent_commits, "recent_window_days": a.recent_window_days, "require_code_language": not a.no_code_language_filter, "include_archived": a.include_archived, "verify_ssl": not a.no_verify_ssl}
     options |= {k: v for k, v in (("query", a.query), ("path", a.list), ("tag", a.tag), ("token", a.token), ("base_url", a.base_url), ("group", a.group), ("recorded", a.recorded)) if v}
-    found = hosting.candidates(spark, a.provider, options).dropDuplicates(["provider", "name"])
-    try:
-        found = records.not_yet_gathered(found, records.read_records(spark, a.records))
-    except Exception as e:  # no folder of records yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    stage = f"{a.scratch}/run-{os.getpid()}-{int(time.time())}"
-    found.limit(a.target).write.parquet(f"{stage}/repos")
-    repos = spark.read.parquet(f"{stage}/repos")
-    token = a.token or os.environ.get("GITLAB_TOKEN")
-    wanted = repos.withColumn("_url", hosting.authorized_url(repos["provider"], repos["clone_url"], token))
-    many = max(1, min(repos.count(), 4 * spark.sparkContext.defaultParallelism))
-    ingest.mine_logs(wanted.repartition(many), "_url", a.since, a.clone_timeout, a.log_timeout, int(a.per_repo_cap_gb * (1 << 30)) or None).write.parquet(f"{stage}/logs")
-    ok, failed = ingest.gather(repos, spark.read.parquet(f"{stage}/logs"), a.salt, time.strftime("%Y-%m", time.gmtime()), a.since)
-    sinks.write_records(ok, a.records, a.shard_size)
-    sinks.write_failures(failed, a.records)
-    return f"[gather] {repos.count()} repositories -> {a.records}"
+    run, pages = f"{a.scratch}/run-{os.getpid()}-{int(time.time())}", iter(range(1 << 30))
+
+    def work(page: DataFrame) -> int:
+        """Records of a page's repositories that have none yet."""
+        stage = f"{run}/{next(pages)}"
+        found = page.dropDuplicates(["provider", "name"])
+        try:
+            found = records.not_yet_gathered(found, records.read_records(spark, a.records))
+        except AnalysisException as e:  # no folder of records yet
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        found.limit(a.target).write.parquet(f"{stage}/repos")
+        repos = spark.read.parquet(f"{stage}/repos")
+        many = max(1, min(repos.count(), a.max_concurrency or 4 * spark.sparkContext.defaultParallelism))
+        logs = ingest.mine_logs(repos.repartition(many), "clone_url", a.since, a.clone_timeout, a.log_timeout, int(a.per_repo_cap_gb * (1 << 30)) or None, a.token, int(a.min_free_disk_gb * (1 << 30)))
+        logs.write.parquet(f"{stage}/logs")
+        ok, failed = ingest.gather(repos, spark.read.parquet(f"{stage}/logs"), a.salt, time.strftime("%Y-%m", time.gmtime()), a.since)
+        ok.write.parquet(f"{stage}/records")
+        ok = spark.read.parquet(f"{stage}/records")
+        sinks.write_records(ok, a.records, a.shard_size)
+        sinks.write_failures(failed, a.records)
+        return ok.count()
+
+    if a.provider == "list":
+        made = work(hosting.candidates(spark, a.provider, options))
+    else:
+        made = hosting.page_by_page(hosting.listing(spark, a.provider, options), work, f"{a.scratch}/listing-{a.provider}", a.target, a.time_budget)
+    return f"[gather] {made} repositories -> {a.records}"
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -2,10 +2,13 @@
 
 `github_search` reads a page of search results a partition, `gitlab_projects`
 follows the service's cursor in one partition, `repo_list` is a text file of
-repositories.  All give the same columns.  Requests go through a transport: the
-network, or with the option `recorded` a folder of recorded answers, so that
-every reader can be tested offline.  Tokens come from the environment of the
-process that reads, or from an option; they are never in a plan's output.
+repositories.  All give the same columns.  As streams both services give a page
+a micro-batch: one cursor and one quota, the page and the quota's reset are the
+stream's offset, so a listing ends with what its reader needs and resumes at the
+next page.  Requests go through a transport: the network, or with the option
+`recorded` a folder of recorded answers, so that every reader can be tested
+offline.  Tokens come from the environment of the process that reads, or from an
+option; they are in no plan and on no command line.
 
 Another service is one more subclass of RepoSource (X1).
 """
@@ -21,14 +24,16 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 META = "primary_language string, stars bigint, forks bigint, created_at string, pushed_at string, size_kb bigint, archived boolean, visibility string, description string"
 REPO = f"provider string, repo_id string, name string, clone_url string, default_branch string, meta struct<{', '.join(c.replace(' ', ':', 1) for c in META.split(', '))}>"
 FIELDS = [c.split(" ")[0] for c in META.split(", ")]
 TRIES = 5
+#: Fixed value: the search that a listing starts from.
+QUERY = "stars:>100 pushed:>2024-01-01 created:<2021-06-01"
 
 
 # --- requests ---------------------------------------------------------------
@@ -57,7 +62,7 @@ def network(verify: bool = True, timeout: float = 30.0) -> Callable[[str, dict],
 
 def recorded(folder: str) -> Callable[[str, dict], Answer]:
     """Answers from answers.json, a list of {url, status, headers, body} in the
-    order they are given for a url; the last is given again."""
+    order they are given for a url; the last is given again.  Each request is noted in requests.log."""
     with open(os.path.join(folder, "answers.json"), encoding="utf-8") as f:
         answers = json.load(f)
     given: dict[str, int] = {}
@@ -66,6 +71,8 @@ def recorded(folder: str) -> Callable[[str, dict], Answer]:
         mine = [a for a in answers if a["url"] == url]
         if not mine:
             return Answer(404, {}, b"")
+        with open(os.path.join(folder, "requests.log"), "a", encoding="utf-8") as f:
+            f.write(url + "\n")
         i = given.get(url, 0)
         given[url] = i + 1
         a = mine[min(i, len(mine) - 1)]
@@ -81,17 +88,26 @@ class Client:
 
     `limited` statuses wait until the limit's reset (or 1, 2, 4 ... seconds up to
     `longest`), failures of the network 1, 2, 4 ... up to 30; other errors and
-    five tries without an answer give None."""
+    five tries without an answer give None.  After an answer that leaves no more
+    than one request it waits too, at once, or with `defer` before the next request
+    only (`until` says up to when)."""
 
-    def __init__(self, get: Callable[[str, dict], Answer], headers: dict, prefix: str, limited: tuple[int, ...], longest: float, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.time) -> None:
+    def __init__(self, get: Callable[[str, dict], Answer], headers: dict, prefix: str, limited: tuple[int, ...], longest: float, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.time, defer: bool = False) -> None:
+        self.defer, self.until = defer, 0.0
         self.get, self.headers, self.prefix, self.limited, self.longest, self.sleep, self.now = get, headers, prefix.lower(), limited, longest, sleep, now
 
-    def wait(self, headers: dict[str, str], attempt: int) -> None:
+    def pause(self, headers: dict[str, str], attempt: int) -> float:
         reset = headers.get(f"{self.prefix}-reset", "")
-        self.sleep(max(1.0, int(reset) - self.now()) + 1.0 if reset.strip().isdigit() and int(reset) else min(2.0**attempt, self.longest))
+        return max(1.0, int(reset) - self.now()) + 1.0 if reset.strip().isdigit() and int(reset) else min(2.0**attempt, self.longest)
+
+    def wait(self, headers: dict[str, str], attempt: int) -> None:
+        self.sleep(self.pause(headers, attempt))
 
     def json(self, url: str) -> tuple[object, dict[str, str]] | None:
         for attempt in range(TRIES):
+            if self.until > self.now():
+                self.sleep(self.until - self.now())
+            self.until = 0.0
             try:
                 a = self.get(url, self.headers)
             except (urllib.error.URLError, TimeoutError):
@@ -104,7 +120,10 @@ class Client:
                 return None
             left = a.headers.get(f"{self.prefix}-remaining", "")
             if left.strip().isdigit() and int(left) <= 1:
-                self.wait(a.headers, 0)
+                if self.defer:
+                    self.until = self.now() + self.pause(a.headers, 0)
+                else:
+                    self.wait(a.headers, 0)
             return json.loads(a.body.decode("utf-8")), a.headers
         return None
 
@@ -139,24 +158,63 @@ class _Reader(DataSourceReader):
         return self.options.get("token") or os.environ.get(variable)
 
 
+class _Listing(SimpleDataSourceStreamReader):
+    """A service's pages, one a micro-batch.
+
+    The offset is the page to read next (0: there is none), how many were read,
+    and the time the quota is there again: what is waited for once, by whoever
+    reads on."""
+
+    def __init__(self, pages: _Reader) -> None:
+        self.pages = pages
+
+    def initialOffset(self) -> dict:
+        return {"page": 1, "read": 0, "until": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if not start["page"]:
+            return iter([]), start
+        rows, after, until = self._page(start)
+        return iter(rows), {"page": after, "read": start["read"] + 1, "until": until}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(self._page(start)[0])
+
+    def _page(self, start: dict) -> tuple[list[tuple], int, int]:
+        client = self.pages.client(defer=True)
+        client.until = float(start["until"])
+        rows, after = self.pages.page(client, start["page"])
+        more = after and start["read"] + 1 < int(self.pages.options.get("max_pages", self.pages.most))
+        return list(rows), after if more else 0, int(client.until + 0.999)
+
+
 class GitHubReader(_Reader):
-    def client(self) -> Client:
+    most = 10
+
+    def client(self, defer: bool = False) -> Client:
         headers = {"Accept": "application/vnd.github+json", "User-Agent": "ledgerline", "X-GitHub-Api-Version": "2022-11-28"}
         token = self.token("GITHUB_TOKEN")
-        return Client(self.transport(), headers | ({"Authorization": f"Bearer {token}"} if token else {}), "X-RateLimit", (403, 429), 60.0)
+        return Client(self.transport(), headers | ({"Authorization": f"Bearer {token}"} if token else {}), "X-RateLimit", (403, 429), 60.0, defer=defer)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(i) for i in range(1, int(self.options.get("max_pages", 10)) + 1)]
+        return [_Page(i) for i in range(1, int(self.options.get("max_pages", self.most)) + 1)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from self.page(self.client(), partition.value)[0]
+
+    def page(self, client: Client, number: int) -> tuple[Iterator[tuple], int]:
+        """A page's repositories and the number of the next page, 0 after the last."""
         o = self.options
         base = o.get("base_url", "https://api.github.com").rstrip("/")
-        query = {"q": o.get("query", "stars:>100 pushed:>2024-01-01 created:<2021-06-01"), "sort": "updated", "order": "desc", "per_page": min(int(o.get("per_page", 100)), 100), "page": partition.value}
-        client = self.client()
+        query = {"q": o.get("query", QUERY), "sort": "updated", "order": "desc", "per_page": min(int(o.get("per_page", 100)), 100), "page": number}
         got = client.json(f"{base}/search/repositories?{urllib.parse.urlencode(query)}")
+        items = (got[0].get("items") or []) if got and isinstance(got[0], dict) else []
+        return self.rows(client, base, items), number + 1 if items else 0
+
+    def rows(self, client: Client, base: str, items: list[dict]) -> Iterator[tuple]:
         # One call a candidate: without a token the quota does not allow it.
-        least = int(o.get("min_recent_commits", 20)) if self.token("GITHUB_TOKEN") else 0
-        for it in (got[0].get("items") or []) if got and isinstance(got[0], dict) else []:
+        least = int(self.options.get("min_recent_commits", 20)) if self.token("GITHUB_TOKEN") else 0
+        for it in items:
             meta = {"primary_language": it.get("language"), "stars": it.get("stargazers_count"), "forks": it.get("forks_count"), "created_at": it.get("created_at"), "pushed_at": it.get("pushed_at"), "size_kb": it.get("size"), "archived": it.get("archived"), "description": it.get("description")}
             if least and not self.active(client, base, it, least):
                 continue
@@ -182,33 +240,46 @@ class GitHubSearch(RepoSource):
     def reader(self, schema) -> DataSourceReader:
         return GitHubReader(self.options)
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _Listing(GitHubReader(self.options))
+
 
 class GitLabReader(_Reader):
+    most = 200
+
+    def client(self, defer: bool = False) -> Client:
+        token = self.token("GITLAB_TOKEN")
+        return Client(self.transport(), {"Accept": "application/json", "User-Agent": "ledgerline"} | ({"PRIVATE-TOKEN": token} if token else {}), "RateLimit", (429,), 30.0, defer=defer)
+
     def partitions(self) -> list[InputPartition]:
         return [_Page(1)]  # each page names the next
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        client, page = self.client(), 1
+        while 0 < page <= int(self.options.get("max_pages", self.most)):
+            rows, page = self.page(client, page)
+            yield from rows
+
+    def page(self, client: Client, number: int) -> tuple[Iterator[tuple], int]:
+        """A page's repositories and the number of the next page, 0 after the last."""
         o = self.options
         if not o.get("base_url"):
             raise ValueError("gitlab_projects needs the option base_url")
-        base, group, page = o["base_url"].rstrip("/"), o.get("group"), 1
+        base, group = o["base_url"].rstrip("/"), o.get("group")
         path = f"/api/v4/groups/{urllib.parse.quote(group, safe='')}/projects" if group else "/api/v4/projects"
         fixed = {"include_subgroups": "true"} if group else {"order_by": "id", "sort": "asc", "statistics": "false"}
         if not flag(o, "include_archived", False):
             fixed["archived"] = "false"
-        token = self.token("GITLAB_TOKEN")
-        client = Client(self.transport(), {"Accept": "application/json", "User-Agent": "ledgerline"} | ({"PRIVATE-TOKEN": token} if token else {}), "RateLimit", (429,), 30.0)
-        while page <= int(o.get("max_pages", 200)):
-            got = client.json(f"{base}{path}?{urllib.parse.urlencode(fixed | {'per_page': min(int(o.get('per_page', 100)), 100), 'page': page})}")
-            if got is None or not isinstance(got[0], list):
-                return
-            for it in got[0]:
-                meta = {"stars": it.get("star_count"), "forks": it.get("forks_count"), "created_at": it.get("created_at"), "pushed_at": it.get("last_activity_at"), "archived": it.get("archived"), "visibility": it.get("visibility"), "description": it.get("description")}
-                yield ("gitlab", str(it.get("id")), str(it.get("path_with_namespace")), str(it.get("http_url_to_repo")), it.get("default_branch") or None, tuple(meta.get(f) for f in FIELDS))
-            after = got[1].get("x-next-page", "").strip()
-            if not after:
-                return
-            page = int(after)
+        got = client.json(f"{base}{path}?{urllib.parse.urlencode(fixed | {'per_page': min(int(o.get('per_page', 100)), 100), 'page': number})}")
+        if got is None or not isinstance(got[0], list):
+            return iter([]), 0
+        after = got[1].get("x-next-page", "").strip()
+        return self.rows(got[0]), int(after) if after else 0
+
+    def rows(self, items: list[dict]) -> Iterator[tuple]:
+        for it in items:
+            meta = {"stars": it.get("star_count"), "forks": it.get("forks_count"), "created_at": it.get("created_at"), "pushed_at": it.get("last_activity_at"), "archived": it.get("archived"), "visibility": it.get("visibility"), "description": it.get("description")}
+            yield ("gitlab", str(it.get("id")), str(it.get("path_with_namespace")), str(it.get("http_url_to_repo")), it.get("default_branch") or None, tuple(meta.get(f) for f in FIELDS))
 
 
 class GitLabProjects(RepoSource):
@@ -221,6 +292,9 @@ class GitLabProjects(RepoSource):
     def reader(self, schema) -> DataSourceReader:
         return GitLabReader(self.options)
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _Listing(GitLabReader(self.options))
+
 
 SOURCES = {"github": GitHubSearch, "gitlab": GitLabProjects}
 
@@ -249,9 +323,27 @@ def candidates(spark: SparkSession, provider: str, options: dict[str, str], targ
     return out if target is None else out.limit(target)
 
 
-def authorized_url(provider: Column, clone_url: Column, token: str | None) -> Column:
-    """SC8b: the address to clone; a GitLab address carries the token, others stay."""
-    if not token:
-        return clone_url
-    with_token = F.regexp_replace(clone_url, r"^([a-z+]+://)(?:[^/@]*@)?", F.lit("$1oauth2:" + urllib.parse.quote(token, safe="") + "@"))
-    return F.when(provider == "gitlab", with_token).otherwise(clone_url)
+def listing(spark: SparkSession, provider: str, options: dict[str, str]) -> DataFrame:
+    """SC7, SC9, S3: a service's repositories as a stream, a page a micro-batch."""
+    from . import records
+
+    register(spark)
+    out = spark.readStream.format(SOURCES[provider].name()).options(**{k: str(v) for k, v in options.items()}).load()
+    return records.code_repos(out) if provider == "github" and flag(options, "require_code_language", True) else out
+
+
+def page_by_page(pages: DataFrame, work: Callable[[DataFrame], int], checkpoint: str, target: int, seconds: float | None = None, now: Callable[[], float] = time.monotonic) -> int:
+    """S3: gives pages of a listing to work(page), which says how many of it were
+    of use, until they are `target`, or `seconds` have gone, or there is no page.
+
+    Nothing is asked of the service after that.  A later call with the same
+    checkpoint goes on at the next page; a page whose work failed comes again."""
+    began, total = now(), 0
+    while total < target and (seconds is None or now() - began <= seconds):
+        given: list[int] = []
+        run = pages.writeStream.foreachBatch(lambda page, _: given.append(work(page))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        run.awaitTermination()
+        if not given:
+            break
+        total += sum(given)
+    return total

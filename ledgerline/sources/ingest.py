@@ -36,6 +36,19 @@ class GitFailure(RuntimeError):
     pass
 
 
+#: SC8b: providers whose repositories are cloned with a token, and where a worker finds it.
+TOKENS = {"gitlab": "GITLAB_TOKEN"}
+#: Git asks this for a name and a password; the token stays in the environment.
+HELPER = '!f() { echo username=oauth2; echo "password=$LEDGERLINE_GIT_TOKEN"; }; f'
+
+
+def credentials(provider: str | None, token: str | None = None) -> tuple[list[str], dict[str, str]]:
+    """SC8b: git's arguments and environment to clone as the token's owner."""
+    variable = TOKENS.get(provider or "")
+    token = (token or os.environ.get(variable)) if variable else None
+    return (["-c", "credential.helper=", "-c", f"credential.helper={HELPER}"], {"LEDGERLINE_GIT_TOKEN": token}) if token else ([], {})
+
+
 def environment() -> dict[str, str]:
     return os.environ | {"GIT_TERMINAL_PROMPT": "0", "GIT_ASKPASS": "true", "GCM_INTERACTIVE": "never", "LC_ALL": "C"}
 
@@ -51,9 +64,9 @@ def folder_bytes(path: str) -> int:
     return total
 
 
-def _attempt(url: str, dest: str, args: list[str], limit_s: float, cap: int | None) -> str:
+def _attempt(url: str, dest: str, args: list[str], limit_s: float, cap: int | None, auth: tuple[list[str], dict[str, str]] = ([], {})) -> str:
     """'ok', 'failed', 'timeout' or 'disk_cap'."""
-    run = subprocess.Popen(["git", "clone", *args, url, dest], stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, env=environment())
+    run = subprocess.Popen(["git", *auth[0], "clone", *args, url, dest], stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, env=environment() | auth[1])
     end = time.monotonic() + limit_s
     try:
         while run.poll() is None:
@@ -69,19 +82,19 @@ def _attempt(url: str, dest: str, args: list[str], limit_s: float, cap: int | No
             run.wait()
 
 
-def clone(url: str, dest: str, since: str = SINCE, limit_s: float = CLONE_S, cap: int | None = DISK_CAP) -> bool:
+def clone(url: str, dest: str, since: str = SINCE, limit_s: float = CLONE_S, cap: int | None = DISK_CAP, auth: tuple[list[str], dict[str, str]] = ([], {})) -> bool:
     """SC10: bare, one branch, no tags, history since a day; True if shallow.
 
     A clone that was too large or too slow is not tried again; one that the
     server refused is tried once more with its whole history."""
     base = ["--bare", "--single-branch", "--no-tags", "--quiet"]
-    got = _attempt(url, dest, [*base, f"--shallow-since={since}"], limit_s, cap)
+    got = _attempt(url, dest, [*base, f"--shallow-since={since}"], limit_s, cap, auth)
     if got == "ok":
         return True
     shutil.rmtree(dest, ignore_errors=True)
     if got != "failed":
         raise GitFailure(f"clone {got}")
-    got = _attempt(url, dest, base, limit_s, cap)
+    got = _attempt(url, dest, base, limit_s, cap, auth)
     if got != "ok":
         shutil.rmtree(dest, ignore_errors=True)
         raise GitFailure(f"clone {got}")
@@ -112,8 +125,21 @@ def log(repo: str, args: list[str], cut: bytes, limit_s: float = LOG_S) -> Itera
             run.wait()
 
 
-def mine_logs(repos: DataFrame, url: str = "clone_url", since: str = SINCE, clone_s: float = CLONE_S, log_s: float = LOG_S, cap: int | None = DISK_CAP) -> DataFrame:
-    """provider, repo_id, name, kind ('churn', 'message', 'shallow' or 'failure'), value."""
+def await_free(folder: str, free: int, limit_s: float, step: float = 1.0) -> None:
+    """Hold a clone back until so many bytes are free."""
+    end = time.monotonic() + limit_s
+    while free and shutil.disk_usage(folder).free < free:
+        if time.monotonic() > end:
+            raise GitFailure("too little free disk")
+        time.sleep(step)
+
+
+def mine_logs(repos: DataFrame, url: str = "clone_url", since: str = SINCE, clone_s: float = CLONE_S, log_s: float = LOG_S, cap: int | None = DISK_CAP, token: str | None = None, free: int = 0) -> DataFrame:
+    """provider, repo_id, name, kind ('churn', 'message', 'shallow' or 'failure'), value.
+
+    token: of the providers in TOKENS, else the worker's environment has it.
+    free: bytes that must be free where clones go; a task waits for them as long
+    as a clone may take."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["provider", "repo_id", "name", "kind", "value"]
@@ -127,7 +153,8 @@ def mine_logs(repos: DataFrame, url: str = "clone_url", since: str = SINCE, clon
                 top = tempfile.mkdtemp(prefix="ledgerline-git-")
                 dest = os.path.join(top, "r.git")
                 try:
-                    yield rows("shallow", [str(clone(r["url"], dest, since, clone_s, cap)).lower()])
+                    await_free(top, free, clone_s)
+                    yield rows("shallow", [str(clone(r["url"], dest, since, clone_s, cap, credentials(r["provider"], token))).lower()])
                     for kind, args, cut in (("churn", [f"--since={since}", "--numstat", f"--pretty=format:{CHURN_FORMAT}"], b"\x01"), ("message", [f"--since={since}", f"--pretty=format:{MESSAGE_FORMAT}"], b"\x1e")):
                         held, size = [], 0
                         for value in log(dest, args, cut, log_s):

@@ -58,12 +58,86 @@ def test_gitlab_follows_the_cursor(spark, tmp_path):
     (tmp_path / "answers.json").write_text(json.dumps(answers))
     df = hosting.candidates(spark, "gitlab", {"base_url": "https://l/", "group": "a/b", "recorded": str(tmp_path)})
     assert [(r["repo_id"], r["meta"]["visibility"]) for r in df.orderBy("repo_id").collect()] == [("1", "internal"), ("2", "internal")]
-    url = df.select(hosting.authorized_url(F.col("provider"), F.col("clone_url"), "se/cret").alias("u")).orderBy("u").first()["u"]
-    assert url == "https://oauth2:se%2Fcret@l:8443/a/b/1.git"
     with pytest.raises(ValueError):
         hosting.candidates(spark, "elsewhere", {})
 
 
+def test_credentials_are_asked_for_by_git(monkeypatch):
+    """The token is in git's environment, not in its arguments, and for the services that need it only."""
+    assert ingest.credentials("github", "t") == ([], {}) and ingest.credentials(None) == ([], {})
+    monkeypatch.setenv("GITLAB_TOKEN", "se/cret")
+    args, env = ingest.credentials("gitlab")
+    assert not any("se/cret" in a for a in args)
+    got = subprocess.run(["git", *args, "credential", "fill"], input="protocol=https\nhost=l\n\n", text=True, capture_output=True, env=ingest.environment() | env, check=True).stdout
+    assert "username=oauth2" in got and "password=se/cret" in got
+
+
+def listed(spark, tmp_path, pages, headers=()):
+    base = "https://api.github.com/search/repositories?q=x&sort=updated&order=desc&per_page=2&page="
+    item = lambda i: {"id": i, "full_name": f"o/r{i}", "clone_url": f"https://g/{i}.git", "language": "Python", "description": "d"}
+    answers = [{"url": f"{base}{p}", "headers": dict(headers).get(p, {}), "body": {"items": [item(10 * p), item(10 * p + 1)] if p <= pages else []}} for p in range(1, pages + 2)]
+    (tmp_path / "answers.json").write_text(json.dumps(answers))
+    stream = hosting.listing(spark, "github", {"query": "x", "per_page": 2, "max_pages": 50, "recorded": str(tmp_path)})
+    asked = lambda: [int(line.rsplit("=", 1)[1]) for line in (tmp_path / "requests.log").read_text().split()]
+    return stream, asked
+
+
+def test_a_listing_ends_at_its_target_and_resumes(spark, tmp_path):
+    stream, asked = listed(spark, tmp_path, 5)
+    seen = []
+
+    def work(page):
+        seen.append(sorted(r["name"] for r in page.collect()))
+        return len(seen[-1])
+
+    ck = str(tmp_path / "ck")
+    assert hosting.page_by_page(stream, work, ck, 3) == 4
+    assert asked() == [1, 2] and seen == [["o/r10", "o/r11"], ["o/r20", "o/r21"]]  # none after the target
+    clock = iter([0.0, 1.0, 99.0])
+    assert hosting.page_by_page(stream, work, ck, 100, 10.0, lambda: next(clock)) == 2
+    assert asked() == [1, 2, 3] and seen[-1] == ["o/r30", "o/r31"]  # resumed at the next page, ended by time
+
+    def fails(page):
+        raise RuntimeError("no disk")
+
+    with pytest.raises(Exception, match="no disk"):
+        hosting.page_by_page(stream, fails, ck, 100)
+    assert hosting.page_by_page(stream, work, ck, 100) == 4
+    assert seen[3:] == [["o/r40", "o/r41"], ["o/r50", "o/r51"], []] and asked()[-1] == 6
+    n = len(asked())
+    assert hosting.page_by_page(stream, work, ck, 100) == 0 and len(asked()) == n  # at its end it asks nothing
+
+
+def test_the_quota_is_waited_for_once(tmp_path):
+    """No request is left after the second page: the third waits for the reset, and nothing else does."""
+    slept, now = [], [1000.0]
+    (tmp_path / "answers.json").write_text("[]")
+    reader = hosting.GitHubReader({"query": "x"})
+
+    def client(defer=False):
+        def get(url, headers):
+            page = int(url.rsplit("=", 1)[1])
+            left = {"X-RateLimit-Remaining": "1", "X-RateLimit-Reset": "1100"} if page == 2 else {"X-RateLimit-Remaining": "9"}
+            return hosting.Answer(200, left, json.dumps({"items": [{"id": page, "full_name": f"o/{page}"}]}).encode())
+
+        def sleep(s):
+            slept.append(s)
+            now[0] += s
+
+        return hosting.Client(get, {}, "X-RateLimit", (403, 429), 60.0, sleep, lambda: now[0], defer)
+
+    reader.client = client
+    pages, at = hosting._Listing(reader), {"page": 1, "read": 0, "until": 0}
+    for page in (1, 2):
+        rows, at = pages.read(at)
+        assert [r[1] for r in rows] == [str(page)]
+    assert slept == [] and at["until"] == 1101 and at["page"] == 3  # who stops here does not wait
+    for page in (3, 4):
+        rows, at = hosting._Listing(reader).read(at)  # another process goes on
+        assert [r[1] for r in rows] == [str(page)]
+    assert slept == [101.0] and at["until"] == 0
+
+
 def test_lists(spark, tmp_path):
     (tmp_path / "l.txt").write_text('o/r\n# no\n{"clone_url":"https://h/x/y.git","repo_id":"7","meta":{"stars":"3"}}\nhttps://h/a/b/\n')
     got = [(r["provider"], r["repo_id"], r["name"], r["clone_url"], r["meta"]["stars"] if r["meta"] else None) for r in hosting.candidates(spark, "list", {"path": str(tmp_path / "l.txt"), "tag": "t"}).orderBy("name").collect()]
