@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import changepoint, contrasts, counterfactual, developer, mining, panels, propensity, resample
+from ..operators.keep import kept, shared_folder
 from . import adapter as A
 
 QUERIES: dict = {}
@@ -797,4 +798,37 @@ def streaming_monthly_rollup(spark, d):
     return rollup.monthly(events, ["event_type"], "ts").withColumn("total", F.round("total", 4))
 
 
+def _in_two_runs(spark, d, run, parts: int = 8) -> str:
+    """Events arrive in files in the order of their times, a batch each.  run(stream, folder)
+    starts a query that ends with what is there; it runs after half of the files and, resumed
+    from its checkpoint, after all.  Gives the folder that it writes to."""
+    top = shared_folder(spark)
+    events = A.read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    dealt = kept(events.repartitionByRange(parts, "ts").withColumn("part", F.spark_partition_id()))
+    for part in range(parts):
+        dealt.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{top}/in")
+        if part in (parts // 2 - 1, parts - 1):
+            run(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in"), top)
+    return top
+
+
+@query("select event_type, strftime(ts,'%Y-%m-%d') as day, count(*) as n, round(sum(value),4) as total from events group by all")
+def streaming_daily_updates(spark, d):
+    """A sink keeps each batch's updates of days that the watermark has not passed; the last of each day."""
+    from ..streaming import rollup
+
+    top = _in_two_runs(spark, d, lambda s, top: rollup.append_updates(rollup.daily(s, ["event_type"], "ts", "2 days"), f"{top}/out", f"{top}/ck"))
+    return rollup.latest(spark, f"{top}/out", ["event_type", "day"]).withColumn("total", F.round("total", 4)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("select user_id, event_type, event_id, ts from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")
+def streaming_first_events(spark, d):
+    """The first event of each user and type, whatever batch it comes in."""
+    from ..streaming import rollup
+
+    first = lambda s: rollup.first_of(s, ["user_id", "event_type"], ["ts", "event_id"], "ts", 400 * 86400)
+    top = _in_two_runs(spark, d, lambda s, top: rollup.append_available(first(s), f"{top}/out", f"{top}/ck"))
+    return spark.read.parquet(f"{top}/out").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 from . import source_queries  # noqa: E402, F401  (adds its queries to these)

@@ -1,12 +1,24 @@
-"""Incremental ingest: monthly roll-up of arriving rows, first-wins dedup, record shards."""
+"""Incremental ingest: roll-ups of arriving rows, first-wins dedup, record shards.
+
+State is bounded by time: a roll-up's by its watermark, a name's by how long it
+is remembered.  What a sink already holds decides beyond that.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..schemas import RECORD
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def monthly(stream: DataFrame, keys: list[str], ts: str, now: str | None = None) -> DataFrame:
     """Rows and sum by key and calendar month; state is one row a group.
@@ -29,11 +41,108 @@ def shards(spark: SparkSession, folder: str, files_a_batch: int = 16) -> DataFra
     return rows.where(~(F.col("_corrupt").isNotNull() & F.col("name").isNull() & F.col("provider").isNull()))
 
 
-def first_records(stream: DataFrame) -> DataFrame:
-    """A provider and name once, whatever batch they come in; missing ones
-    are a value.  State is one row a name, for as long as the query lives."""
+def first_records(stream: DataFrame, delay: str = "7 days") -> DataFrame:
+    """A provider and name once within `delay` of its first arrival, in
+    whatever batches it comes; missing ones are a value.  State is a row for each
+    name of that time; append_new keeps out what came before it."""
     key = lambda c: F.coalesce(F.col(c), F.lit("None")).alias(c)
-    return stream.withColumns({"_provider": key("provider"), "_name": key("name")}).dropDuplicates(["_provider", "_name"]).drop("_provider", "_name")
+    rows = stream.withColumns({"_provider": key("provider"), "_name": key("name"), "_arrived": F.current_timestamp()})
+    return rows.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["_provider", "_name"]).drop("_provider", "_name", "_arrived")
+
+
+class First(StatefulProcessor):
+    """The first row of a key, by `order` within a batch; a timer lets the key be forgotten."""
+
+    def __init__(self, order: list[str], ts: str, ttl: int) -> None:
+        self.order, self.ts, self.ttl = order, ts, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", StructType([StructField("seen", BooleanType())]))
+
+    def remember(self, row: pd.DataFrame) -> None:
+        self.seen.update((True,))
+        self.handle.registerTimer(int(row[self.ts].iloc[0].timestamp() * 1000) + self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known, best = self.seen.exists(), None
+        for some in rows:
+            if not known:
+                best = pd.concat([x for x in (best, some) if x is not None]).sort_values(self.order, kind="stable").head(1)
+        if best is not None:
+            self.remember(best)
+            yield best
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        yield from ()
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.remember(initialState)
+
+    def close(self) -> None:
+        pass
+
+
+def first_of(stream: DataFrame, keys: list[str], order: list[str], ts: str, ttl_s: float, delay: str = "0 seconds", known: DataFrame | None = None) -> DataFrame:
+    """The first row of each key as rows arrive, of one batch by `order`.
+
+    A key is remembered, in RocksDB beside the executors, until the watermark
+    (the latest ts less delay) is ttl_s seconds past its row's ts, so state holds
+    the keys of that time only.  Rows of keys in `known` (key and ts of what was
+    written before the query first began) do not come.  Columns go through Arrow,
+    so they should be few."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    seeds = None if known is None else known.groupBy(*keys).agg(F.max(ts).alias(ts)).groupBy(*keys)
+    return stream.withWatermark(ts, delay).groupBy(*keys).transformWithStateInPandas(First(order, ts, int(ttl_s * 1000)), stream.schema, "Append", "EventTime", seeds)
+
+
+def daily(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
+    """Rows and sum by key and day, as updates of the days that a batch has
+    changed; a day's state goes once the watermark is past it.  Days are those of UTC."""
+    day = F.window(ts, "1 day").alias("_w")
+    return stream.withWatermark(ts, delay).groupBy(*keys, day).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(*keys, F.to_date("_w.start").alias("day"), "n", "total")
+
+
+def append_updates(updates: DataFrame, folder: str, checkpoint: str) -> list[dict]:
+    """Everything that is there now, each batch's updates under its number, so
+    that a batch that is done again replaces what it wrote.  What a query reports
+    of its batches is returned."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    q = updates.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q.recentProgress
+
+
+def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """What append_updates wrote, of each key the last update."""
+    rows = spark.read.parquet(folder)
+    last = F.max_by(F.struct(*(c for c in rows.columns if c not in (*keys, "batch"))), "batch")
+    return rows.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*")
+
+
+def append_new(stream: DataFrame, folder: str, checkpoint: str, keys: list[str]) -> None:
+    """Everything that is there now, appended to a Parquet folder but for rows
+    whose key it already holds; a batch that is done again replaces what it wrote."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        try:
+            done = spark.read.parquet(folder).where(F.col("batch") != batch).select(*(F.col(k).alias(f"_{k}") for k in keys))
+        except AnalysisException as e:  # nothing is written yet
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            rows = rows.join(done, same, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    stream.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def month_guard(ym: Column, floor: str, now: str) -> Column:
