@@ -3,7 +3,7 @@
 Documents are sets of distinct 5-word shingles; two link when the Jaccard
 similarity of their sets is at least 0.75.  Steps:
 
-1. Equal sets become one class (digest of 128 bits), with its least doc_id.
+1. Equal sets become one class (digest of 64 bits), with its least known doc_id.
 2. Each class is dealt to the buckets of its rarest shingles.  Two classes
    that link share one of them whatever order is used, as long as it is the
    same for all, so heavy shingles come last: a passage that a third of all
@@ -368,7 +368,8 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     Only documents that stand for a class of a pair are read into sets again.
     """
     wanted = sets.join(few(pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct()), "s1", "left_semi").select("rep", "s1")
-    texts = docs.join(few(wanted.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    known = few(wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct())
+    texts = docs.join(known, "doc_id", "left_semi").select("text").union(docs.where("doc_id is null").select("text"))
     whole = texts.select("text").mapInArrow(_tokens, "s1 long, tokens binary").join(few(wanted.select("s1")), "s1", "left_semi").dropDuplicates(["s1"])
     links = pairs.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
     links = saved(links)
@@ -566,8 +567,12 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prefixes = docs.select("text").mapInArrow(_prefixes(heavy), "token long, s1 long, n int, strong boolean")
     runs = saved(prefixes.repartition("token").sortWithinPartitions("token", "n", "s1").mapInArrow(_runs, "token long, s1 long, n int, leader long"))
     heavy.destroy()
-    wanted = classes.join(runs.select("s1").distinct(), "s1", "left_semi").where("rep is not null")
-    sets = saved(docs.mapInArrow(_bitmaps, "rep long, s1 long, n int, bits binary").join(few(wanted), ["rep", "s1"], "left_semi").dropDuplicates(["s1"]))
+    wanted = classes.join(runs.select("s1").distinct(), "s1", "left_semi")
+    bitmaps = lambda rows: rows.mapInArrow(_bitmaps, "rep long, s1 long, n int, bits binary")
+    of_known = bitmaps(docs).join(few(wanted.where("rep is not null")), ["rep", "s1"], "left_semi")
+    # A class none of whose rows has an id takes part too; its rows are told by their sets.
+    of_none = bitmaps(docs.where("doc_id is null")).join(few(wanted.where("rep is null").select("s1")), "s1", "left_semi")
+    sets = saved(of_known.unionByName(of_none).dropDuplicates(["s1"]))
     star = runs.where("s1 <> leader").select(F.least("s1", "leader").alias("a"), F.greatest("s1", "leader").alias("b")).distinct()
     links = verified(pruned(star, sets), sets, docs)
     comps = components(links)

@@ -626,3 +626,40 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     none = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_links_through_rows_without_an_id(spark):
+    """Null ids in the middle of chains lose no link; classes without any id have none to tell."""
+    rng = random.Random(12)
+    rows, ids = [], []
+    for c in range(25):
+        words = [f"c{c}w{i}" for i in range(60)]
+        for step in range(rng.randint(2, 5)):
+            rows.append(" ".join(words))
+            ids.append(None if c == 0 or step % 2 else len(rows) * 3)
+            for _ in range(2):
+                words[rng.randrange(step * 12, step * 12 + 12)] = f"z{rng.randrange(9999)}"
+    rows += [rows[1], "", "few words"]
+    ids += [None, None, None]
+    sets = []
+    for t in rows:
+        w = WORD.findall(t.translate(LOWER))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    group[i] = group[j] = min(group[i], group[j])
+    least = {}
+    for g, i in zip(group, ids):
+        if i is not None:
+            least[g] = min(i, least.get(g, i))
+    want = sorted(((i, len(s), least.get(g)) for i, s, g in zip(ids, sets, group)), key=str)
+    docs = frame(spark, rows, ids)
+    assert sorted((tuple(r) for r in jaccard_join.jaccard_components(docs).collect()), key=str) == want
+    assert any(i is None and least.get(g) is not None for i, g in zip(ids, group)) and len(set(group)) < len(rows) - 20
+    # One row of each group stays, that of the least id that is known.
+    kept = sorted((r["doc_id"] for r in jaccard_join.dedup(docs).collect()), key=str)
+    alone = sum(1 for g in set(group) if g not in least and sets[g]) + sum(not s for s in sets)
+    assert kept == sorted([*least.values(), *[None] * alone], key=str)
