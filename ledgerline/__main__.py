@@ -89,7 +89,7 @@ def gather(spark: SparkSession, a: argparse.Namespace) -> str:
         ok = spark.read.parquet(f"{stage}/records")
         sinks.write_records(ok, a.records, a.shard_size)
         sinks.write_failures(failed, a.records)
-        return ok.count()
+        return ok.where(records.FIRST_PART).count()
 
     if a.provider == "list":
         made = work(hosting.candidates(spark, a.provider, options))

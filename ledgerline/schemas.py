@@ -10,7 +10,7 @@ GATE = {"pre": 18, "post": 9, "ratio": 0.70, "gap": 3, "devs": 3, "commits": 200
 MENTION_TERMS = ("claude", "copilot", "chatgpt", "gpt", "cursor", "cody", "tabnine", "codeium", "windsurf", "aider", "ai_generic")
 Z95 = 1.959963984540054
 
-RECORD = """provider string, repo_id string, name string, clone_url string, default_branch string,
+RECORD = """provider string, repo_id string, name string, part int, clone_url string, default_branch string,
     gathered_at string, baseline_since string, shallow boolean, status string, schema int,
     meta struct<primary_language:string,stars:bigint,forks:bigint,created_at:string,pushed_at:string,size_kb:bigint,archived:boolean,visibility:string,description:string>,
     signatures struct<repo:map<string,string>,authors:map<string,map<string,string>>>,

@@ -12,12 +12,27 @@ from ..operators.panels import first_wins
 from ..schemas import MENTION_TERMS, RECORD
 
 
+#: Holds for a record's only or first line.
+FIRST_PART = "coalesce(part, 0) = 0"
+#: Developers' months that a line holds, about.
+DEV_MONTHS = 1 << 15
+
+
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """SC1, SC2: records-*.jsonl without blank or malformed lines, first of a name wins."""
+    """SC1, SC2: records-*.jsonl without blank or malformed lines, first of a name wins.
+
+    A very large repository's record is several lines, its parts: the first has
+    all but developers, each has some of those.  With the winning first part
+    come the others that were gathered with it."""
     rows = spark.read.schema(RECORD).option("pathGlobFilter", "records-*.jsonl").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
     rows = rows.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.col("_metadata.file_block_start")).withColumn("_row", F.monotonically_increasing_id())
     rows = rows.where(~(F.col("_corrupt").isNotNull() & F.col("name").isNull() & F.col("provider").isNull()))
-    return first_wins(rows, ["provider", "name"], ["_file", "_at", "_row"]).drop("_corrupt", "_file", "_at", "_row")
+    order = ["_file", "_at", "_row"]
+    first = first_wins(rows.where(FIRST_PART), ["provider", "name"], order)
+    won = first.select(*(F.col(c).alias(f"_{c}") for c in ("provider", "name", "gathered_at")))
+    same = F.col("provider").eqNullSafe(F.col("_provider")) & F.col("name").eqNullSafe(F.col("_name")) & F.col("gathered_at").eqNullSafe(F.col("_gathered_at"))
+    more = first_wins(rows.where(f"not ({FIRST_PART})").join(won, same, "left_semi"), ["provider", "name", "part"], order)
+    return first.unionByName(more).drop("_corrupt", *order)
 
 
 def months_of(records: DataFrame) -> DataFrame:
@@ -52,17 +67,24 @@ def mentions_of(records: DataFrame) -> DataFrame:
 def summaries(records: DataFrame) -> DataFrame:
     """A record's totals, months and signatures, all within its row.
 
-    first_month and last_month are null, spans and gaps 0, without activity."""
+    first_month and last_month are null, spans and gaps 0, without activity.
+    Developers of further parts are counted there and added."""
+    n_devs = F.size(F.array_distinct(F.transform(F.coalesce("authors", F.array()), lambda a: a["dev"])))
+    n_signed = F.coalesce(F.size(F.map_keys("signatures.authors")), F.lit(0))
+    if "part" in records.columns:
+        more = records.where(f"not ({FIRST_PART})").groupBy(F.col("provider").alias("_p"), F.col("name").alias("_n")).agg(F.sum(n_devs).alias("_more"), F.sum(n_signed).alias("_more_signed"))
+        records = records.where(FIRST_PART).join(more, F.col("provider").eqNullSafe(F.col("_p")) & F.col("name").eqNullSafe(F.col("_n")), "left")
+        n_devs, n_signed = ((n + F.coalesce(F.col(m), F.lit(0))).cast("int") for n, m in ((n_devs, "_more"), (n_signed, "_more_signed")))
     yms = F.array_sort(F.transform(F.coalesce("activity", F.array()), lambda a: a["ym"]))
     total = lambda array, value: F.aggregate(F.coalesce(array, F.array()), F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(value(x), F.lit(0)))
     rows = records.select(
         "provider", "repo_id", "name", F.coalesce("clone_url", "name").alias("url"), "meta", "months", yms.alias("yms"),
         total("activity", lambda x: x["commits"]).alias("commits"), total("months", lambda x: x["ins"]).alias("source_added"), total("months", lambda x: x["del"]).alias("source_deleted"),
         F.array_sort(F.array_distinct(F.transform(F.coalesce("months", F.array()), lambda m: m["lang"]))).alias("languages"),
-        F.size(F.array_distinct(F.transform(F.coalesce("authors", F.array()), lambda a: a["dev"]))).alias("contributors"),
+        n_devs.alias("contributors"),
         F.array_sort(F.coalesce(F.map_keys("signatures.repo"), F.array().cast("array<string>"))).alias("ai_signatures"),
         F.coalesce(F.map_values("signatures.repo"), F.array().cast("array<string>")).alias("_first"),
-        F.coalesce(F.size(F.map_keys("signatures.authors")), F.lit(0)).alias("_signed"),
+        n_signed.alias("_signed"),
     )
     ords = F.transform("yms", T.ym_ord)
     gaps = F.transform(F.slice("ords", 2, F.greatest(F.lit(0), F.size("ords") - 1)), lambda o, i: o - F.col("ords")[i] - 1)
@@ -162,11 +184,13 @@ def _map_of(df: DataFrame, keys: list[str], key: str, value: Column) -> DataFram
     return df.groupBy(*keys).agg(F.map_from_entries(entries).alias("_m"))
 
 
-def assemble(churn: DataFrame, messages: DataFrame, repos: DataFrame, salt: str) -> DataFrame:
-    """Records from commit file rows and message rows (both with repo_id), a row
-    a repository of `repos` that has months; developers are hashed emails throughout.
+def assemble(churn: DataFrame, messages: DataFrame, repos: DataFrame, salt: str, dev_months: int = DEV_MONTHS) -> DataFrame:
+    """Records from commit file rows and message rows (both with repo_id), of the
+    repositories of `repos` that have months; developers are hashed emails throughout.
 
-    Each view is aggregated first, then nested; all joins are on repo_id."""
+    Each view is aggregated first, then nested.  A repository of more than
+    dev_months developers' months is several rows (part from 0), developers dealt
+    to them by hash, so no task nests them all; `part` is null for the others."""
     dev = T.hash_email(F.col("email"), salt)
     rows = churn.withColumn("dev", dev)
     sort = lambda *cols: F.array_sort(F.collect_list(F.struct(*cols)))
@@ -174,23 +198,30 @@ def assemble(churn: DataFrame, messages: DataFrame, repos: DataFrame, salt: str)
     activity = mining.activity_months(rows).groupBy("repo_id").agg(sort("ym", "commits", "authors", "active_days").alias("activity"))
     am = mining.author_months(rows).withColumn("langs", mining.languages_of(F.col("lang_bits")))
     rounded = [F.round("size_mean", 2).alias("size_mean"), F.round("size_std", 2).alias("size_std"), "size_max", *(F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("weekend_share", "evening_share"))]
-    authors = am.groupBy("repo_id").agg(sort("dev", "ym", "ins", "del", "commits", "langs", *rounded).alias("authors"))
+    sizes = am.groupBy("repo_id").agg(F.ceil(F.count("*") / dev_months).cast("int").alias("_parts"))
+    dealt = lambda df: df.join(sizes, "repo_id").withColumn("_part", F.pmod(F.xxhash64("dev"), F.col("_parts")).cast("int"))
+    authors = dealt(am).groupBy("repo_id", "_part").agg(sort("dev", "ym", "ins", "del", "commits", "langs", *rounded).alias("authors"))
     said = messages.withColumn("dev", dev)
     flags = T.signature_flags(F.col("name"), F.col("email"), F.col("body"))
     by_author = mining.first_seen(said, flags, ["repo_id", "dev"])
     by_repo = by_author.groupBy("repo_id", "cls").agg(F.min("first_ym").alias("first_ym"))
     repo_sig = _map_of(by_repo, ["repo_id"], "cls", F.col("first_ym")).withColumnRenamed("_m", "sig_repo")
-    author_sig = _map_of(_map_of(by_author, ["repo_id", "dev"], "cls", F.col("first_ym")), ["repo_id"], "dev", F.col("_m")).withColumnRenamed("_m", "sig_authors")
+    author_sig = _map_of(dealt(_map_of(by_author, ["repo_id", "dev"], "cls", F.col("first_ym"))), ["repo_id", "_part"], "dev", F.col("_m")).withColumnRenamed("_m", "sig_authors")
     style = mining.style_months(said, ["repo_id", "dev", "ym"])
     of = ["chars", "words", "lines", "has_bullets", "unique_word_ratio", "bugfix", "feature", "total"]
     features = F.create_map(*(x for c in of for x in (F.lit(c), F.round(F.col(c).cast("double"), 4))), F.lit("n"), F.col("total").cast("double"))
-    style = _map_of(_map_of(style.withColumn("_f", features), ["repo_id", "dev"], "ym", F.col("_f")), ["repo_id"], "dev", F.col("_m")).withColumnRenamed("_m", "style")
+    style = _map_of(dealt(_map_of(style.withColumn("_f", features), ["repo_id", "dev"], "ym", F.col("_f"))), ["repo_id", "_part"], "dev", F.col("_m")).withColumnRenamed("_m", "style")
     mm = mining.mention_months(said, ["repo_id", "ym"], T.mention_flags(F.col("body")))
     counts = F.map_filter(F.create_map(F.lit("total"), F.col("total_commits"), *(x for t in MENTION_TERMS for x in (F.lit(t), F.col(f"mentions_{t}")))), lambda k, v: (k == "total") | (v > 0))
     mentions = _map_of(mm.withColumn("_c", counts), ["repo_id"], "ym", F.col("_c")).withColumnRenamed("_m", "mentions")
     out = repos.join(months, "repo_id")
-    for part in (activity, authors, repo_sig, author_sig, style, mentions):
-        out = out.join(part, "repo_id", "left")
+    for view in (activity, repo_sig, mentions):
+        out = out.join(view, "repo_id", "left")
+    out = out.join(sizes, "repo_id").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    out = out.withColumns({c: F.when(F.col("_part") == 0, F.col(c)) for c in ("months", "activity", "sig_repo", "mentions")})
+    for view in (authors, author_sig, style):
+        out = out.join(view, ["repo_id", "_part"], "left")
+    out = out.withColumn("part", F.when(F.col("_parts") > 1, F.col("_part"))).drop("_part", "_parts")
     none = lambda c, kind: F.coalesce(F.col(c), F.map_from_arrays(F.array(), F.array()).cast(kind))
     signatures = F.struct(none("sig_repo", "map<string,string>").alias("repo"), none("sig_authors", "map<string,map<string,string>>").alias("authors"))
     return out.withColumn("schema", F.lit(1)).withColumn("signatures", signatures).withColumn("status", F.lit("ok")).drop("sig_repo", "sig_authors")

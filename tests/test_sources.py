@@ -191,6 +191,28 @@ def test_from_a_clone_to_a_record(spark, tmp_path):
     assert records.authors_of(back).where("dev_has_sig").count() == 2 and records.not_yet_gathered(refs, back).count() == 1
 
 
+def test_a_large_repository_is_several_lines(spark, tmp_path):
+    """Parts give the panels and the summary that one line gives."""
+    n = 600
+    churn = spark.range(n * 3).select(F.lit("1").alias("repo_id"), F.concat(F.lit("s"), "id").alias("sha"), F.concat(F.lit("d"), F.col("id") % n, F.lit("@x.y")).alias("email"), F.format_string("2024-%02d", F.col("id") % 3 + 1).alias("ym"), F.to_timestamp(F.lit("2024-01-01 10:00:00")).alias("ts"), F.lit("go").alias("lang"), F.lit(5).cast("bigint").alias("ins"), F.lit(1).cast("bigint").alias("del"))
+    churn = churn.unionByName(churn.where("sha < 's2'").withColumn("repo_id", F.lit("2")))
+    said = churn.select("repo_id", "email", "ym", F.lit("Ann").alias("name"), F.when(F.col("sha").endswith("7"), "with claude code").otherwise("fix: it").alias("body"))
+    repos = spark.createDataFrame([("t", "1", "o/large"), ("t", "2", "o/small")], "provider string, repo_id string, name string").withColumn("gathered_at", F.lit("now"))
+    made = {k: records.assemble(churn, said, repos, "s", k) for k in (100, 10**6)}
+    rows = made[100].collect()
+    assert sorted((r["name"], r["part"]) for r in rows if r["name"] == "o/large") == [("o/large", i) for i in range(6)]
+    assert max(len(r["authors"]) for r in rows) < 400 and all(r["months"] is None for r in rows if r["part"])
+    got = {}
+    for k, df in made.items():
+        folder = str(tmp_path / str(k))
+        sinks.write_records(df, folder, 2)
+        sinks.write_records(df.withColumn("gathered_at", F.lit("later")), folder, 2)  # a second one does not mix in
+        back = records.read_records(spark, folder)
+        got[k] = [sorted(map(str, f(back).collect())) for f in (records.authors_of, records.months_of, records.activity_of, records.mentions_of, records.summaries)]
+    assert got[100] == got[10**6]
+    assert len(got[100][0]) >= 1200 and "contributors=600" in "".join(got[100][4])
+
+
 def test_bounds(spark, tmp_path):
     log = tmp_path / "c.log"
     log.write_text("\x01a\x1f2018-12-31T10:00:00+00:00\x1fa@b\x1fA\n1\t1\ta.py\n\x01b\x1f2024-01-01T10:00:00+00:00\x1fa@b\x1fA\n1\t1\ta.py\n\x01c\x1f2106-01-01T10:00:00+00:00\x1fa@b\x1fA\n1\t1\ta.py\n\x01bad header\n1\t1\ta.py\n")
