@@ -663,3 +663,26 @@ def test_links_through_rows_without_an_id(spark):
     kept = sorted((r["doc_id"] for r in jaccard_join.dedup(docs).collect()), key=str)
     alone = sum(1 for g in set(group) if g not in least and sets[g]) + sum(not s for s in sets)
     assert kept == sorted([*least.values(), *[None] * alone], key=str)
+
+
+def test_bpe_query_against_the_tokenizers_library(spark, tmp_path):
+    """Counts and digests of the query's rows, of texts short and long, as the library gives them."""
+    import hashlib
+    import struct
+
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    rows = [*texts(4, 12), "a" * 9000, "é<|endoftext|>ü <|endoftext|>", "\r\n\t  x  　y", " ".join(f"w{rng.randrange(99)}" for _ in range(6000)), "😀" * 50, "<|endoftext"]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("ids_sha256", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    want = []
+    for i, text in enumerate(rows):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    got = bpe.query(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == want
