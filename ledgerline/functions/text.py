@@ -104,8 +104,13 @@ def hash_email(email: Column, salt: str) -> Column:
     return F.substring(F.sha2(F.concat(F.lit(salt), F.char(F.lit(0)), F.lower(email)), 256), 1, 16)
 
 
-def message_features(body: Column) -> dict[str, Column]:
-    words = F.regexp_extract_all(body, F.lit(WORD), F.lit(1))
+def words_of(body: Column) -> Column:
+    return F.regexp_extract_all(body, F.lit(WORD), F.lit(1))
+
+
+def message_features(body: Column, words: Column | None = None) -> dict[str, Column]:
+    """words: a column that holds words_of(body), if there is one."""
+    words = words_of(body) if words is None else words
     n = F.size(words)
     return {
         "chars": F.length(body).cast("double"),

@@ -24,9 +24,8 @@ def tiers(baseline: DataFrame, lang: str = "lang") -> DataFrame:
     A language may hold most developers, and most of those one baseline: ranks
     come from parts of like size (see ranking), not from one task for each.
     """
-    values = baseline.groupBy(lang).agg(F.count_distinct("baseline_churn").alias("_d"))
     rows = ranking.ranked(baseline, [lang], ["baseline_churn", "repo_id", "dev"])
-    values = few(values.withColumnRenamed(lang, "_l"))
+    values = few(rows.groupBy(F.col(lang).alias("_l")).agg(F.count_distinct("baseline_churn").alias("_d")))
     rows = rows.join(values, F.col(lang).eqNullSafe(F.col("_l")))
     third = F.when(F.col(lang).isNull(), None).when((F.col("_size") < 6) | (F.col("_d") < 3), "mid")
     relative = third.when(3 * F.col("_rank") < F.col("_size") - 1, "low").when(3 * F.col("_rank") < 2 * (F.col("_size") - 1), "mid").otherwise("high")

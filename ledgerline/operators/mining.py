@@ -75,9 +75,11 @@ def first_seen(rows: DataFrame, flags: dict, keys: list[str]) -> DataFrame:
 
 def style_months(rows: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
     """Mean message features and counts of commit classes."""
-    cls = T.classify_commit(F.col(body))
+    # A message's words and class are found once, before its features are.
+    rows = rows.select(*keys, F.col(body).alias("_body"), T.words_of(F.col(body)).alias("_words"), T.classify_commit(F.col(body)).alias("_class"))
+    cls = F.col("_class")
     return rows.groupBy(*keys).agg(
-        *(F.avg(c).alias(n) for n, c in T.message_features(F.col(body)).items()),
+        *(F.avg(c).alias(n) for n, c in T.message_features(F.col("_body"), F.col("_words")).items()),
         F.count("*").alias("total"),
         F.count_if(cls == "bugfix").alias("bugfix"),
         F.count_if(cls == "feature").alias("feature"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import Z95
-from .keep import few
+from .keep import few, kept
 
 OUT = "term string, coef double, se double, z double, ci_lo double, ci_hi double, p double"
 
@@ -101,7 +101,7 @@ def ols(df: DataFrame, y: Column, terms: dict[str, Column], by: list[str] | None
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*by).schema) if by else ""
     fit = sums.mapInArrow(_fit(len(by), k), f"{kinds}n bigint, _beta array<double>, _inverse array<double>")
     if by:
-        fit = few(fit)
+        fit = few(kept(fit))
         same = F.lit(True)
         for c in by:
             same = same & rows[c].eqNullSafe(fit[c])
