@@ -6,6 +6,7 @@ is remembered.  What a sink already holds decides beyond that.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -89,9 +90,10 @@ def first_of(stream: DataFrame, keys: list[str], order: list[str], ts: str, ttl_
 
     A key is remembered, in RocksDB beside the executors, until the watermark
     (the latest ts less delay) is ttl_s seconds past its row's ts, so state holds
-    the keys of that time only.  Rows of keys in `known` (key and ts of what was
-    written before the query first began) do not come.  Columns go through Arrow,
-    so they should be few."""
+    the keys of that time only.  Rows that are not later than the watermark when
+    they arrive do not come, nor do rows of keys in `known` (key and ts of what was
+    written before the query first began).  Columns go through Arrow, so they
+    should be few."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     seeds = None if known is None else known.groupBy(*keys).agg(F.max(ts).alias(ts)).groupBy(*keys)
     return stream.withWatermark(ts, delay).groupBy(*keys).transformWithStateInPandas(First(order, ts, int(ttl_s * 1000)), stream.schema, "Append", "EventTime", seeds)
@@ -106,8 +108,8 @@ def daily(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
 
 def append_updates(updates: DataFrame, folder: str, checkpoint: str) -> list[dict]:
     """Everything that is there now, each batch's updates under its number, so
-    that a batch that is done again replaces what it wrote.  What a query reports
-    of its batches is returned."""
+    that a batch that is done again replaces what it wrote; a folder is one
+    checkpoint's.  What a query reports of its batches is returned."""
 
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
@@ -126,12 +128,14 @@ def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
 
 def append_new(stream: DataFrame, folder: str, checkpoint: str, keys: list[str]) -> None:
     """Everything that is there now, appended to a Parquet folder but for rows
-    whose key it already holds; a batch that is done again replaces what it wrote."""
+    whose key it already holds; a batch that is done again replaces what it wrote.
+    Batches are numbered within their checkpoint, so a new one replaces nothing."""
+    query = "q" + hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def put(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         try:
-            done = spark.read.parquet(folder).where(F.col("batch") != batch).select(*(F.col(k).alias(f"_{k}") for k in keys))
+            done = spark.read.parquet(folder).where((F.col("query") != query) | (F.col("batch") != batch)).select(*(F.col(k).alias(f"_{k}") for k in keys))
         except AnalysisException as e:  # nothing is written yet
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
@@ -140,7 +144,7 @@ def append_new(stream: DataFrame, folder: str, checkpoint: str, keys: list[str])
             for k in keys:
                 same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
             rows = rows.join(done, same, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{folder}/query={query}/batch={batch}")
 
     stream.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

@@ -37,7 +37,7 @@ def test_first_of_stops_resumes_and_forgets(spark, events):
     put(spark, folder, "d", [("far", "g", 1, day(20))])
     put(spark, folder, "d2", [("far", "g", 3, day(20))])  # timers fire at the end of a batch
     rollup.append_available(rows(), out, ck)
-    put(spark, folder, "e", [("x", None, 9, day(20)), ("far", "g", 2, day(20))])
+    put(spark, folder, "e", [("x", None, 9, day(21)), ("far", "g", 2, day(21))])
     rollup.append_available(rows(), out, ck)  # what is five days old is forgotten, what is new is not
     assert got() == sorted([*first, ("far", "g", 1), ("x", "None", 9)])
 
