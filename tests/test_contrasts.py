@@ -1,5 +1,6 @@
 """Contrasts, models and change points against numpy and numbers worked out by hand."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -50,6 +51,30 @@ def test_change_point_trims_and_has_a_month(spark):
     assert [r["k"] for r in changepoint.detect(spark.createDataFrame(short, "k string, t int, ym string, v double"), ["k"], "v").collect()] == ["l"]
 
 
+def test_strong_change_points_are_those_of_all(spark):
+    """The same rows with the same p as where every series is shuffled to the end."""
+    rng = np.random.default_rng(8)
+    rows = [(k if k else None, d, t, f"{t}", float(rng.integers(0, 9)) + (6.0 if d % 3 and t >= 9 else 0.0)) for k in ("a", "") for d in range(12) for t in range(18)]
+    df = spark.createDataFrame(rows, "k string, d int, t int, ym string, v double")
+    every = changepoint.detect(df, ["k", "d"], "v", trim=0)
+    some = changepoint.detect_strong(df, ["k", "d"], "v", trim=0)
+    want = sorted(map(str, every.where(changepoint.strong()).collect()))
+    assert some.schema == every.schema and 0 < len(want) < every.count() == 24
+    assert sorted(map(str, some.collect())) == want
+    assert sorted(map(str, changepoint.histogram(some).collect())) == sorted(map(str, changepoint.histogram(every).collect()))
+
+
+def test_shuffles_stop_once_it_is_decided(monkeypatch):
+    made = []
+    monkeypatch.setattr(changepoint, "md5", lambda x, **how: made.append(x) or hashlib.md5(x, **how))
+    flat, step, t = np.ones(12), np.array([1.0, 2.0] * 3 + [9.0, 8.0] * 3), np.arange(12)
+    assert changepoint.hits("|a", t, flat, 99, 3, 4) >= 4 and len(made) == 4 * 12
+    assert made[0] == b"1|a|0"
+    made.clear()
+    assert changepoint.hits("|a", t, step, 99, 3, 4) < 4 and len(made) == 99 * 12
+    assert changepoint.hits("|a", t, flat, 99, 3, 100) == 99
+
+
 def test_permutations_against_numpy(spark):
     """Every shuffle's best gap, brute force."""
     import hashlib
