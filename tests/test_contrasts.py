@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 
 import numpy as np
 import pytest
@@ -75,6 +76,17 @@ def test_shuffles_stop_once_it_is_decided(monkeypatch):
     assert changepoint.hits("|a", t, flat, 99, 3, 100) == 99
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_queries_of_strong_change_points_leave_out_other_shuffles(spark):
+    """Both count what detect_strong gives; no shuffle is an expression that a plan repeats."""
+    from ledgerline.plans import queries, source_queries
+
+    for name in ("changepoint_histogram", "fig_changepoints"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "md5(" not in plan, name
+    assert source_queries._strong is queries._strong
+
+
 def test_permutations_against_numpy(spark):
     """Every shuffle's best gap, brute force."""
     import hashlib
