@@ -71,10 +71,6 @@ def summaries(records: DataFrame) -> DataFrame:
     Developers of further parts are counted there and added."""
     n_devs = F.size(F.array_distinct(F.transform(F.coalesce("authors", F.array()), lambda a: a["dev"])))
     n_signed = F.coalesce(F.size(F.map_keys("signatures.authors")), F.lit(0))
-    if "part" in records.columns:
-        more = records.where(f"not ({FIRST_PART})").groupBy(F.col("provider").alias("_p"), F.col("name").alias("_n")).agg(F.sum(n_devs).alias("_more"), F.sum(n_signed).alias("_more_signed"))
-        records = records.where(FIRST_PART).join(more, F.col("provider").eqNullSafe(F.col("_p")) & F.col("name").eqNullSafe(F.col("_n")), "left")
-        n_devs, n_signed = ((n + F.coalesce(F.col(m), F.lit(0))).cast("int") for n, m in ((n_devs, "_more"), (n_signed, "_more_signed")))
     yms = F.array_sort(F.transform(F.coalesce("activity", F.array()), lambda a: a["ym"]))
     total = lambda array, value: F.aggregate(F.coalesce(array, F.array()), F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(value(x), F.lit(0)))
     rows = records.select(
@@ -84,8 +80,14 @@ def summaries(records: DataFrame) -> DataFrame:
         n_devs.alias("contributors"),
         F.array_sort(F.coalesce(F.map_keys("signatures.repo"), F.array().cast("array<string>"))).alias("ai_signatures"),
         F.coalesce(F.map_values("signatures.repo"), F.array().cast("array<string>")).alias("_first"),
-        n_signed.alias("_signed"),
+        n_signed.alias("_signed"), *(["part"] if "part" in records.columns else []),
     )
+    if "part" in rows.columns:
+        # Lines are counted each where it lies, then added to their first.
+        is_first = F.expr(FIRST_PART)
+        lines = rows.groupBy(F.col("provider").alias("_p"), F.col("name").alias("_n")).agg(F.collect_list(F.when(is_first, F.struct(*rows.columns))).alias("_lines"), *(F.coalesce(F.sum(F.when(~is_first, F.col(c))), F.lit(0)).alias(f"_more{c}") for c in ("contributors", "_signed")))
+        rows = lines.select("_morecontributors", "_more_signed", F.inline("_lines"))
+        rows = rows.withColumns({c: (F.col(c) + F.col(f"_more{c}")).cast("int") for c in ("contributors", "_signed")})
     ords = F.transform("yms", T.ym_ord)
     gaps = F.transform(F.slice("ords", 2, F.greatest(F.lit(0), F.size("ords") - 1)), lambda o, i: o - F.col("ords")[i] - 1)
     rows = rows.withColumn("ords", ords)

@@ -405,3 +405,20 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "l.txt").write_text(f"file://{tmp_path}/nowhere\n")
     assert main(["gather", "--provider", "list", "--list", d("l.txt"), "--records", d("r"), "--scratch", d("x")]) == 0
     assert [r["reason"] for r in spark.read.json(d("r") + "/failures").collect()] == ["git: clone failed"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_star_records_of_large_nations_are_in_parts(spark):
+    """No line, and so no task, holds all developers of a nation; what is read back is the same."""
+    from ledgerline.plans import source_queries
+
+    d = "/root/testdata/sf0.001"
+    whole, dealt = source_queries._records(spark, d, 1 << 40).cache(), source_queries._records(spark, d, 60).cache()
+    sizes = [r["n"] for r in dealt.select(F.coalesce(F.size("authors"), F.lit(0)).alias("n")).collect()]
+    assert {r["part"] for r in whole.collect()} == {None} and max(sizes) < 250 < max(r["n"] for r in whole.select(F.size("authors").alias("n")).collect())
+    assert dealt.where("part = 0 and months is not null").count() == whole.count() == dealt.where("months is not null").count()
+    get = [records.summaries, lambda x: x.select("repo_id", F.inline("authors")), lambda x: x.select("repo_id", F.explode("signatures.authors")), records.months_of, records.activity_of]
+    for f in get:
+        a, b = sorted(map(str, f(whole).collect())), sorted(map(str, f(dealt).collect()))
+        assert a and a == b
+    assert len(records.summaries(dealt).collect()) == 25
