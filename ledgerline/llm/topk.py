@@ -2,12 +2,14 @@
 
 Vectors become integers, floor(256 x) of each component.  Queries and
 candidates are dealt into blocks by hash; each pair of blocks is a task.  A
-candidate block keeps a list per dimension sorted by value.  A query walks all
-lists at once from the end that its component favours; each vector met is
-scored exactly; the bound is the score of a vector that would stand at every
-list's present depth.  The walk stops when the bound is below the k-th best
-score (on a tie it goes on, as a smaller id may still win).  Blocks' results are
-merged by a window over k rows a block.
+candidate block keeps a list per dimension sorted by value.  Queries walk in
+tiles: a tile goes down all lists from the ends that its queries' components
+favour, twice as far each round, and what it meets is scored exactly, for all
+its queries in one product.  A query's bound is the score of a vector that would
+stand at every list's present depth.  Its walk stops when the bound is below its
+k-th best score (on a tie it goes on, as a smaller id may still win), or when
+the tile has met the whole block.  Blocks' results are merged by a window over
+k rows a block.
 
 Defined cases: null vectors, vectors with a null or non-finite component and
 rows without an id take no part; vectors of a length other than the query's
@@ -30,55 +32,83 @@ K = 5
 QUERY_MOD = 50
 #: Vectors of a candidate block, and queries of a query block.
 BLOCK, QUERIES = 8192, 8192
-#: Entries of each list that a step reads.
-STEP = 32
+#: Queries that walk together.
+TILE = 64
+#: Entries of each list that the first round reads; each further round reads twice as many.
+STEP = 8
 
 
 class Lists:
     """Candidates of a block with one sorted list a dimension.
 
-    Scores are worked out in floating point where that is exact (below 2^53),
-    else in whole numbers."""
+    Scores are worked out in floating point where that is exact (all sums below
+    2^24 or 2^53), else in whole numbers."""
 
-    EXACT = 1 << 53
+    EXACT = {np.float32: 1 << 24, np.float64: 1 << 53}
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        columns = np.ascontiguousarray(vectors.T)
         self.ids = ids
-        self.up = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(vectors, self.up, axis=0)
-        self.most = int(np.abs(vectors).max(initial=0))
-        self.whole, self.vectors = vectors, vectors.astype(np.float64)
-
-    def scores(self, rows: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
-        return (self.vectors[rows] @ q.astype(np.float64)).astype(np.int64) if exact else self.whole[rows] @ q
-
-    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, ties to smaller ids."""
-        n = len(self.ids)
-        used = np.flatnonzero(q)
-        falling = q[used] > 0
-        up, down = used[falling], used[~falling]
-        exact = len(q) * self.most * int(np.abs(q).max(initial=0)) < self.EXACT
-        seen = self.ids == query_id
-        best_ids = best = np.zeros(0, np.int64)
-        depth = 0
-        while depth < n:
-            stop = min(n, depth + STEP)
-            met = np.concatenate([self.up[n - stop : n - depth, up].ravel(), self.up[depth:stop, down].ravel()]) if len(used) else np.arange(n)
-            rows = np.unique(met[~seen[met]])
-            seen[rows] = True
+        self.up = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(columns, self.up, axis=1)
+        self.most = _most(vectors)
+        self.vectors = {np.int64: vectors}
+
+    def kind(self, q: np.ndarray) -> type:
+        """The smallest type that holds every score of q exactly."""
+        largest = q.shape[1] * self.most * _most(q)
+        kind = next((t for t, limit in self.EXACT.items() if largest < limit), np.int64)
+        if kind not in self.vectors:
+            self.vectors[kind] = self.vectors[np.int64].astype(kind)
+        return kind
+
+    def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Of each query (in the type that kind() gave) with each of the rows."""
+        return q @ self.vectors[q.dtype.type][rows].T
+
+    def top(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, id, score) of each query's k best, ties to smaller ids."""
+        n, kind = len(self.ids), self.kind(q)
+        typed, least = q.astype(kind), np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+        rising, falling = np.maximum(q, 0), np.minimum(q, 0)
+        place, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
+        kth, full = np.full(len(q), least, kind), np.zeros(len(q), bool)
+        seen, left = np.zeros(n, bool), np.arange(len(q))
+        depth, step = 0, STEP
+        while len(left):
+            stop = min(n, depth + step)
+            up, down = rising[left].any(axis=0), falling[left].any(axis=0)
+            met = np.full(n, not (up.any() or down.any()))
+            met[self.up[up, n - stop : n - depth]] = True
+            met[self.up[down, depth:stop]] = True
+            rows = np.flatnonzero(met & ~seen)
+            seen |= met
             if len(rows):
-                ids, scores = np.concatenate([best_ids, self.ids[rows]]), np.concatenate([best, self.scores(rows, q, exact)])
-                order = np.lexsort((ids, -scores))[:k]
-                best_ids, best = ids[order], scores[order]
-            depth = stop
-            if not len(used):
+                s, own = self.scores(rows, typed[left]), self.ids[rows] == query_ids[left, None]
+                s[own] = least
+                cut = kth[left]
+                if len(rows) > k and not full[left].all():
+                    cut = np.maximum(cut, np.partition(s, len(rows) - k, axis=1)[:, len(rows) - k])
+                i, j = np.nonzero((s >= cut[:, None]) & ~own)
+                place, ids, scores = np.append(place, left[i]), np.append(ids, self.ids[rows[j]]), np.append(scores, s[i, j].astype(np.int64))
+                order = np.lexsort((ids, -scores, place))
+                order = order[np.arange(len(order)) - np.searchsorted(place[order], place[order]) < k]
+                place, ids, scores = place[order], ids[order], scores[order]
+                count = np.bincount(place, minlength=len(q))
+                full = count == k
+                kth[full] = scores[np.cumsum(count)[full] - 1]
+            if stop == n or seen.all():
                 break
+            depth, step = stop, 2 * step
             # The most that a vector can score which no list has shown yet.
-            edge = int(self.sorted[n - depth, up] @ q[up]) + int(self.sorted[depth - 1, down] @ q[down])
-            if len(best) == k and edge < best[-1]:
-                break
-        return best_ids, best
+            edge = rising[left] @ self.sorted[:, n - depth] + falling[left] @ self.sorted[:, depth - 1]
+            left = left[~full[left] | (edge >= kth[left])]
+        return place, ids, scores
+
+
+def _most(x: np.ndarray) -> int:
+    """Largest absolute value."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
 
 
 def _matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -91,24 +121,33 @@ def _matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
     return np.split(values, np.cumsum(sizes)[:-1]) if len(column) else []
 
 
+def _favourite(q: np.ndarray) -> np.ndarray:
+    """Number of each query's strongest component, below 0 where that is negative."""
+    if not q.shape[1]:
+        return np.zeros(len(q), np.int64)
+    strongest = np.abs(q).argmax(axis=1)
+    return (strongest + 1) * np.sign(np.take_along_axis(q, strongest[:, None], axis=1)[:, 0])
+
+
 def _search(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(left, right):
         queries, q = left.column("vec_id").to_numpy(), _matrix(left.column("v"))
         ids, vectors = right.column("vec_id").to_numpy(), _matrix(right.column("v"))
-        out = ([], [], [])
-        sizes = np.array([len(v) for v in vectors])
-        for size in sorted({len(x) for x in q}):
-            rows = np.flatnonzero(sizes == size)
-            if not len(rows):
-                continue
-            lists = Lists(ids[rows], np.stack([vectors[i] for i in rows]).reshape(len(rows), size))
-            for query_id, x in zip(queries.tolist(), q):
-                if len(x) == size:
-                    found, scores = lists.top(query_id, x, k)
-                    out[0].append(np.full(len(found), query_id)), out[1].append(found), out[2].append(scores)
-        return pa.table([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], schema=schema)
+        out = [np.zeros((3, 0), np.int64)]
+        sizes, q_sizes = (np.array([len(v) for v in x], np.int64) for x in (vectors, q))
+        for size in np.intersect1d(sizes, q_sizes).tolist():
+            rows, own = np.flatnonzero(sizes == size), np.flatnonzero(q_sizes == size)
+            lists = Lists(ids[rows], np.stack([vectors[i] for i in rows]))
+            wanted = np.stack([q[i] for i in own])
+            # Queries that favour the same list most walk together.
+            order = np.argsort(_favourite(wanted), kind="stable")
+            for at in range(0, len(order), TILE):
+                tile = order[at : at + TILE]
+                place, found, scores = lists.top(queries[own[tile]], wanted[tile], k)
+                out.append(np.stack([queries[own[tile[place]]], found, scores]))
+        return pa.table([pa.array(x) for x in np.concatenate(out, axis=1)], schema=schema)
 
     return run
 
