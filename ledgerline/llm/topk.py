@@ -30,16 +30,19 @@ from .common import table
 
 K = 5
 QUERY_MOD = 50
-#: Vectors of a candidate block, and queries of a query block.
+#: Vectors of a candidate block, and queries of a query block, at least.
 BLOCK, QUERIES = 8192, 8192
+#: Large tables have larger blocks, as each block is sent to each of the other side's:
+#: candidates in no fewer parts than so many, and up to so many components a block.
+PARTS, COMPONENTS = 48, 1 << 21
 #: Queries that walk together.
-TILE = 64
+TILE = 128
 #: Entries of each list that the first round reads; each further round reads twice as many.
 STEP = 8
 
 
 class Lists:
-    """Candidates of a block with one sorted list a dimension.
+    """Candidates of a block by id, with one sorted list a dimension.
 
     Scores are worked out in floating point where that is exact (all sums below
     2^24 or 2^53), else in whole numbers."""
@@ -47,8 +50,9 @@ class Lists:
     EXACT = {np.float32: 1 << 24, np.float64: 1 << 53}
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, vectors = ids[by_id], vectors[by_id]
         columns = np.ascontiguousarray(vectors.T)
-        self.ids = ids
         self.up = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(columns, self.up, axis=1)
         self.most = _most(vectors)
@@ -66,6 +70,13 @@ class Lists:
         """Of each query (in the type that kind() gave) with each of the rows."""
         return q @ self.vectors[q.dtype.type][rows].T
 
+    def own(self, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the query, row) of each row with a query's own id."""
+        first, end = (np.searchsorted(self.ids, query_ids, side) for side in ("left", "right"))
+        size = end - first
+        whose = np.repeat(np.arange(len(query_ids)), size)
+        return whose, np.arange(len(whose)) + np.repeat(end - np.cumsum(size), size)
+
     def top(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of the query, id, score) of each query's k best, ties to smaller ids."""
         n, kind = len(self.ids), self.kind(q)
@@ -73,7 +84,8 @@ class Lists:
         rising, falling = np.maximum(q, 0), np.minimum(q, 0)
         place, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
         kth, full = np.full(len(q), least, kind), np.zeros(len(q), bool)
-        seen, left = np.zeros(n, bool), np.arange(len(q))
+        seen, walks, left = np.zeros(n, bool), np.ones(len(q), bool), np.arange(len(q))
+        whose, own = self.own(query_ids)
         depth, step = 0, STEP
         while len(left):
             stop = min(n, depth + step)
@@ -81,15 +93,25 @@ class Lists:
             met = np.full(n, not (up.any() or down.any()))
             met[self.up[up, n - stop : n - depth]] = True
             met[self.up[down, depth:stop]] = True
-            rows = np.flatnonzero(met & ~seen)
+            new = met & ~seen
+            rows = np.flatnonzero(new)
             seen |= met
             if len(rows):
-                s, own = self.scores(rows, typed[left]), self.ids[rows] == query_ids[left, None]
-                s[own] = least
+                s = self.scores(rows, typed[left])
+                here = new[own] & walks[whose]
+                s[np.searchsorted(left, whose[here]), np.searchsorted(rows, own[here])] = least
                 cut = kth[left]
-                if len(rows) > k and not full[left].all():
+                hit = s >= cut[:, None]
+                if len(rows) > k and np.count_nonzero(hit) > 8 * k * len(left):
                     cut = np.maximum(cut, np.partition(s, len(rows) - k, axis=1)[:, len(rows) - k])
-                i, j = np.nonzero((s >= cut[:, None]) & ~own)
+                    hit = s >= cut[:, None]
+                i, j = np.divmod(np.flatnonzero(hit), len(rows))
+                fine = self.ids[rows[j]] != query_ids[left[i]]
+                # Of the scores at the cut, those of the k smallest ids matter.
+                tie = fine & (s[i, j] == cut[i])
+                before = np.append(0, np.cumsum(tie))
+                fine &= ~tie | (before[:-1] - before[np.searchsorted(i, np.arange(len(left)))][i] < k)
+                i, j = i[fine], j[fine]
                 place, ids, scores = np.append(place, left[i]), np.append(ids, self.ids[rows[j]]), np.append(scores, s[i, j].astype(np.int64))
                 order = np.lexsort((ids, -scores, place))
                 order = order[np.arange(len(order)) - np.searchsorted(place[order], place[order]) < k]
@@ -102,7 +124,8 @@ class Lists:
             depth, step = stop, 2 * step
             # The most that a vector can score which no list has shown yet.
             edge = rising[left] @ self.sorted[:, n - depth] + falling[left] @ self.sorted[:, depth - 1]
-            left = left[~full[left] | (edge >= kth[left])]
+            walks[left] = ~full[left] | (edge >= kth[left])
+            left = np.flatnonzero(walks)
         return place, ids, scores
 
 
@@ -152,6 +175,18 @@ def _search(k: int):
     return run
 
 
+def _extent(df: DataFrame) -> tuple[int, int]:
+    """Rows, and components of the longest vector."""
+    return tuple(df.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first())
+
+
+def blocks(n: int, longest: int, m: int, q_longest: int) -> tuple[int, int]:
+    """Blocks of n candidates and of m queries."""
+    rows = max(BLOCK, min(n // PARTS, COMPONENTS // max(1, longest)))
+    q_rows = max(QUERIES, COMPONENTS // max(1, q_longest))
+    return max(1, -(-n // rows)), max(1, -(-m // q_rows))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score; both inputs have vec_id and embedding."""
 
@@ -161,8 +196,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select("vec_id", v.alias("v")).distinct()
 
     vectors, queries = whole(vectors), whole(queries)
-    n, m = vectors.count(), queries.count()
-    nb, mb = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
+    nb, mb = blocks(*_extent(vectors), *_extent(queries))
 
     def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64("vec_id", "v"), F.lit(own_n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))

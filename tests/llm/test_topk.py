@@ -60,3 +60,19 @@ def test_walk_of_any_numbers(n, dims, most):
     ids[n // 2 :] = ids[n // 2 :] // 2 * 2
     chosen = np.arange(0, n, 3)
     assert walk(ids, vectors, chosen) == plain(ids, vectors, chosen)
+
+
+def test_walk_over_copies():
+    """Copies tie at every place; the smallest ids win, without a query's own."""
+    ids, vectors = np.random.default_rng(8).permutation(3000), even(3000, 16, 40)
+    vectors[1000:2500] = vectors[0]
+    chosen = np.arange(0, 3000, 10)
+    assert walk(ids, vectors, chosen) == plain(ids, vectors, chosen)
+
+
+def test_blocks_grow_with_the_table():
+    """What is sent grows with the table, not with its square, until blocks are at their largest."""
+    assert topk.blocks(0, 0, 0, 0) == (1, 1) and topk.blocks(51282, 64, 1026, 64) == (7, 1)
+    sent = {n: n * queries + n // 50 * candidates for n in (400_000, 1_600_000) for candidates, queries in [topk.blocks(n, 64, n // 50, 64)]}
+    assert sent[1_600_000] < 4.1 * sent[400_000]
+    assert topk.blocks(1_000_000, 4096, 20_000, 4096) == (123, 3)
