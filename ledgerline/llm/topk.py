@@ -26,15 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 K = 5
 QUERY_MOD = 50
 #: Vectors of a candidate block, and queries of a query block, at least.
 BLOCK, QUERIES = 8192, 8192
 #: Large tables have larger blocks, as each block is sent to each of the other side's:
-#: candidates in no fewer parts than so many, and up to so many components a block.
+#: candidates in no fewer parts than so many, and up to so many components a block
+#: (queries, which need no lists, up to twice as many).
 PARTS, COMPONENTS = 48, 1 << 21
+#: Rows of an Arrow batch, on the way to a task.
+BATCH_ROWS = 5000
 #: Queries that walk together.
 TILE = 128
 #: Entries of each list that the first round reads; each further round reads twice as many.
@@ -183,7 +186,7 @@ def _extent(df: DataFrame) -> tuple[int, int]:
 def blocks(n: int, longest: int, m: int, q_longest: int) -> tuple[int, int]:
     """Blocks of n candidates and of m queries."""
     rows = max(BLOCK, min(n // PARTS, COMPONENTS // max(1, longest)))
-    q_rows = max(QUERIES, COMPONENTS // max(1, q_longest))
+    q_rows = max(QUERIES, 2 * COMPONENTS // max(1, q_longest))
     return max(1, -(-n // rows)), max(1, -(-m // q_rows))
 
 
@@ -195,6 +198,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
         return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select("vec_id", v.alias("v")).distinct()
 
+    small_batches(vectors.sparkSession, BATCH_ROWS)
     vectors, queries = whole(vectors), whole(queries)
     nb, mb = blocks(*_extent(vectors), *_extent(queries))
 

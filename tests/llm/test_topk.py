@@ -75,4 +75,4 @@ def test_blocks_grow_with_the_table():
     assert topk.blocks(0, 0, 0, 0) == (1, 1) and topk.blocks(51282, 64, 1026, 64) == (7, 1)
     sent = {n: n * queries + n // 50 * candidates for n in (400_000, 1_600_000) for candidates, queries in [topk.blocks(n, 64, n // 50, 64)]}
     assert sent[1_600_000] < 4.1 * sent[400_000]
-    assert topk.blocks(1_000_000, 4096, 20_000, 4096) == (123, 3)
+    assert topk.blocks(1_000_000, 4096, 20_000, 4096) == (123, 3) and topk.blocks(3_200_000, 64, 64_000, 64) == (98, 1)
