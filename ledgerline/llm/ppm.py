@@ -11,7 +11,7 @@ its lower-cased bytes and an end mark.
 
 The base is a unigram model of words with add-one smoothing over the same
 training rows.  Word counts grow with the corpus and are never broadcast: each
-block of documents gets the counts of its own words by a join.
+block of documents asks for the counts of its own words.
 
 Contexts grow with the corpus too, and none is left out.  Each block of
 documents asks for its own (context, byte) pairs, with their counts in its
@@ -19,7 +19,9 @@ training rows; the pairs are dealt to buckets by their last LOW + 1 bytes of
 context, so a bucket has all counts of its contexts and of their shorter ones,
 down to LOW + 1 bytes, and sends each block the code lengths it asked for.  Only
 contexts of up to LOW bytes are broadcast: a table bounded by the number of
-byte strings of LOW + 1 bytes, not by the corpus.
+byte strings of LOW + 1 bytes, not by the corpus.  Words are dealt to buckets by
+their hash and answered with their totals in the same pass.  What is shuffled
+are packed runs of sorted pairs and words, not a row for each of them.
 
 Defined cases: null texts are empty, an empty text is the end mark alone; a
 null doc_id is held out of training; rows that repeat train and score each;
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,8 @@ CHUNK = 1 << 13
 HELD = 1 << 21
 #: Buckets of pairs for each block of texts: one bucket's pairs are in a worker's memory at once.
 BUCKETS = 4
+#: Kinds of rows of the scratch tables.
+WORDS, PAIRS, ROWS, SHORT, SUMS = range(5)
 SYMBOLS = 257 - 2
 #: A pair's bytes, and blocks that a mark above them tells apart.
 PAIR = U64((1 << 8 * (ORDER + 1)) - 1)
@@ -91,16 +96,36 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(keys):
         return keys, counts
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    keys = keys[order]
+    first = _firsts(keys)
+    sums = np.cumsum(counts[order])[np.append(first[1:], len(keys)) - 1]
+    return keys[first], np.diff(sums, prepend=0)
 
 
-def _counts(buckets: int):
-    """Rows (kind, block, key, k, keys, counts): kind 0 words of a block, with
-    occurrences in training rows; kind 1 pairs of a block, by bucket (key), with
-    theirs; kind 2 the number of training rows; kind 3 trained pairs of LOW + 1
-    bytes of context."""
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _merged(held: tuple[np.ndarray, np.ndarray], raw: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """held, and the keys of raw: those of its first list count, those of its second are only there."""
+    parts = [held]
+    for kind, some in enumerate(raw):
+        keys = np.sort(np.concatenate(some)) if some else np.zeros(0, U64)
+        first = _firsts(keys)
+        parts.append((keys[first], np.diff(np.append(first, len(keys))) * (1 - kind)))
+    return _summed(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def _none() -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(0, U64), np.zeros(0, np.int64)
+
+
+def _counts(buckets: int, word_buckets: int = 1):
+    """Rows (kind, block, key, k, keys, counts): kind WORDS words of a block, by
+    bucket (key, from `buckets` on), with occurrences in training rows; kind
+    PAIRS pairs of a block, by bucket (key), with theirs; kind ROWS the number of
+    training rows; kind SHORT trained pairs of LOW + 1 bytes of context."""
     names = ["kind", "block", "key", "k", "keys", "counts"]
 
     def out(kind, block, key, k, keys=None, counts=None):
@@ -108,58 +133,56 @@ def _counts(buckets: int):
         wide = [pa.array(x, pa.binary()) if x is not None else pa.nulls(n, pa.binary()) for x in (keys, counts)]
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(block, pa.int32()), long_array(key), pa.array(k, pa.int64()), *wide], names)
 
+    def packed(kind, block, bucket, keys, counts):
+        """Rows of a block's keys, in order of their buckets."""
+        first = _firsts(bucket)
+        cuts = [(a, min(a + CHUNK, j)) for i, j in zip(first, np.append(first[1:], len(bucket))) for a in range(i, j, CHUNK)]
+        for some in (cuts[i : i + 200] for i in range(0, len(cuts), 200)):
+            at = np.array([a for a, _ in some])
+            yield out(kind, np.full(len(some), block, np.int32), bucket[at].astype(np.int64), np.array([b - a for a, b in some]), [pack(keys[a:b]) for a, b in some], [pack(counts[a:b]) for a, b in some])
+
     def run(batches):
         hasher = once(HASHER, Hasher)
-        words, size, rows = [], 0, 0
+        rows = 0
+        # Words by block: raw ones, and distinct ones with their counts.
+        words, n_words, n_distinct = {}, 0, 0
         # Pairs carry their block's place in `places` above their bytes.
-        places, raw, n_raw, held = {}, [[], []], 0, (np.zeros(0, U64), np.zeros(0, np.int64))
+        places, raw, n_raw, held = {}, [[], []], 0, _none()
+
+        def gather_words():
+            nonlocal n_words, n_distinct
+            for of_block in words.values():
+                of_block[:] = [[], []], _merged(of_block[1], of_block[0])
+            n_words, n_distinct = 0, sum(len(x[1][0]) for x in words.values())
 
         def word_rows():
-            block, h, k = (np.concatenate(x) for x in zip(*words))
-            order = np.lexsort((h, block))
-            block, h, k = block[order], h[order], k[order]
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (block[1:] != block[:-1])]))
-            return out(0, block[first], h[first], np.add.reduceat(k, first))
+            nonlocal words, n_distinct
+            for block, (_, (keys, counts)) in words.items():
+                yield from packed(WORDS, block, _word_bucket(keys, word_buckets) + buckets, keys, counts.astype(np.uint32))
+            words, n_distinct = {}, 0
 
         def gather():
             nonlocal raw, n_raw, held
-            parts = [held]
-            for kind in (0, 1):
-                keys = np.sort(np.concatenate(raw[kind])) if raw[kind] else np.zeros(0, U64)
-                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-                parts.append((keys[first], np.diff(np.append(first, len(keys))) * (1 - kind)))
-            held = _summed(*(np.concatenate(x) for x in zip(*parts)))
+            held = _merged(held, raw)
             raw, n_raw = [[], []], 0
 
         def context_rows():
             nonlocal held, places
             keys, counts = held
             trained = np.unique(keys[counts > 0] & U64((1 << 8 * (LOW + 2)) - 1))
-            yield out(3, np.full(len(trained), -1, np.int32), trained, np.ones(len(trained), np.int64))
+            yield out(SHORT, np.full(len(trained), -1, np.int32), trained, np.ones(len(trained), np.int64))
             numbers = np.array(list(places), np.int32)
             ends = np.searchsorted(keys, np.arange(1, len(numbers), dtype=U64) << U64(8 * (ORDER + 1)))
             for block, keys, counts in zip(numbers, np.split(keys & PAIR, ends), np.split(counts, ends)):
                 bucket = _bucket(keys, buckets)
-                order = np.argsort(bucket, kind="stable")
-                bucket, keys, counts = bucket[order], keys[order], counts[order].astype(np.uint32)
-                first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-                cuts = [(a, min(a + CHUNK, j)) for i, j in zip(first, np.append(first[1:], len(bucket))) for a in range(i, j, CHUNK)]
-                for some in (cuts[i : i + 200] for i in range(0, len(cuts), 200)):
-                    at = np.array([a for a, _ in some])
-                    yield out(1, np.full(len(some), block, np.int32), bucket[at], np.array([b - a for a, b in some]), [pack(keys[a:b]) for a, b in some], [pack(counts[a:b]) for a, b in some])
-            held, places = (np.zeros(0, U64), np.zeros(0, np.int64)), {}
+                order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+                yield from packed(PAIRS, block, bucket[order], keys[order], counts[order].astype(np.uint32))
+            held, places = _none(), {}
 
         for batch in batches:
             block, out_of = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             texts = batch.column(2)
             rows += int((~out_of).sum())
-            for first, n, _, _, _, hashes, at in word_slices(hasher, texts):
-                row = np.repeat(np.arange(n), np.diff(at)) + first
-                words.append((block[row], hashes, (~out_of[row]).astype(np.int64)))
-                size += len(hashes)
-                if size > 1 << 20:
-                    yield word_rows()
-                    words, size = [], 0
             for b in np.unique(block):
                 if b not in places and len(places) == MARKS:
                     gather()
@@ -168,7 +191,15 @@ def _counts(buckets: int):
                 for kind, mine in enumerate(((block == b) & ~out_of, (block == b) & out_of)):
                     if not mine.any():
                         continue
-                    for first, n, data, offsets in slices(texts.filter(pa.array(mine))):
+                    some = texts.filter(pa.array(mine))
+                    for _, _, _, _, _, hashes, _ in word_slices(hasher, some):
+                        words.setdefault(b, [[[], []], _none()])[0][kind].append(hashes)
+                        n_words += len(hashes)
+                        if n_words > HELD // 2:
+                            gather_words()
+                            if n_distinct > HELD // 2:
+                                yield from word_rows()
+                    for _, _, data, offsets in slices(some):
                         raw[kind].append(grams(hasher, data, offsets)[0] | mark)
                         n_raw += len(raw[kind][-1])
                         if n_raw > HELD // 2:
@@ -176,12 +207,12 @@ def _counts(buckets: int):
             if len(held[0]) > HELD:
                 gather()
                 yield from context_rows()
-        if size:
-            yield word_rows()
+        gather_words()
+        yield from word_rows()
         gather()
         if len(held[0]):
             yield from context_rows()
-        yield out(2, np.array([-1], np.int32), np.zeros(1, np.int64), np.array([rows]))
+        yield out(ROWS, np.array([-1], np.int32), np.zeros(1, np.int64), np.array([rows]))
 
     return run
 
@@ -191,33 +222,48 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix((keys >> U64(8)) & U64((1 << 8 * (LOW + 1)) - 1)) % U64(buckets)).astype(np.int64)
 
 
-def _codes(low):
-    """Code lengths of the pairs of each bucket, by the blocks that asked."""
-    names = ["block", "k", "keys", "codes"]
+def _word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes, so sorted words are in order of theirs."""
+    return ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
 
-    def of_bucket(parts, base):
+def _answers(low, buckets: int):
+    """Rows (kind, block, k, keys, found): for the blocks that asked, code lengths
+    of each bucket's pairs and totals of each bucket's words; kind SUMS has a word
+    bucket's distinct trained words (block -1) and their occurrences (block -2) in k."""
+    names = ["kind", "block", "k", "keys", "found"]
+
+    def out(kind, block, k, keys, found):
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(block), pa.int32()), pa.array(block, pa.int32()), pa.array(k, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names)
+
+    def of_bucket(bucket, parts, base):
         keys = np.concatenate([unpack(x, k, U64) for _, k, x, _ in parts])
         counts = np.concatenate([unpack(x, k, np.uint32) for _, k, _, x in parts]).astype(np.int64)
         asked, counts = _summed(keys, counts)
         trained = counts > 0
-        trie = Trie(asked[trained], counts[trained], base)
-        codes = np.concatenate([trie.code(asked[i : i + HELD]) for i in range(0, len(asked), HELD)]).astype(np.float32)
+        if bucket < buckets:
+            kind, trie = PAIRS, Trie(asked[trained], counts[trained], base)
+            found = np.concatenate([trie.code(asked[i : i + HELD]) for i in range(0, len(asked), HELD)]).astype(np.float32)
+        else:
+            kind, found = WORDS, counts
+            yield out(SUMS, [-1, -2], [int(trained.sum()), int(counts.sum())], [None] * 2, [None] * 2)
+        ends = np.cumsum([k for _, k, _, _ in parts])
         for i in range(0, len(parts), 100):
             some = parts[i : i + 100]
-            found = [pack(codes[np.searchsorted(asked, unpack(x, k, U64))]) for _, k, x, _ in some]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _, _ in some], pa.int32()), pa.array([k for _, k, _, _ in some], pa.int64()), pa.array([x for _, _, x, _ in some], pa.binary()), pa.array(found, pa.binary())], names)
+            theirs = [pack(found[np.searchsorted(asked, keys[end - k : end])]) for (_, k, _, _), end in zip(some, ends[i : i + 100])]
+            yield out(kind, [b for b, _, _, _ in some], [k for _, k, _, _ in some], [x for _, _, x, _ in some], theirs)
 
     def run(batches):
         now, parts, base = None, [], Trie(*low.value, top=LOW)
         for batch in batches:
             for bucket, block, k, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if bucket != now and parts:
-                    yield from of_bucket(parts, base)
+                    yield from of_bucket(now, parts, base)
                     parts = []
                 now = bucket
                 parts.append((block, k, keys, counts))
         if parts:
-            yield from of_bucket(parts, base)
+            yield from of_bucket(now, parts, base)
 
     return run
 
@@ -295,21 +341,22 @@ class Trie:
 
 
 class Lookup:
-    """A hash table from a block's pairs to their code lengths."""
+    """A hash table from a block's keys to 8-byte values; every key that is asked for must be in it."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(10, int(len(keys) * 3 // 2).bit_length())
-        self.shift = U64(64 - bits)
-        self.slot_key = np.zeros(1 << bits, dtype=U64)
-        self.slot_value = np.zeros(1 << bits, dtype=np.float32)
-        left = np.arange(len(keys))
+        self.shift, self.kind = U64(64 - bits), values.dtype
+        # A slot's key plus one (0: free) beside its value: a probe touches one place in memory.
+        self.slot = np.zeros((1 << bits, 2), dtype=U64)
+        key, value = self.slot.T
+        left, wanted = np.arange(len(keys)), values.view(U64)
         self.probes = 0
         while len(left) and self.probes < 12:
-            slot = self.slots(keys[left], self.probes)
-            free = self.slot_key[slot] == 0
-            self.slot_key[slot[free]] = keys[left][free] + U64(1)
-            won = self.slot_key[slot] == keys[left] + U64(1)
-            self.slot_value[slot[won]] = values[left][won]
+            slot, mine = self.slots(keys[left], self.probes), keys[left] + U64(1)
+            free = key[slot] == 0
+            key[slot[free]] = mine[free]
+            won = key[slot] == mine
+            value[slot[won]] = wanted[left[won]]
             left = left[~won]
             self.probes += 1
         order = np.argsort(keys[left])
@@ -318,18 +365,29 @@ class Lookup:
     def slots(self, keys: np.ndarray, probe: int) -> np.ndarray:
         return ((keys * U64(0x9E3779B97F4A7C15 + 2 * probe * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF | 1)) >> self.shift).astype(np.int64)
 
-    def code(self, keys: np.ndarray) -> np.ndarray:
-        out = np.empty(len(keys))
-        left = np.arange(len(keys))
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out = np.empty(len(keys), self.kind)
+        # Parts whose arrays stay in a core's cache.
+        for i in range(0, len(keys), 1 << 14):
+            self._get(keys[i : i + (1 << 14)], out[i : i + (1 << 14)])
+        return out
+
+    def _get(self, keys: np.ndarray, out: np.ndarray) -> None:
+        left = None
         for probe in range(self.probes):
-            slot = self.slots(keys[left], probe)
-            hit = self.slot_key[slot] == keys[left] + U64(1)
-            out[left[hit]] = self.slot_value[slot[hit]]
-            left = left[~hit]
+            there = self.slot.take(self.slots(keys, probe), axis=0)
+            values, hit = there[:, 1].view(self.kind), there[:, 0] == keys + U64(1)
+            if left is None:
+                out[:] = values
+                left = np.flatnonzero(~hit)
+                keys = keys[left]
+            else:
+                out[left[hit]] = values[hit]
+                left, keys = left[~hit], keys[~hit]
             if not len(left):
-                return out
-        out[left] = self.rest_values[np.searchsorted(self.rest, keys[left])]
-        return out
+                return
+        if left is not None:
+            out[left] = self.rest_values[np.searchsorted(self.rest, keys)]
 
 
 def _score(ends: int, train_tokens: int, vocabulary: int):
@@ -337,29 +395,28 @@ def _score(ends: int, train_tokens: int, vocabulary: int):
 
     def run(lookups, batches):
         hasher = once(HASHER, Hasher)
-        words = lookups.filter(lookups.column("h").is_valid())
-        known = words.column("h").to_numpy().view(U64)
-        order = np.argsort(known)
-        known, counts = known[order], words.column("c").to_numpy()[order]
-        pairs = lookups.filter(lookups.column("keys").is_valid())
-        t = Lookup(*(np.concatenate([unpack(x.as_py(), k.as_py(), kind) for k, x in zip(pairs.column("k"), pairs.column(c))]) for c, kind in (("keys", U64), ("codes", np.float32))))
-        del lookups, words, pairs
+
+        def of_kind(kind, value):
+            some = lookups.filter(pc.equal(lookups.column("kind"), kind))
+            return [np.concatenate([np.zeros(0, of), *(unpack(x.as_py(), k.as_py(), of) for k, x in zip(some.column("k"), some.column(c)))]) for c, of in (("keys", U64), ("found", value))]
+
+        words = Lookup(*of_kind(WORDS, np.int64))
+        keys, codes = of_kind(PAIRS, np.float32)
+        pairs = Lookup(keys, codes.astype(np.float64))
+        del lookups, keys, codes
         for batch in batches:
             texts = batch.column(2)
             n = batch.num_rows
             n_tokens, n_known, logs, scores = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
             for first, m, _, _, _, hashes, at in word_slices(hasher, texts):
-                c = np.zeros(len(hashes))
-                if len(known) and len(hashes):
-                    j = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    c = np.where(known[j] == hashes, counts[j], 0)
+                c = words.get(hashes)
                 for into, values in ((logs, np.log10(c + 1)), (n_known, (c > 0).astype(np.int64))):
                     total = np.concatenate([[0], np.cumsum(values)])
                     into[first : first + m] = total[at[1:]] - total[at[:-1]]
                 n_tokens[first : first + m] = np.diff(at) + 1
             for first, m, data, offsets in slices(texts):
                 keys, at = grams(hasher, data, offsets)
-                total = np.concatenate([[0.0], np.cumsum(t.code(keys))])
+                total = np.concatenate([[0.0], np.cumsum(pairs.get(keys))])
                 scores[first : first + m] = total[at[1:]] - total[at[:-1]]
             base = logs + np.log10(ends + 1) - n_tokens * np.log10(train_tokens + vocabulary + 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens), pa.array(n_known + (ends > 0)), pa.array(np.full(n, train_tokens, np.int64)), pa.array(base), pa.array(scores)], names)
@@ -375,26 +432,19 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.select(block_of("doc_id", blocks).alias("block"), "doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "text")
     buckets = BUCKETS * blocks
-    parts = saved(rows.select("block", "held_out", "text").repartitionById(blocks, "block").mapInArrow(freed(_counts(buckets)), "kind int, block int, key long, k long, keys binary, counts binary"))
-    words = parts.where("kind = 0").select("block", F.col("key").alias("h"), "k")
-    # Summed in two levels, so that a word of all blocks is no task's alone.
-    totals = saved(words.groupBy("h").agg(F.sum("k").alias("c")).where("c > 0"))
-    seen = totals.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    lookups = saved(words.select("block", "h").join(totals, "h").select("block", "h", "c"))
-    drop_saved(totals)
-    ends = parts.where("kind = 2").agg(F.sum("k").alias("n")).first()["n"] or 0
-    short = parts.where("kind = 3").select("key").distinct().groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1)).alias("key")).agg(F.count("*").alias("k")).toArrow()
+    parts = saved(rows.select("block", "held_out", "text").repartitionById(blocks, "block").mapInArrow(freed(_counts(buckets, blocks)), "kind int, block int, key long, k long, keys binary, counts binary"))
+    ends = parts.where(F.col("kind") == ROWS).agg(F.sum("k").alias("n")).first()["n"] or 0
+    short = parts.where(F.col("kind") == SHORT).select("key").distinct().groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (LOW + 1)) - 1)).alias("key")).agg(F.count("*").alias("k")).toArrow()
     # Plain arrays: what is broadcast must not need this package to be read.
     low = spark.sparkContext.broadcast((short.column("key").to_numpy().view(U64), short.column("k").to_numpy()))
-    pairs = parts.where("kind = 1").select(F.col("key").cast("int").alias("bucket"), "block", "k", "keys", "counts")
-    codes = saved(pairs.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(freed(_codes(low)), "block int, k long, keys binary, codes binary"))
+    asked = parts.where(F.col("kind").isin(WORDS, PAIRS)).select(F.col("key").cast("int").alias("bucket"), "block", "k", "keys", "counts")
+    answers = saved(asked.repartitionById(buckets + blocks, "bucket").sortWithinPartitions("bucket").mapInArrow(freed(_answers(low, buckets)), "kind int, block int, k long, keys binary, found binary"))
     low.destroy()
     drop_saved(parts)
-    none = F.lit(None)
-    both = lookups.select("block", "h", "c", none.cast("long").alias("k"), none.cast("binary").alias("keys"), none.cast("binary").alias("codes")).unionByName(codes.select("block", none.cast("long").alias("h"), none.cast("long").alias("c"), "k", "keys", "codes"))
-    out = saved(with_lookups(rows, both, blocks, freed(_score(ends, seen["n"] + ends, seen["v"] + (ends > 0))), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
-    drop_saved(lookups)
-    drop_saved(codes)
+    seen = answers.where(F.col("kind") == SUMS).agg(*(F.coalesce(F.sum(F.when(F.col("block") == b, F.col("k"))), F.lit(0)).alias(c) for b, c in ((-1, "v"), (-2, "n")))).first()
+    lookups = answers.where(F.col("kind") != SUMS).select("block", "kind", "k", "keys", "found")
+    out = saved(with_lookups(rows, lookups, blocks, freed(_score(ends, seen["n"] + ends, seen["v"] + (ends > 0))), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    drop_saved(answers)
     settle(spark)
     return out
 

@@ -6,12 +6,14 @@ import hashlib
 import math
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, chat_format, decontamination, html_text, jaccard_join, ppm, substring_dedup, token_counts, topk, toxicity
+from ledgerline.llm.common import Hasher
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -180,6 +182,66 @@ def test_ppm_counts_in_small_writes(monkeypatch):
     assert counted() == want
 
 
+def test_ppm_words_travel_packed(monkeypatch):
+    """A block's words are packed runs, not a row each, and add up to the same counts and totals."""
+    import pyarrow as pa
+
+    rows = [*texts()[:60], None]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 5 for i in range(61)], pa.int32()), pa.array([i % 3 == 0 for i in range(61)]), pa.array(rows)], ["block", "held_out", "text"])
+    hasher, want = Hasher(), collections.Counter()
+    for i, t in enumerate(rows):
+        for h in hasher.words(np.frombuffer((t or "").translate(LOWER).encode(), np.uint8))[2].tolist():
+            want[i % 5, h] += i % 3 > 0
+    totals = collections.Counter()
+    for (_, h), c in want.items():
+        totals[h] += c
+
+    def check():
+        got, parts = collections.Counter(), []
+        for out in ppm._counts(3, 2)([batch.slice(i, 20) for i in (0, 20, 40, 60)]):
+            parts += [r for r in out.to_pylist() if r["kind"] == ppm.WORDS]
+        for r in parts:
+            keys = ppm.unpack(r["keys"], r["k"], np.uint64)
+            assert (ppm._word_bucket(keys, 2) + 3 == r["key"]).all() and len(keys) == r["k"] <= ppm.CHUNK
+            for h, c in zip(keys.tolist(), ppm.unpack(r["counts"], r["k"], np.uint32).tolist()):
+                got[r["block"], h] += c
+        assert got == want and set(got) == set(want)
+        parts.sort(key=lambda r: r["key"])
+        asked = pa.RecordBatch.from_pylist([{"bucket": r["key"], **{c: r[c] for c in ("block", "k", "keys", "counts")}} for r in parts])
+        low = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        found, sums = {}, collections.Counter()
+        for out in ppm._answers(low, 3)([asked]):
+            for r in out.to_pylist():
+                if r["kind"] == ppm.SUMS:
+                    sums[r["block"]] += r["k"]
+                else:
+                    assert r["kind"] == ppm.WORDS
+                    found |= {(r["block"], h): c for h, c in zip(ppm.unpack(r["keys"], r["k"], np.uint64).tolist(), ppm.unpack(r["found"], r["k"], np.int64).tolist())}
+        assert found == {(b, h): totals[h] for b, h in want}
+        assert sums == {-1: sum(c > 0 for c in totals.values()), -2: sum(totals.values())}
+        return len(parts)
+
+    assert check() <= 5 * 2
+    for name, value in (("HELD", 500), ("CHUNK", 16), ("MARKS", 2)):
+        monkeypatch.setattr(ppm, name, value)
+    assert check() > 5 * 2
+
+
+def test_ppm_lookup():
+    """Every key has its value, those that no probe placed too, with values of either kind."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 56, 50_000, dtype=np.uint64))
+    for values in (np.arange(len(keys)) - 7, rng.random(len(keys))):
+        for twice in (keys, np.append(keys, keys[:99])):
+            t = ppm.Lookup(twice, np.append(values, values[:99])[: len(twice)])
+            at = rng.integers(0, len(keys), 120_000)
+            assert (t.get(keys[at]) == values[at]).all() and t.get(keys[at]).dtype == values.dtype
+    t = ppm.Lookup(keys, values)
+    t.slot[:], t.probes, t.rest, t.rest_values = 0, 2, keys, values
+    assert (t.get(keys[at]) == values[at]).all()
+    assert len(ppm.Lookup(keys[:0], values[:0]).get(keys[:0])) == 0
+
+
 def test_ppm_sees_six_bytes(spark):
     """Only the sixth byte back tells these endings apart."""
     rows = ["xbcdef1", "ybcdef2"] * 20 + ["xbcdef1", "xbcdef2"]
